@@ -7,9 +7,11 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,6 +108,16 @@ def arrow_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return out, ends + np.arange(1, len(ends) + 1)
 
 
+def sliced(batch: pa.RecordBatch, column: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `most` bytes of text, so that arrays made from a slice stay small."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.flatnonzero(np.diff(np.cumsum(size) // most, append=-1))
+    begin = 0
+    for end in (ends + 1).tolist():
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def word_hashes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words [^\\x20\\x09-\\x0D]+, A-Z in lower case, of all rows, and each row's word count."""
     raw, ends = arrow_bytes(column)

@@ -166,9 +166,7 @@ def _pack(tokenizer_path: str, end_id: int, capacity: int, window_tokens: int):
             held = sum(left.fill)
             return rows
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in common.sliced(whole)):
             ids, counts = common.encoder(tokenizer_path).encode(batch.column("text"))
             data = np.insert(ids, np.cumsum(counts), end_id).astype("<u4").tobytes()
             begin, full = 0, []

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, quality_rules, token_counts, token_shards, url_filter
+from . import common, jaccard_join, packing, quality_rules, quote_links, token_counts, token_shards, toxicity, url_filter
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -36,6 +36,22 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_digest(packed)
 
 
+def op6_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_links.link_quotes(common.table(spark, sf_dir, "conversations"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = common.crc_mod("doc_id", 5) == 0
+    model = toxicity.fit(docs, common.table(spark, sf_dir, "labels").where(~held))
+    scores = model.score(docs)
+    return scores.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     counts = token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), common.new_folder(spark, "token-count-cache"))
@@ -43,7 +59,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_shards, op3_quality_rules, op4_url_filter, op5_packing, op10_token_counts)
+    f.__name__: f for f in (op1_token_shards, op3_quality_rules, op4_url_filter, op5_packing, op6_quote_links, op8_toxicity, op9_jaccard_join, op10_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {}

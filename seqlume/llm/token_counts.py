@@ -41,7 +41,7 @@ def _counter(path: str):
 def _encode(path: str, version: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = None
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.sliced(whole)):
             count = count or _counter(path)
             n = count(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["digest", "tokenizer", "n_tokens"])

@@ -151,9 +151,7 @@ def _write(tokenizer_path: str, end_id: int, shard_tokens: int):
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], ["part", "seq", "n_tokens", "doc_ids", "doc_tokens", "payload"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in common.sliced(whole)):
             ids, counts = common.encoder(tokenizer_path).encode(batch.column("text"))
             ids = np.insert(ids, np.cumsum(counts), end_id)
             held.append((batch.column("doc_id").to_pylist(), counts + 1, ids.astype(np.uint32)))
