@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, jaccard_join, packing, quality_rules, quote_links, token_counts, token_shards, toxicity, url_filter
+from . import common, jaccard_join, ngram_lm, packing, quality_rules, quote_links, token_counts, token_shards, toxicity, url_filter
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -40,6 +40,14 @@ def op6_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quote_links.link_quotes(common.table(spark, sf_dir, "conversations"))
 
 
+def op7_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = common.crc_mod("doc_id", 7) == 2
+    model = ngram_lm.fit(docs.withColumn("train", ~held))
+    scores = ngram_lm.score(docs, model)
+    return scores.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     held = common.crc_mod("doc_id", 5) == 0
@@ -59,7 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_shards, op3_quality_rules, op4_url_filter, op5_packing, op6_quote_links, op8_toxicity, op9_jaccard_join, op10_token_counts)
+    f.__name__: f for f in (op1_token_shards, op3_quality_rules, op4_url_filter, op5_packing, op6_quote_links, op7_ngram_lm, op8_toxicity, op9_jaccard_join, op10_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {}
