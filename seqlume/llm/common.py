@@ -81,6 +81,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -118,13 +120,20 @@ def sliced(batch: pa.RecordBatch, column: str = "text", most: int = 4_000_000) -
         begin = end
 
 
-def word_hashes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+, A-Z in lower case, of all rows, and each row's word count."""
+#: Everything but ASCII letters, digits and non-ASCII bytes separates words.
+PUNCTUATED = ~_ASCII_LETTER
+PUNCTUATED[48:58] = PUNCTUATED[128:] = False
+
+
+def word_hashes(column: pa.Array | pa.ChunkedArray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+, A-Z in lower case, of all rows, and each row's word count.
+
+    separators: another table of the bytes that end a word."""
     raw, ends = arrow_bytes(column)
     none = np.empty(0, np.uint64), np.zeros(len(ends), np.int64)
     if not len(raw):
         return none
-    space = _SPACE[raw]
+    space = separators[raw]
     before = np.empty_like(space)
     before[0], before[1:] = True, space[:-1]
     first = np.flatnonzero(~space & before)
@@ -182,8 +191,6 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.nd
 #: Added tokens aside, texts with these go to the library whole: white space that only some pre-tokenizers know.
 _ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8b\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80|\xef\xbb\xbf")
 _WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+\Z")
-_ASCII_LETTER = np.zeros(256, bool)
-_ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 _ENCODERS: dict[tuple[str, int], "Encoder"] = {}
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, jaccard_join, ngram_lm, packing, quality_rules, quote_links, token_counts, token_shards, toxicity, url_filter
+from . import common, decontaminate, jaccard_join, ngram_lm, packing, quality_rules, quote_links, token_counts, token_shards, toxicity, url_filter
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -19,6 +19,10 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.document_digests(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_rules(common.table(spark, sf_dir, "documents"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -67,7 +71,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_shards, op3_quality_rules, op4_url_filter, op5_packing, op6_quote_links, op7_ngram_lm, op8_toxicity, op9_jaccard_join, op10_token_counts)
+    f.__name__: f for f in (op1_token_shards, op2_decontaminate, op3_quality_rules, op4_url_filter, op5_packing, op6_quote_links, op7_ngram_lm, op8_toxicity, op9_jaccard_join, op10_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {}
