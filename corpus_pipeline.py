@@ -1,3 +1,70 @@
-STAGES = []
+"""The corpus pipeline: quality rules, toxicity, near duplicates, benchmark decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the
+columns of documents. doc_id is the key of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqlume.llm import common, decontaminate, jaccard_join, packing, quality_rules, toxicity
+
+BROADCAST_ROWS = 1_000_000  # ids of 8 bytes
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows of these ids. Few enough ids are broadcast, more are joined by shuffle."""
+    ids = common.staged(ids.where("doc_id is not null").distinct(), "dropped")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the threshold table rejects go; its measures and the text come from the same scan."""
+    rows = docs.withColumn("_row", F.struct(*docs.columns))
+    judged = quality_rules.apply_rules(rows, id_col="_row")
+    return judged.where("passed").select("doc_id.*")
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a calibrated score of 0.5 or more go. The model learns from labelled documents that are left."""
+    model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
+    return _without(docs, model.score(docs).where("score >= 0.5").select("doc_id"))
+
+
+def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    groups = jaccard_join.near_duplicates(docs)
+    return _without(docs, groups.where("doc_id != component_id").select("doc_id"))
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return _without(docs, decontaminate.find_leaks(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents that are left, packed into sequences of 2048 tokens."""
+    return packing.with_digest(packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("toxicity", toxic),
+    ("n-gram Jaccard join", duplicates),
+    ("benchmark decontamination", leaks),
+    ("best-fit packing", packed),
+]
+
+#: The trained and latent stages have no SQL; tests hold the pipeline against a plain version.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and read again."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.staged(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
