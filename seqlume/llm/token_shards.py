@@ -61,7 +61,11 @@ def compress(ids: np.ndarray, first: int | None = None, top: int = 4096, least:
         rank[order] = np.arange(len(order), dtype=np.int32)
         here = np.full(len(seq) + 1, np.iinfo(np.int32).max, np.int32)
         here[at + 1] = rank[back]
-        win = np.flatnonzero((here[1:-1] < here[:-2]) & (here[1:-1] <= here[2:]))
+        mine = here[1:-1]
+        again = mine == here[:-2]  # a run of one symbol: every second pair of it
+        place = np.arange(len(mine))
+        place -= np.maximum.accumulate(np.where(again, 0, place))
+        win = np.flatnonzero(((mine < here[:-2]) | again) & (mine <= here[2:]) & (place % 2 == 0) & (mine < np.iinfo(np.int32).max))
         chosen = here[win + 1]
         used = np.bincount(chosen, minlength=len(order))
         kept = np.flatnonzero(used >= 2)
