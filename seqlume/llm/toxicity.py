@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, trees: int =
     wanted = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     docs = docs.select("doc_id", "text")
-    sample = common.staged(docs.join(F.broadcast(wanted), "doc_id").repartition(8), "toxicity-sample")
+    sample = common.staged(docs.join(F.broadcast(wanted), "doc_id").repartition(8, "doc_id").sortWithinPartitions("doc_id", "text"), "toxicity-sample")
     share = sample.agg(F.avg("toxic").alias("p")).first()["p"]
     fitting = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(4)) != 0
     if share is None or share in (0.0, 1.0):
