@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, decontaminate, jaccard_join, ngram_lm, packing, quality_rules, quote_links, token_counts, token_shards, toxicity, url_filter
+from .oracles import ORACLE_SQL  # noqa: F401
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -73,5 +74,3 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_shards, op2_decontaminate, op3_quality_rules, op4_url_filter, op5_packing, op6_quote_links, op7_ngram_lm, op8_toxicity, op9_jaccard_join, op10_token_counts)
 }
-
-ORACLE_SQL: dict[str, str] = {}
