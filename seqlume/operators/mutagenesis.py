@@ -68,3 +68,10 @@ def double_changes(df: DataFrame, key: str, seq: str, motifs: list[str]) -> Data
     from pyspark.sql import Window
 
     return rows.withColumn("j", F.row_number().over(Window.partitionBy(key, "first", "second").orderBy("pos1", "pos2")) - 1)
+
+
+def scan_positions(site, window: int, exon: Column, acceptor: bool) -> Column:
+    """Positions around a splice site: from window before an acceptor to window past the exon's end, mirrored for a donor."""
+    s = F.col(site) if isinstance(site, str) else site
+    low, high = (s - window, s + window + exon) if acceptor else (s - window - exon, s + window)
+    return F.sequence(low.cast("long"), high.cast("long"))

@@ -177,3 +177,30 @@ def summary(vcf: DataFrame, annotated: DataFrame) -> DataFrame:
     omitted = asked.join(annotated.select("variant").distinct(), "variant", "left_anti")
     counts = annotated.agg(F.count("*").alias("rows"), F.count_if(F.col("prediction_status") == "FOUND").alias("found"), F.count_if(F.col("prediction_status") == "NA_NOT_PRECOMPUTED").alias("missing"), F.count_if(F.col("prediction_status").startswith("ERROR")).alias("errors"), F.count_if(F.col("prediction_status") == "ERROR_REF_MISMATCH").alias("mismatches"))
     return counts.join(asked.agg(F.count("*").alias("alleles"))).join(omitted.agg(F.count("*").alias("omitted")))
+
+
+def event_distance(pos0: Column) -> Column:
+    """struct(distance, region) of a position to the nearest edge of the microexon; negative before it in the
+    transcript. Half-open introns; events (strand, upIntStart, upIntEnd, dnIntStart, dnIntEnd). Of two equally near
+    edges, the one towards the downstream intron counts on the plus strand, and likewise on the minus strand."""
+    plus = F.col("strand") == "+"
+    first = F.when(plus, F.col("upIntEnd")).otherwise(F.col("dnIntEnd"))
+    last = F.when(plus, F.col("dnIntStart")).otherwise(F.col("upIntStart"))
+    before, after = pos0 < first, pos0 >= last
+    to_first, to_last = pos0 - first, pos0 - last
+    near_up = F.when(plus, to_first < last - pos0).otherwise(last - pos0 < to_first)
+    forward = F.when(before, to_first).when(after, to_last).when(near_up, to_first).otherwise(to_last)
+    backward = F.when(before, -to_first - 1).when(after, -to_last - 1).when(near_up, -to_last - 1).otherwise(-to_first - 1)
+    region = F.when(before, F.when(plus, "up").otherwise("dn")).when(after, F.when(plus, "dn").otherwise("up")).otherwise("ex")
+    return F.struct(F.when(plus, forward).otherwise(backward).alias("distance"), region.alias("region"))
+
+
+def span_distance(pos0: Column, ref: Column) -> Column:
+    """Distance of a variant's span to the microexon's nearer edge, on the genome: 0 if it crosses one."""
+    plus = F.col("strand") == "+"
+    start = F.when(plus, F.col("upIntEnd")).otherwise(F.col("dnIntEnd"))
+    end = F.when(plus, F.col("dnIntStart")).otherwise(F.col("upIntStart"))
+    stop = pos0 + F.length(ref)
+    inside = (pos0 > start) & (stop <= end)
+    nearer = F.when(pos0 - start < end - stop, pos0 - start).otherwise(stop - end)
+    return F.when(stop <= start, stop - start).when(pos0 >= end, pos0 - end).when(inside, nearer).otherwise(F.lit(0))
