@@ -1,6 +1,6 @@
 """All registered queries and their SQL."""
 
-from . import flagship, relational, sequences  # noqa: F401  registration
+from . import flagship, genomics, relational, sequences  # noqa: F401  registration
 from .base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
