@@ -7,7 +7,9 @@
     fitted on at most `fit_passages` passages (documents by hash of id); only the basis comes from that sample.
  3. Every window of every document is searched: a document is cut into blocks of STEP words, and sums of neighbouring
     blocks are projected. An item is asked for with windows of its own words, as many blocks long as lie inside it
-    at any alignment, at every second shift. Windows whose cosine reaches `cosine` are candidates.
+    at any alignment, at every second shift (every fourth for two blocks or more). Windows whose cosine reaches
+    `cosine` are candidates. A window that has too little of its squared weight on terms of the items can't reach
+    such a cosine to any of them and is not projected.
  4. A candidate is a match if the longest common subsequence of the item's words and the words around the window has
     `lcs` of the item's words or more, and that of its answer (its last sentence) `answer` of the answer's words.
 
@@ -116,7 +118,7 @@ def _range(idf, basis):
             if len(term):
                 for j in range(x.shape[1]):
                     total[:, j] += np.bincount(term, weights=w[term] * y[passage, j], minlength=len(x))
-        yield from _emit(total)
+        yield from _emit(total.astype(np.float32))
 
     return run
 
@@ -131,14 +133,14 @@ def _small(idf, basis):
             if len(starts):
                 term = _terms(words)
                 y = np.add.reduceat(x[term] * w[term, None], starts, axis=0)
-                total += y.T @ y
+                total += y.T.astype(np.float64) @ y
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "data"])
 
     return run
 
 
-def fit_index(docs: DataFrame, rank: int = 32, fit_passages: int = 100_000, seed: int = 5) -> np.ndarray:
-    """A row for each term: idf times the term's place in the latent space (2**TERM_BITS x rank, float32).
+def fit_index(docs: DataFrame, rank: int = 32, fit_passages: int = 100_000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Idf of each term, and idf times the term's place in the latent space (2**TERM_BITS x rank, float32).
 
     docs: (doc_id, text). Idf covers all passages; the basis is fitted on at most about fit_passages of them.
     """
@@ -149,24 +151,26 @@ def fit_index(docs: DataFrame, rank: int = 32, fit_passages: int = 100_000, seed
     idf = np.log((passages + 1) / (counted[:width] + 1)) + 0.1
     share = min(1.0, fit_passages / max(passages, 1))
     sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))) if share < 1 else docs
-    sample = common.staged(sample.select("text").repartition(8), "index-sample")
+    sample = common.staged(sample.select("text").repartition(1 + min(passages, fit_passages) // 25_000), "index-sample")  # few tasks: each sends a matrix
     x = np.random.default_rng(seed).standard_normal((width, rank)).astype(np.float32)
     w = spark.sparkContext.broadcast(idf)
-    y = _total(sample.mapInArrow(_range(w, spark.sparkContext.broadcast(x)), "slice int, data binary"), "<f8", width * rank).reshape(width, rank)
-    q, _ = np.linalg.qr(y)
+    y = _total(sample.mapInArrow(_range(w, spark.sparkContext.broadcast(x)), "slice int, data binary"), "<f4", width * rank).reshape(width, rank)
+    q = np.linalg.qr(y.astype(np.float64))[0].astype(np.float32)
     small = sample.mapInArrow(_small(w, spark.sparkContext.broadcast(q)), "slice int, data binary")
     gram = sum((np.frombuffer(r["data"]).reshape(rank, rank) for r in small.repartition(1).mapInArrow(_added("<f8"), "slice int, data binary").collect()), np.zeros((rank, rank)))
     _, turn = np.linalg.eigh(gram)
     # white: all directions count alike, as the strongest ones only tell languages and frequent words apart
     values = np.maximum(np.einsum("ij,jk,ki->i", turn.T, gram, turn), 1e-9)
     latent = (q @ turn) / np.sqrt(values)[None, :] * np.sqrt(values.max())
-    return (latent * idf[:, None]).astype(np.float32)
+    common.release(spark)
+    return idf.astype(np.float32), (latent * idf[:, None]).astype(np.float32)
 
 
 class Items:
     """A block of benchmark items with their words, answers and query windows."""
 
     def __init__(self, rows: list[tuple[int, str]], index: np.ndarray):
+        self.terms = np.zeros(1 << TERM_BITS, bool)
         self.ids, self.words, self.answers = [], [], []
         queries: dict[int, list[np.ndarray]] = {}
         owners: dict[int, list[int]] = {}
@@ -179,7 +183,8 @@ class Items:
             n = len(words)
             size = max((n - STEP + 1) // STEP, 1)
             vectors = index[_terms(words)]
-            for shift in range(0, STEP, 2):
+            self.terms[_terms(words)] = True
+            for shift in range(0, STEP, 2 if size == 1 else 4):
                 part = vectors[shift : shift + size * STEP] if n >= shift + size * STEP else vectors
                 queries.setdefault(size, []).append(part.sum(axis=0))
                 owners.setdefault(size, []).append(len(self.ids))
@@ -205,7 +210,7 @@ def lcs_length(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
-def _search(index, items: Items, cosine: float, lcs: float, answer: float):
+def _search(index, idf, items: Items, cosine: float, lcs: float, answer: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = index.value
         sets = [set(w) for w in items.words]
@@ -217,18 +222,23 @@ def _search(index, items: Items, cosine: float, lcs: float, answer: float):
             begins = np.cumsum(counts) - counts
             sums = np.zeros((len(starts) + 1, table.shape[1]))
             np.cumsum(np.add.reduceat(table[_terms(words)], starts, axis=0), axis=0, dtype=np.float64, out=sums[1:])
+            mass = np.zeros((2, len(starts) + 1))
+            weight = idf.value[_terms(words)] ** 2
+            np.cumsum(np.add.reduceat(weight, starts), out=mass[0, 1:])
+            np.cumsum(np.add.reduceat(np.where(items.terms[_terms(words)], weight, 0), starts), out=mass[1, 1:])
             best: dict[tuple[int, int], tuple] = {}
             for size, (queries, owners) in items.queries.items():
                 m = len(starts) - size + 1
                 if m < 1:
                     continue
-                for k in range(0, m, 20_000):
-                    stop = min(k + 20_000, m)
-                    v = (sums[k + size : stop + size] - sums[k:stop]).astype(np.float32)
+                total, own = mass[:, size:] - mass[:, :-size]
+                near = np.flatnonzero((own >= 0.8 * cosine**2 * total) & (row[size - 1 :] == row[: len(row) - size + 1]))
+                for k in range(0, len(near), 20_000):
+                    here = near[k : k + 20_000]
+                    v = (sums[here + size] - sums[here]).astype(np.float32)
                     v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-9)[:, None]
                     at, q = np.nonzero(v @ queries.T >= cosine)
-                    same = row[at + k] == row[at + k + size - 1]
-                    for i, j in zip((at[same] + k).tolist(), q[same].tolist()):
+                    for p, i, j in zip(at.tolist(), here[at].tolist(), q.tolist()):
                         o, r = int(owners[j]), int(row[i])
                         item = items.words[o]
                         lo, hi = max(begins[r], starts[i] - len(item)), min(begins[r] + counts[r], starts[i] + size * STEP + len(item))
@@ -242,7 +252,7 @@ def _search(index, items: Items, cosine: float, lcs: float, answer: float):
                         end = items.answers[o]
                         told = lcs_length(end, span) / len(end)
                         if told >= answer:
-                            best[r, o] = (ratio, told, float(v[i - k] @ queries[j]), int(starts[i] - begins[r]))
+                            best[r, o] = (ratio, told, float(v[p] @ queries[j]), int(starts[i] - begins[r]))
             if best:
                 docs = batch.column("doc_id")
                 rows = [(docs[r].as_py(), items.ids[o], c, ratio, told, s) for (r, o), (ratio, told, c, s) in best.items()]
@@ -252,19 +262,19 @@ def _search(index, items: Items, cosine: float, lcs: float, answer: float):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.7, lcs: float = 0.6, answer: float = 0.5, block_items: int = 5000, index: np.ndarray | None = None) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.7, lcs: float = 0.6, answer: float = 0.5, block_items: int = 5000, index: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """One row for each (document, item) that matches; docs: (doc_id, text), benchmark: (item_id, text)."""
     spark = docs.sparkSession
     common.ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    index = fit_index(docs) if index is None else index
-    table = spark.sparkContext.broadcast(index)
+    weights, index = fit_index(docs) if index is None else index
+    table, idf = spark.sparkContext.broadcast(index), spark.sparkContext.broadcast(weights)
     found = None
     block: list[tuple[int, str]] = []
     rows = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").toLocalIterator()
 
     def search() -> DataFrame:
-        return docs.mapInArrow(_search(table, Items(block, index), cosine, lcs, answer), MATCHES)
+        return docs.mapInArrow(_search(table, idf, Items(block, index), cosine, lcs, answer), MATCHES)
 
     for r in rows:
         block.append((r[0], r[1]))

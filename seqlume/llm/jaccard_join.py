@@ -5,20 +5,22 @@ tokens of both. Orders used here: rare tokens first (by a sketch of document fre
 all tasks, so any error in it only costs speed) with one or another hash among equals, and a plain hash order.
 
  1. Documents with equal sets form a class, and one document stands for it.
- 2. Prefix tokens under the first order are dealt out by token; classes that share none with another class are done.
- 3. Classes that agree in the least token of some order are compared with the least class of that group, never all
+ 2. Classes that agree in the least token of some order are compared with the least class of that group, never all
     with all. Verified links give first components.
+ 3. Prefix tokens under the first order are dealt out by token; classes that share none with another class are done.
  4. Of every token that classes of different components share, pairs across components are candidates, if sizes and
-    positions allow the threshold; only those that the other orders also find are kept, and verified. What lies in
-    one component already needs no pair, so no link between components is missed.
+    positions allow the threshold. A candidate must share prefix tokens under the other orders as well; only then its
+    whole sets are compared. What lies in one component already needs no pair, so no link between components is
+    missed.
  5. Components of all links; each takes its smallest document id.
 
 Words are runs of anything but \\x20 and \\x09-\\x0D, A-Z in lower case. Tokens are 64-bit hashes of shingles, classes
-128-bit sums over them; a wrong collision within a corpus of 1e9 distinct shingles has a chance of a few per cent.
+64-bit sums over them with the size; in a corpus of 1e9 distinct shingles two of them share a hash with a chance of
+a few per cent.
 
 Edge cases: a document of 1 to n-1 words has its whole sequence as one shingle; one without words or with a null text
-has an empty set and links to nothing; repeated rows form one class; a null id takes part but never names a
-component; an empty table gives an empty result; further columns are ignored.
+has an empty set and links to nothing; repeated rows form one class; a row with a null id belongs to the
+component of the rows equal to it and never names one (without any, its component is null); an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 SKETCH_BITS = 22
-SLICES = 64
+SLICES = 16
 _SEEDS = [np.uint64(x) for x in (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0xD1342543DE82EF95)]
 BROADCAST_ROWS = 1_000_000  # ids of 8 bytes
 
@@ -53,15 +55,12 @@ def document_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return h[keep], np.bincount(row[keep], minlength=len(column))
 
 
-def _fingerprints(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for seed in _SEEDS[1:3]:
-        total = np.zeros(len(sizes), np.uint64)
-        full = np.flatnonzero(sizes)
-        if len(full):
-            total[full] = np.add.reduceat(common.mix64(h + seed), (np.cumsum(sizes) - sizes)[full])
-        out.append(total.view(np.int64))
-    return out[0], out[1]
+def _fingerprints(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(sizes), np.uint64)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        total[full] = np.add.reduceat(common.mix64(h + _SEEDS[1]), (np.cumsum(sizes) - sizes)[full])
+    return common.mix64(total + sizes.astype(np.uint64)).view(np.int64)
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
@@ -95,19 +94,25 @@ def prefixes(h: np.ndarray, sizes: np.ndarray, classes: np.ndarray | None, seed:
 
 def _classes(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "fp", "fp2", "slice", "counts"]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        names = ["doc_id", "n", "fp", "least", "slice", "counts"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary())
         seen = None
         for batch in (part for whole in batches for part in common.sliced(whole)):
             h, sizes = document_sets(batch.column("text"), n)
-            fp, fp2 = _fingerprints(h, sizes)
+            fp = _fingerprints(h, sizes)
+            full = np.flatnonzero(sizes)
+            least = np.zeros((len(sizes), len(_SEEDS)), np.int64)
+            if len(full):
+                starts = (np.cumsum(sizes) - sizes)[full]
+                least[full] = np.stack([np.minimum.reduceat(common.mix64(h ^ s), starts).view(np.int64) for s in _SEEDS], 1)
             seen = np.zeros(1 << SKETCH_BITS, np.uint32) if seen is None else seen
             np.add(seen, np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS), out=seen, casting="unsafe")
             m = len(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((batch.column("doc_id"), sizes, fp, fp2, [None] * m, [None] * m), kinds)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((batch.column("doc_id"), sizes, fp, least.tolist(), [None] * m, [None] * m), kinds)], names)
         if seen is not None:
             for k, part in enumerate(np.split(seen, SLICES)):
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, None, k, part.astype("<u4").tobytes()), kinds)], names)
+                counts = np.minimum(part, 255).astype(np.uint8).tobytes()  # an order needs no exact counts
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, None, k, counts), kinds)], names)
 
     return run
 
@@ -116,7 +121,7 @@ def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, x in zip(batch.column("slice").to_pylist(), batch.column("counts")):
-            a = np.frombuffer(x.as_buffer(), "<u4").astype(np.uint64)
+            a = np.frombuffer(x.as_buffer(), np.uint8).astype(np.uint64)
             total[k] = total[k] + a if k in total else a
     if total:
         levels = [np.floor(np.log2(x.astype(np.float64) + 1)).clip(0, 63).astype(np.uint8).tobytes() for x in total.values()]
@@ -133,19 +138,32 @@ def _sketch(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _postings(classes, n: int, percent: int, parts: int):
+def _small(x: np.ndarray) -> bytes:
+    """Small whole numbers: their width in bytes, then the numbers."""
+    width = 1 if not len(x) or x.max() < 256 else 2 if x.max() < 65536 else 4
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def _read_small(raw, n: int, at: int) -> tuple[np.ndarray, int]:
+    width = int(np.frombuffer(raw, np.uint8, 1, at)[0])
+    return np.frombuffer(raw, f"<u{width}", n, at + 1).astype(np.int64), at + 1 + width * n
+
+
+def _postings(classes, n: int, percent: int, parts: int, hot_level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(classes.value, np.uint8)
         edges = (np.arange(parts + 1, dtype=np.float64) / parts * 2.0**64).clip(0, 2.0**64 - 2048).astype(np.uint64)[1:-1]
         for batch in (part for whole in batches for part in common.sliced(whole)):
             h, sizes = document_sets(batch.column("text"), n)
-            fp, _ = _fingerprints(h, sizes)
+            fp = _fingerprints(h, sizes)
             first = np.zeros(len(sizes), bool)
             first[np.unique(fp, return_index=True)[1]] = True  # equal sets of one batch count once
             key, row, place = prefixes(h, sizes, level, 0, percent)
             keep = first[row]
             key, row, place = key[keep], row[keep], place[keep]
             spread = common.mix64(key)  # deals tokens out evenly, whatever their frequency class
+            hot = (key >> np.uint64(58)) >= hot_level  # a very frequent token goes to all partitions, by class
+            spread[hot] = common.mix64(key[hot] + fp[row[hot]].view(np.uint64))
             order = np.argsort(spread)
             key, row, place, spread = key[order], row[order], place[order], spread[order]
             cuts = np.concatenate([[0], np.searchsorted(spread, edges), [len(spread)]])
@@ -155,14 +173,21 @@ def _postings(classes, n: int, percent: int, parts: int):
                 r = row[a:b]
                 mine, local = np.unique(r, return_inverse=True)
                 head = np.array([b - a, len(mine)], "<i8").tobytes()
-                blobs.append(b"".join((head, key[a:b].astype("<u8").tobytes(), fp[mine].astype("<i8").tobytes(), sizes[mine].astype("<i4").tobytes(), place[a:b].astype("<i4").tobytes(), local.astype("<u4").tobytes())))
+                blobs.append(b"".join((head, key[a:b].astype("<u8").tobytes(), fp[mine].astype("<i8").tobytes(), sizes[mine].astype("<i4").tobytes(), _small(place[a:b]), _small(local))))
             yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     return run
 
 
-def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one partition's postings, those whose token two classes or more have."""
+def _shared_tokens(hot_level: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _shared(batches, hot_level)
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch], hot_level: int) -> Iterator[pa.RecordBatch]:
+    """Of one partition's postings, those whose token two classes or more have; those of hot tokens all stay."""
     keys, fps, sizes, places = [], [], [], []
     for batch in batches:
         for x in batch.column("blob"):
@@ -172,8 +197,8 @@ def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             key = np.frombuffer(raw, "<u8", m, at)
             fp = np.frombuffer(raw, "<i8", d, at := at + 8 * m)
             size = np.frombuffer(raw, "<i4", d, at := at + 8 * d)
-            place = np.frombuffer(raw, "<i4", m, at := at + 4 * d)
-            local = np.frombuffer(raw, "<u4", m, at + 4 * m)
+            place, at = _read_small(raw, m, at + 4 * d)
+            local, _ = _read_small(raw, m, at)
             keys.append(key)
             fps.append(fp[local])
             sizes.append(size[local])
@@ -188,6 +213,7 @@ def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     same = key[1:] == key[:-1]
     again[1:] |= same
     again[:-1] |= same
+    again |= (key >> np.uint64(58)) >= hot_level
     order, key = order[again], key[again]
     fp, size, place = fp[order], size[order], place[order]
     order = np.lexsort((fp, key))
@@ -199,6 +225,7 @@ def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     same = key[1:] == key[:-1]
     again[1:] |= same
     again[:-1] |= same
+    again |= (key >> np.uint64(58)) >= hot_level
     for a in range(0, len(key), 100_000):
         k = slice(a, a + 100_000)
         take = again[k]
@@ -209,23 +236,41 @@ def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in common.sliced(whole)):
             h, sizes = document_sets(batch.column("text"), n)
-            fp, _ = _fingerprints(h, sizes)
-            full = np.flatnonzero(sizes)
-            starts = (np.cumsum(sizes) - sizes)[full]
-            least = [np.minimum.reduceat(common.mix64(h ^ s), starts).view(np.int64) if len(full) else np.empty(0, np.int64) for s in _SEEDS]
+            fp = _fingerprints(h, sizes)
+            starts = np.cumsum(sizes) - sizes
+            one = np.unique(fp, return_index=True)[1]
+            one = one[sizes[one] > 0]
             data = h.astype("<u8").tobytes()
-            blobs = [data[8 * a : 8 * (a + b)] for a, b in zip(starts.tolist(), sizes[full].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(fp[full]), pa.array(sizes[full].astype(np.int32)), pa.array(np.stack(least, 1).tolist() if len(full) else [], pa.list_(pa.int64())), pa.array(blobs, pa.binary())], ["fp", "n", "least", "tokens"])
+            blobs = [data[8 * a : 8 * (a + b)] for a, b in zip(starts[one].tolist(), sizes[one].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(fp[one]), pa.array(blobs, pa.binary())], ["fp", "tokens"])
 
     return run
 
 
-def _verify(percent: int):
+def token_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, shingle: int, name: str) -> DataFrame:
+    """(fp, tokens) of the wanted classes, from the text of one document of each."""
+    chosen = classes.join(wanted.distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    chosen = common.staged(chosen, f"{name}-chosen")
+    if chosen.count() <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
+    return common.staged(docs.join(chosen, "doc_id", "left_semi").mapInArrow(_sets(shingle), "fp long, tokens binary"), name)
+
+
+def _prefix(h: np.ndarray, classes: np.ndarray | None, seed: int, percent: int) -> np.ndarray:
+    size = int(prefix_size(np.array([len(h)]), percent)[0])
+    return np.partition(order_keys(h, classes, seed), size - 1)[:size]
+
+
+def _verify(percent: int, sketch, orders: tuple[tuple[int, bool], ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = np.frombuffer(sketch.value, np.uint8) if orders else None
         for batch in batches:
             a, b, linked = batch.column("a"), batch.column("b"), []
             for x, y in zip(batch.column("tokens_a"), batch.column("tokens_b")):
                 p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                if not all(np.isin(*(_prefix(z, level if rare else None, seed, percent) for z in (p, q))).any() for seed, rare in orders):
+                    linked.append(False)
+                    continue
                 if len(p) > len(q):
                     p, q = q, p
                 at = np.searchsorted(q, p)
@@ -237,13 +282,14 @@ def _verify(percent: int):
     return run
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int, stretch: int = 2000) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold. A class in many pairs is dealt out in stretches."""
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, sketch=None, orders: tuple[tuple[int, bool], ...] = (), stretch: int = 2000) -> DataFrame:
+    """The pairs (a, b) that share prefix tokens under all these orders (seed, rare first) and whose sets then reach
+    the threshold. A class in many pairs is dealt out in stretches."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(stretch)).cast("int").alias("k"))
     left = many.join(sets.select(F.col("fp").alias("a"), F.col("tokens").alias("tokens_a")), "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).drop("k")
     right = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("k")).cast("int")).drop("k")
     right = right.join(sets.select(F.col("fp").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-    return right.join(left, ["a", "salt"]).select("a", "b", "tokens_a", "tokens_b").mapInArrow(_verify(percent), "a long, b long")
+    return right.join(left, ["a", "salt"]).select("a", "b", "tokens_a", "tokens_b").mapInArrow(_verify(percent, sketch, orders), "a long, b long")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -291,60 +337,39 @@ def candidates(lists: DataFrame, percent: int) -> DataFrame:
     return pairs.distinct()
 
 
-def _other_order(classes, seed: int, rare_first: bool, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = np.frombuffer(classes.value, np.uint8) if rare_first else None
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                sizes = part.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
-                h = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in part.column("tokens")])
-                key, row, place = prefixes(h, sizes, level, seed, percent)
-                fp, label = part.column("fp").to_numpy(), part.column("label").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp[row]), pa.array(sizes[row].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(label[row])], ["token", "fp", "n", "place", "label"])
-
-    return run
-
-
-def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, hot_level: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, component_id) for every row of docs.
 
     Two documents link when 100 * |x & y| >= percent * |x | y| over their distinct shingles; component_id is the
-    smallest id that links lead to, the document's own included.
+    smallest id that links lead to, the document's own included. Tokens that the sketch counts 2**hot_level times or more
+    are dealt out by class as well, so that no task has to hold such a token's documents.
     """
     spark = docs.sparkSession
     common.ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    read = common.staged(docs.mapInArrow(_classes(shingle), "doc_id long, n long, fp long, fp2 long, slice int, counts binary"), "classes")
-    classes = read.where("slice is null").select("doc_id", "n", "fp")
+    read = common.staged(docs.mapInArrow(_classes(shingle), "doc_id long, n long, fp long, least array<long>, slice int, counts binary"), "classes")
+    classes = read.where("slice is null").select("doc_id", "n", "fp", "least")
     sketch = spark.sparkContext.broadcast(_sketch(read).tobytes())
-    parts = 2 * common.partitions(spark)
-    posted = docs.mapInArrow(_postings(sketch, shingle, percent, parts), "part int, blob binary")
-    lists = common.staged(posted.repartition(parts, "part").mapInArrow(_shared_tokens, "token long, fp long, n int, place int"), "shared-tokens")
 
-    alive = lists.select("fp").distinct()
-    chosen = common.staged(classes.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(alive, "fp", "left_semi").select("doc_id"), "chosen")
-    if chosen.count() <= BROADCAST_ROWS:
-        chosen = F.broadcast(chosen)
-    texts = docs.join(chosen, "doc_id", "left_semi")
-    sets = common.staged(texts.mapInArrow(_sets(shingle), "fp long, n int, least array<long>, tokens binary").dropDuplicates(["fp"]), "sets")
-
-    groups = sets.select("fp", F.posexplode("least").alias("k", "key"))
-    centres = groups.groupBy("k", "key").agg(F.min("fp").alias("a"), F.count("*").alias("c")).where("c > 1")
-    stars = groups.join(centres, ["k", "key"]).where("fp != a").select("a", F.col("fp").alias("b")).distinct()
-    links = common.staged(verify(stars, sets, percent), "links")
+    keys = classes.where("n > 0").groupBy("fp").agg(F.first("least").alias("least"), F.first("n").alias("n")).select("fp", "n", F.posexplode("least").alias("k", "key"))
+    centres = keys.groupBy("k", "key").agg(F.min(F.struct("fp", "n")).alias("c"), F.count("*").alias("size")).where("size > 1").select("k", "key", F.col("c.fp").alias("a"), F.col("c.n").alias("m"))
+    alike = (F.col("fp") != F.col("a")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    stars = common.staged(keys.join(centres, ["k", "key"]).where(alike).select("a", F.col("fp").alias("b")).distinct(), "stars")
+    ends = lambda p: p.select(F.col("a").alias("fp")).union(p.select("b"))
+    links = common.staged(verify(stars, token_sets(docs, classes, ends(stars), shingle, "star-sets"), percent), "links")
     first = components(links)
+    common.release(spark)
 
+    parts = 2 * common.partitions(spark)
+    posted = docs.mapInArrow(_postings(sketch, shingle, percent, parts, hot_level), "part int, blob binary")
+    lists = common.staged(posted.repartition(parts, "part").mapInArrow(_shared_tokens(hot_level), "token long, fp long, n int, place int"), "shared-tokens")
+    common.release(spark)
     labelled = lists.join(first, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     pairs = common.staged(candidates(labelled, percent), "candidates")
     if not pairs.isEmpty():
-        open_ = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-        rest = sets.join(open_, "fp", "left_semi").join(first, "fp", "left").select("fp", "n", "tokens", F.coalesce("label", "fp").alias("label"))
-        for seed, rare_first in ((1, True), (2, False)):
-            other = rest.mapInArrow(_other_order(sketch, seed, rare_first, percent), "token long, fp long, n int, place int, label long")
-            pairs = pairs.join(candidates(other, percent), ["a", "b"], "left_semi")
-        more = common.staged(verify(pairs, sets, percent), "more-links")
+        sets = token_sets(docs, classes, ends(pairs), shingle, "candidate-sets")
+        more = common.staged(verify(pairs, sets, percent, sketch, ((2, True), (3, False))), "more-links")
         first = components(links.union(more))
-    named = classes.join(first, "fp", "left").withColumn("group", F.coalesce("label", "fp"))
+    named = classes.select("doc_id", "n", "fp").join(first, "fp", "left").withColumn("group", F.coalesce("label", "fp"))
     least = named.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("least"))
     return named.join(least, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -72,6 +72,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     known = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
     misses = keyed.select("digest", "text").join(known, "digest", "left_anti").dropDuplicates(["digest"])
     misses.select("digest", "text").mapInArrow(_encode(tokenizer_path, version), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    counts = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
+    # written, so that the join reads exchanges alone and Spark can split a digest that many rows share
+    counts = common.staged(read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens").dropDuplicates(["digest"]), "token-counts")
     ids = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return ids.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens")

@@ -59,14 +59,14 @@ def near_copies(rng):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_join(spark, seed):
+@pytest.mark.parametrize("seed,hot_level", [(1, 14), (2, 2)])
+def test_jaccard_join(spark, seed, hot_level):
     rng = random.Random(seed)
     rows = near_copies(rng)
     rows += [(500, None), (501, ""), (502, "Only Four words HERE"), (503, "only four WORDS here"), (504, rows[0][1]), (505, "w " * 3000), (506, "w " * 2999)]
     rng.shuffle(rows)
     docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, fp long, n int, label int").repartition(4)
-    got = sorted(tuple(r) for r in jaccard_join.near_duplicates(docs).collect())
+    got = sorted(tuple(r) for r in jaccard_join.near_duplicates(docs, hot_level=hot_level).collect())
     assert got == sorted(plain_components(rows))
     assert len({r[2] for r in got}) < len(rows) - 10
 
