@@ -13,7 +13,7 @@ _NO_ALLELE = ("-", ".", "*")
 
 def _clean(variants) -> list[tuple[int, str, str]]:
     """(pos0, ref, alt) from right to left, with "-", "." and "*" as empty alleles."""
-    alleles = [(int(v["pos"]), *("" if x in _NO_ALLELE else x for x in (v["ref"], v["alt"]))) for v in variants or []]
+    alleles = [(int(v["pos"]), *("" if x in _NO_ALLELE else x for x in (v["ref"], v["alt"]))) for v in (() if variants is None else variants)]
     return sorted(alleles, key=lambda v: -v[0])
 
 
