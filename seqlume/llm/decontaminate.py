@@ -9,7 +9,8 @@
     blocks are projected. An item is asked for with windows of its own words, as many blocks long as lie inside it
     at any alignment, at every second shift (every fourth for two blocks or more). Windows whose cosine reaches
     `cosine` are candidates. A window that has too little of its squared weight on terms of the items can't reach
-    such a cosine to any of them and is not projected.
+    such a cosine to any of them and is not projected. A document of fewer blocks than an item's windows, but of
+    `lcs` of the item's words or more, is one window and is held against the whole item and stretches as long as itself.
  4. A candidate is a match if the longest common subsequence of the item's words and the words around the window has
     `lcs` of the item's words or more, and that of its answer (its last sentence) `answer` of the answer's words.
 
@@ -166,14 +167,21 @@ def fit_index(docs: DataFrame, rank: int = 32, fit_passages: int = 100_000, seed
     return idf.astype(np.float32), (latent * idf[:, None]).astype(np.float32)
 
 
+def _unit(a: np.ndarray) -> np.ndarray:
+    a = a.astype(np.float32)
+    return a / np.maximum(np.sqrt(np.einsum("ij,ij->i", a, a)), 1e-9)[:, None]
+
+
 class Items:
     """A block of benchmark items with their words, answers and query windows."""
 
-    def __init__(self, rows: list[tuple[int, str]], index: np.ndarray):
+    def __init__(self, rows: list[tuple[int, str]], index: np.ndarray, lcs: float):
         self.terms = np.zeros(1 << TERM_BITS, bool)
         self.ids, self.words, self.answers = [], [], []
         queries: dict[int, list[np.ndarray]] = {}
         owners: dict[int, list[int]] = {}
+        short: dict[int, list[np.ndarray]] = {}
+        short_owners: dict[int, list[int]] = {}
         for item, text in rows:
             words, _ = common.word_hashes(pa.array([text], pa.string()), common.PUNCTUATED)
             if not len(words):
@@ -188,11 +196,18 @@ class Items:
                 part = vectors[shift : shift + size * STEP] if n >= shift + size * STEP else vectors
                 queries.setdefault(size, []).append(part.sum(axis=0))
                 owners.setdefault(size, []).append(len(self.ids))
+            sums = np.concatenate([np.zeros((1, vectors.shape[1])), np.cumsum(vectors, axis=0, dtype=np.float64)])
+            for blocks in range(max(int(lcs * n / STEP), 1), size):
+                width = blocks * STEP
+                begin = np.append(np.arange(0, n - width, max(STEP // 2, width // 16)), n - width)
+                parts = np.concatenate([sums[-1:], sums[begin + width] - sums[begin]])
+                short.setdefault(blocks, []).append(parts)
+                short_owners.setdefault(blocks, []).extend([len(self.ids)] * len(parts))
             self.ids.append(item)
             self.words.append(words.tolist())
             self.answers.append(answer.tolist() if len(answer) else words.tolist())
-        unit = lambda a: a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-9)
-        self.queries = {s: (unit(np.stack(q)).astype(np.float32), np.array(owners[s])) for s, q in queries.items()}
+        self.queries = {s: (_unit(np.stack(q)), np.array(owners[s])) for s, q in queries.items()}
+        self.short = {s: (_unit(np.concatenate(q)), np.array(short_owners[s])) for s, q in short.items()}
 
 
 def lcs_length(a: list[int], b: list[int]) -> int:
@@ -227,6 +242,21 @@ def _search(index, idf, items: Items, cosine: float, lcs: float, answer: float):
             np.cumsum(np.add.reduceat(weight, starts), out=mass[0, 1:])
             np.cumsum(np.add.reduceat(np.where(items.terms[_terms(words)], weight, 0), starts), out=mass[1, 1:])
             best: dict[tuple[int, int], tuple] = {}
+
+            def compare(o: int, r: int, lo: int, hi: int, at: int, cos: float) -> None:
+                item = items.words[o]
+                span = words[lo:hi].tolist()
+                held = sets[o]
+                if sum(1 for x in span if x in held) < lcs * len(item):
+                    return
+                ratio = lcs_length(item, span) / len(item)
+                if ratio < lcs or best.get((r, o), (0,))[0] >= ratio:
+                    return
+                end = items.answers[o]
+                told = lcs_length(end, span) / len(end)
+                if told >= answer:
+                    best[r, o] = (ratio, told, cos, at)
+
             for size, (queries, owners) in items.queries.items():
                 m = len(starts) - size + 1
                 if m < 1:
@@ -235,24 +265,28 @@ def _search(index, idf, items: Items, cosine: float, lcs: float, answer: float):
                 near = np.flatnonzero((own >= 0.8 * cosine**2 * total) & (row[size - 1 :] == row[: len(row) - size + 1]))
                 for k in range(0, len(near), 20_000):
                     here = near[k : k + 20_000]
-                    v = (sums[here + size] - sums[here]).astype(np.float32)
-                    v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-9)[:, None]
+                    v = _unit(sums[here + size] - sums[here])
                     at, q = np.nonzero(v @ queries.T >= cosine)
                     for p, i, j in zip(at.tolist(), here[at].tolist(), q.tolist()):
                         o, r = int(owners[j]), int(row[i])
-                        item = items.words[o]
-                        lo, hi = max(begins[r], starts[i] - len(item)), min(begins[r] + counts[r], starts[i] + size * STEP + len(item))
-                        span = words[lo:hi].tolist()
-                        held = sets[o]
-                        if sum(1 for x in span if x in held) < lcs * len(item):
-                            continue
-                        ratio = lcs_length(item, span) / len(item)
-                        if ratio < lcs or best.get((r, o), (0,))[0] >= ratio:
-                            continue
-                        end = items.answers[o]
-                        told = lcs_length(end, span) / len(end)
-                        if told >= answer:
-                            best[r, o] = (ratio, told, float(v[p] @ queries[j]), int(starts[i] - begins[r]))
+                        n = len(items.words[o])
+                        lo, hi = max(begins[r], starts[i] - n), min(begins[r] + counts[r], starts[i] + size * STEP + n)
+                        compare(o, r, lo, hi, int(starts[i] - begins[r]), float(v[p] @ queries[j]))
+            n_blocks = -(-counts // STEP)
+            first = np.cumsum(n_blocks) - n_blocks
+            for size, (queries, owners) in items.short.items():
+                whole = np.flatnonzero(n_blocks == size)
+                most = max(10_000_000 // len(queries), 1)
+                for k in range(0, len(whole), most):
+                    here = whole[k : k + most]
+                    v = _unit(sums[first[here] + size] - sums[first[here]])
+                    cos = v @ queries.T
+                    at, q = np.nonzero(cos >= cosine)
+                    near_items: dict[tuple[int, int], float] = {}
+                    for r, o, c in zip(here[at].tolist(), owners[q].tolist(), cos[at, q].tolist()):
+                        near_items[r, o] = max(near_items.get((r, o), c), c)
+                    for (r, o), c in near_items.items():
+                        compare(o, r, begins[r], begins[r] + counts[r], 0, c)
             if best:
                 docs = batch.column("doc_id")
                 rows = [(docs[r].as_py(), items.ids[o], c, ratio, told, s) for (r, o), (ratio, told, c, s) in best.items()]
@@ -274,7 +308,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.7, lcs:
     rows = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").toLocalIterator()
 
     def search() -> DataFrame:
-        return docs.mapInArrow(_search(table, idf, Items(block, index), cosine, lcs, answer), MATCHES)
+        return docs.mapInArrow(_search(table, idf, Items(block, index, lcs), cosine, lcs, answer), MATCHES)
 
     for r in rows:
         block.append((r[0], r[1]))

@@ -208,6 +208,26 @@ def test_leaks_and_recall(spark):
     assert blocks - {(903, 0)} == found
 
 
+def test_leaks_of_short_documents(spark):
+    """Trimmed and condensed copies that are documents of their own and shorter than the item's windows."""
+    rng = random.Random(12)
+    items = [(i, prose(rng, n - 8) + ". " + prose(rng, 8) + ".") for i, n in enumerate((60, 120, 120, 400, 400))]
+    rows, planted = [(d, prose(rng, rng.randint(20, 400))) for d in range(200)], set()
+    for i, text in items:
+        words = text.split()
+        for share in (0.65, 0.75, 0.87, 0.95):
+            drop = len(words) - int(share * len(words))
+            copies = [words[drop:]]  # the end, with the answer
+            gone = set(rng.sample(range(len(words) - 8), drop))
+            copies.append([w for k, w in enumerate(words) if k not in gone])
+            for copy in copies:
+                planted.add((len(rows), i))
+                rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()} == planted
+
+
 def test_leaks_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "some words that nobody wrote")], "item_id long, text string")
