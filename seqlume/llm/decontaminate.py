@@ -7,9 +7,7 @@
     fitted on at most `fit_passages` passages (documents by hash of id); only the basis comes from that sample.
  3. Every window of every document is searched: a document is cut into blocks of STEP words, and sums of neighbouring
     blocks are projected. An item is asked for with windows of its own words, as many blocks long as lie inside it
-    at any alignment, at every second shift (every fourth for two blocks or more). Windows whose cosine reaches
-    `cosine` are candidates. A window that has too little of its squared weight on terms of the items can't reach
-    such a cosine to any of them and is not projected. A document of fewer blocks than an item's windows, but of
+    at any alignment, at every second shift. Windows whose cosine reaches `cosine` are candidates. A document of fewer blocks than an item's windows, but of
     `lcs` of the item's words or more, is one window and is held against the whole item and stretches as long as itself.
  4. A candidate is a match if the longest common subsequence of the item's words and the words around the window has
     `lcs` of the item's words or more, and that of its answer (its last sentence) `answer` of the answer's words.
@@ -140,8 +138,8 @@ def _small(idf, basis):
     return run
 
 
-def fit_index(docs: DataFrame, rank: int = 32, fit_passages: int = 100_000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Idf of each term, and idf times the term's place in the latent space (2**TERM_BITS x rank, float32).
+def fit_index(docs: DataFrame, rank: int = 32, fit_passages: int = 100_000, seed: int = 5) -> np.ndarray:
+    """A row for each term: idf times the term's place in the latent space (2**TERM_BITS x rank, float32).
 
     docs: (doc_id, text). Idf covers all passages; the basis is fitted on at most about fit_passages of them.
     """
@@ -164,7 +162,7 @@ def fit_index(docs: DataFrame, rank: int = 32, fit_passages: int = 100_000, seed
     values = np.maximum(np.einsum("ij,jk,ki->i", turn.T, gram, turn), 1e-9)
     latent = (q @ turn) / np.sqrt(values)[None, :] * np.sqrt(values.max())
     common.release(spark)
-    return idf.astype(np.float32), (latent * idf[:, None]).astype(np.float32)
+    return (latent * idf[:, None]).astype(np.float32)
 
 
 def _unit(a: np.ndarray) -> np.ndarray:
@@ -176,7 +174,6 @@ class Items:
     """A block of benchmark items with their words, answers and query windows."""
 
     def __init__(self, rows: list[tuple[int, str]], index: np.ndarray, lcs: float):
-        self.terms = np.zeros(1 << TERM_BITS, bool)
         self.ids, self.words, self.answers = [], [], []
         queries: dict[int, list[np.ndarray]] = {}
         owners: dict[int, list[int]] = {}
@@ -191,8 +188,7 @@ class Items:
             n = len(words)
             size = max((n - STEP + 1) // STEP, 1)
             vectors = index[_terms(words)]
-            self.terms[_terms(words)] = True
-            for shift in range(0, STEP, 2 if size == 1 else 4):
+            for shift in range(0, STEP, 2):
                 part = vectors[shift : shift + size * STEP] if n >= shift + size * STEP else vectors
                 queries.setdefault(size, []).append(part.sum(axis=0))
                 owners.setdefault(size, []).append(len(self.ids))
@@ -225,7 +221,7 @@ def lcs_length(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
-def _search(index, idf, items: Items, cosine: float, lcs: float, answer: float):
+def _search(index, items: Items, cosine: float, lcs: float, answer: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = index.value
         sets = [set(w) for w in items.words]
@@ -237,10 +233,6 @@ def _search(index, idf, items: Items, cosine: float, lcs: float, answer: float):
             begins = np.cumsum(counts) - counts
             sums = np.zeros((len(starts) + 1, table.shape[1]))
             np.cumsum(np.add.reduceat(table[_terms(words)], starts, axis=0), axis=0, dtype=np.float64, out=sums[1:])
-            mass = np.zeros((2, len(starts) + 1))
-            weight = idf.value[_terms(words)] ** 2
-            np.cumsum(np.add.reduceat(weight, starts), out=mass[0, 1:])
-            np.cumsum(np.add.reduceat(np.where(items.terms[_terms(words)], weight, 0), starts), out=mass[1, 1:])
             best: dict[tuple[int, int], tuple] = {}
 
             def compare(o: int, r: int, lo: int, hi: int, at: int, cos: float) -> None:
@@ -261,10 +253,9 @@ def _search(index, idf, items: Items, cosine: float, lcs: float, answer: float):
                 m = len(starts) - size + 1
                 if m < 1:
                     continue
-                total, own = mass[:, size:] - mass[:, :-size]
-                near = np.flatnonzero((own >= 0.8 * cosine**2 * total) & (row[size - 1 :] == row[: len(row) - size + 1]))
-                for k in range(0, len(near), 20_000):
-                    here = near[k : k + 20_000]
+                inside = np.flatnonzero(row[size - 1 :] == row[: len(row) - size + 1])
+                for k in range(0, len(inside), 20_000):
+                    here = inside[k : k + 20_000]
                     v = _unit(sums[here + size] - sums[here])
                     at, q = np.nonzero(v @ queries.T >= cosine)
                     for p, i, j in zip(at.tolist(), here[at].tolist(), q.tolist()):
@@ -296,19 +287,19 @@ def _search(index, idf, items: Items, cosine: float, lcs: float, answer: float):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.7, lcs: float = 0.6, answer: float = 0.5, block_items: int = 5000, index: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.7, lcs: float = 0.6, answer: float = 0.5, block_items: int = 5000, index: np.ndarray | None = None) -> DataFrame:
     """One row for each (document, item) that matches; docs: (doc_id, text), benchmark: (item_id, text)."""
     spark = docs.sparkSession
     common.ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    weights, index = fit_index(docs) if index is None else index
-    table, idf = spark.sparkContext.broadcast(index), spark.sparkContext.broadcast(weights)
+    index = fit_index(docs) if index is None else index
+    table = spark.sparkContext.broadcast(index)
     found = None
     block: list[tuple[int, str]] = []
     rows = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").toLocalIterator()
 
     def search() -> DataFrame:
-        return docs.mapInArrow(_search(table, idf, Items(block, index, lcs), cosine, lcs, answer), MATCHES)
+        return docs.mapInArrow(_search(table, Items(block, index, lcs), cosine, lcs, answer), MATCHES)
 
     for r in rows:
         block.append((r[0], r[1]))

@@ -208,6 +208,38 @@ def test_leaks_and_recall(spark):
     assert blocks - {(903, 0)} == found
 
 
+@pytest.mark.parametrize("least,most", [(15, 22), (24, 60)])
+def test_leaks_with_rare_words(spark, least, most):
+    """Items with every third word replaced by a rare one, against the LCS of all windows of all documents."""
+    rng = random.Random(21)
+    common = lambda n: " ".join(rng.choice(VOCABULARY[:120]) for _ in range(n))
+    items = [(i, f"{common(rng.randint(least, most) - 6)}. {common(6)}.") for i in range(20)]
+    rows = []
+    for d in range(400):
+        words = common(rng.randint(60, 300)).split()
+        if d % 4 == 0:
+            item = items[d // 4 % 20][1].replace(".", "").split()
+            for k in rng.sample(range(len(item)), len(item) // 3):
+                item[k] = "rare" + "".join(rng.choice("abcdefghij") for _ in range(6))
+            at = rng.randint(0, len(words))
+            words[at:at] = item
+        rows.append((d, " ".join(words)))
+    truth = set()
+    for d, text in rows[::4]:
+        words = text.split()
+        for i, item in items:
+            w = item.replace(".", "").split()
+            spans = (words[k : k + len(w)] for k in range(len(words) - len(w) + 1))
+            if any(decontaminate.lcs_length(w, x) >= 0.6 * len(w) and decontaminate.lcs_length(w[-6:], x) >= 3 for x in spans):
+                truth.add((d, i))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    find = lambda **how: {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench, **how).collect()}
+    assert len(truth) > 80
+    assert len(find() & truth) >= 0.7 * len(truth)  # the rest has a cosine under 0.7
+    assert find(cosine=0.3) >= truth
+
+
 def test_leaks_of_short_documents(spark):
     """Trimmed and condensed copies that are documents of their own and shorter than the item's windows."""
     rng = random.Random(12)
