@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney n-gram scores (bigrams over unigrams over a uniform base).
+"""Interpolated modified Kneser-Ney n-gram scores (trigrams or bigrams over unigrams over a uniform base).
 
 Words are runs of anything but \\x20 and \\x09-\\x0D, A-Z in lower case, as 64-bit hashes; every text ends in one end
 token and begins after a start symbol. Counting deals distinct words out by hash, and distinct bigrams by their first
@@ -8,6 +8,12 @@ writes what it has merged as sorted arrays (.npy) into a folder that all machine
 another name and then renamed, so a repeated task leaves the same file. Scoring reads texts once more and looks words
 and bigrams up in the memory-mapped arrays by vectorised binary search, without a shuffle.
 
+Of order 3, the middle word deals trigrams out (its pair with the first word if it is frequent), so that the followers
+of a pair meet in one task, which hands on how many first words each pair of the last two has. Bigrams are made of
+these continuation counts then, as unigrams always are, and of order 2 of their own counts. Trigrams are counted in
+PASSES ranges of partitions, one after another, so that a part of them only lies in shuffle files at a time; keys that
+stand for one occurrence are kept without a count.
+
 Two different words share a hash with a chance of about 3e-6 in 1e7 distinct words.
 
 Edge cases: a null text is an empty one and has its end token only; without training rows every token has the
@@ -31,6 +37,7 @@ from pyspark.sql import functions as F
 from . import common
 
 START, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
+PASSES = 3
 HELD = 3_000_000  # distinct entries that a task holds before it hands them on
 
 
@@ -79,6 +86,11 @@ def bigram_part(v: np.ndarray, w: np.ndarray, parts: int, hot: np.ndarray) -> np
     return part
 
 
+def trigram_part(pair: np.ndarray, v: np.ndarray, parts: int, hot: np.ndarray) -> np.ndarray:
+    """By the middle word; by the whole context (the key of the first two words) where that word is frequent."""
+    return bigram_part(v, pair, parts, hot)
+
+
 def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in ascending order with the sums of their counts."""
     if not len(keys):
@@ -210,6 +222,93 @@ def _count_bigrams(parts: int, hot: np.ndarray):
     return run
 
 
+def _count_trigrams(parts: int, hot: np.ndarray, turn: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush():
+            pair, v, w, c = (np.concatenate(x) for x in zip(*held))
+            order, first = _groups(bigram_key(pair, w))
+            c = np.add.reduceat(c[order], first)
+            pair, v, w = (x[order[first]] for x in (pair, v, w))
+            order = np.lexsort((pair, v))  # equal contexts side by side take little space
+            pair, v, w, c = (x[order] for x in (pair, v, w, c.astype(np.uint32)))
+            return _blobs(trigram_part(pair, v, parts, hot), parts, pair, v, w, c)
+
+        for batch in (part for whole in batches for part in common.sliced(whole)):
+            toks, counts = tokens(_training(batch))
+            if not len(toks):
+                continue
+            before = contexts(toks, counts)
+            pair = bigram_key(contexts(before, counts), before)
+            mine = trigram_part(pair, before, parts, hot) * PASSES // parts == turn
+            pair, before, toks = pair[mine], before[mine], toks[mine]
+            _, at, c = np.unique(bigram_key(pair, toks), return_index=True, return_counts=True)
+            held.append((pair[at], before[at], toks[at], c))
+            n += len(at)
+            if n > HELD:
+                yield flush()
+                held, n = [], 0
+        if n:
+            yield flush()
+
+    return run
+
+
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts key, and where in it each distinct key begins."""
+    order = np.argsort(key)
+    sorted_key = key[order]
+    return order, np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]))
+
+
+def _merge_trigrams(folder: str, parts: int, hot: np.ndarray):
+    """Writes trigram-<part> and pair-<part> as _merge_bigrams does, without counts of 1 (trigram1, pair1). Rows: continuation counts of bigrams, statistics."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stats = []
+        for part, columns in _read(batches, "<u8", "<u8", "<u8", "<u4").items():
+            pair, v, w, c = (np.concatenate(x) for x in columns)
+            columns.clear()
+            key = bigram_key(pair, w)
+            order, first = _groups(key)
+            c = np.add.reduceat(c[order].astype(np.int64), first)
+            key, pair, v, w = (x[order[first]] for x in (key, pair, v, w))
+            _save(folder, f"trigram1-key-{part}", key[c == 1])
+            _save(folder, f"trigram-key-{part}", key[c > 1])
+            _save(folder, f"trigram-count-{part}", c[c > 1].astype(np.uint32))
+            stats.append((part, "counts", 0, *((c == n).sum() for n in (1, 2, 3, 4))))
+            ctx, back = np.unique(pair, return_inverse=True)
+            table = np.stack([np.bincount(back, weights=x, minlength=len(ctx)) for x in (c, c == 1, c == 2, c >= 3)], 1)
+            once = table[:, 0] == 1
+            _save(folder, f"pair1-key-{part}", ctx[once])
+            _save(folder, f"pair-key-{part}", ctx[~once])
+            _save(folder, f"pair-stats-{part}", table[~once].astype(np.uint32 if table.max() < 2**32 else np.int64))
+            order, first = _groups(bigram_key(v, w))
+            n = np.diff(np.append(first, len(order))).astype(np.uint32)
+            v, w = v[order[first]], w[order[first]]
+            order = np.argsort(v, kind="stable")
+            yield _with_stats(_blobs(bigram_part(v[order], w[order], parts, hot), parts, v[order], w[order], n[order]))
+        if stats:
+            yield _only_stats(stats)
+
+    return run
+
+
+MIXED = "part int, blob binary, name string, key long, a long, b long, c long, d long"
+_NAMES = [x.split()[0] for x in MIXED.split(", ")]
+
+
+def _with_stats(blobs: pa.RecordBatch) -> pa.RecordBatch:
+    m = blobs.num_rows
+    return pa.RecordBatch.from_arrays([blobs.column(0), blobs.column(1), pa.nulls(m, pa.string()), *[pa.nulls(m, pa.int64())] * 5], _NAMES)
+
+
+def _only_stats(rows: list[tuple]) -> pa.RecordBatch:
+    s = _stats(rows)
+    return pa.RecordBatch.from_arrays([s.column("part"), pa.nulls(s.num_rows, pa.binary()), *(s.column(x) for x in _NAMES[2:])], _NAMES)
+
+
 def _merge_bigrams(folder: str, parts: int, hot: np.ndarray):
     """Writes bigram-<part> (keys, counts) and context-<part> (hashes; followers, and how many of them once, twice, more).
 
@@ -217,7 +316,6 @@ def _merge_bigrams(folder: str, parts: int, hot: np.ndarray):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["part", "blob", "name", "key", "a", "b", "c", "d"]
         stats = []
         for part, (v, w, c) in _read(batches, "<u8", "<u8", "<u4").items():
             v, w, c = np.concatenate(v), np.concatenate(w), np.concatenate(c).astype(np.int64)
@@ -236,13 +334,9 @@ def _merge_bigrams(folder: str, parts: int, hot: np.ndarray):
             _save(folder, f"context-stats-{part}", table[~known])
             stats += [(part, "hot", int(k), *t) for k, t in zip(ctx[known].view(np.int64).tolist(), table[known].tolist())]
             words, n = np.unique(w, return_counts=True)
-            b = _blobs(word_part(words, parts), parts, words, n.astype(np.uint32))
-            m = b.num_rows
-            none = pa.nulls(m, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.nulls(m, pa.string()), none, none, none, none, none], names)
+            yield _with_stats(_blobs(word_part(words, parts), parts, words, n.astype(np.uint32)))
         if stats:
-            s = _stats(stats)
-            yield pa.RecordBatch.from_arrays([s.column("part"), pa.nulls(s.num_rows, pa.binary()), *(s.column(x) for x in names[2:])], names)
+            yield _only_stats(stats)
 
     return run
 
@@ -282,6 +376,8 @@ class Model:
     word_discounts: tuple[float, float, float]
     follow_total: int
     follow_types: tuple[int, int, int]
+    order: int = 2
+    trigram_discounts: tuple[float, float, float] = (0.5, 0.5, 0.5)
     arrays: dict = field(default_factory=dict, repr=False, compare=False)
 
     def __getstate__(self):
@@ -308,6 +404,16 @@ class Model:
             out[mine[hit]] = table[at[hit]]
         return np.zeros(len(keys), np.int64) if out is None else out
 
+    def once(self, kind: str, keys: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """Which keys are among those that stand for one occurrence."""
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(self.parts + 1))
+        out = np.zeros(len(keys), bool)
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            mine = order[cuts[k] : cuts[k + 1]]
+            out[mine] = find(self.array(f"{kind}1-key", k), keys[mine]) >= 0
+        return out
+
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each row: tokens, known tokens, base score, score."""
         toks, counts = tokens(column)
@@ -338,13 +444,33 @@ class Model:
         c = self.look_up("bigram", "count", keys, bigram_part(before[first], toks[first], self.parts, self.hot_keys))
         d = np.array([0, *self.bigram_discounts])
         seen = (c - d[np.minimum(c, 3)])[back] / total[ctx_at]
-        p2 = seen + gamma[ctx_at] * p1[at]
+        p = seen + gamma[ctx_at] * p1[at]
+        if self.order == 3:
+            p = self.trigram(contexts(before, counts), before, toks, p)
         add = lambda x: np.bincount(row, weights=x, minlength=len(counts))
-        return counts, add(count[at] > 0).astype(np.int64), add(base[at]), add(np.log10(p2))
+        return counts, add(count[at] > 0).astype(np.int64), add(base[at]), add(np.log10(p))
+
+    def trigram(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Probability of each w after u and v, from that after v."""
+        pair = bigram_key(u, v)
+        part = trigram_part(pair, v, self.parts, self.hot_keys)
+        ctx, first, ctx_at = np.unique(pair, return_index=True, return_inverse=True)
+        stats = self.look_up("pair", "stats", ctx, part[first])
+        if stats.ndim == 1:
+            stats = np.zeros((len(ctx), 4), np.int64)
+        stats[self.once("pair", ctx, part[first])] = (1, 1, 0, 0)
+        total = np.maximum(stats[:, 0], 1)
+        gamma = np.where(stats[:, 0] > 0, stats[:, 1:] @ np.array(self.trigram_discounts) / total, 1.0)
+        keys, first, back = np.unique(bigram_key(pair, w), return_index=True, return_inverse=True)
+        c = self.look_up("trigram", "count", keys, part[first]) + self.once("trigram", keys, part[first])
+        d = np.array([0, *self.trigram_discounts])
+        return (c - d[np.minimum(c, 3)])[back] / total[ctx_at] + gamma[ctx_at] * lower
 
 
-def fit(docs: DataFrame) -> Model:
-    """docs: (text, train). Counts over all rows whose train is true."""
+def fit(docs: DataFrame, order: int = 2) -> Model:
+    """docs: (text, train). Counts over all rows whose train is true. order: 2 or 3."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order} is neither 2 nor 3")
     spark = docs.sparkSession
     common.ship(spark)
     folder = mounted(common.new_folder(spark, "ngram-lm"))
@@ -357,8 +483,20 @@ def fit(docs: DataFrame) -> Model:
     distinct = sum(r["b"] for r in words if r["name"] == "words")
     hot = np.sort(np.array([r["key"] for r in words if r["name"] == "top" and r["a"] * 4 * parts > total], np.int64).view(np.uint64))
     hot = np.sort(np.append(hot, START))  # every row begins with it
-    pairs = deal(docs.mapInArrow(_count_bigrams(parts, hot), "part int, blob binary")).mapInArrow(_merge_bigrams(folder, parts, hot), "part int, blob binary, name string, key long, a long, b long, c long, d long")
-    pairs = common.staged(pairs, "ngram-pairs")
+    tri = (0, 0, 0, 0)
+    if order == 3:
+        triples = None
+        for turn in range(PASSES):
+            counted = deal(docs.mapInArrow(_count_trigrams(parts, hot, turn), "part int, blob binary"))
+            done = common.staged(counted.mapInArrow(_merge_trigrams(folder, parts, hot), MIXED), "ngram-triples")
+            triples = done if triples is None else triples.unionByName(done)
+            del counted
+            common.release(spark)
+        tri = tuple(triples.where("blob is null").agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in "abcd")).first())
+        bigrams = triples.where("blob is not null").select("part", "blob")
+    else:
+        bigrams = docs.mapInArrow(_count_bigrams(parts, hot), "part int, blob binary")
+    pairs = common.staged(deal(bigrams).mapInArrow(_merge_bigrams(folder, parts, hot), MIXED), "ngram-pairs")
     sums = pairs.where("blob is null").groupBy("name", "key").agg(*(F.sum(x).alias(x) for x in "abcd")).collect()
     follow = deal(pairs.where("blob is not null").select("part", "blob")).mapInArrow(_merge_continuations(folder), STATS).groupBy("name").agg(*(F.sum(x).alias(x) for x in "abcd")).collect()
     bi = next((tuple(r[x] for x in "abcd") for r in sums if r["name"] == "counts"), (0, 0, 0, 0))
@@ -368,7 +506,7 @@ def fit(docs: DataFrame) -> Model:
     stats = np.zeros((len(hot), 4), np.int64)
     for k, values in rows:
         stats[np.searchsorted(hot, k)] = values
-    return Model(folder, parts, total, distinct, hot, stats, discounts(*bi), discounts(*uni), whole[0], (uni[0], uni[1], whole[2]))
+    return Model(folder, parts, total, distinct, hot, stats, discounts(*bi), discounts(*uni), whole[0], (uni[0], uni[1], whole[2]), order, discounts(*tri))
 
 
 def _score(model: Model):

@@ -48,7 +48,7 @@ def op6_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     held = common.crc_mod("doc_id", 7) == 2
-    model = ngram_lm.fit(docs.withColumn("train", ~held))
+    model = ngram_lm.fit(docs.withColumn("train", ~held), order=3)
     scores = ngram_lm.score(docs, model)
     return scores.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

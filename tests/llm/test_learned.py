@@ -121,6 +121,52 @@ def test_language_model(spark):
         assert g["base_score"] == pytest.approx(w[3], rel=1e-9) and g["score"] == pytest.approx(w[4], rel=1e-9)
 
 
+def plain_trigrams(train, rows):
+    """Scores of the trigram model."""
+    toks = {i: (t or "").encode().lower().split() + [b"</s> end"] for i, t in rows}
+    grams = {i: list(zip([None, None, *t][: len(t)], [None, *t][: len(t)], t)) for i, t in toks.items()}
+    counts = [collections.Counter(), collections.Counter(), collections.Counter(g for i in train for g in grams[i])]
+    for k in (1, 0):
+        counts[k].update(g[1:] for g in counts[k + 1])
+    words = len({w for i in train for w in toks[i]})
+    cut = []
+    for c in counts:
+        k = collections.Counter(c.values())
+        cut.append([0, *ngram_lm.discounts(k[1], k[2], k[3], k[4])])
+    sums = [collections.defaultdict(lambda: [0, 0.0]) for _ in counts]
+    for k, c in enumerate(counts):
+        for g, n in c.items():
+            sums[k][g[:-1]][0] += n
+            sums[k][g[:-1]][1] += cut[k][min(n, 3)]
+
+    def p(g):
+        low = p(g[1:]) if len(g) > 1 else 1 / (words + 1)
+        k = len(g) - 1
+        if g[:-1] not in sums[k]:
+            return low
+        n, off = sums[k][g[:-1]]
+        return (counts[k][g] - cut[k][min(counts[k][g], 3)] + off * low) / n
+
+    return {i: sum(math.log10(p(g)) for g in grams[i]) for i in toks}
+
+
+def test_trigram_model(spark):
+    rng = random.Random(6)
+    few = VOCABULARY[:12]
+    rows = [(i, " ".join(rng.choice(few) for _ in range(rng.randint(0, 60))) + " the of and" * rng.randint(0, 20)) for i in range(80)]
+    rows += [(80, None), (81, ""), (82, "unseenwordsonly"), (83, "the " * 4000), (84, "of the and of the and"), (85, " ".join(few[:6]))]
+    train = [i for i, _ in rows if i % 3]
+    docs = spark.createDataFrame([(i, t, i % 3 != 0) for i, t in rows], "doc_id long, text string, train boolean").repartition(3)
+    want = plain_trigrams(train, rows)
+    got = {r["doc_id"]: r["score"] for r in ngram_lm.score(docs, ngram_lm.fit(docs, order=3)).collect()}
+    assert got == {i: pytest.approx(w, rel=1e-9) for i, w in want.items()}
+    none = docs.where("false")
+    model = ngram_lm.fit(none, order=3)
+    assert {r["score"] for r in ngram_lm.score(docs, model).collect()} == {0.0}
+    with pytest.raises(ValueError):
+        ngram_lm.fit(docs, order=4)
+
+
 def test_language_model_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b", None), (2, None, False)], "doc_id long, text string, train boolean")
     model = ngram_lm.fit(docs)
