@@ -91,11 +91,18 @@ def apply_single_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def apply_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length-changing variants on a window with a fixed position; tests hold it against a plain version."""
+    """Length-changing variants on windows with a fixed position; tests hold it against a plain version.
+
+    Windows of 60 letters every 30 letters, and one at the end, go over the whole sequence; each gives its letters 20 to 50.
+    """
     s = _bases(spark, sf_dir).where("length(s) >= 60")
-    change = F.array(F.struct(F.lit(25).cast("long").alias("pos"), F.expr("substr(s, 26, 3)").alias("ref"), F.expr("substr(s, 26, 1)").alias("alt")), F.struct(F.lit(40).cast("long").alias("pos"), F.expr("substr(s, 41, 1)").alias("ref"), F.concat(F.expr("substr(s, 41, 1)"), F.lit("AC")).alias("alt")))
-    rows = s.select("doc_id", F.substring("s", 1, 60).alias("seq"), F.lit(0).cast("long").alias("seq_start"), F.lit(20).cast("long").alias("start"), F.lit(50).cast("long").alias("end"), F.lit(30).cast("long").alias("anchor"), F.lit("+").alias("strand"), change.alias("variants"))
-    return anchored(rows).select("doc_id", "mutated")
+    last = F.length("s") - 60
+    at = F.array_union(F.sequence(F.lit(0), last, F.lit(30)), F.array(last))
+    s = s.select("doc_id", "s", F.explode(at).alias("at")).select("doc_id", F.col("at").cast("long").alias("at"), F.expr("substr(s, at + 1, 60)").alias("s"))
+    first = F.col("at")
+    change = F.array(F.struct((first + 25).alias("pos"), F.expr("substr(s, 26, 3)").alias("ref"), F.expr("substr(s, 26, 1)").alias("alt")), F.struct((first + 40).alias("pos"), F.expr("substr(s, 41, 1)").alias("ref"), F.concat(F.expr("substr(s, 41, 1)"), F.lit("AC")).alias("alt")))
+    rows = s.select("doc_id", F.col("s").alias("seq"), first.alias("seq_start"), (first + 20).alias("start"), (first + 50).alias("end"), (first + 30).alias("anchor"), F.lit("+").alias("strand"), change.alias("variants"))
+    return anchored(rows).select("doc_id", F.col("seq_start").alias("at"), "mutated")
 
 
 @query(

@@ -290,3 +290,21 @@ def test_registered_query(spark, oracle, name):
     plain = lambda r: tuple(round(x, 6) + 0.0 if isinstance(x, float) else x for x in r)
     key = lambda r: tuple((x is None, str(x)) for x in r)
     assert sorted(map(plain, rows), key=key) == sorted(map(plain, want), key=key)
+
+
+def test_anchored_windows_of_whole_texts(spark, tmp_path):
+    import random
+
+    from seqlume.operators.anchored import mutate
+    from seqlume.plans import sequences
+
+    rng = random.Random(3)
+    texts = {i: "".join(rng.choice("ACGT") for _ in range(n)) for i, n in enumerate((59, 60, 61, 90, 437))}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = set()
+    for i, s in texts.items():
+        for at in {*range(0, len(s) - 59, 30), *([len(s) - 60] if len(s) >= 60 else [])}:
+            changes = [{"pos": at + 25, "ref": s[at + 25 : at + 28], "alt": s[at + 25]}, {"pos": at + 40, "ref": s[at + 40], "alt": s[at + 40] + "AC"}]
+            want.add((i, at, mutate(s[at : at + 60], at, at + 20, at + 50, at + 30, "+", changes)))
+    got = [(r["doc_id"], r["at"], r["mutated"]) for r in sequences.apply_anchored(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
