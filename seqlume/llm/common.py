@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import os
 import re
 import tempfile
 import uuid
+import weakref
 import zipfile
 from collections.abc import Iterator
 
@@ -17,12 +19,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+_STAGED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Local mode, as in tests, gets an own one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset; it has to name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="seqlume-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -56,7 +61,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    _STAGED[read] = path
+    return read
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in tables:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_STAGED.pop(df))
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -73,6 +87,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """rows in as many partitions, each row in that of its number `part`."""
+    return rows.repartitionById(parts, F.col("part"))
+
+
 def crc_mod(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -81,8 +100,6 @@ def crc_mod(doc_id: str | Column, n: int) -> Column:
 
 # --- words as bytes ---------------------------------------------------------------------------------------
 
-_RNG = np.random.default_rng(20240607)
-_LETTER = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -132,6 +149,40 @@ PUNCTUATED = ~_ASCII_LETTER
 PUNCTUATED[48:58] = PUNCTUATED[128:] = False
 
 
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LONG = 512
+
+
+def _lanes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the end."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+
+
+def piece_hashes(raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the pieces raw[first : first + size].
+
+    Eight bytes at a time go into a state through a mixing step that is one to one, so pieces of one size that differ
+    in one lane only never share a hash, and no arithmetic pattern of the bytes carries over to the hash; any two
+    other pieces share one with a chance of 2**-64. Pieces beyond _LONG bytes are hashed by BLAKE2b.
+    """
+    lanes = _lanes(raw)
+    h = mix64(size.astype(np.uint64) * _STEP + np.uint64(1))
+    todo, at, left = np.arange(len(size)), first, size
+    if len(size) and size.max() > _LONG:
+        for i in np.flatnonzero(size > _LONG).tolist():
+            digest = hashlib.blake2b(raw[first[i] : first[i] + size[i]].tobytes(), digest_size=8).digest()
+            h[i] = np.frombuffer(digest, "<u8")[0]
+        todo = np.flatnonzero(size <= _LONG)
+        at, left = first[todo], size[todo]
+    while len(todo):
+        part = lanes[at] & _MASK[np.minimum(left, 8)]
+        h[todo] = mix64((h[todo] ^ part) * _STEP)
+        more = np.flatnonzero(left > 8)
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    return h
+
+
 def word_hashes(column: pa.Array | pa.ChunkedArray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words [^\\x20\\x09-\\x0D]+, A-Z in lower case, of all rows, and each row's word count.
 
@@ -147,12 +198,7 @@ def word_hashes(column: pa.Array | pa.ChunkedArray, separators: np.ndarray = _SP
     if not len(first):
         return none
     size = np.flatnonzero(space & ~before) - first
-    letters = _LETTER[_LOWER[raw[~space]]]
-    starts = np.zeros(len(size), np.int64)
-    np.cumsum(size[:-1], out=starts[1:])
-    power = np.cumprod(np.full(int(size.max()), _STEP, np.uint64))
-    letters *= power[np.arange(len(letters)) - np.repeat(starts, size)]
-    hashes = mix64(np.add.reduceat(letters, starts))
+    hashes = piece_hashes(_LOWER[raw], first, size)
     upto = np.searchsorted(first, ends)
     return hashes, np.diff(upto, prepend=0)
 
@@ -214,11 +260,13 @@ class Encoder:
     A text is cut where the vocabulary's pre-tokenizer always cuts: where a run of white space begins, between a
     Latin word and a stop or comma at its end, and after a lone line feed. Each distinct piece is encoded by the
     library, and the ids are put together. Texts that hold an added token's string or rare white space go to the
-    library whole. The memo is a table of `slots` places probed by the piece's 64-bit hash, so its memory is bounded;
-    two pieces share a hash with a chance of about 1e-7 in a million distinct pieces.
+    library whole. The memo is a table of `slots` places probed by the piece's 64-bit hash, so its memory is bounded.
+    It keeps each piece's bytes, and every piece of a text is compared with them; a text with a piece that shares its
+    hash with another one goes to the library whole.
     """
 
     WAYS = 3
+    BYTES = 1 << 26  # bytes of pieces that the memo keeps before it begins anew
 
     def __init__(self, path: str, slots: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -239,6 +287,26 @@ class Encoder:
         self.at = np.full(self.slots, -1, np.int32)
         self.offset, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.n, self.used = np.zeros(8192, np.uint32), 0, 0
+        self.begin, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.bytes, self.kept = np.zeros(65536, np.uint8), 0
+
+    def _same(self, raw: np.ndarray, first: np.ndarray, size: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Whether each piece of raw is the very piece that was found for it."""
+        same = self.size[found] == size
+        todo = np.flatnonzero(same)
+        text, memo = _lanes(raw), np.ndarray(len(self.bytes) - 7, "<u8", self.bytes, strides=(1,))
+        at, other, left = first[todo], self.begin[found[todo]], size[todo]
+        while len(todo):
+            if left.max() > _LONG:
+                for i in np.flatnonzero(left > _LONG).tolist():
+                    same[todo[i]] = np.array_equal(raw[at[i] : at[i] + left[i]], self.bytes[other[i] : other[i] + left[i]])
+                short = np.flatnonzero(left <= _LONG)
+            else:
+                same[todo[(text[at] ^ memo[other]) & _MASK[np.minimum(left, 8)] != 0]] = False
+                short = np.flatnonzero(left > 8)
+                at, other, left = at + 8, other + 8, left - 8
+            todo, at, other, left = todo[short], at[short], other[short], left[short]
+        return same
 
     def _places(self, h: np.ndarray) -> list[np.ndarray]:
         return [((h >> np.uint64(20 * w)) & np.uint64(self.slots - 1)).astype(np.int64) for w in range(self.WAYS)]
@@ -276,12 +344,20 @@ class Encoder:
         flat = np.fromiter((x for one in ids for x in one), np.uint32, int(size.sum()))
         while self.n + len(ids) > len(self.offset):
             self.offset, self.length = np.resize(self.offset, 2 * len(self.offset)), np.resize(self.length, 2 * len(self.length))
+            self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         new = np.arange(self.n, self.n + len(ids))
         self.offset[new], self.length[new] = self.used + np.cumsum(size) - size, size
         self.flat[self.used : self.used + len(flat)] = flat
         self.n, self.used = self.n + len(ids), self.used + len(flat)
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        while self.kept + len(data) + 8 > len(self.bytes):
+            self.bytes = np.resize(self.bytes, 2 * len(self.bytes))
+        long = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.begin[new], self.size[new] = self.kept + np.cumsum(long) - long, long
+        self.bytes[self.kept : self.kept + len(data)] = data
+        self.kept += len(data)
         todo = np.arange(len(h))
         for slot in self._places(h):
             s = slot[todo]
@@ -312,26 +388,29 @@ class Encoder:
             cut[2:-1] |= (raw[1:-1] == 10) & ~space[:-2] & ~space[2:]
         first = np.flatnonzero(cut[:-1])
         size = np.diff(first, append=len(raw))
-        power = np.cumprod(np.full(int(size.max()), _STEP, np.uint64))
-        letters = _LETTER[raw]
-        letters *= power[np.arange(len(raw)) - np.repeat(first, size)]
-        h = mix64(np.add.reduceat(letters, first) + size.astype(np.uint64))
         row = np.searchsorted(ends, first, "right")
         keep = first != ends[row] - 1
         if odd:
             keep &= ~np.isin(row, sorted(odd))
-        first, size, h, row = first[keep], size[keep], h[keep], row[keep]
+        first, size, row = first[keep], size[keep], row[keep]
+        h = piece_hashes(raw, first, size)
         found = self._find(h)
         miss = np.flatnonzero(found < 0)
         if len(miss):
             new, at = np.unique(h[miss], return_index=True)
-            if self.n + len(new) > 2 * self.slots:
+            if self.n + len(new) > 2 * self.slots or self.kept > self.BYTES:
                 self._clear()
                 miss = np.arange(len(h))
                 new, at = np.unique(h, return_index=True)
             before = self.n
             self._learn(new, [buffer[first[i] : first[i] + size[i]] for i in miss[at].tolist()])
             found[miss] = before + np.searchsorted(new, h[miss])
+        same = self._same(raw, first, size, found)
+        if not same.all():
+            apart = np.unique(row[~same])
+            odd |= set(apart.tolist())
+            keep = ~np.isin(row, apart)
+            row, found = row[keep], found[keep]
         length = self.length[found]
         counts = np.bincount(row, weights=length, minlength=len(ends)).astype(np.int64)
         total = int(length.sum())

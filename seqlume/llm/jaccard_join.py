@@ -1,26 +1,31 @@
-"""Exact Jaccard self-join of documents on word shingles, by prefix filters under several token orders.
+"""Jaccard self-join of documents on word shingles, by prefix filters under several token orders.
 
 If two sets reach the threshold, each order of all tokens puts a common token among the first |x| - ceil(t|x|) + 1
-tokens of both. Orders used here: rare tokens first (by a sketch of document frequencies of fixed size, the same for
-all tasks, so any error in it only costs speed) with one or another hash among equals, and a plain hash order.
+tokens of both. Three orders are used: rare tokens first (by a sketch of document frequencies of fixed size, the same
+for all tasks, so any error in it only costs speed) with one and with another hash among equals, and a plain hash order.
 
  1. Documents with equal sets form a class, and one document stands for it.
- 2. Classes that agree in the least token of some order are compared with the least class of that group, never all
-    with all. Verified links give first components.
- 3. Prefix tokens under the first order are dealt out by token; classes that share none with another class are done.
+ 2. Prefix tokens under the first order are dealt out by token, with sizes and positions; classes that share none with
+    another class are done.
+ 3. Every class is held against the centre of each of its tokens: the class there whose tokens are the most frequent
+    on average. A text that others were copied from has no rare tokens of its own, so it is the centre of its copies.
+    The links found give first components.
  4. Of every token that classes of different components share, pairs across components are candidates, if sizes and
-    positions allow the threshold. A candidate must share prefix tokens under the other orders as well; only then its
-    whole sets are compared. What lies in one component already needs no pair, so no link between components is
-    missed.
- 5. Components of all links; each takes its smallest document id.
+    positions allow the threshold. What lies in one component already needs no pair, so no link between components
+    is missed.
+ 5. In both steps, a pair must share prefix tokens under the other two orders as well, which short lists of 4 bytes a
+    token tell; only the pairs that pass all filters get their whole sets joined and compared.
+ 6. Components of all links; each takes its smallest document id.
 
 Words are runs of anything but \\x20 and \\x09-\\x0D, A-Z in lower case. Tokens are 64-bit hashes of shingles, classes
-64-bit sums over them with the size; in a corpus of 1e9 distinct shingles two of them share a hash with a chance of
-a few per cent.
+64-bit sums over them with the size, and neither is held against the texts again: in a corpus of 1e9 distinct shingles
+two of them share a hash with a chance of a few per cent, and then count as one.
 
 Edge cases: a document of 1 to n-1 words has its whole sequence as one shingle; one without words or with a null text
-has an empty set and links to nothing; repeated rows form one class; a row with a null id belongs to the
-component of the rows equal to it and never names one (without any, its component is null); an empty table gives an empty result; further columns are ignored.
+has an empty set and links to nothing; very long texts count whole; repeated rows form one class; a pair that just
+reaches the threshold links; a row with a null id belongs to the component of the rows linked to it and never names one
+(without any other, its component is null); an empty table gives an empty result; ids are cast to long; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +42,9 @@ from . import common
 SKETCH_BITS = 22
 SLICES = 16
 _SEEDS = [np.uint64(x) for x in (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0xD1342543DE82EF95)]
+OTHER_ORDERS = ((2, True), (3, False))  # (seed, rare tokens first)
 BROADCAST_ROWS = 1_000_000  # ids of 8 bytes
+TASK_TOKENS = 2_000_000  # postings that a task gathers, about 20 bytes each
 
 
 def document_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,25 +101,20 @@ def prefixes(h: np.ndarray, sizes: np.ndarray, classes: np.ndarray | None, seed:
 
 def _classes(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "fp", "least", "slice", "counts"]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary())
+        names = ["doc_id", "n", "fp", "slice", "counts"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         seen = None
         for batch in (part for whole in batches for part in common.sliced(whole)):
             h, sizes = document_sets(batch.column("text"), n)
             fp = _fingerprints(h, sizes)
-            full = np.flatnonzero(sizes)
-            least = np.zeros((len(sizes), len(_SEEDS)), np.int64)
-            if len(full):
-                starts = (np.cumsum(sizes) - sizes)[full]
-                least[full] = np.stack([np.minimum.reduceat(common.mix64(h ^ s), starts).view(np.int64) for s in _SEEDS], 1)
             seen = np.zeros(1 << SKETCH_BITS, np.uint32) if seen is None else seen
             np.add(seen, np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS), out=seen, casting="unsafe")
             m = len(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((batch.column("doc_id"), sizes, fp, least.tolist(), [None] * m, [None] * m), kinds)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((batch.column("doc_id"), sizes, fp, [None] * m, [None] * m), kinds)], names)
         if seen is not None:
             for k, part in enumerate(np.split(seen, SLICES)):
                 counts = np.minimum(part, 255).astype(np.uint8).tobytes()  # an order needs no exact counts
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, None, k, counts), kinds)], names)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, k, counts), kinds)], names)
 
     return run
 
@@ -149,6 +151,15 @@ def _read_small(raw, n: int, at: int) -> tuple[np.ndarray, int]:
     return np.frombuffer(raw, f"<u{width}", n, at + 1).astype(np.int64), at + 1 + width * n
 
 
+def _scores(h: np.ndarray, sizes: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """How frequent each set's tokens are on average, in thousandths of a frequency class."""
+    total = np.zeros(len(sizes))
+    full = np.flatnonzero(sizes)
+    if len(full):
+        total[full] = np.add.reduceat(level[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.float64), (np.cumsum(sizes) - sizes)[full])
+    return (1000 * total / np.maximum(sizes, 1)).astype(np.uint16)
+
+
 def _postings(classes, n: int, percent: int, parts: int, hot_level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(classes.value, np.uint8)
@@ -158,6 +169,7 @@ def _postings(classes, n: int, percent: int, parts: int, hot_level: int):
             fp = _fingerprints(h, sizes)
             first = np.zeros(len(sizes), bool)
             first[np.unique(fp, return_index=True)[1]] = True  # equal sets of one batch count once
+            score = _scores(h, sizes, level)
             key, row, place = prefixes(h, sizes, level, 0, percent)
             keep = first[row]
             key, row, place = key[keep], row[keep], place[keep]
@@ -173,7 +185,7 @@ def _postings(classes, n: int, percent: int, parts: int, hot_level: int):
                 r = row[a:b]
                 mine, local = np.unique(r, return_inverse=True)
                 head = np.array([b - a, len(mine)], "<i8").tobytes()
-                blobs.append(b"".join((head, key[a:b].astype("<u8").tobytes(), fp[mine].astype("<i8").tobytes(), sizes[mine].astype("<i4").tobytes(), _small(place[a:b]), _small(local))))
+                blobs.append(b"".join((head, key[a:b].astype("<u8").tobytes(), fp[mine].astype("<i8").tobytes(), sizes[mine].astype("<i4").tobytes(), score[mine].astype("<u2").tobytes(), _small(place[a:b]), _small(local))))
             yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     return run
@@ -188,7 +200,7 @@ def _shared_tokens(hot_level: int):
 
 def _shared(batches: Iterator[pa.RecordBatch], hot_level: int) -> Iterator[pa.RecordBatch]:
     """Of one partition's postings, those whose token two classes or more have; those of hot tokens all stay."""
-    keys, fps, sizes, places = [], [], [], []
+    keys, fps, sizes, scores, places = [], [], [], [], []
     for batch in batches:
         for x in batch.column("blob"):
             raw = x.as_buffer()
@@ -197,16 +209,18 @@ def _shared(batches: Iterator[pa.RecordBatch], hot_level: int) -> Iterator[pa.Re
             key = np.frombuffer(raw, "<u8", m, at)
             fp = np.frombuffer(raw, "<i8", d, at := at + 8 * m)
             size = np.frombuffer(raw, "<i4", d, at := at + 8 * d)
-            place, at = _read_small(raw, m, at + 4 * d)
+            score = np.frombuffer(raw, "<u2", d, at := at + 4 * d)
+            place, at = _read_small(raw, m, at + 2 * d)
             local, _ = _read_small(raw, m, at)
             keys.append(key)
             fps.append(fp[local])
             sizes.append(size[local])
+            scores.append(score[local])
             places.append(place)
     if not keys:
         return
-    key, fp, size, place = (np.concatenate(x) for x in (keys, fps, sizes, places))
-    del keys, fps, sizes, places
+    key, fp, size, score, place = (np.concatenate(x) for x in (keys, fps, sizes, scores, places))
+    del keys, fps, sizes, scores, places
     order = np.argsort(key)
     key = key[order]
     again = np.zeros(len(key), bool)
@@ -215,12 +229,12 @@ def _shared(batches: Iterator[pa.RecordBatch], hot_level: int) -> Iterator[pa.Re
     again[:-1] |= same
     again |= (key >> np.uint64(58)) >= hot_level
     order, key = order[again], key[again]
-    fp, size, place = fp[order], size[order], place[order]
+    fp, size, score, place = fp[order], size[order], score[order], place[order]
     order = np.lexsort((fp, key))
-    key, fp, size, place = key[order], fp[order], size[order], place[order]
+    key, fp, size, score, place = key[order], fp[order], size[order], score[order], place[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
-    key, fp, size, place = key[new], fp[new], size[new], place[new]
+    key, fp, size, score, place = key[new], fp[new], size[new], score[new], place[new]
     again = np.zeros(len(key), bool)
     same = key[1:] == key[:-1]
     again[1:] |= same
@@ -229,11 +243,22 @@ def _shared(batches: Iterator[pa.RecordBatch], hot_level: int) -> Iterator[pa.Re
     for a in range(0, len(key), 100_000):
         k = slice(a, a + 100_000)
         take = again[k]
-        yield pa.RecordBatch.from_arrays([pa.array(key[k][take].view(np.int64)), pa.array(fp[k][take]), pa.array(size[k][take].astype(np.int32)), pa.array(place[k][take].astype(np.int32))], ["token", "fp", "n", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[k][take].view(np.int64)), pa.array(fp[k][take]), pa.array(size[k][take].astype(np.int32)), pa.array(place[k][take].astype(np.int32)), pa.array(score[k][take].astype(np.int32))], ["token", "fp", "n", "place", "score"])
+
 
+def _short(h: np.ndarray, sizes: np.ndarray, classes: np.ndarray | None, seed: int, percent: int) -> list[bytes]:
+    """Each row's prefix under an order, as sorted numbers of 4 bytes. Two tokens may share one, which only lets a pair pass."""
+    key, row, _ = prefixes(h, sizes, classes, seed, percent)
+    low = (key & np.uint64(0xFFFFFFFF)).astype("<u4")
+    low = low[np.lexsort((low, row))]
+    ends = np.cumsum(np.bincount(row, minlength=len(sizes)))
+    data = low.tobytes()
+    return [data[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
-def _sets(n: int):
+
+def _sets(n: int, percent: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = np.frombuffer(sketch.value, np.uint8)
         for batch in (part for whole in batches for part in common.sliced(whole)):
             h, sizes = document_sets(batch.column("text"), n)
             fp = _fingerprints(h, sizes)
@@ -242,54 +267,64 @@ def _sets(n: int):
             one = one[sizes[one] > 0]
             data = h.astype("<u8").tobytes()
             blobs = [data[8 * a : 8 * (a + b)] for a, b in zip(starts[one].tolist(), sizes[one].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(fp[one]), pa.array(blobs, pa.binary())], ["fp", "tokens"])
+            prefix = [_short(h, sizes, level if rare else None, seed, percent) for seed, rare in OTHER_ORDERS]
+            columns = [pa.array([p[i] for i in one.tolist()], pa.binary()) for p in prefix]
+            yield pa.RecordBatch.from_arrays([pa.array(fp[one]), *columns, pa.array(blobs, pa.binary())], ["fp", "second", "third", "tokens"])
 
     return run
 
 
-def token_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, shingle: int, name: str) -> DataFrame:
-    """(fp, tokens) of the wanted classes, from the text of one document of each."""
-    chosen = classes.join(wanted.distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    chosen = common.staged(chosen, f"{name}-chosen")
-    if chosen.count() <= BROADCAST_ROWS:
-        chosen = F.broadcast(chosen)
-    return common.staged(docs.join(chosen, "doc_id", "left_semi").mapInArrow(_sets(shingle), "fp long, tokens binary"), name)
+def token_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, shingle: int, percent: int, sketch) -> DataFrame:
+    """(fp, second, third, tokens) of the wanted classes, from the text of one document of each: its prefixes under
+    the other orders and its set. Classes that only rows without an id have are found among those rows."""
+    wanted = common.staged(wanted.distinct(), "wanted")
+    chosen = common.staged(classes.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("_id")).select("_id").distinct(), "chosen")
+    nameless = not chosen.where("_id is null").isEmpty()
+    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    sets = docs.join(few, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").mapInArrow(_sets(shingle, percent, sketch), "fp long, second binary, third binary, tokens binary")
+    if nameless:
+        sets = sets.join(wanted, "fp", "left_semi")
+    sets = common.staged(sets, "token-sets")
+    common.discard(wanted, chosen)
+    return sets
+
+
+def _meet(row: list[np.ndarray]) -> bool:
+    """Whether two classes share prefix tokens under both other orders."""
+    a2, a3, b2, b3 = row
+    return bool(np.isin(a2, b2).any() and np.isin(a3, b3).any())
+
+
+def _reach(percent: int):
+    """Whether two whole sets reach the threshold."""
 
+    def test(row: list[np.ndarray]) -> bool:
+        p, q = sorted(row, key=len)
+        at = np.searchsorted(q, p)
+        both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
+        return 100 * both >= percent * (len(p) + len(q) - both)
 
-def _prefix(h: np.ndarray, classes: np.ndarray | None, seed: int, percent: int) -> np.ndarray:
-    size = int(prefix_size(np.array([len(h)]), percent)[0])
-    return np.partition(order_keys(h, classes, seed), size - 1)[:size]
+    return test
 
 
-def _verify(percent: int, sketch, orders: tuple[tuple[int, bool], ...]):
+def _passing(names: list[str], kind: str, test):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = np.frombuffer(sketch.value, np.uint8) if orders else None
         for batch in batches:
-            a, b, linked = batch.column("a"), batch.column("b"), []
-            for x, y in zip(batch.column("tokens_a"), batch.column("tokens_b")):
-                p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                if not all(np.isin(*(_prefix(z, level if rare else None, seed, percent) for z in (p, q))).any() for seed, rare in orders):
-                    linked.append(False)
-                    continue
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                linked.append(100 * both >= percent * (len(p) + len(q) - both))
-            mask = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+            columns = [batch.column(x) for x in names]
+            mask = pa.array([test([np.frombuffer(x.as_buffer(), kind) for x in row]) for row in zip(*columns)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
     return run
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int, sketch=None, orders: tuple[tuple[int, bool], ...] = (), stretch: int = 2000) -> DataFrame:
-    """The pairs (a, b) that share prefix tokens under all these orders (seed, rare first) and whose sets then reach
-    the threshold. A class in many pairs is dealt out in stretches."""
+def compared(pairs: DataFrame, sets: DataFrame, columns: list[str], kind: str, test, stretch: int = 2000) -> DataFrame:
+    """The pairs (a, b) whose columns of sets pass the test. A class in many pairs is dealt out in stretches."""
+    side = lambda x: sets.select(F.col("fp").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(stretch)).cast("int").alias("k"))
-    left = many.join(sets.select(F.col("fp").alias("a"), F.col("tokens").alias("tokens_a")), "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).drop("k")
-    right = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("k")).cast("int")).drop("k")
-    right = right.join(sets.select(F.col("fp").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-    return right.join(left, ["a", "salt"]).select("a", "b", "tokens_a", "tokens_b").mapInArrow(_verify(percent, sketch, orders), "a long, b long")
+    left = many.join(side("a"), "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).drop("k")
+    right = pairs.join(many.where("k > 1"), "a", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("b"), F.col("k")), F.lit(0)).cast("int")).drop("k")
+    names = [f"{c}_{x}" for x in "ab" for c in columns]
+    return right.join(side("b"), "b").join(left, ["a", "salt"]).select("a", "b", *names).mapInArrow(_passing(names, kind, test), "a long, b long")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -302,39 +337,54 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     labels = common.staged(edges.groupBy(F.col("a").alias("fp")).agg(F.least(F.col("fp"), F.min("b")).alias("label")), "labels")
     for _ in range(rounds):
         around = edges.join(labels.select(F.col("fp").alias("b"), "label"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("label").alias("near"))
-        least = labels.join(around, "fp").select("fp", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        least = labels.select("fp", "label").join(around, "fp").select("fp", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("fp").alias("label"), F.col("label").alias("top"))
-        new = least.join(up, "label").select("fp", "old", F.least("label", "top").alias("label"))
-        new = common.staged(new, "labels")
+        new = common.staged(least.join(up, "label").select("fp", "old", F.least("label", "top").alias("label")), "labels")
+        common.discard(labels)
+        labels = new
         if new.where("old != label").isEmpty():
+            common.discard(edges)
             return new.select("fp", "label")
-        labels = new.select("fp", "label")
     raise RuntimeError("components did not settle")
 
 
+def _need(percent: int, n, m):
+    """Common tokens that sets of n and m tokens need at least."""
+    return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
+
+
+def _fits(percent: int):
+    """Whether sizes and positions of a shared token (columns of x and y) allow the threshold."""
+    n, m = F.col("x.n"), F.col("y.n")
+    rest = F.least(n - F.col("x.place"), m - F.col("y.place"))
+    return (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (rest >= _need(percent, n, m))
+
+
+def centre_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each token's centre a with the token's other classes; lists: (token, fp, n, place, score, label)."""
+    best = lists.groupBy("token").agg(F.max(F.struct("score", "fp", "n", "place", "label")).alias("c"), F.count("*").alias("size")).where("size > 1")
+    best = common.staged(best.select("token", "c.*"), "centres")
+    found = best.alias("x").join(lists.alias("y"), _fits(percent)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    return found.distinct()
+
+
 def candidates(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes with different labels that share a token; lists: (token, fp, n, place, label).
 
-    A token's most frequent label is not paired with itself, nor is any other label with itself, so what one
-    component holds already costs nothing.
+    Postings that no partner of their token is near enough in size for are left out first. A token's most frequent
+    label is not paired with itself, nor is any other label with itself, so what one component holds already costs
+    nothing.
     """
-    mixed = lists.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token")
-    rows = lists.join(mixed, "token", "left_semi")
+    mixed = lists.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("small")).where("lo != hi").select("token", "small")
+    smallest = F.greatest(F.col("small"), F.ceil(F.lit(percent) * F.col("n") / 100))
+    rows = lists.join(mixed, "token").where(F.col("n") - F.col("place") >= _need(percent, F.col("n"), smallest)).drop("small")
+    rows = common.staged(rows, "mixed-tokens")
     each = rows.groupBy("token", "label").count()
-    main = each.groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    rows = rows.join(main, "token").withColumn("minor", F.col("label") != F.col("main")).drop("main")
-    x, y = rows.where("minor").alias("x"), rows.alias("y")
-    rest = lambda t: F.col(f"{t}.n") - F.col(f"{t}.place")
-    need = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent))
-    fits = (
-        (F.col("x.token") == F.col("y.token"))
-        & (F.col("x.label") != F.col("y.label"))
-        & (~F.col("y.minor") | (F.col("x.fp") < F.col("y.fp")))
-        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-        & (F.least(rest("x"), rest("y")) >= need)
-    )
-    pairs = x.join(y, fits).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
-    return pairs.distinct()
+    main = each.groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    rows = common.staged(rows.join(main, "token").withColumn("minor", F.col("label") != F.col("main")).drop("main", "labels"), "minor-tokens")
+    once = ~F.col("y.minor") | (F.col("x.fp") < F.col("y.fp"))
+    pairs = rows.where("minor").alias("x").join(rows.alias("y"), _fits(percent) & once)
+    return pairs.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, hot_level: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -347,29 +397,34 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, hot_le
     spark = docs.sparkSession
     common.ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    read = common.staged(docs.mapInArrow(_classes(shingle), "doc_id long, n long, fp long, least array<long>, slice int, counts binary"), "classes")
-    classes = read.where("slice is null").select("doc_id", "n", "fp", "least")
+    read = common.staged(docs.mapInArrow(_classes(shingle), "doc_id long, n long, fp long, slice int, counts binary"), "classes")
+    classes = read.where("slice is null").select("doc_id", "n", "fp")
     sketch = spark.sparkContext.broadcast(_sketch(read).tobytes())
+    tokens = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(2 * common.partitions(spark), -(-tokens * (100 - percent) // (100 * TASK_TOKENS)))
 
-    keys = classes.where("n > 0").groupBy("fp").agg(F.first("least").alias("least"), F.first("n").alias("n")).select("fp", "n", F.posexplode("least").alias("k", "key"))
-    centres = keys.groupBy("k", "key").agg(F.min(F.struct("fp", "n")).alias("c"), F.count("*").alias("size")).where("size > 1").select("k", "key", F.col("c.fp").alias("a"), F.col("c.n").alias("m"))
-    alike = (F.col("fp") != F.col("a")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    stars = common.staged(keys.join(centres, ["k", "key"]).where(alike).select("a", F.col("fp").alias("b")).distinct(), "stars")
-    ends = lambda p: p.select(F.col("a").alias("fp")).union(p.select("b"))
-    links = common.staged(verify(stars, token_sets(docs, classes, ends(stars), shingle, "star-sets"), percent), "links")
-    first = components(links)
-    common.release(spark)
-
-    parts = 2 * common.partitions(spark)
     posted = docs.mapInArrow(_postings(sketch, shingle, percent, parts, hot_level), "part int, blob binary")
-    lists = common.staged(posted.repartition(parts, "part").mapInArrow(_shared_tokens(hot_level), "token long, fp long, n int, place int"), "shared-tokens")
+    shared = common.dealt(posted, parts).mapInArrow(_shared_tokens(hot_level), "token long, fp long, n int, place int, score int")
+    lists = common.staged(shared, "shared-tokens")
     common.release(spark)
-    labelled = lists.join(first, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    pairs = common.staged(candidates(labelled, percent), "candidates")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sets = token_sets(docs, classes, pairs.select(F.col("a").alias("fp")).union(pairs.select("b")), shingle, percent, sketch)
+        near = common.staged(compared(pairs, sets, ["second", "third"], "<u4", _meet), "filtered")
+        links = common.staged(compared(near, sets, ["tokens"], "<u8", _reach(percent)), "links")
+        common.discard(sets, near, pairs)
+        common.release(spark)
+        return links
+
+    links = verified(common.staged(centre_pairs(lists.withColumn("label", F.col("fp")), percent), "centre-pairs"))
+    labels = components(links)
+    pairs = common.staged(candidates(lists.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")), percent), "candidates")
+    common.discard(lists)
     if not pairs.isEmpty():
-        sets = token_sets(docs, classes, ends(pairs), shingle, "candidate-sets")
-        more = common.staged(verify(pairs, sets, percent, sketch, ((2, True), (3, False))), "more-links")
-        first = components(links.union(more))
-    named = classes.select("doc_id", "n", "fp").join(first, "fp", "left").withColumn("group", F.coalesce("label", "fp"))
-    least = named.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+        labels = components(links.union(verified(pairs)))
+    own = classes.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("own"))
+    least = labels.join(own, "fp").groupBy("label").agg(F.min("own").alias("least"))
+    named = own.join(labels.join(least, "label").select("fp", "least"), "fp", "left")
+    named = common.staged(named.select("fp", F.coalesce("least", "own").alias("component_id")), "components")  # written, so that Spark can split a class of many rows
+    some = classes.where("n > 0").join(named, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return some.unionByName(classes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
