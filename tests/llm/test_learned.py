@@ -4,6 +4,7 @@ import collections
 import math
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -224,6 +225,19 @@ def test_lcs():
         assert decontaminate.lcs_length(a, b) == plain_lcs(a, b)
 
 
+def test_lcs_of_many_spans():
+    rng = random.Random(1)
+    for _ in range(100):
+        items = [np.array([rng.randrange(9) for _ in range(rng.choice([1, 5, 64, 65, 130, 600]))], np.uint64) for _ in range(3)]
+        words = np.array([rng.randrange(11) for _ in range(300)], np.uint64)
+        masks = decontaminate.Masks(items)
+        o = np.array([rng.randrange(3) for _ in range(8)])
+        lo = np.array([rng.randrange(200) for _ in range(8)])
+        hi = lo + np.array([rng.randint(1, 100) for _ in range(8)])
+        want = [decontaminate.lcs_length(items[i].tolist(), words[a:b].tolist()) for i, a, b in zip(o, lo, hi)]
+        assert masks.lcs(o, lo, hi, words, masks.number(words), 0.0).tolist() == want
+
+
 def test_leaks_and_recall(spark):
     """Planted items, whole and with changed words, are found; everything a full comparison finds, too."""
     rng = random.Random(9)
@@ -282,7 +296,7 @@ def test_leaks_with_rare_words(spark, least, most):
     bench = spark.createDataFrame(items, "item_id long, text string")
     find = lambda **how: {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench, **how).collect()}
     assert len(truth) > 80
-    assert len(find() & truth) >= 0.7 * len(truth)  # the rest has a cosine under 0.7
+    assert len(find() & truth) >= 0.95 * len(truth)  # the rest has a cosine under 0.55
     assert find(cosine=0.3) >= truth
 
 
