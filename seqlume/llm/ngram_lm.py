@@ -1,24 +1,24 @@
 """Interpolated modified Kneser-Ney n-gram scores (trigrams or bigrams over unigrams over a uniform base).
 
 Words are runs of anything but \\x20 and \\x09-\\x0D, A-Z in lower case, as 64-bit hashes; every text ends in one end
-token and begins after a start symbol. Counting deals distinct words out by hash, and distinct bigrams by their first
-word, so that a word's followers meet in one task; words that are more frequent than a fair share of a partition are
-spread over all partitions by their second word instead, and their statistics are added up afterwards. Each task
-writes what it has merged as sorted arrays (.npy) into a folder that all machines mount; a file is written under
-another name and then renamed, so a repeated task leaves the same file. Scoring reads texts once more and looks words
-and bigrams up in the memory-mapped arrays by vectorised binary search, without a shuffle.
-
-Of order 3, the middle word deals trigrams out (its pair with the first word if it is frequent), so that the followers
-of a pair meet in one task, which hands on how many first words each pair of the last two has. Bigrams are made of
-these continuation counts then, as unigrams always are, and of order 2 of their own counts. Trigrams are counted in
-PASSES ranges of partitions, one after another, so that a part of them only lies in shuffle files at a time; keys that
-stand for one occurrence are kept without a count.
-
-Two different words share a hash with a chance of about 3e-6 in 1e7 distinct words.
-
-Edge cases: a null text is an empty one and has its end token only; without training rows every token has the
-uniform probability 1 / (V + 1) with V = 0; repeated rows count as often as they stand; an empty table gives an empty
-result; further columns are ignored. A row whose training flag is null does not train.
+token and begins after a start symbol. Distinct words are dealt out by hash, counted, and numbered. N-grams then travel
+as word numbers, sorted, in byte planes under zstd, a few bytes each; the middle word deals trigrams out (its pair with
+the first word if it is frequent), so that the followers of a pair meet in one task, which hands on how many first
+words each pair of the last two has. Bigrams are made of these continuation counts, or of their own counts in a model
+of order 2, and are dealt out by their first word; words that are more frequent than a fair share of a partition are
+spread over all partitions by their second word instead, and their statistics are added up afterwards.
+
+Each task writes what it has merged as sorted hash arrays (.npy) into a folder that all machines mount; a file is
+written under another name and then renamed, so a repeated task leaves the same file. N-grams that occur once are kept
+without a count. Scoring reads texts once more and looks words and n-grams up in the memory-mapped arrays by vectorised
+binary search, without a shuffle. How many partitions there are grows with the tokens.
+
+Two different words or n-grams share a hash with a chance of about 3e-6 in 1e7 distinct ones.
+
+Edge cases: a null text is an empty one and has its end token only; very long texts are counted and scored whole;
+without training rows every token has the uniform probability 1 / (V + 1) with V = 0; repeated rows count as often as
+they stand; an empty table gives an empty result; further columns are ignored. A row whose training flag is null does
+not train. Words of equal frequency need no order.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from urllib.parse import urlparse
 
 import numpy as np
@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-START, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
-PASSES = 3
+END = np.uint64(0xFEDCBA9876543210)
 HELD = 3_000_000  # distinct entries that a task holds before it hands them on
+TASK_TOKENS = 4_000_000  # tokens whose n-grams a merging task gets on average, at most
 
 
 def mounted(folder: str) -> str:
@@ -62,14 +62,6 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words, np.cumsum(counts), END), counts + 1
 
 
-def contexts(toks: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The token before each token; the start symbol for a row's first."""
-    before = np.empty_like(toks)
-    before[1:] = toks[:-1]
-    before[np.cumsum(counts) - counts] = START
-    return before
-
-
 def bigram_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return common.mix64(v * common._STEP + w)
 
@@ -86,11 +78,6 @@ def bigram_part(v: np.ndarray, w: np.ndarray, parts: int, hot: np.ndarray) -> np
     return part
 
 
-def trigram_part(pair: np.ndarray, v: np.ndarray, parts: int, hot: np.ndarray) -> np.ndarray:
-    """By the middle word; by the whole context (the key of the first two words) where that word is frequent."""
-    return bigram_part(v, pair, parts, hot)
-
-
 def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in ascending order with the sums of their counts."""
     if not len(keys):
@@ -188,73 +175,156 @@ def _merge_words(folder: str, share: int):
     return run
 
 
-def _count_bigrams(parts: int, hot: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vs, ws, cs, n = [], [], [], 0
+class Arrays:
+    """The memory-mapped arrays of a folder."""
 
-        def flush():
-            v, w, c = np.concatenate(vs), np.concatenate(ws), np.concatenate(cs)
-            key = bigram_key(v, w)
-            order = np.argsort(key)
-            first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-            c = np.add.reduceat(c[order], first)
-            v, w = v[order[first]], w[order[first]]
-            order = np.argsort(v, kind="stable")  # equal first words side by side take little space
-            v, w, c = v[order], w[order], c[order].astype(np.uint32)
-            return _blobs(bigram_part(v, w, parts, hot), parts, v, w, c)
+    def __init__(self, folder: str):
+        self.folder = folder
+        self.held: dict[tuple[str, int], np.ndarray] = {}
 
-        for batch in (part for whole in batches for part in common.sliced(whole)):
-            toks, counts = tokens(_training(batch))
-            if not len(toks):
-                continue
-            before = contexts(toks, counts)
-            _, at, c = np.unique(bigram_key(before, toks), return_index=True, return_counts=True)
-            vs.append(before[at])
-            ws.append(toks[at])
-            cs.append(c)
-            n += len(at)
-            if n > HELD:
-                yield flush()
-                vs, ws, cs, n = [], [], [], 0
-        if vs:
-            yield flush()
+    def __getstate__(self):
+        return {"folder": self.folder, "held": {}}
+
+    def array(self, name: str, part: int) -> np.ndarray:
+        if (name, part) not in self.held:
+            path = os.path.join(self.folder, f"{name}-{part}.npy")
+            empty = np.empty((0, 4) if name.endswith("stats") else 0, np.uint64 if name.endswith("key") else np.int64)
+            self.held[name, part] = np.load(path, mmap_mode="r") if os.path.exists(path) else empty
+        return self.held[name, part]
+
+    def places(self, keys_name: str, keys: np.ndarray, part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each partition: its number, the indices of the keys that it holds, and where it holds them."""
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            mine = order[cuts[k] : cuts[k + 1]]
+            at = find(self.array(keys_name, k), keys[mine])
+            yield k, mine[at >= 0], at[at >= 0]
+
+
+@dataclass
+class Words:
+    """Numbers of words: the partition's first number and the place in its sorted array."""
+
+    arrays: Arrays
+    parts: int
+    first: np.ndarray
+    total: int
+
+    @property
+    def kind(self) -> str:
+        """The type of word numbers; the start symbol has the number `total`."""
+        return "<u4" if self.total < 2**32 - 1 else "<u8"
+
+    def codes(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of distinct words (-1: unknown), and their codes, as which n-gram arrays know them."""
+        numbers = np.full(len(words), -1, np.int64)
+        for k, mine, at in self.arrays.places("word-key", words, word_part(words, self.parts), self.parts):
+            numbers[mine] = self.first[k] + at
+        return numbers, np.where(numbers >= 0, code(numbers), words)
+
+    def numbered(self, toks: np.ndarray) -> np.ndarray:
+        """Numbers of the tokens of training rows."""
+        words, back = np.unique(toks, return_inverse=True)
+        return self.codes(words)[0].astype(self.kind)[back]
+
+
+def code(numbers: np.ndarray) -> np.ndarray:
+    """A word's number spread over 64 bits, one to one."""
+    return common.mix64(numbers.astype(np.uint64) + np.uint64(1))
 
-    return run
 
+def _planes(a: np.ndarray) -> bytes:
+    """The numbers' lowest bytes, then their second ones, and so on."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
+def _number_blobs(part: np.ndarray, parts: int, counts: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """A row (part, blob) for each partition that has entries. Entries stand in the columns' order; all columns but the
+    last go as differences from one entry to the next."""
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    full = np.flatnonzero(np.diff(cuts))
+    codec, blobs = pa.Codec("zstd", 1), []
+    for k in full.tolist():
+        mine = order[cuts[k] : cuts[k + 1]]
+        steps = [np.diff(c[mine], prepend=c.dtype.type(0)) for c in columns[:-1]]
+        raw = b"".join(map(_planes, (counts[mine].astype("<u4"), *steps, columns[-1][mine])))
+        blobs.append(np.array([len(mine), len(raw)], "<i8").tobytes() + codec.compress(raw, asbytes=True))
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+
+def _read_numbers(batches: Iterator[pa.RecordBatch], kind: str, width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(part, [counts, columns...]) of the blobs of each part."""
+    got: dict[int, list[list[np.ndarray]]] = {}
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        for part, x in zip(batch.column("part").to_pylist(), batch.column("blob")):
+            blob = x.as_buffer()
+            n, size = (int(v) for v in np.frombuffer(blob, "<i8", 2))
+            raw, at = codec.decompress(blob[16:], size), 0
+            for i, (k, held) in enumerate(zip(("<u4", *[kind] * width), got.setdefault(part, [[] for _ in range(width + 1)]))):
+                each = np.dtype(k).itemsize
+                a = np.frombuffer(raw, np.uint8, n * each, at).reshape(each, n).T.copy().view(k).ravel()
+                held.append(np.cumsum(a, dtype=k) if 0 < i < width else a)
+                at += n * each
+    while got:
+        part, columns = got.popitem()
+        yield part, [np.concatenate(x) for x in columns]
+
+
+def _count_ngrams(words: Words, order: int, parts: int, hot: np.ndarray):
+    """Rows (part, blob) of the counts of all training n-grams of this order."""
 
-def _count_trigrams(parts: int, hot: np.ndarray, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
-        def flush():
-            pair, v, w, c = (np.concatenate(x) for x in zip(*held))
-            order, first = _groups(bigram_key(pair, w))
-            c = np.add.reduceat(c[order], first)
-            pair, v, w = (x[order[first]] for x in (pair, v, w))
-            order = np.lexsort((pair, v))  # equal contexts side by side take little space
-            pair, v, w, c = (x[order] for x in (pair, v, w, c.astype(np.uint32)))
-            return _blobs(trigram_part(pair, v, parts, hot), parts, pair, v, w, c)
+        def merged_rows() -> pa.RecordBatch:
+            *gram, c = (np.concatenate(x) for x in zip(*held))
+            rank, first = _groups(_gram_key(gram))
+            c = np.add.reduceat(c[rank], first)
+            gram = [x[rank[first]] for x in gram]
+            rank = np.lexsort((gram[-1], *gram[:-2], gram[-2]))  # by the last but one word, in which they are dealt out
+            gram, c = [x[rank] for x in gram], c[rank]
+            v = code(gram[-2])
+            spread = bigram_key(code(gram[0]), v) if order == 3 else code(gram[1])
+            return _number_blobs(bigram_part(v, spread, parts, hot), parts, c, *gram[-2::-1], gram[-1])
 
         for batch in (part for whole in batches for part in common.sliced(whole)):
             toks, counts = tokens(_training(batch))
             if not len(toks):
                 continue
-            before = contexts(toks, counts)
-            pair = bigram_key(contexts(before, counts), before)
-            mine = trigram_part(pair, before, parts, hot) * PASSES // parts == turn
-            pair, before, toks = pair[mine], before[mine], toks[mine]
-            _, at, c = np.unique(bigram_key(pair, toks), return_index=True, return_counts=True)
-            held.append((pair[at], before[at], toks[at], c))
+            gram = [words.numbered(toks)]
+            while len(gram) < order:
+                gram.insert(0, _before(gram[0], counts, words.total))
+            _, at, c = np.unique(_gram_key(gram), return_index=True, return_counts=True)
+            held.append((*(x[at] for x in gram), c))
             n += len(at)
             if n > HELD:
-                yield flush()
+                yield merged_rows()
                 held, n = [], 0
         if n:
-            yield flush()
+            yield merged_rows()
 
     return run
 
 
+def _before(ids: np.ndarray, counts: np.ndarray, start: int) -> np.ndarray:
+    """The number before each one; the start symbol's for a row's first."""
+    before = np.empty_like(ids)
+    before[1:] = ids[:-1]
+    before[np.cumsum(counts) - counts] = start
+    return before
+
+
+def _gram_key(gram: list[np.ndarray]) -> np.ndarray:
+    """Hash of each n-gram of word numbers."""
+    key = code(gram[0])
+    for x in gram[1:]:
+        key = bigram_key(key, code(x))
+    return key
+
+
 def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order that sorts key, and where in it each distinct key begins."""
     order = np.argsort(key)
@@ -262,15 +332,15 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]))
 
 
-def _merge_trigrams(folder: str, parts: int, hot: np.ndarray):
+def _merge_trigrams(folder: str, parts: int, hot: np.ndarray, kind: str):
     """Writes trigram-<part> and pair-<part> as _merge_bigrams does, without counts of 1 (trigram1, pair1). Rows: continuation counts of bigrams, statistics."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stats = []
-        for part, columns in _read(batches, "<u8", "<u8", "<u8", "<u4").items():
-            pair, v, w, c = (np.concatenate(x) for x in columns)
-            columns.clear()
-            key = bigram_key(pair, w)
+        for part, (c, v, u, w) in _read_numbers(batches, kind, 3):
+            pair = bigram_key(code(u), code(v))
+            del u
+            key = bigram_key(pair, code(w))
             order, first = _groups(key)
             c = np.add.reduceat(c[order].astype(np.int64), first)
             key, pair, v, w = (x[order[first]] for x in (key, pair, v, w))
@@ -284,11 +354,12 @@ def _merge_trigrams(folder: str, parts: int, hot: np.ndarray):
             _save(folder, f"pair1-key-{part}", ctx[once])
             _save(folder, f"pair-key-{part}", ctx[~once])
             _save(folder, f"pair-stats-{part}", table[~once].astype(np.uint32 if table.max() < 2**32 else np.int64))
-            order, first = _groups(bigram_key(v, w))
-            n = np.diff(np.append(first, len(order))).astype(np.uint32)
-            v, w = v[order[first]], w[order[first]]
-            order = np.argsort(v, kind="stable")
-            yield _with_stats(_blobs(bigram_part(v[order], w[order], parts, hot), parts, v[order], w[order], n[order]))
+            order = np.lexsort((w, v))
+            v, w = v[order], w[order]
+            first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
+            n = np.diff(np.append(first, len(v)))
+            v, w = v[first], w[first]
+            yield _with_stats(_number_blobs(bigram_part(code(v), code(w), parts, hot), parts, n, v, w))
         if stats:
             yield _only_stats(stats)
 
@@ -309,7 +380,7 @@ def _only_stats(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([s.column("part"), pa.nulls(s.num_rows, pa.binary()), *(s.column(x) for x in _NAMES[2:])], _NAMES)
 
 
-def _merge_bigrams(folder: str, parts: int, hot: np.ndarray):
+def _merge_bigrams(folder: str, parts: int, hot: np.ndarray, kind: str):
     """Writes bigram-<part> (keys, counts) and context-<part> (hashes; followers, and how many of them once, twice, more).
 
     Rows of blobs: continuation counts of second words, dealt out by word; rows of statistics under part -1.
@@ -317,35 +388,33 @@ def _merge_bigrams(folder: str, parts: int, hot: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stats = []
-        for part, (v, w, c) in _read(batches, "<u8", "<u8", "<u4").items():
-            v, w, c = np.concatenate(v), np.concatenate(w), np.concatenate(c).astype(np.int64)
-            key = bigram_key(v, w)
-            order = np.argsort(key)
-            key, v, w, c = key[order], v[order], w[order], c[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            key, v, w, c = key[first], v[first], w[first], np.add.reduceat(c, first)
+        for part, (c, v, w) in _read_numbers(batches, kind, 2):
+            key = bigram_key(code(v), code(w))
+            order, first = _groups(key)
+            c = np.add.reduceat(c[order].astype(np.int64), first)
+            key, v, w = (x[order[first]] for x in (key, v, w))
             _save(folder, f"bigram-key-{part}", key)
             _save(folder, f"bigram-count-{part}", c.astype(np.uint32))
             stats.append((part, "counts", 0, *((c == n).sum() for n in (1, 2, 3, 4))))
-            ctx, back = np.unique(v, return_inverse=True)
+            ctx, back = np.unique(code(v), return_inverse=True)
             table = np.stack([np.bincount(back, weights=x, minlength=len(ctx)) for x in (c, c == 1, c == 2, c >= 3)], 1).astype(np.int64)
             known = np.isin(ctx, hot)
             _save(folder, f"context-key-{part}", ctx[~known])
             _save(folder, f"context-stats-{part}", table[~known])
             stats += [(part, "hot", int(k), *t) for k, t in zip(ctx[known].view(np.int64).tolist(), table[known].tolist())]
             words, n = np.unique(w, return_counts=True)
-            yield _with_stats(_blobs(word_part(words, parts), parts, words, n.astype(np.uint32)))
+            yield _with_stats(_number_blobs(word_part(code(words), parts), parts, n, words))
         if stats:
             yield _only_stats(stats)
 
     return run
 
 
-def _merge_continuations(folder: str):
+def _merge_continuations(folder: str, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
-        for part, (k, c) in _read(batches, "<u8", "<u4").items():
-            keys, counts = merged(np.concatenate(k), np.concatenate(c).astype(np.int64))
+        for part, (c, w) in _read_numbers(batches, kind, 1):
+            keys, counts = merged(code(w), c.astype(np.int64))
             _save(folder, f"follow-key-{part}", keys)
             _save(folder, f"follow-count-{part}", counts)
             rows.append((part, "follow", 0, *((counts == n).sum() for n in (1, 2, 3, 4))))
@@ -366,74 +435,53 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 @dataclass
 class Model:
-    folder: str
+    arrays: Arrays
+    words: Words
     parts: int
     tokens: int
-    vocabulary: int
     hot_keys: np.ndarray
     hot_stats: np.ndarray
     bigram_discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
     follow_total: int
     follow_types: tuple[int, int, int]
-    order: int = 2
+    order: int = 3
     trigram_discounts: tuple[float, float, float] = (0.5, 0.5, 0.5)
-    arrays: dict = field(default_factory=dict, repr=False, compare=False)
-
-    def __getstate__(self):
-        return self.__dict__ | {"arrays": {}}
 
-    def array(self, name: str, part: int) -> np.ndarray:
-        if (name, part) not in self.arrays:
-            path = os.path.join(self.folder, f"{name}-{part}.npy")
-            self.arrays[name, part] = np.load(path, mmap_mode="r") if os.path.exists(path) else np.empty((0, 4) if name.endswith("stats") else 0, np.uint64 if name.endswith("key") else np.int64)
-        return self.arrays[name, part]
-
-    def look_up(self, kind: str, values: str, keys: np.ndarray, part: np.ndarray) -> np.ndarray:
-        """Values of sorted keys, partition by partition; zeros for keys that are not there."""
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(self.parts + 1))
-        out = None
-        for k in np.flatnonzero(np.diff(cuts)):
-            mine = order[cuts[k] : cuts[k + 1]]
-            table = self.array(f"{kind}-{values}", k)
-            at = find(self.array(f"{kind}-key", k), keys[mine])
-            if out is None:
-                out = np.zeros((len(keys), *table.shape[1:]), np.int64)
-            hit = at >= 0
-            out[mine[hit]] = table[at[hit]]
-        return np.zeros(len(keys), np.int64) if out is None else out
+    def look_up(self, kind: str, values: str, keys: np.ndarray, part: np.ndarray, parts: int | None = None) -> np.ndarray:
+        """Values of keys, partition by partition; zeros for keys that are not there."""
+        out = np.zeros((len(keys), 4) if values == "stats" else len(keys), np.int64)
+        for k, mine, at in self.arrays.places(f"{kind}-key", keys, part, parts or self.parts):
+            out[mine] = self.arrays.array(f"{kind}-{values}", k)[at]
+        return out
 
     def once(self, kind: str, keys: np.ndarray, part: np.ndarray) -> np.ndarray:
         """Which keys are among those that stand for one occurrence."""
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(self.parts + 1))
         out = np.zeros(len(keys), bool)
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            mine = order[cuts[k] : cuts[k + 1]]
-            out[mine] = find(self.array(f"{kind}1-key", k), keys[mine]) >= 0
+        for _, mine, _ in self.arrays.places(f"{kind}1-key", keys, part, self.parts):
+            out[mine] = True
         return out
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each row: tokens, known tokens, base score, score."""
         toks, counts = tokens(column)
         row = np.repeat(np.arange(len(counts)), counts)
-        before = contexts(toks, counts)
         words, at = np.unique(toks, return_inverse=True)
-        count = self.look_up("word", "count", words, word_part(words, self.parts))
-        base = np.log10((count + 1) / (self.tokens + self.vocabulary + 1))
+        count = self.look_up("word", "count", words, word_part(words, self.words.parts), self.words.parts)
+        base = np.log10((count + 1) / (self.tokens + self.words.total + 1))
+        words = self.words.codes(words)[1]
         follow = self.look_up("follow", "count", words, word_part(words, self.parts))
-        uniform = 1 / (self.vocabulary + 1)
+        uniform = 1 / (self.words.total + 1)
         if self.follow_total:
             d = np.array([0, *self.word_discounts])
             back_off = sum(x * n for x, n in zip(self.word_discounts, self.follow_types)) / self.follow_total
             p1 = (follow - d[np.minimum(follow, 3)]) / self.follow_total + back_off * uniform
         else:
             p1 = np.full(len(words), uniform)
+        toks, start = words[at], code(np.array([self.words.total]))[0]
+        before = _before(toks, counts, start)
         ctx, ctx_at = np.unique(before, return_inverse=True)
         stats = self.look_up("context", "stats", ctx, word_part(ctx, self.parts))
-        if stats.ndim == 1:
-            stats = np.zeros((len(ctx), 4), np.int64)
         if len(self.hot_keys):
             i = find(self.hot_keys, ctx)
             stats[i >= 0] = self.hot_stats[i[i >= 0]]
@@ -446,18 +494,16 @@ class Model:
         seen = (c - d[np.minimum(c, 3)])[back] / total[ctx_at]
         p = seen + gamma[ctx_at] * p1[at]
         if self.order == 3:
-            p = self.trigram(contexts(before, counts), before, toks, p)
+            p = self.trigram(_before(before, counts, start), before, toks, p)
         add = lambda x: np.bincount(row, weights=x, minlength=len(counts))
         return counts, add(count[at] > 0).astype(np.int64), add(base[at]), add(np.log10(p))
 
     def trigram(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, lower: np.ndarray) -> np.ndarray:
         """Probability of each w after u and v, from that after v."""
         pair = bigram_key(u, v)
-        part = trigram_part(pair, v, self.parts, self.hot_keys)
+        part = bigram_part(v, pair, self.parts, self.hot_keys)
         ctx, first, ctx_at = np.unique(pair, return_index=True, return_inverse=True)
         stats = self.look_up("pair", "stats", ctx, part[first])
-        if stats.ndim == 1:
-            stats = np.zeros((len(ctx), 4), np.int64)
         stats[self.once("pair", ctx, part[first])] = (1, 1, 0, 0)
         total = np.maximum(stats[:, 0], 1)
         gamma = np.where(stats[:, 0] > 0, stats[:, 1:] @ np.array(self.trigram_discounts) / total, 1.0)
@@ -467,7 +513,7 @@ class Model:
         return (c - d[np.minimum(c, 3)])[back] / total[ctx_at] + gamma[ctx_at] * lower
 
 
-def fit(docs: DataFrame, order: int = 2) -> Model:
+def fit(docs: DataFrame, order: int = 3) -> Model:
     """docs: (text, train). Counts over all rows whose train is true. order: 2 or 3."""
     if order not in (2, 3):
         raise ValueError(f"order {order} is neither 2 nor 3")
@@ -475,38 +521,43 @@ def fit(docs: DataFrame, order: int = 2) -> Model:
     common.ship(spark)
     folder = mounted(common.new_folder(spark, "ngram-lm"))
     os.makedirs(folder)
+    arrays = Arrays(folder)
     docs = docs.select("text", F.coalesce("train", F.lit(False)).alias("train"))
     parts = common.partitions(spark)
-    deal = lambda rows: rows.repartition(parts, "part")
-    words = deal(docs.mapInArrow(_count_words(parts), "part int, blob binary")).mapInArrow(_merge_words(folder, 16), STATS).collect()
-    total = sum(r["a"] for r in words if r["name"] == "words")
-    distinct = sum(r["b"] for r in words if r["name"] == "words")
-    hot = np.sort(np.array([r["key"] for r in words if r["name"] == "top" and r["a"] * 4 * parts > total], np.int64).view(np.uint64))
-    hot = np.sort(np.append(hot, START))  # every row begins with it
+    counted = common.dealt(docs.mapInArrow(_count_words(parts), "part int, blob binary"), parts).mapInArrow(_merge_words(folder, 16), STATS).collect()
+    sizes = {r["part"]: r["b"] for r in counted if r["name"] == "words"}
+    total = sum(r["a"] for r in counted if r["name"] == "words")
+    first = np.concatenate([[0], np.cumsum([sizes.get(k, 0) for k in range(parts)])]).astype(np.int64)
+    words = Words(arrays, parts, first[:-1], int(first[-1]))
+
+    parts = max(parts, -(-total // TASK_TOKENS))
+    often = np.array([r["key"] for r in counted if r["name"] == "top" and r["a"] * 4 * parts > total], np.int64).view(np.uint64)
+    hot = np.sort(np.append(words.codes(often)[1], code(np.array([words.total]))))  # every row begins with the start symbol
+    grams = common.dealt(docs.mapInArrow(_count_ngrams(words, order, parts, hot), "part int, blob binary"), parts)
     tri = (0, 0, 0, 0)
+    triples = None
     if order == 3:
-        triples = None
-        for turn in range(PASSES):
-            counted = deal(docs.mapInArrow(_count_trigrams(parts, hot, turn), "part int, blob binary"))
-            done = common.staged(counted.mapInArrow(_merge_trigrams(folder, parts, hot), MIXED), "ngram-triples")
-            triples = done if triples is None else triples.unionByName(done)
-            del counted
-            common.release(spark)
+        triples = common.staged(grams.mapInArrow(_merge_trigrams(folder, parts, hot, words.kind), MIXED), "ngram-triples")
+        del grams
+        common.release(spark)
         tri = tuple(triples.where("blob is null").agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in "abcd")).first())
-        bigrams = triples.where("blob is not null").select("part", "blob")
-    else:
-        bigrams = docs.mapInArrow(_count_bigrams(parts, hot), "part int, blob binary")
-    pairs = common.staged(deal(bigrams).mapInArrow(_merge_bigrams(folder, parts, hot), MIXED), "ngram-pairs")
+        grams = common.dealt(triples.where("blob is not null").select("part", "blob"), parts)
+    pairs = common.staged(grams.mapInArrow(_merge_bigrams(folder, parts, hot, words.kind), MIXED), "ngram-pairs")
+    del grams
     sums = pairs.where("blob is null").groupBy("name", "key").agg(*(F.sum(x).alias(x) for x in "abcd")).collect()
-    follow = deal(pairs.where("blob is not null").select("part", "blob")).mapInArrow(_merge_continuations(folder), STATS).groupBy("name").agg(*(F.sum(x).alias(x) for x in "abcd")).collect()
+    again = common.dealt(pairs.where("blob is not null").select("part", "blob"), parts)
+    follow = again.mapInArrow(_merge_continuations(folder, words.kind), STATS).groupBy("name").agg(*(F.sum(x).alias(x) for x in "abcd")).collect()
+    del again
+    common.discard(pairs, *([triples] if triples is not None else []))
+    common.release(spark)
     bi = next((tuple(r[x] for x in "abcd") for r in sums if r["name"] == "counts"), (0, 0, 0, 0))
     uni = next((tuple(r[x] for x in "abcd") for r in follow if r["name"] == "follow"), (0, 0, 0, 0))
     whole = next(((r["a"], r["b"], r["c"]) for r in follow if r["name"] == "follow-total"), (0, 0, 0))
-    rows = sorted(((np.int64(r["key"]).view(np.uint64), [r[x] for x in "abcd"]) for r in sums if r["name"] == "hot"), key=lambda x: x[0])
     stats = np.zeros((len(hot), 4), np.int64)
-    for k, values in rows:
-        stats[np.searchsorted(hot, k)] = values
-    return Model(folder, parts, total, distinct, hot, stats, discounts(*bi), discounts(*uni), whole[0], (uni[0], uni[1], whole[2]), order, discounts(*tri))
+    for r in sums:
+        if r["name"] == "hot":
+            stats[np.searchsorted(hot, np.int64(r["key"]).view(np.uint64))] = [r[x] for x in "abcd"]
+    return Model(arrays, words, parts, total, hot, stats, discounts(*bi), discounts(*uni), whole[0], (uni[0], uni[1], whole[2]), order, discounts(*tri))
 
 
 def _score(model: Model):

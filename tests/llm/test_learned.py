@@ -115,7 +115,7 @@ def test_language_model(spark):
     train = [i for i, _ in rows if i % 3]
     docs = spark.createDataFrame([(i, t, i % 3 != 0, 1.0) for i, t in rows], "doc_id long, text string, train boolean, score double").repartition(3)
     want = plain_lm(train, rows)
-    got = {r["doc_id"]: r for r in ngram_lm.score(docs, ngram_lm.fit(docs)).collect()}
+    got = {r["doc_id"]: r for r in ngram_lm.score(docs, ngram_lm.fit(docs, order=2)).collect()}
     for i, w in want.items():
         g = got[i]
         assert (g["n_tokens"], g["n_known"], g["train_tokens"]) == w[:3]
