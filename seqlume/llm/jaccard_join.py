@@ -13,8 +13,9 @@ for all tasks, so any error in it only costs speed) with one and with another ha
  4. Of every token that classes of different components share, pairs across components are candidates, if sizes and
     positions allow the threshold. What lies in one component already needs no pair, so no link between components
     is missed.
- 5. In both steps, a pair must share prefix tokens under the other two orders as well, which short lists of 4 bytes a
-    token tell; only the pairs that pass all filters get their whole sets joined and compared.
+ 5. In both steps, a pair must pass the prefix filters of the other two orders as well, which lists of 4 bytes a token
+    tell: the prefixes have to share a token, and not to lack so many of each other's tokens that the threshold is out
+    of reach. Only for pairs that pass all filters whole sets are made, joined and compared.
  6. Components of all links; each takes its smallest document id.
 
 Words are runs of anything but \\x20 and \\x09-\\x0D, A-Z in lower case. Tokens are 64-bit hashes of shingles, classes
@@ -43,8 +44,10 @@ SKETCH_BITS = 22
 SLICES = 16
 _SEEDS = [np.uint64(x) for x in (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0xD1342543DE82EF95)]
 OTHER_ORDERS = ((2, True), (3, False))  # (seed, rare tokens first)
+PREFIXES = ["second", "third"]  # under these orders
 BROADCAST_ROWS = 1_000_000  # ids of 8 bytes
-TASK_TOKENS = 2_000_000  # postings that a task gathers, about 20 bytes each
+TASK_TOKENS = 1_000_000  # postings that a task gathers, about 15 bytes each
+_TOKEN, _HOT = np.uint64((1 << 39) - 1), np.uint64(1 << 39)  # bits of a token within its partition; very frequent ones
 
 
 def document_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,10 +177,12 @@ def _postings(classes, n: int, percent: int, parts: int, hot_level: int):
             keep = first[row]
             key, row, place = key[keep], row[keep], place[keep]
             spread = common.mix64(key)  # deals tokens out evenly, whatever their frequency class
+            token = spread & _TOKEN
             hot = (key >> np.uint64(58)) >= hot_level  # a very frequent token goes to all partitions, by class
+            token[hot] |= _HOT
             spread[hot] = common.mix64(key[hot] + fp[row[hot]].view(np.uint64))
             order = np.argsort(spread)
-            key, row, place, spread = key[order], row[order], place[order], spread[order]
+            token, row, place, spread = token[order], row[order], place[order], spread[order]
             cuts = np.concatenate([[0], np.searchsorted(spread, edges), [len(spread)]])
             blobs = []
             for k in range(parts):
@@ -185,114 +190,153 @@ def _postings(classes, n: int, percent: int, parts: int, hot_level: int):
                 r = row[a:b]
                 mine, local = np.unique(r, return_inverse=True)
                 head = np.array([b - a, len(mine)], "<i8").tobytes()
-                blobs.append(b"".join((head, key[a:b].astype("<u8").tobytes(), fp[mine].astype("<i8").tobytes(), sizes[mine].astype("<i4").tobytes(), score[mine].astype("<u2").tobytes(), _small(place[a:b]), _small(local))))
+                t = token[a:b]
+                blobs.append(b"".join((head, t.astype("<u4").tobytes(), (t >> np.uint64(32)).astype("<u1").tobytes(), fp[mine].astype("<i8").tobytes(), score[mine].astype("<u2").tobytes(), *map(_small, (sizes[mine], place[a:b], local)))))
             yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     return run
 
 
-def _shared_tokens(hot_level: int):
+def _shared_tokens(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _shared(batches, hot_level)
+        yield from _shared(batches, percent)
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch], hot_level: int) -> Iterator[pa.RecordBatch]:
-    """Of one partition's postings, those whose token two classes or more have; those of hot tokens all stay."""
-    keys, fps, sizes, scores, places = [], [], [], [], []
+def _possible(token: np.ndarray, n: np.ndarray, place: np.ndarray, percent: int, near: int = 16) -> np.ndarray:
+    """Which postings (sorted by token) have another one of their token that sizes and positions allow to link.
+
+    Up to `near` neighbours are looked at one by one; in longer lists, the smallest size stands for all others, which
+    may keep a posting too many.
+    """
+    out = np.zeros(len(token), bool)
+    rest = n - place
+    for d in range(1, near + 1):
+        same = np.flatnonzero(token[d:] == token[:-d])
+        if not len(same):
+            break
+        x, y = n[same], n[same + d]
+        fits = (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (np.minimum(rest[same], rest[same + d]) >= -(-percent * (x + y) // (100 + percent)))
+        out[same[fits]] = out[same[fits] + d] = True
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.empty(0, np.int64)
+    length = np.diff(np.append(first, len(token)))
+    if len(first) and length.max() > near + 1:
+        small = np.repeat(np.minimum.reduceat(n, first), length)
+        many = np.repeat(length > near + 1, length)
+        out |= many & (rest >= -(-percent * (n + np.maximum(small, -(-percent * n // 100))) // (100 + percent)))
+    return out
+
+
+def _shared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of one partition's postings, those whose token another class has that may link; those of hot tokens all stay."""
+    columns: list[list[np.ndarray]] = [[] for _ in range(5)]
     for batch in batches:
-        for x in batch.column("blob"):
+        for part, x in zip(batch.column("part").to_pylist(), batch.column("blob")):
             raw = x.as_buffer()
             m, d = (int(v) for v in np.frombuffer(raw, "<i8", 2))
             at = 16
-            key = np.frombuffer(raw, "<u8", m, at)
-            fp = np.frombuffer(raw, "<i8", d, at := at + 8 * m)
-            size = np.frombuffer(raw, "<i4", d, at := at + 8 * d)
-            score = np.frombuffer(raw, "<u2", d, at := at + 4 * d)
-            place, at = _read_small(raw, m, at + 2 * d)
+            token = np.frombuffer(raw, "<u4", m, at).astype(np.int64)
+            token |= np.frombuffer(raw, "<u1", m, at := at + 4 * m).astype(np.int64) << 32
+            token |= np.where(token & int(_HOT), 0, part << 40)  # a token of one partition is not that of another one
+            fp = np.frombuffer(raw, "<i8", d, at := at + m)
+            score = np.frombuffer(raw, "<u2", d, at := at + 8 * d)
+            size, at = _read_small(raw, d, at + 2 * d)
+            place, at = _read_small(raw, m, at)
             local, _ = _read_small(raw, m, at)
-            keys.append(key)
-            fps.append(fp[local])
-            sizes.append(size[local])
-            scores.append(score[local])
-            places.append(place)
-    if not keys:
+            for held, a in zip(columns, (token, fp[local], size[local].astype(np.int32), place.astype(np.int32), score[local].astype(np.int32))):
+                held.append(a)
+    if not columns[0]:
         return
-    key, fp, size, score, place = (np.concatenate(x) for x in (keys, fps, sizes, scores, places))
-    del keys, fps, sizes, scores, places
-    order = np.argsort(key)
-    key = key[order]
-    again = np.zeros(len(key), bool)
-    same = key[1:] == key[:-1]
-    again[1:] |= same
-    again[:-1] |= same
-    again |= (key >> np.uint64(58)) >= hot_level
-    order, key = order[again], key[again]
-    fp, size, score, place = fp[order], size[order], score[order], place[order]
-    order = np.lexsort((fp, key))
-    key, fp, size, score, place = key[order], fp[order], size[order], score[order], place[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
-    key, fp, size, score, place = key[new], fp[new], size[new], score[new], place[new]
-    again = np.zeros(len(key), bool)
-    same = key[1:] == key[:-1]
+    token, fp, size, place, score = (np.concatenate(x) for x in columns)
+    columns.clear()
+    order = np.argsort(token)
+    token = token[order]
+    again = (token & int(_HOT)) != 0
+    same = token[1:] == token[:-1]
     again[1:] |= same
     again[:-1] |= same
-    again |= (key >> np.uint64(58)) >= hot_level
-    for a in range(0, len(key), 100_000):
-        k = slice(a, a + 100_000)
-        take = again[k]
-        yield pa.RecordBatch.from_arrays([pa.array(key[k][take].view(np.int64)), pa.array(fp[k][take]), pa.array(size[k][take].astype(np.int32)), pa.array(place[k][take].astype(np.int32)), pa.array(score[k][take].astype(np.int32))], ["token", "fp", "n", "place", "score"])
+    order, token = order[again], token[again]
+    by = np.lexsort((fp[order], token))
+    order, token = order[by], token[by]
+    fp, size, place, score = fp[order], size[order], place[order], score[order]
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (fp[1:] != fp[:-1])
+    token, fp, size, place, score = (x[new] for x in (token, fp, size, place, score))
+    stay = _possible(token, size.astype(np.int64), place.astype(np.int64), percent) | ((token & int(_HOT)) != 0)
+    token, fp, size, place, score = (x[stay] for x in (token, fp, size, place, score))
+    for a in range(0, len(token), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (token, fp, size, place, score)], ["token", "fp", "n", "place", "score"])
 
 
 def _short(h: np.ndarray, sizes: np.ndarray, classes: np.ndarray | None, seed: int, percent: int) -> list[bytes]:
-    """Each row's prefix under an order, as sorted numbers of 4 bytes. Two tokens may share one, which only lets a pair pass."""
+    """Each row's size and prefix under an order, in that order, as numbers of 4 bytes: the upper halves of its keys.
+    Two tokens may share one, which only lets a pair pass."""
     key, row, _ = prefixes(h, sizes, classes, seed, percent)
-    low = (key & np.uint64(0xFFFFFFFF)).astype("<u4")
-    low = low[np.lexsort((low, row))]
-    ends = np.cumsum(np.bincount(row, minlength=len(sizes)))
-    data = low.tobytes()
-    return [data[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    high = (key >> np.uint64(32)).astype("<u4")
+    each = np.split(high, np.cumsum(np.bincount(row, minlength=len(sizes)))[:-1])
+    return [np.array([n], "<u4").tobytes() + x.tobytes() for n, x in zip(sizes.tolist(), each)]
 
 
-def _sets(n: int, percent: int, sketch):
+def _prefix_sets(n: int, percent: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(sketch.value, np.uint8)
         for batch in (part for whole in batches for part in common.sliced(whole)):
             h, sizes = document_sets(batch.column("text"), n)
             fp = _fingerprints(h, sizes)
-            starts = np.cumsum(sizes) - sizes
+            one = np.unique(fp, return_index=True)[1].tolist()
+            columns = [[p[i] for i in one] for p in (_short(h, sizes, level if rare else None, seed, percent) for seed, rare in OTHER_ORDERS)]
+            yield pa.RecordBatch.from_arrays([pa.array(fp[one]), *(pa.array(c, pa.binary()) for c in columns)], ["fp", *PREFIXES])
+
+    return run
+
+
+def _whole_sets(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in common.sliced(whole)):
+            h, sizes = document_sets(batch.column("text"), n)
+            fp = _fingerprints(h, sizes)
             one = np.unique(fp, return_index=True)[1]
-            one = one[sizes[one] > 0]
+            starts = np.cumsum(sizes) - sizes
             data = h.astype("<u8").tobytes()
             blobs = [data[8 * a : 8 * (a + b)] for a, b in zip(starts[one].tolist(), sizes[one].tolist())]
-            prefix = [_short(h, sizes, level if rare else None, seed, percent) for seed, rare in OTHER_ORDERS]
-            columns = [pa.array([p[i] for i in one.tolist()], pa.binary()) for p in prefix]
-            yield pa.RecordBatch.from_arrays([pa.array(fp[one]), *columns, pa.array(blobs, pa.binary())], ["fp", "second", "third", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(fp[one]), pa.array(blobs, pa.binary())], ["fp", "tokens"])
 
     return run
 
 
-def token_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, shingle: int, percent: int, sketch) -> DataFrame:
-    """(fp, second, third, tokens) of the wanted classes, from the text of one document of each: its prefixes under
-    the other orders and its set. Classes that only rows without an id have are found among those rows."""
-    wanted = common.staged(wanted.distinct(), "wanted")
+def class_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, made, columns: list[str]) -> DataFrame:
+    """(fp, columns) that `made` makes of the text of one document of each class in pairs. Classes that only rows
+    without an id have are found among those rows."""
+    wanted = common.staged(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "wanted")
     chosen = common.staged(classes.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("_id")).select("_id").distinct(), "chosen")
     nameless = not chosen.where("_id is null").isEmpty()
     few = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
-    sets = docs.join(few, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").mapInArrow(_sets(shingle, percent, sketch), "fp long, second binary, third binary, tokens binary")
+    sets = docs.join(few, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").mapInArrow(made, "fp long, " + ", ".join(f"{c} binary" for c in columns))
     if nameless:
         sets = sets.join(wanted, "fp", "left_semi")
-    sets = common.staged(sets, "token-sets")
+    sets = common.staged(sets, "class-sets")
     common.discard(wanted, chosen)
     return sets
 
 
-def _meet(row: list[np.ndarray]) -> bool:
-    """Whether two classes share prefix tokens under both other orders."""
-    a2, a3, b2, b3 = row
-    return bool(np.isin(a2, b2).any() and np.isin(a3, b3).any())
+def _meet(percent: int):
+    """Whether prefixes under each of the other orders share a token and leave room for the threshold.
+
+    A token of one prefix that comes before the other prefix's last one, and is not in it, is not in that set at all.
+    """
+
+    def test(row: list[np.ndarray]) -> bool:
+        half = len(row) // 2
+        for a, b in zip(row[:half], row[half:]):
+            n, m, p, q = int(a[0]), int(b[0]), a[1:], b[1:]
+            need = -(-percent * (n + m) // (100 + percent))
+            here, there = np.isin(p, q), np.isin(q, p)
+            if not here.any() or n - int((~here & (p < q[-1])).sum()) < need or m - int((~there & (q < p[-1])).sum()) < need:
+                return False
+        return True
+
+    return test
 
 
 def _reach(percent: int):
@@ -401,18 +445,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, hot_le
     classes = read.where("slice is null").select("doc_id", "n", "fp")
     sketch = spark.sparkContext.broadcast(_sketch(read).tobytes())
     tokens = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = max(2 * common.partitions(spark), -(-tokens * (100 - percent) // (100 * TASK_TOKENS)))
+    parts = max(2, -(-tokens * (100 - percent) // (100 * TASK_TOKENS)))
 
     posted = docs.mapInArrow(_postings(sketch, shingle, percent, parts, hot_level), "part int, blob binary")
-    shared = common.dealt(posted, parts).mapInArrow(_shared_tokens(hot_level), "token long, fp long, n int, place int, score int")
+    shared = common.dealt(posted, parts).mapInArrow(_shared_tokens(percent), "token long, fp long, n int, place int, score int")
     lists = common.staged(shared, "shared-tokens")
     common.release(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        sets = token_sets(docs, classes, pairs.select(F.col("a").alias("fp")).union(pairs.select("b")), shingle, percent, sketch)
-        near = common.staged(compared(pairs, sets, ["second", "third"], "<u4", _meet), "filtered")
+        sets = class_sets(docs, classes, pairs, _prefix_sets(shingle, percent, sketch), PREFIXES)
+        near = common.staged(compared(pairs, sets, PREFIXES, "<u4", _meet(percent)), "filtered")
+        common.discard(sets, pairs)
+        common.release(spark)
+        sets = class_sets(docs, classes, near, _whole_sets(shingle), ["tokens"])
         links = common.staged(compared(near, sets, ["tokens"], "<u8", _reach(percent)), "links")
-        common.discard(sets, near, pairs)
+        common.discard(sets, near)
         common.release(spark)
         return links
 
