@@ -1,14 +1,18 @@
-"""Packing of tokenised documents into sequences of a fixed length.
+"""Packing of tokenised documents into sequences of a fixed length, by local search.
 
 Documents longer than a sequence are cut into full pieces, the first of which may be shorter; everything else stays
-whole. A first best-fit pass fills bins; then a local search moves, swaps one for one and exchanges two for one
-between underfull bins. Each change raises the sum of squared fills, so space gathers in few bins until they empty.
+whole. Each piece, in the order in which they come, goes into the fullest bin that has room; then a local search moves
+pieces, swaps one for one and exchanges one for two between underfull bins. Each change raises the sum of squared fills, so space gathers in few
+bins until they empty; the search ends when no change is left. An index of all underfull bins by the room that they
+have, or would have without one or two of their pieces, finds the change that leaves the least room.
 
 Every task packs the pieces of its own input, without a shuffle; it holds at most about `window_tokens` ids at a
-time, and bins that are still underfull are carried on to the next window. A task leaves about one underfull bin.
+time, and bins that are still underfull are carried on to the next window. A task leaves about one underfull bin, so
+the number of sequences exceeds the least possible one by about the number of input partitions.
 
-Edge cases: a null text is an empty document, that is its end id alone; equal ids keep all their rows; an empty
-table gives no rows; further columns are ignored.
+Edge cases: a null text is an empty document, that is its end id alone; very long texts are cut, as stated; of changes
+that leave equal room, moves go first and then what moves most; equal ids keep all their rows; an empty table gives no
+rows; ids are cast to long; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -36,97 +41,147 @@ class Bins:
         self.items: list[list[tuple[int, int]]] = []  # (size, item)
         self.fill: list[int] = []
 
-    def best_fit(self, sizes: list[tuple[int, int]]) -> None:
-        """Puts the items, largest first, into the fullest bin that has room."""
-        room: dict[int, list[int]] = {}
-        levels: list[int] = []
-
-        def add(b: int) -> None:
-            left = self.capacity - self.fill[b]
-            if left:
-                if left not in room:
-                    room[left] = []
-                    insort(levels, left)
-                room[left].append(b)
-
-        for b in range(len(self.fill)):
-            add(b)
-        for size, item in sorted(sizes, key=lambda x: (-x[0], x[1])):
-            k = bisect_left(levels, size)
-            if k < len(levels):
-                left = levels[k]
-                b = room[left].pop()
-                if not room[left]:
-                    del room[left]
-                    levels.pop(k)
+    def add(self, sizes: list[tuple[int, int]]) -> None:
+        """Puts each item, in their order, into the fullest bin that has room, or into a new one."""
+        open_bins = [(self.capacity - f, b) for b, f in enumerate(self.fill) if f < self.capacity]
+        open_bins.sort()
+        for size, item in sizes:
+            k = bisect_left(open_bins, (size, -1))
+            if k < len(open_bins):
+                _, b = open_bins.pop(k)
             else:
                 b = len(self.fill)
                 self.items.append([])
                 self.fill.append(0)
             self.items[b].append((size, item))
             self.fill[b] += size
-            add(b)
+            if self.fill[b] < self.capacity:
+                insort(open_bins, (self.capacity - self.fill[b], b))
 
-    def improve(self, passes: int = 4) -> int:
-        """Local search between underfull bins; returns the number of changes. Empty bins are dropped.
+    def improve(self) -> int:
+        """Local search between underfull bins until no change is left; returns the number of changes. Empty bins are
+        dropped.
 
-        Takes bins from the emptiest on; for each of its items, looks for a change with another underfull bin that
-        fills that one further: moving the item, exchanging it for a smaller one, or for two that are smaller
-        together. Best change first: what leaves least room.
+        Takes the emptiest bin and, for each of its items, the change with another underfull bin that leaves that one
+        the least room: the item moves there, or comes in exchange for one or two that are smaller together.
         """
-        changes = 0
-        for _ in range(passes):
-            order = sorted((b for b in range(len(self.fill)) if 0 < self.fill[b] < self.capacity), key=lambda b: self.fill[b])
-            before = changes
-            for b in order:
-                changes += self._drain(b, order)
-            if changes == before:
-                break
-        kept = [b for b in range(len(self.fill)) if self.fill[b]]
-        self.items, self.fill = [self.items[b] for b in kept], [self.fill[b] for b in kept]
-        return changes
+        room_of = _Places(self.capacity)
+        fill, items, changes = self.fill, self.items, 0
 
-    def _drain(self, b: int, order: list[int], width: int = 64) -> int:
-        """width: how many of the fullest underfull bins are tried as the other side."""
-        changes = 0
-        others = [x for x in order if x != b and self.fill[b] <= self.fill[x] < self.capacity][-width:]
-        for size, item in sorted(self.items[b], reverse=True):
-            best = None
-            for x in others:
-                left = self.capacity - self.fill[x]
-                if not left or self.fill[x] < self.fill[b]:
-                    continue
-                if size <= left:
-                    best = max(best or (0,), (size, 0, x, ()))  # a move
+        def show(b: int) -> None:
+            if 0 < fill[b] < self.capacity:
+                room_of.show(b, self.capacity - fill[b], [s for s, _ in items[b]])
+            else:
+                room_of.hide(b)
+
+        for b in range(len(fill)):
+            show(b)
+        waiting = [(f, b) for b, f in enumerate(fill) if 0 < f < self.capacity]
+        heapify(waiting)
+        stuck: dict[int, int] = {}  # bins that nothing could be taken from, and how many changes had been made then
+        while True:
+            if not waiting:
+                waiting = [(fill[x], x) for x, at in stuck.items() if 0 < fill[x] < self.capacity and at != changes]
+                heapify(waiting)
+                if not waiting:
+                    break
+            f, b = heappop(waiting)
+            if f != fill[b] or stuck.get(b) == changes or not 0 < f < self.capacity:
+                continue
+            before = changes
+            room_of.hide(b)
+            for size, item in sorted(items[b], reverse=True):
+                found = room_of.best(size, fill[b])
+                if found is None:
                     continue
-                need = size - left  # what must come back at least
-                sizes = sorted(self.items[x])
-                k = bisect_left(sizes, (need, -1))
-                if k < len(sizes) and sizes[k][0] < size:
-                    best = max(best or (0,), (size - sizes[k][0], 1, x, (sizes[k],)))
-                lo, hi = 0, len(sizes) - 1
-                while lo < hi:
-                    both = sizes[lo][0] + sizes[hi][0]
-                    if both < need:
-                        lo += 1
-                    else:
-                        if both < size:
-                            best = max(best or (0,), (size - both, 2, x, (sizes[lo], sizes[hi])))
-                        hi -= 1
-            if best:
-                _, _, x, back = best
-                self.items[b].remove((size, item))
-                self.items[x].append((size, item))
-                for one in back:
-                    self.items[x].remove(one)
-                    self.items[b].append(one)
-                moved = size - sum(s for s, _ in back)
-                self.fill[b] -= moved
-                self.fill[x] += moved
+                x, back = found
+                items[b].remove((size, item))
+                for s in back:
+                    items[b].append(items[x].pop(next(i for i, one in enumerate(items[x]) if one[0] == s)))
+                items[x].append((size, item))
+                moved = size - sum(back)
+                fill[x] += moved
+                fill[b] -= moved
                 changes += 1
+                show(x)
+                if fill[x] < self.capacity:
+                    heappush(waiting, (fill[x], x))
+                if not fill[b]:
+                    break
+            show(b)
+            if changes > before:
+                heappush(waiting, (fill[b], b))
+            else:
+                stuck[b] = changes
+        kept = [b for b in range(len(fill)) if fill[b]]
+        self.items, self.fill = [items[b] for b in kept], [fill[b] for b in kept]
         return changes
 
 
+class _Places:
+    """Underfull bins by the room they have, or would have without one or two of their items.
+
+    Each list is a heap by the bins' own room, the largest first, as that bin takes in most. Entries may be outdated
+    until they are met; an entry counts if its bin is as it was when it was shown.
+    """
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.lists: list[list[list[tuple]]] = [[[] for _ in range(capacity + 1)] for _ in range(3)]
+        self.full = [0, 0, 0]  # bit k: list k may have entries
+        self.state: dict[int, int] = {}
+        self.count = 0
+
+    def hide(self, b: int) -> None:
+        self.state.pop(b, None)
+
+    def show(self, b: int, room: int, sizes: list[int]) -> None:
+        self.count += 1
+        self.state[b] = self.count
+        self._put(0, room, (-room, b, self.count))
+        each = sorted(set(sizes))
+        for i, s in enumerate(each):
+            self._put(1, room + s, (-room, b, self.count, s))
+            if sizes.count(s) > 1:
+                self._put(2, room + 2 * s, (-room, b, self.count, s, s))
+            for t in each[i + 1 :]:
+                self._put(2, room + s + t, (-room, b, self.count, s, t))
+
+    def _put(self, kind: int, room: int, entry: tuple) -> None:
+        heappush(self.lists[kind][room], entry)
+        self.full[kind] |= 1 << room
+
+    def best(self, size: int, own: int) -> tuple[int, tuple[int, ...]] | None:
+        """(bin, sizes to give back) of the change that leaves that bin least room; own: fill of the giving bin.
+
+        What leaves as much room as the giving bin has now, or the taking bin, raises no sum of squares.
+        """
+        best = None
+        end = min(size + self.capacity - own, self.capacity + 1)
+        for kind in range(3):
+            rest = (self.full[kind] & (1 << end) - 1) >> size
+            room = size
+            while rest:
+                step = (rest & -rest).bit_length() - 1
+                room += step
+                entry = self._top(kind, room)
+                if entry is not None and -entry[0] > room - size:
+                    best, end = entry, room
+                    break
+                rest >>= step + 1
+                room += 1
+        return (best[1], best[3:]) if best else None
+
+    def _top(self, kind: int, room: int) -> tuple | None:
+        entries = self.lists[kind][room]
+        while entries and self.state.get(entries[0][1]) != entries[0][2]:
+            heappop(entries)
+        if not entries:
+            self.full[kind] &= ~(1 << room)
+            return None
+        return entries[0]
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: all full but the first."""
     first = n % capacity or min(n, capacity)
@@ -148,7 +203,7 @@ def _pack(tokenizer_path: str, end_id: int, capacity: int, window_tokens: int):
 
         def close(last: bool) -> list[tuple]:
             nonlocal bins, pending, number, held
-            bins.best_fit(pending)
+            bins.add(pending)
             bins.improve()
             pending, rows, left = [], [], Bins(capacity)
             for items, fill in zip(bins.items, bins.fill):

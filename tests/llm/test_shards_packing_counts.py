@@ -130,7 +130,7 @@ def test_packing_of_nothing_and_extra_columns(spark):
 @given(st.lists(st.integers(1, 40), min_size=1, max_size=60))
 def test_local_search_keeps_items_and_never_needs_more_bins(sizes):
     bins = packing.Bins(40)
-    bins.best_fit([(s, i) for i, s in enumerate(sizes)])
+    bins.add([(s, i) for i, s in enumerate(sizes)])
     before, squares = len(bins.fill), sum(f * f for f in bins.fill)
     bins.improve()
     assert sorted(i for b in bins.items for _, i in b) == list(range(len(sizes)))
@@ -145,6 +145,89 @@ def test_local_search_empties_a_bin():
     assert len(bins.fill) == 2
 
 
+def test_local_search_packs_an_arrival_order_fill():
+    """Bins empty until about as few are left as the sizes allow, and no change that raises squared fill is left."""
+    rng = random.Random(7)
+    sizes = [rng.randint(1, 91) for _ in range(400)]
+    bins = packing.Bins(128)
+    bins.add([(s, i) for i, s in enumerate(sizes)])
+    before = len(bins.fill)
+    bins.improve()
+    assert len(bins.fill) <= -(-sum(sizes) // 128) + 1 < before
+    open_bins = [b for b, f in enumerate(bins.fill) if f < 128]
+    for b in open_bins:
+        for x in open_bins:
+            room = 128 - bins.fill[x]
+            for size, _ in bins.items[b] if b != x else []:
+                given = [0, *(s for s, _ in bins.items[x]), *(s + t for k, (s, _) in enumerate(bins.items[x]) for t, _ in bins.items[x][:k])]
+                assert not any(0 < size - g <= room and bins.fill[x] + size - g > bins.fill[b] for g in given)
+
+
+def fewest(sizes, capacity):
+    """Least number of bins, by trying everything."""
+    best = len(sizes)
+
+    def place(k, fills):
+        nonlocal best
+        if len(fills) >= best:
+            return
+        if k == len(sizes):
+            best = len(fills)
+            return
+        for j in {f: j for j, f in enumerate(fills)}.values():
+            if fills[j] + sizes[k] <= capacity:
+                place(k + 1, fills[:j] + (fills[j] + sizes[k],) + fills[j + 1 :])
+        place(k + 1, (*fills, sizes[k]))
+
+    place(0, ())
+    return best
+
+
+def test_local_search_against_all_packings():
+    rng = random.Random(11)
+    found = least = 0
+    for _ in range(60):
+        sizes = [rng.randint(1, 30) for _ in range(rng.randint(3, 9))]
+        bins = packing.Bins(40)
+        bins.add([(s, i) for i, s in enumerate(sizes)])
+        bins.improve()
+        want = fewest(sorted(sizes, reverse=True), 40)
+        assert len(bins.fill) <= want + 1
+        found, least = found + len(bins.fill), least + want
+    assert found <= 1.05 * least
+
+
+def repeated_words(n):
+    """Two words of n letters whose polynomial hashes are equal, whatever the factor, and a third one."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return [a, a.translate(str.maketrans("ab", "ba")), "a" * n]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_with_patterned_pieces(name):
+    tok = Tokenizer.from_file(public_tokenizers.path(name))
+    texts = [f"x {w} y" for n in (64, 512, 2048, 4096) for w in repeated_words(n)]
+    encoder = common.Encoder(public_tokenizers.path(name))
+    for _ in range(2):
+        for t in texts:
+            assert encoder.encode(pa.array([t]))[0].tolist() == tok.encode(t, add_special_tokens=False).ids
+    hashes, counts = common.word_hashes(pa.array([w for n in (64, 2048, 4096) for w in repeated_words(n)]))
+    assert len(set(hashes.tolist())) == len(counts) == 9
+
+
+def test_encoder_when_pieces_share_a_hash(monkeypatch):
+    """The memo compares bytes, so equal hashes change no id."""
+    monkeypatch.setattr(common, "piece_hashes", lambda raw, first, size: (raw[first].astype(np.uint64) % np.uint64(3)) + np.uint64(1))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, encoder = Tokenizer.from_file(path), common.Encoder(path)
+    texts = [t or "" for t in TEXTS] + ["a long text of several words, some of which are extraordinarilylongandunlikely " * 3]
+    for _ in range(2):
+        ids, counts = encoder.encode(pa.array(texts))
+        ends = np.cumsum(counts)
+        for t, e, c in zip(texts, ends, counts):
+            assert ids[e - c : e].tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_token_counts_and_cache(spark):
     docs, path = frame(spark), public_tokenizers.path("byte_bpe_50k.json")
     cache = common.new_folder(spark, "cache")
