@@ -115,7 +115,8 @@ def splice(seq, pos0, ref, alt) -> Column:
 def padded_window(seq, seq_start, start, end) -> Column:
     """[start, end) of a chromosome from a piece that begins at seq_start, with N where the piece doesn't reach."""
     s, offset = _c(seq), _c(seq_start)
-    left = F.greatest(offset - _c(start), F.lit(0))
-    right = F.greatest(_c(end) - (offset + F.length(s)), F.lit(0))
-    body = s.substr(F.greatest(_c(start) - offset, F.lit(0)).cast("int") + 1, F.greatest(_c(end) - _c(start) - left - right, F.lit(0)).cast("int"))
+    size = _c(end) - _c(start)
+    left = F.least(F.greatest(offset - _c(start), F.lit(0)), size)
+    right = F.least(F.greatest(_c(end) - (offset + F.length(s)), F.lit(0)), size - left)
+    body = s.substr(F.greatest(_c(start) - offset, F.lit(0)).cast("int") + 1, (size - left - right).cast("int"))
     return F.concat(F.repeat(F.lit("N"), left.cast("int")), body, F.repeat(F.lit("N"), right.cast("int")))

@@ -65,7 +65,8 @@ def motif_profile(seq: str, words: list[str], width: int) -> Column:
     k = len(words[0])
     inside = F.sequence(F.lit(1), F.lit(width - k + 1))
     s = F.col(seq)
-    return F.transform(F.sequence(F.lit(0), F.floor(F.length(s) / width).cast("int") - 1), lambda b: F.exists(inside, lambda j: s.substr(b * width + j, F.lit(k)).isin(*words)))
+    bins = F.slice(F.sequence(F.lit(0), F.floor(F.length(s) / width).cast("int")), F.lit(1), F.floor(F.length(s) / width).cast("int"))
+    return F.transform(bins, lambda b: F.exists(inside, lambda j: s.substr(b * width + j, F.lit(k)).isin(*words)))
 
 
 def sliding_profile(seq: str, words: list[str], length: int, width: int) -> Column:

@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from .cohort import without_overlaps
 
 
-def personal_windows(windows: DataFrame, variants: DataFrame) -> DataFrame:
+def personal_windows(windows: DataFrame, variants: DataFrame, width: int = 1024) -> DataFrame:
     """(windows' columns, sample, mutated, shift): each window with each sample's variants that lie in it.
 
     windows: (event, chrom, start, seq) with 0-based start; variants: (sample, chrom, pos 0-based, ref, alt), first
     alternative allele only. A variant that begins before the end of the last one kept is left out. An allele that
-    isn't there is an error. Only windows travel, never chromosomes.
+    isn't there is an error. Only windows travel, never chromosomes; windows and variants meet by bins of positions.
     """
-    inside = windows.join(variants, "chrom").where((F.col("pos") >= F.col("start")) & (F.col("pos") + F.length("ref") <= F.col("start") + F.length("seq")))
+    bins = lambda first, last: F.explode(F.sequence(F.floor(first / width), F.floor(last / width)))
+    placed = windows.withColumn("_bin", bins(F.col("start"), F.col("start") + F.length("seq")))
+    known = variants.withColumn("_bin", F.floor(F.col("pos") / width))
+    inside = placed.join(known, ["chrom", "_bin"]).where((F.col("pos") >= F.col("start")) & (F.col("pos") + F.length("ref") <= F.col("start") + F.length("seq"))).drop("_bin")
     first = F.get(F.split("alt", ","), F.lit(0))
     grouped = inside.groupBy("event", "chrom", "start", "seq", "sample").agg(F.collect_set(F.struct("pos", "ref", first.alias("alt"))).alias("v"))
     rows = grouped.withColumn("v", without_overlaps(F.col("v")))

@@ -12,7 +12,7 @@ from seqlume.operators.cohort import without_overlaps
 
 from .base import query, read, seconds
 from .flagship import ANNOTATE_SQL, annotate_windows
-from .sequences import _LETTERS, _bases
+from .sequences import _LETTERS, _bases, _tiles, _tiles_sql
 
 #: Suppliers as events: a microexon of 3 to 9 bases between introns of 400 and 300 bases, every second one reversed.
 _EVENTS_SQL = """ev AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN '+' ELSE '-' END AS strand, 10000 * s_suppkey + 1000 AS ms, 3 + s_suppkey % 7 AS n FROM supplier)"""
@@ -53,51 +53,55 @@ def liftover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH s AS (SELECT doc_id, substr({_LETTERS}, 1, 50) AS s, CAST(doc_id % 20 AS INTEGER) AS p, CAST(25 + doc_id % 20 AS INTEGER) AS q FROM documents)
-SELECT doc_id, 'a' AS sample, concat(substr(s, 1, p), 'GG', substr(s, p + 2)) AS mutated, 1 AS shift FROM s WHERE length(s) = 50
-UNION ALL SELECT doc_id, 'b', concat(substr(s, 1, p), 'GG', substr(s, p + 2, q - p - 1), substr(s, q + 1, 1), substr(s, q + 4)), -1 FROM s WHERE length(s) = 50"""
+    f"""WITH w AS ({_tiles_sql(50)}), s AS (SELECT *, CAST(doc_id % 20 AS INTEGER) AS p, CAST(25 + doc_id % 20 AS INTEGER) AS q FROM w),
+m AS (SELECT doc_id, win, q, s, concat(substr(s, 1, p), 'GG', substr(s, p + 2)) AS one, concat(substr(s, 1, p), 'GG', substr(s, p + 2, q - p), substr(s, q + 4)) AS two FROM s WHERE length(s) > p)
+SELECT doc_id, win, 'a' AS sample, one AS mutated, 1 AS shift FROM m
+UNION ALL SELECT doc_id, win, 'b', CASE WHEN length(s) >= q + 3 THEN two ELSE one END, CASE WHEN length(s) >= q + 3 THEN -1 ELSE 1 END FROM m"""
 )
 def personal_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows with all variants of each sample: an insertion, and in one sample a deletion of two bases as well."""
-    s = _bases(spark, sf_dir).select("doc_id", F.substring("s", 1, 50).alias("seq")).where("length(seq) = 50")
-    w = s.select(F.col("doc_id").alias("event"), F.col("doc_id").cast("string").alias("chrom"), F.lit(100).cast("long").alias("start"), "seq")
+    """Windows of the whole sequences with all variants of each sample: an insertion, and in one sample a deletion of
+    two bases as well, in each window that is long enough."""
+    s = _tiles(spark, sf_dir, 50).withColumnRenamed("s", "seq")
+    w = s.select(F.struct("doc_id", "win").alias("event"), F.col("doc_id").cast("string").alias("chrom"), (F.col("win") + 100).alias("start"), "seq")
     p, q = F.col("doc_id") % 20, 25 + F.col("doc_id") % 20
     base = lambda at, n: F.col("seq").substr((at + 1).cast("int"), F.lit(n))
-    record = lambda sample, at, ref, alt: F.struct(F.lit(sample).alias("sample"), (at + 100).alias("pos"), ref.alias("ref"), alt.alias("alt"))
-    v = s.select(F.col("doc_id").cast("string").alias("chrom"), F.explode(F.array(record("a", p, base(p, 1), F.lit("GG")), record("b", p, base(p, 1), F.lit("GG")), record("b", q, base(q, 3), base(q, 1)))).alias("x")).select("chrom", "x.*")
-    return genome.personal_windows(w, v).select(F.col("event").alias("doc_id"), "sample", "mutated", "shift")
+    record = lambda sample, at, ref, alt: F.struct(F.lit(sample).alias("sample"), (F.col("win") + at + 100).alias("pos"), ref.alias("ref"), alt.alias("alt"), (at + F.length(ref) <= F.length("seq")).alias("there"))
+    records = F.array(record("a", p, base(p, 1), F.lit("GG")), record("b", p, base(p, 1), F.lit("GG")), record("b", q, base(q, 3), base(q, 1)))
+    v = s.select(F.col("doc_id").cast("string").alias("chrom"), F.explode(records).alias("x")).select("chrom", "x.*").where("there and (alt = 'GG' or length(ref) = 3) and ref <> ''").drop("there")
+    return genome.personal_windows(w, v).select("event.doc_id", "event.win", "sample", "mutated", "shift")
 
 
 @query(
-    f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS start, round(3 * log2(2.8), 6) AS score FROM (SELECT doc_id, substr({_LETTERS}, 1, 500) AS s FROM documents), LATERAL unnest(generate_series(1, length(s) - 2)) AS t(i) WHERE substr(s, i, 3) = 'ATG'"
+    f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS start, round(3 * log2(2.8), 6) AS score FROM (SELECT doc_id, {_LETTERS} AS s FROM documents), LATERAL unnest(generate_series(1, length(s) - 2)) AS t(i) WHERE substr(s, i, 3) = 'ATG'"
 )
 def matrix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of a letter-probability matrix above a score."""
-    s = _bases(spark, sf_dir).select(F.col("doc_id").cast("string").alias("name"), F.substring("s", 1, 500).alias("seq"))
+    s = _bases(spark, sf_dir).select(F.col("doc_id").cast("string").alias("name"), F.col("s").alias("seq"))
     matrix = np.array([[0.7, 0.1, 0.1, 0.1], [0.1, 0.1, 0.1, 0.7], [0.1, 0.1, 0.7, 0.1]])
     hits = features.matrix_scan(s, {"atg": matrix}, 2.0)
     return hits.select(F.col("name").cast("long").alias("doc_id"), "start", F.round("score", 6).alias("score"))
 
 
 @query(
-    f"""WITH w AS (SELECT doc_id, substr(s, i, 2) AS kmer, CAST(i - 1 AS INTEGER) AS pos FROM (SELECT doc_id, substr({_LETTERS}, 1, 20) AS s FROM documents), LATERAL unnest(generate_series(1, length(s) - 1)) AS t(i))
+    f"""WITH w AS (SELECT doc_id, substr(s, i, 2) AS kmer, CAST(i - 1 AS INTEGER) AS pos FROM (SELECT doc_id, {_LETTERS} AS s FROM documents), LATERAL unnest(generate_series(1, length(s) - 1)) AS t(i))
 SELECT kmer, CAST(pos // 5 AS BIGINT) AS bin, round(avg((doc_id % 7) + (pos + 0.5) * 0.25), 6) AS effect FROM w GROUP BY 1, 2"""
 )
 def motif_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean effect of a k-mer's positions, then of its occurrences, by bin of position."""
-    s = _bases(spark, sf_dir).select(F.col("doc_id").alias("event"), F.lit("up").alias("region"), F.substring("s", 1, 20).alias("seq"), F.lit(0).alias("first_pos"))
-    effects = s.select("event", "region", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("rel_pos")).withColumn("delta", F.col("event") % 7 + F.col("rel_pos") * 0.25)
+    s = _bases(spark, sf_dir).where("s <> ''").select(F.col("doc_id").alias("event"), F.lit("up").alias("region"), F.col("s").alias("seq"), F.lit(0).alias("first_pos"))
+    effects = s.select("event", "region", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("rel_pos")).withColumn("delta", F.col("event") % 7 + F.col("rel_pos") * 0.25)
     heat = features.motif_heatmap(effects, s, 2, F.floor(F.col("pos") / 5))
     return heat.select("kmer", "bin", F.round("effect", 6).alias("effect"))
 
 
 @query(
-    f"""WITH p AS (SELECT doc_id, s, CAST(i - 1 AS INTEGER) AS pos FROM (SELECT doc_id, substr({_LETTERS}, 1, 40) AS s FROM documents), LATERAL unnest(generate_series(1, length(s) - 1)) AS t(i))
-SELECT a.doc_id, a.pos AS pos1, b.pos AS pos2, row_number() OVER (PARTITION BY a.doc_id ORDER BY a.pos, b.pos) - 1 AS j FROM p a JOIN p b ON a.doc_id = b.doc_id AND substr(a.s, a.pos + 1, 2) = 'AT' AND substr(b.s, b.pos + 1, 2) = 'CA' AND (a.pos + 2 <= b.pos OR b.pos + 2 <= a.pos)"""
+    f"""WITH w AS ({_tiles_sql(40)}), p AS (SELECT doc_id, win, s, CAST(i - 1 AS INTEGER) AS pos FROM w, LATERAL unnest(generate_series(1, length(s) - 1)) AS t(i))
+SELECT a.doc_id, a.win, a.pos AS pos1, b.pos AS pos2, row_number() OVER (PARTITION BY a.doc_id, a.win ORDER BY a.pos, b.pos) - 1 AS j FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.win = b.win AND substr(a.s, a.pos + 1, 2) = 'AT' AND substr(b.s, b.pos + 1, 2) = 'CA' AND (a.pos + 2 <= b.pos OR b.pos + 2 <= a.pos)"""
 )
 def double_mutants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _bases(spark, sf_dir).select("doc_id", F.substring("s", 1, 40).alias("seq"))
-    return mutagenesis.double_changes(s, "doc_id", "seq", ["AT", "CA"]).select("doc_id", "pos1", "pos2", F.col("j").cast("long").alias("j"))
+    """Pairs of changes within windows of 40 letters, which bound the pairs, of the whole sequences."""
+    s = _tiles(spark, sf_dir, 40).select(F.struct("doc_id", "win").alias("window"), F.col("s").alias("seq"))
+    return mutagenesis.double_changes(s, "window", "seq", ["AT", "CA"]).select("window.doc_id", "window.win", "pos1", "pos2", F.col("j").cast("long").alias("j"))
 
 
 @query(
@@ -134,21 +138,22 @@ def length_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.lengths(e, {"up_length": (2.0, 0.5)}).select(F.col("event").alias("id"), *(F.round(c, 6).alias(c) for c in ("up_length", "dn_length", "exon_length")))
 
 
-@query(f"SELECT doc_id, repeat('N', 5) || substr(s, 1, 15) AS first, rpad(substr(s, 21, 20), 20, 'N') AS last FROM (SELECT doc_id, substr({_LETTERS}, 1, 30) AS s FROM documents) WHERE length(s) = 30")
+@query(f"WITH w AS ({_tiles_sql(30)}) SELECT doc_id, win, repeat('N', 5) || rpad(substr(s, 1, 15), 15, 'N') AS first, rpad(substr(s, 21, 20), 20, 'N') AS last FROM w")
 def padded_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows that reach past a sequence's ends."""
-    s = _bases(spark, sf_dir).select("doc_id", F.substring("s", 1, 30).alias("seq")).where("length(seq) = 30")
-    at = lambda a, b: sequence.padded_window("seq", F.lit(0), F.lit(a), F.lit(b))
-    return s.select("doc_id", at(-5, 15).alias("first"), at(20, 40).alias("last"))
+    """Windows that reach past the ends of the pieces of 30 letters that sequences are held in."""
+    s = _tiles(spark, sf_dir, 30)
+    cut = lambda a, b: sequence.padded_window("s", F.col("win"), F.col("win") + a, F.col("win") + b)
+    return s.select("doc_id", "win", cut(-5, 15).alias("first"), cut(20, 40).alias("last"))
 
 
 @query(
-    f"SELECT doc_id, CAST(b AS BIGINT) AS bin, max(CASE WHEN substr(s, 3 * b + j, 4) IN ('TATA', 'ATAT', 'ACAT') THEN 1 ELSE 0 END) AS present FROM (SELECT doc_id, substr({_LETTERS}, 1, 60) AS s FROM documents) d, generate_series(0, 18) g(b), generate_series(1, 3) h(j) WHERE length(s) = 60 AND 3 * b <= 54 GROUP BY 1, 2"
+    f"WITH w AS (SELECT doc_id, win, rpad(s, 60, 'N') AS s FROM ({_tiles_sql(60)})) SELECT doc_id, win, CAST(b AS BIGINT) AS bin, max(CASE WHEN substr(s, 3 * b + j, 4) IN ('TATA', 'ATAT', 'ACAT') THEN 1 ELSE 0 END) AS present FROM w, generate_series(0, 18) g(b), generate_series(1, 3) h(j) WHERE 3 * b <= 54 GROUP BY 1, 2, 3"
 )
 def sliding_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _bases(spark, sf_dir).select("doc_id", F.substring("s", 1, 60).alias("s")).where("length(s) = 60")
-    bins = s.select("doc_id", F.posexplode(enrichment.sliding_profile("s", ["TATA", "ATAT", "ACAT"], 60, 3)).alias("bin", "hit"))
-    return bins.select("doc_id", F.col("bin").cast("long").alias("bin"), F.col("hit").cast("int").alias("present"))
+    """Sliding bins of windows of 60 letters, the last one filled up, of the whole sequences."""
+    s = _tiles(spark, sf_dir, 60).withColumn("s", F.rpad("s", 60, "N"))
+    bins = s.select("doc_id", "win", F.posexplode(enrichment.sliding_profile("s", ["TATA", "ATAT", "ACAT"], 60, 3)).alias("bin", "hit"))
+    return bins.select("doc_id", "win", F.col("bin").cast("long").alias("bin"), F.col("hit").cast("int").alias("present"))
 
 
 @query(

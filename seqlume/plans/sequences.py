@@ -22,9 +22,19 @@ def _bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.regexp_replace("s", "[^ACGT]", "").alias("s"))
 
 
-@query(f"SELECT doc_id, reverse(translate(substr({_LETTERS}, 1, 60), 'ACGTN', 'TGCAN')) AS rc FROM documents")
+def _tiles_sql(n: int) -> str:
+    return f"SELECT doc_id, CAST({n} * i AS BIGINT) AS win, substr(s, {n} * i + 1, {n}) AS s FROM (SELECT doc_id, {_LETTERS} AS s FROM documents), LATERAL unnest(generate_series(0, (length(s) - 1) // {n})) AS t(i) WHERE length(s) > 0"
+
+
+def _tiles(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """Each sequence in windows of n letters side by side, the last one shorter: (doc_id, win, s)."""
+    pieces = F.regexp_extract_all("s", F.lit(f".{{1,{n}}}"), 0)
+    return _bases(spark, sf_dir).select("doc_id", F.posexplode(pieces).alias("i", "s")).select("doc_id", (F.col("i") * F.lit(n)).cast("long").alias("win"), "s")
+
+
+@query(f"SELECT doc_id, reverse(translate({_LETTERS}, 'ACGTN', 'TGCAN')) AS rc FROM documents")
 def revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bases(spark, sf_dir).select("doc_id", sequence.reverse_complement(F.substring("s", 1, 60)).alias("rc"))
+    return _bases(spark, sf_dir).select("doc_id", sequence.reverse_complement("s").alias("rc"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 0 THEN round((length(text) - length(translate(text, 'GCgc', ''))) / length(text), 6) END AS gc FROM documents")
@@ -47,13 +57,12 @@ def motif_overlap_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"SELECT doc_id, CAST(i AS BIGINT) AS bin, max(CASE WHEN substr(s, 10 * i + j, 3) IN ('ATT', 'TTA', 'CAT') AND j <= 8 THEN 1 ELSE 0 END) AS present FROM (SELECT doc_id, substr({_LETTERS}, 1, 60) AS s FROM documents), LATERAL unnest(generate_series(0, 5)) AS t(i), LATERAL unnest(generate_series(1, 8)) AS u(j) WHERE length(s) = 60 GROUP BY 1, 2"
+    f"WITH w AS ({_tiles_sql(60)}) SELECT doc_id, CAST(win // 10 + i AS BIGINT) AS bin, max(CASE WHEN substr(s, 10 * i + j, 3) IN ('ATT', 'TTA', 'CAT') THEN 1 ELSE 0 END) AS present FROM w, LATERAL unnest(generate_series(0, length(s) // 10 - 1)) AS t(i), LATERAL unnest(generate_series(1, 8)) AS u(j) GROUP BY 1, 2"
 )
 def motif_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a bin of ten letters holds one of some 3-mers."""
-    s = _bases(spark, sf_dir).select("doc_id", F.substring("s", 1, 60).alias("s")).where("length(s) = 60")
-    bins = s.select("doc_id", F.posexplode(enrichment.motif_profile("s", ["ATT", "TTA", "CAT"], 10)).alias("bin", "hit"))
-    return bins.select("doc_id", F.col("bin").cast("long").alias("bin"), F.col("hit").cast("int").alias("present"))
+    """Whether each full bin of ten letters of the whole sequence holds one of some 3-mers."""
+    bins = _tiles(spark, sf_dir, 60).select("doc_id", "win", F.posexplode(enrichment.motif_profile("s", ["ATT", "TTA", "CAT"], 10)).alias("bin", "hit"))
+    return bins.select("doc_id", (F.floor(F.col("win") / 10) + F.col("bin")).alias("bin"), F.col("hit").cast("int").alias("present"))
 
 
 @query(
@@ -73,20 +82,18 @@ def kmer_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"SELECT doc_id, pos, ref, alt FROM (SELECT doc_id, CAST(i AS INTEGER) - 1 AS pos, substr(s, i, 1) AS ref FROM (SELECT doc_id, substr({_LETTERS}, 1, 20) AS s FROM documents), LATERAL unnest(generate_series(1, length(s))) AS t(i)), (VALUES ('A'), ('C'), ('G'), ('T')) v(alt) WHERE alt <> ref"
+    f"SELECT doc_id, pos, ref, alt FROM (SELECT doc_id, CAST(i AS INTEGER) - 1 AS pos, substr(s, i, 1) AS ref FROM (SELECT doc_id, {_LETTERS} AS s FROM documents), LATERAL unnest(generate_series(1, length(s))) AS t(i)), (VALUES ('A'), ('C'), ('G'), ('T')) v(alt) WHERE alt <> ref"
 )
 def saturation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every substitution of a window of 20 letters."""
-    s = _bases(spark, sf_dir).select("doc_id", F.substring("s", 1, 20).alias("s"))
-    return mutagenesis.substitutions(s, "s").select("doc_id", "pos", "ref", "alt")
+    """Every substitution of every sequence."""
+    return mutagenesis.substitutions(_bases(spark, sf_dir), "s").select("doc_id", "pos", "ref", "alt")
 
 
-@query(
-    f"SELECT doc_id, concat(substr(s, 1, 5), 'TTT', substr(s, 7)) AS mutated FROM (SELECT doc_id, substr({_LETTERS}, 1, 30) AS s FROM documents) WHERE length(s) >= 10"
-)
+@query(f"WITH w AS ({_tiles_sql(30)}) SELECT doc_id, win, concat(substr(s, 1, 5), 'TTT', substr(s, 7)) AS mutated FROM w WHERE length(s) >= 6")
 def apply_single_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _bases(spark, sf_dir).select("doc_id", F.substring("s", 1, 30).alias("s")).where("length(s) >= 10")
-    return s.select("doc_id", sequence.splice("s", F.lit(5), F.substring("s", 6, 1), F.lit("TTT")).alias("mutated"))
+    """The sixth letter of every window that has one becomes TTT."""
+    w = _tiles(spark, sf_dir, 30).where("length(s) >= 6")
+    return w.select("doc_id", "win", sequence.splice("s", F.lit(5), F.substring("s", 6, 1), F.lit("TTT")).alias("mutated"))
 
 
 @query()
