@@ -1,48 +1,78 @@
 """The corpus pipeline: quality rules, toxicity, near duplicates, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the
-columns of documents. doc_id is the key of documents.
+columns of documents. doc_id is the key of documents, but no stage relies on it: rows are told apart by where they
+stand in their files, so a row without an id, or one that repeats another's id, is judged by its own text.
+
+Edge cases, the same for every stage unless its docstring adds to them: nulls in any column stay as they are; a null
+text is an empty one; very long texts are judged whole; equal rows are judged alike (and only one of them outlives the
+third stage); an empty table gives an empty table; further columns of documents, whatever their names, go through to
+the fourth stage's result.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlume.llm import common, decontaminate, jaccard_join, packing, quality_rules, toxicity
 
-BROADCAST_ROWS = 1_000_000  # ids of 8 bytes
+BROADCAST_ROWS = 1_000_000  # row numbers of 8 bytes
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _row, a 64-bit digest of a row's file and its place there, and nothing else but documents' columns.
+
+    A table that isn't read from files is written first. Two of 1e8 rows share a digest with a chance of 3e-4.
+    """
+    row = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("_row")
+    try:
+        return docs.select("*", row)
+    except AnalysisException:
+        return common.staged(docs, "pipeline-rows").select("*", row)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows of these ids. Few enough ids are broadcast, more are joined by shuffle."""
-    ids = common.staged(ids.where("doc_id is not null").distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti").select(*docs.columns)
+def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """keyed without these rows and without _row. Few enough rows are broadcast, more are joined by shuffle."""
+    rows = common.staged(rows.select("_row").distinct(), "dropped")
+    left = keyed.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, "_row", "left_anti")
+    return left.drop("_row")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the threshold table rejects go; its measures and the text come from the same scan."""
-    rows = docs.withColumn("_row", F.struct(*docs.columns))
-    judged = quality_rules.apply_rules(rows, id_col="_row")
-    return judged.where("passed").select("doc_id.*")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    return quality_rules.apply_rules(rows, id_col="_row").where("passed").select("doc_id.*")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a calibrated score of 0.5 or more go. The model learns from labelled documents that are left."""
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
-    return _without(docs, model.score(docs).where("score >= 0.5").select("doc_id"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    return model.score(rows, id_col="_row").where("score < 0.5").select("doc_id.*")
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    groups = jaccard_join.near_duplicates(docs)
-    return _without(docs, groups.where("doc_id != component_id").select("doc_id"))
+    """Of each group of near duplicates one document stays: that with the smallest id, of several the one with the
+    smallest row digest; rows without an id only stay where no row of their group has one. Documents without words
+    are near no other."""
+    keyed = _keyed(docs)
+    groups = jaccard_join.near_duplicates(keyed, id_col="_row")
+    more = common.staged(groups.where("doc_id != component_id").select(F.col("doc_id").alias("_row"), "component_id"), "duplicates")
+    members = more.union(more.select(F.col("component_id").alias("_row"), "component_id")).distinct()
+    named = keyed.select("_row", "doc_id").join(members, "_row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("stays"))
+    stays = common.staged(first.select(F.col("stays._row").alias("_row")), "stays")
+    return _without(keyed, members.join(stays, "_row", "left_anti"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return _without(docs, decontaminate.find_leaks(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id"))
+    """Documents that hold a benchmark item go; without items all stay."""
+    keyed = _keyed(docs)
+    found = decontaminate.find_leaks(keyed.select(F.col("_row").alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
+    return _without(keyed, found.select(F.col("doc_id").alias("_row")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

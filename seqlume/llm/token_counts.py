@@ -3,7 +3,8 @@
 A text's digest and the digest of the tokenizer's file are looked up in a stored table of counts. Only texts that
 are not there are encoded, each distinct one once, and their counts are appended to the table.
 
-Edge cases: a null text counts as the empty text (0 tokens); equal texts share one digest; an empty table gives an
+Edge cases: a null text counts as the empty text (0 tokens); very long texts are counted whole; equal texts share one
+digest, so it makes no difference which of them is encoded; repeated rows and null ids stay; an empty table gives an
 empty result; further columns are ignored, whatever their names.
 """
 
@@ -70,7 +71,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("digest", F.unhex(F.sha2(F.col("text"), 256)))
     known = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
-    misses = keyed.select("digest", "text").join(known, "digest", "left_anti").dropDuplicates(["digest"])
+    # equal texts fall together in the task that reads them, so a text of many rows is sent once by each task
+    misses = keyed.groupBy("digest").agg(F.first("text").alias("text")).join(known, "digest", "left_anti")
     misses.select("digest", "text").mapInArrow(_encode(tokenizer_path, version), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     # written, so that the join reads exchanges alone and Spark can split a digest that many rows share
     counts = common.staged(read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens").dropDuplicates(["digest"]), "token-counts")

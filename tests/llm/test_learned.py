@@ -344,3 +344,55 @@ def test_pipeline(spark):
     assert kept[2] == {d for d, _, c in groups if d == c}
     packed = corpus_pipeline.run(spark, sf)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == kept[3]
+
+
+@pytest.fixture(scope="module")
+def odd_documents(spark, tmp_path_factory):
+    """A table with null and repeated ids, repeated rows, null, empty and very long texts, and clashing columns."""
+    rng = random.Random(12)
+    folder = str(tmp_path_factory.mktemp("odd"))
+    prose_ = lambda n: "the of and " + prose(rng, n)
+    base, item = prose_(120), prose(rng, 40) + ".\n" + prose(rng, 6) + "."
+    rows = [(i, prose_(rng.randint(60, 90)), "en", "a", 1, 1, "x", 0.5) for i in range(30)]
+    rows += [(40, base, "en", "a", 1, 1, "x", 0.5)] * 3 + [(None, base, None, None, None, None, None, None), (7, base + " end", "en", "b", 1, 1, None, 0.1)]
+    rows += [(None, prose_(80), "en", "a", 1, 1, "x", 0.5), (41, f"{prose_(60)} {item}", "en", "a", 1, 1, "x", 0.5), (41, prose_(75), "en", "a", 1, 1, "x", 0.5), (None, f"{item} {prose_(70)}", "en", "a", 1, 1, "x", 0.5)]
+    rows += [(50, None, None, None, None, 1, "x", 0.5), (51, "", "", "", 0, 1, "x", 0.5), (52, prose_(30_000), "en", "a", 1, 1, "x", 0.5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, component_id long, part string, score double"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
+    return folder, rows, base, item
+
+
+def test_pipeline_with_odd_documents(spark, odd_documents):
+    folder, rows, base, item = odd_documents
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    count = lambda df: collections.Counter(r["text"] for r in df.collect())
+    good = corpus_pipeline.quality(spark, docs, folder)
+    assert good.columns == docs.columns
+    assert count(good) == collections.Counter(r[1] for r in rows if r[1])  # empty texts have too few words
+    assert count(corpus_pipeline.toxic(spark, docs, folder)) == collections.Counter(r[1] for r in rows)  # one class only: no score of 0.5
+    one = corpus_pipeline.duplicates(spark, docs, folder)
+    assert one.columns == docs.columns
+    left = one.collect()
+    texts = collections.Counter(r[1] for r in rows)
+    near = {base, base + " end"}
+    assert [(r["doc_id"], r["text"]) for r in left if r["text"] in near] == [(7, base + " end")]
+    assert collections.Counter(r["text"] for r in left if r["text"] not in near) == collections.Counter({t: n for t, n in texts.items() if t not in near})
+    clean = corpus_pipeline.leaks(spark, docs, folder)
+    assert clean.columns == docs.columns
+    assert count(clean) == collections.Counter(r[1] for r in rows if item not in (r[1] or ""))
+    packed = corpus_pipeline.packed(spark, docs, folder)
+    assert packed.where("piece = 0").count() == len(rows)
+    assert packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").isEmpty()
+    assert corpus_pipeline.run(spark, folder).where("piece = 0").count() == len({t for t in texts if t and t not in near and item not in t}) + 1
+
+
+def test_pipeline_of_rows_that_are_not_in_files(spark, odd_documents):
+    folder, rows, base, item = odd_documents
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    none = spark.createDataFrame([], docs.schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, folder).count() == 0
+    few = spark.createDataFrame([(1, "same text here", None, None, None, None, None, None)] * 2, docs.schema)
+    assert corpus_pipeline.duplicates(spark, few, folder).count() == 1
