@@ -13,7 +13,9 @@ written under another name and then renamed, so a repeated task leaves the same
 without a count. Scoring reads texts once more and looks words and n-grams up in the memory-mapped arrays by vectorised
 binary search, without a shuffle. How many partitions there are grows with the tokens.
 
-Two different words or n-grams share a hash with a chance of about 3e-6 in 1e7 distinct ones.
+Two different words share a hash with a chance of about 3e-6 in 1e7 distinct ones. Of an n-gram's hash 32 bits beyond
+those that tell its place within about 16 entries are stored, so one that training has not seen is taken for one that
+it has with a chance of about 4e-9.
 
 Edge cases: a null text is an empty one and has its end token only; very long texts are counted and scored whole;
 without training rows every token has the uniform probability 1 / (V + 1) with V = 0; repeated rows count as often as
@@ -56,6 +58,37 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
     os.replace(own, os.path.join(folder, f"{name}.npy"))
 
 
+def _least_kind(counts: np.ndarray) -> np.ndarray:
+    """Whole numbers in the smallest type that holds them all."""
+    return counts.astype(np.min_scalar_type(int(counts.max()) if counts.size else 0))
+
+
+def _save_keys(folder: str, name: str, keys: np.ndarray) -> None:
+    """Sorted keys in about 4.3 bytes each: where the keys of each value of the uppermost bits begin, about 16 keys on
+    average, and the 32 bits of each key that follow."""
+    bits = max(len(keys).bit_length() - 4, 1)
+    begin = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    kind, part = name.rsplit("-", 1)
+    _save(folder, f"{kind}-begin-{part}", begin.astype(np.uint32))
+    _save(folder, f"{kind}-low-{part}", (keys >> np.uint64(32 - bits)).astype(np.uint32))
+
+
+def find_short(begin: np.ndarray, low: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Where each asked key stands among keys that _save_keys has written; -1 where it doesn't."""
+    if not len(low):
+        return np.full(len(asked), -1, np.int64)
+    bits = (len(begin) - 1).bit_length() - 1
+    group = (asked >> np.uint64(64 - bits)).astype(np.int64)
+    rest = (asked >> np.uint64(32 - bits)).astype(np.uint32)
+    lo, end = begin[group].astype(np.int64), begin[group + 1].astype(np.int64)
+    hi = end.copy()
+    while (lo < hi).any():
+        middle = (lo + hi) >> 1
+        less = (low[np.minimum(middle, len(low) - 1)] < rest) & (lo < hi)
+        lo, hi = np.where(less, middle + 1, lo), np.where(less, hi, np.minimum(middle, hi))
+    return np.where((lo < end) & (low[np.minimum(lo, len(low) - 1)] == rest), lo, -1)
+
+
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all rows' words with each row's end token, and the number of tokens of each row."""
     words, counts = common.word_hashes(column)
@@ -166,7 +199,7 @@ def _merge_words(folder: str, share: int):
         for part, (k, c) in _read(batches, "<u8", "<u4").items():
             keys, counts = merged(np.concatenate(k), np.concatenate(c).astype(np.int64))
             _save(folder, f"word-key-{part}", keys)
-            _save(folder, f"word-count-{part}", counts)
+            _save(folder, f"word-count-{part}", _least_kind(counts))
             rows.append((part, "words", 0, int(counts.sum()), len(keys), 0, 0))
             for i in np.argsort(-counts)[:share].tolist():
                 rows.append((part, "top", int(keys[i : i + 1].view(np.int64)[0]), int(counts[i]), 0, 0, 0))
@@ -188,17 +221,21 @@ class Arrays:
     def array(self, name: str, part: int) -> np.ndarray:
         if (name, part) not in self.held:
             path = os.path.join(self.folder, f"{name}-{part}.npy")
-            empty = np.empty((0, 4) if name.endswith("stats") else 0, np.uint64 if name.endswith("key") else np.int64)
+            empty = np.empty((0, 4) if name.endswith("stats") else 0, np.uint64)
             self.held[name, part] = np.load(path, mmap_mode="r") if os.path.exists(path) else empty
         return self.held[name, part]
 
-    def places(self, keys_name: str, keys: np.ndarray, part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def places(self, kind: str, keys: np.ndarray, part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each partition: its number, the indices of the keys that it holds, and where it holds them."""
+        short = kind.startswith(("bigram", "pair", "trigram"))
         order = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(parts + 1))
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             mine = order[cuts[k] : cuts[k + 1]]
-            at = find(self.array(keys_name, k), keys[mine])
+            if short:
+                at = find_short(self.array(f"{kind}-begin", k), self.array(f"{kind}-low", k), keys[mine])
+            else:
+                at = find(self.array(f"{kind}-key", k), keys[mine])
             yield k, mine[at >= 0], at[at >= 0]
 
 
@@ -219,7 +256,7 @@ class Words:
     def codes(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of distinct words (-1: unknown), and their codes, as which n-gram arrays know them."""
         numbers = np.full(len(words), -1, np.int64)
-        for k, mine, at in self.arrays.places("word-key", words, word_part(words, self.parts), self.parts):
+        for k, mine, at in self.arrays.places("word", words, word_part(words, self.parts), self.parts):
             numbers[mine] = self.first[k] + at
         return numbers, np.where(numbers >= 0, code(numbers), words)
 
@@ -344,16 +381,16 @@ def _merge_trigrams(folder: str, parts: int, hot: np.ndarray, kind: str):
             order, first = _groups(key)
             c = np.add.reduceat(c[order].astype(np.int64), first)
             key, pair, v, w = (x[order[first]] for x in (key, pair, v, w))
-            _save(folder, f"trigram1-key-{part}", key[c == 1])
-            _save(folder, f"trigram-key-{part}", key[c > 1])
-            _save(folder, f"trigram-count-{part}", c[c > 1].astype(np.uint32))
+            _save_keys(folder, f"trigram1-{part}", key[c == 1])
+            _save_keys(folder, f"trigram-{part}", key[c > 1])
+            _save(folder, f"trigram-count-{part}", _least_kind(c[c > 1]))
             stats.append((part, "counts", 0, *((c == n).sum() for n in (1, 2, 3, 4))))
             ctx, back = np.unique(pair, return_inverse=True)
             table = np.stack([np.bincount(back, weights=x, minlength=len(ctx)) for x in (c, c == 1, c == 2, c >= 3)], 1)
             once = table[:, 0] == 1
-            _save(folder, f"pair1-key-{part}", ctx[once])
-            _save(folder, f"pair-key-{part}", ctx[~once])
-            _save(folder, f"pair-stats-{part}", table[~once].astype(np.uint32 if table.max() < 2**32 else np.int64))
+            _save_keys(folder, f"pair1-{part}", ctx[once])
+            _save_keys(folder, f"pair-{part}", ctx[~once])
+            _save(folder, f"pair-stats-{part}", _least_kind(table[~once]))
             order = np.lexsort((w, v))
             v, w = v[order], w[order]
             first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
@@ -393,14 +430,15 @@ def _merge_bigrams(folder: str, parts: int, hot: np.ndarray, kind: str):
             order, first = _groups(key)
             c = np.add.reduceat(c[order].astype(np.int64), first)
             key, v, w = (x[order[first]] for x in (key, v, w))
-            _save(folder, f"bigram-key-{part}", key)
-            _save(folder, f"bigram-count-{part}", c.astype(np.uint32))
+            _save_keys(folder, f"bigram1-{part}", key[c == 1])
+            _save_keys(folder, f"bigram-{part}", key[c > 1])
+            _save(folder, f"bigram-count-{part}", _least_kind(c[c > 1]))
             stats.append((part, "counts", 0, *((c == n).sum() for n in (1, 2, 3, 4))))
             ctx, back = np.unique(code(v), return_inverse=True)
             table = np.stack([np.bincount(back, weights=x, minlength=len(ctx)) for x in (c, c == 1, c == 2, c >= 3)], 1).astype(np.int64)
             known = np.isin(ctx, hot)
             _save(folder, f"context-key-{part}", ctx[~known])
-            _save(folder, f"context-stats-{part}", table[~known])
+            _save(folder, f"context-stats-{part}", _least_kind(table[~known]))
             stats += [(part, "hot", int(k), *t) for k, t in zip(ctx[known].view(np.int64).tolist(), table[known].tolist())]
             words, n = np.unique(w, return_counts=True)
             yield _with_stats(_number_blobs(word_part(code(words), parts), parts, n, words))
@@ -416,7 +454,7 @@ def _merge_continuations(folder: str, kind: str):
         for part, (c, w) in _read_numbers(batches, kind, 1):
             keys, counts = merged(code(w), c.astype(np.int64))
             _save(folder, f"follow-key-{part}", keys)
-            _save(folder, f"follow-count-{part}", counts)
+            _save(folder, f"follow-count-{part}", _least_kind(counts))
             rows.append((part, "follow", 0, *((counts == n).sum() for n in (1, 2, 3, 4))))
             rows.append((part, "follow-total", 0, int(counts.sum()), len(keys), int((counts >= 3).sum()), 0))
         yield _stats(rows)
@@ -451,14 +489,14 @@ class Model:
     def look_up(self, kind: str, values: str, keys: np.ndarray, part: np.ndarray, parts: int | None = None) -> np.ndarray:
         """Values of keys, partition by partition; zeros for keys that are not there."""
         out = np.zeros((len(keys), 4) if values == "stats" else len(keys), np.int64)
-        for k, mine, at in self.arrays.places(f"{kind}-key", keys, part, parts or self.parts):
+        for k, mine, at in self.arrays.places(kind, keys, part, parts or self.parts):
             out[mine] = self.arrays.array(f"{kind}-{values}", k)[at]
         return out
 
     def once(self, kind: str, keys: np.ndarray, part: np.ndarray) -> np.ndarray:
         """Which keys are among those that stand for one occurrence."""
         out = np.zeros(len(keys), bool)
-        for _, mine, _ in self.arrays.places(f"{kind}1-key", keys, part, self.parts):
+        for _, mine, _ in self.arrays.places(f"{kind}1", keys, part, self.parts):
             out[mine] = True
         return out
 
@@ -489,7 +527,8 @@ class Model:
         gamma = np.where(stats[:, 0] > 0, stats[:, 1:] @ np.array(self.bigram_discounts) / total, 1.0)
         key = bigram_key(before, toks)
         keys, first, back = np.unique(key, return_index=True, return_inverse=True)
-        c = self.look_up("bigram", "count", keys, bigram_part(before[first], toks[first], self.parts, self.hot_keys))
+        part = bigram_part(before[first], toks[first], self.parts, self.hot_keys)
+        c = self.look_up("bigram", "count", keys, part) + self.once("bigram", keys, part)
         d = np.array([0, *self.bigram_discounts])
         seen = (c - d[np.minimum(c, 3)])[back] / total[ctx_at]
         p = seen + gamma[ctx_at] * p1[at]
