@@ -11,8 +11,9 @@ Shard layout, all integers little-endian unsigned 32-bit:
 Shards are rows of a Parquet data set written by Spark, so a lost or repeated task leaves no partial shard:
 part (range partition), seq (order within it), n_tokens, doc_ids, doc_tokens (ids of each document), payload.
 
-Edge cases: null texts are empty; a null id sorts first; equal ids keep all their rows; an empty table gives no
-shards; further columns are ignored.
+Edge cases: null texts are empty; very long texts stay whole, so a shard may be longer than asked for; a null id sorts
+first; equal ids keep all their rows, in the order of their texts; an empty table gives no shards; ids are cast to
+long; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,39 +34,45 @@ SHARD_SCHEMA = "part int, seq int, n_tokens long, doc_ids array<long>, doc_token
 _BITS = 20
 
 
-def compress(ids: np.ndarray, first: int | None = None, top: int = 4096, least: int = 4, rounds: int = 12, gain: float = 0.02) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, first: int | None = None, top: int = 1 << 14, least: int = 4) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """(first rule symbol, rules, expansion lengths, sequence).
 
-    Each round counts all pairs of neighbours and replaces up to about `top` of the most frequent ones that occur
-    `least` times or more; where two overlap, the more frequent one wins, and the other may be replaced in a later
-    round. It ends when no pair is frequent enough, a round shortens the sequence by less than the share `gain`, or
-    after `rounds` rounds.
+    Each round counts all pairs of neighbours and replaces about `top` of the most frequent ones that occur `least`
+    times or more; where two overlap, the more frequent one wins (of equally frequent ones that with the smaller
+    symbols), and the other may be replaced in a later round. Rounds follow until no pair occurs `least` times or none
+    can be replaced twice.
     """
     seq = np.asarray(ids, np.uint64)
     first = int(first if first is not None else (seq.max() + np.uint64(1) if len(seq) else 0))
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         key = (seq[:-1] << np.uint64(32)) | seq[1:]
+        apart = np.ones(len(key), bool)  # of a run of one symbol: every second pair
+        again = np.flatnonzero(key[1:] == key[:-1]) + 1
+        if len(again):
+            place = np.arange(len(again)) - np.flatnonzero(np.diff(again, prepend=-1) != 1)[np.cumsum(np.diff(again, prepend=-1) != 1) - 1]
+            apart[again] = place % 2 == 1
         bucket = ((key * common._STEP) >> np.uint64(64 - _BITS)).astype(np.int64)
-        counts = np.bincount(bucket, minlength=1 << _BITS)
+        counts = np.bincount(bucket[apart], minlength=1 << _BITS)
         limit = max(least, int(np.partition(counts, -top)[-top]))
-        at = np.flatnonzero(counts[bucket] >= limit)
+        at = np.flatnonzero((counts[bucket] >= limit) & apart)
         pairs, back, n = np.unique(key[at], return_inverse=True, return_counts=True)
+        if not len(n) or n.max() < least:
+            if limit == least:
+                break
+            limit, at = least, np.flatnonzero((counts[bucket] >= least) & apart)
+            pairs, back, n = np.unique(key[at], return_inverse=True, return_counts=True)
+            if not len(n) or n.max() < least:
+                break
+        limit = min(limit, int(n.max()))
         rank = np.full(len(pairs), np.iinfo(np.int32).max, np.int32)
         order = np.argsort(-n, kind="stable")[: int((n >= limit).sum())]
-        if not len(order):
-            break
         rank[order] = np.arange(len(order), dtype=np.int32)
         here = np.full(len(seq) + 1, np.iinfo(np.int32).max, np.int32)
         here[at + 1] = rank[back]
         mine = here[1:-1]
-        again = mine == here[:-2]  # a run of one symbol: every second pair of it
-        place = np.arange(len(mine))
-        place -= np.maximum.accumulate(np.where(again, 0, place))
-        win = np.flatnonzero(((mine < here[:-2]) | again) & (mine <= here[2:]) & (place % 2 == 0) & (mine < np.iinfo(np.int32).max))
+        win = np.flatnonzero((mine < here[:-2]) & (mine < here[2:]))
         chosen = here[win + 1]
         used = np.bincount(chosen, minlength=len(order))
         kept = np.flatnonzero(used >= 2)
@@ -78,11 +85,8 @@ def compress(ids: np.ndarray, first: int | None = None, top: int = 4096, least:
         p = pairs[order[kept]]
         rules.append(np.stack([p >> np.uint64(32), p & np.uint64(0xFFFFFFFF)], 1))
         made += len(kept)
-        before = len(seq)
         seq[win] = new[chosen]
         seq = np.delete(seq, win + 1)
-        if before - len(seq) < gain * before:
-            break
     table = np.concatenate(rules).astype(np.uint32) if rules else np.empty((0, 2), np.uint32)
     length = np.ones(len(table), np.uint32)
     done = 0

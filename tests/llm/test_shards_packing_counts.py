@@ -54,6 +54,19 @@ def test_compression_replaces_frequent_pairs():
     assert len(rules) == len(length)
 
 
+def test_compression_leaves_no_pair_that_is_frequent_enough():
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        ids = rng.integers(0, rng.integers(1, 8), rng.integers(0, 400)).astype(np.uint32)
+        least = int(rng.integers(2, 5))
+        _, _, _, seq = token_shards.compress(ids, least=least, top=int(rng.integers(1, 5)))
+        times, last = {}, {}
+        for i, pair in enumerate(zip(seq.tolist(), seq[1:].tolist())):
+            if last.get(pair, -2) < i - 1:
+                times[pair], last[pair] = times.get(pair, 0) + 1, i
+        assert max(times.values(), default=0) < least
+
+
 def test_bad_shard():
     with pytest.raises(ValueError):
         token_shards.Shard(b"abcd")
