@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from . import groups
 
 
-def manifest(df: DataFrame, part: str, order: str, content: str, counts: dict[str, Column]) -> DataFrame:
-    """A row for each part: SHA-256 over its rows' digests in order, and counts."""
-    rows = df.withColumn("_digest", F.sha2(F.col(content).cast("binary"), 256))
-    digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_digest"))), lambda x: x["_digest"]), ""), 256)
-    return rows.groupBy(part).agg(digest.alias("sha256"), *(c.alias(n) for n, c in counts.items()))
+def manifest(df: DataFrame, part: str, order: str, content: str, counts: dict[str, Column], stretch: int = 4096) -> DataFrame:
+    """A row for each part: SHA-256 over the digests of its stretches in order, and counts.
+
+    A stretch holds the rows of `stretch` values of the whole number `order`; its digest is SHA-256 over its rows'
+    digests in order. So no task gathers all rows of a part.
+    """
+    rows = df.select(part, order, F.sha2(F.col(content).cast("binary"), 256).alias("_digest"), F.floor(F.col(order) / stretch).alias("_cut"))
+    joined = lambda key: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "_digest"))), lambda x: x["_digest"]), ""), 256)
+    digests = rows.groupBy(part, "_cut").agg(joined(order).alias("_digest")).groupBy(part).agg(joined("_cut").alias("sha256"))
+    numbers = df.groupBy(part).agg(*(c.alias(n) for n, c in counts.items())).withColumnRenamed(part, "_part")
+    return digests.join(numbers, F.col(part).eqNullSafe(F.col("_part"))).drop("_part")
 
 
 def scales(ism: DataFrame, table: DataFrame) -> DataFrame:

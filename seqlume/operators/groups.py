@@ -75,20 +75,21 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list, value: Column, name
     return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
 
 
-def numbered(df: DataFrame, order: str, name: str = "row_id", parts: int | None = None) -> DataFrame:
-    """Consecutive row numbers from 0 by a column, without one task that sorts all rows.
+def numbered(df: DataFrame, order, name: str = "row_id", parts: int | None = None) -> DataFrame:
+    """Consecutive row numbers from 0 by a column or a list of columns, without one task that sorts all rows.
 
     Rows are dealt out by range, written, and numbered within each range; the sizes of the ranges, one number for
     each, give where a range begins.
     """
     spark = df.sparkSession
+    order = order if isinstance(order, list) else [order]
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = staged(df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "numbered")
+    dealt = staged(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "numbered")
     sizes = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}
     starts, total = [], 0
     for p in sorted(sizes):
         starts.append((p, total))
         total += sizes[p]
     start = F.broadcast(spark.createDataFrame(starts, "_part int, _start long"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     return dealt.join(start, "_part").withColumn(name, F.col("_start") + inside).drop("_part", "_start")

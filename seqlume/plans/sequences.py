@@ -152,13 +152,17 @@ def classify_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", sequence.variant_type(ref, alt).alias("var_type"))
 
 
-@query("SELECT lang, sha256(string_agg(h, '' ORDER BY doc_id)) AS sha256, count(*) AS n_rows, count(DISTINCT source) AS n_sources FROM (SELECT lang, doc_id, source, sha256(text) AS h FROM documents) GROUP BY 1")
+@query(
+    """WITH s AS (SELECT lang, doc_id // 100 AS cut, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS h FROM documents GROUP BY 1, 2),
+n AS (SELECT lang, count(*) AS n_rows, count(DISTINCT source) AS n_sources FROM documents GROUP BY 1)
+SELECT lang, sha256(string_agg(h, '' ORDER BY cut)) AS sha256, any_value(n_rows) AS n_rows, any_value(n_sources) AS n_sources FROM s JOIN n USING (lang) GROUP BY 1"""
+)
 def manifest_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of each part's rows, their number and that of their sources."""
+    """Digest of each part's rows in two levels, their number and that of their sources."""
     from seqlume.operators.bundle import manifest
 
     docs = read(spark, sf_dir, "documents").select("lang", "doc_id", "source", "text")
-    return manifest(docs, "lang", "doc_id", "text", {"n_rows": F.count("*"), "n_sources": F.countDistinct("source")})
+    return manifest(docs, "lang", "doc_id", "text", {"n_rows": F.count("*"), "n_sources": F.countDistinct("source")}, stretch=100)
 
 
 @query(
