@@ -76,18 +76,20 @@ def file_names(spark: SparkSession, pattern: str, names: dict[str, str]) -> Data
 def markov_matrix(spark: SparkSession, path, positions: int = 9) -> dict[str, list[float]]:
     """word -> a probability for each position; a file of at most 4 + 16 + 64 words."""
     schema = "word string, " + ", ".join(f"p{i} double" for i in range(positions))
-    rows = spark.read.schema(schema).option("sep", "\t").csv(path).limit(1000).collect()
+    rows = spark.read.schema(schema).option("sep", "\t").csv(path).limit(10_001).collect()
+    if len(rows) > 10_000:
+        raise ValueError(f"{path} has more words than a matrix of this kind")
     return {r[0].lower(): list(r[1:]) for r in rows if r[0]}
 
 
 def motifs(spark: SparkSession, path) -> DataFrame:
     """(motif_id, motif_alt_id, row, probabilities) of a MEME text file; rows of a motif count from 0."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
-    w = Window.partitionBy(F.lit(0)).orderBy("n")  # one small file
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+    w = Window.partitionBy("file").orderBy("n")
     marked = lines.withColumn("motif", F.last(F.when(F.col("line").startswith("MOTIF"), F.col("line")), True).over(w))
     rows = marked.where(F.col("motif").isNotNull() & F.col("line").rlike(r"^\s*[0-9.eE+-]+(\s+[0-9.eE+-]+){3}\s*$"))
     names = F.split("motif", r"\s+")
-    number = F.row_number().over(Window.partitionBy("motif").orderBy("n")) - 1
+    number = F.row_number().over(Window.partitionBy("file", "motif").orderBy("n")) - 1
     return rows.select(F.get(names, F.lit(1)).alias("motif_id"), F.coalesce(F.get(names, F.lit(2)), F.lit("")).alias("motif_alt_id"), number.alias("row"), F.transform(F.split(F.trim("line"), r"\s+"), lambda x: x.cast("double")).alias("probabilities"))
 
 

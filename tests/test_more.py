@@ -54,3 +54,73 @@ def test_two_bit(spark, tmp_path):
     (tmp_path / "g.2bit").write_bytes(head + body)
     got = {r["chunk_start"]: r["seq"] for r in readers.two_bit(spark, str(tmp_path / "g.2bit"), size=6, overlap=3).collect()}
     assert got == {b: seq[b : b + 9] for b in range(0, len(seq), 6)}
+
+
+def test_left_overlap_keeps_repeated_rows(spark):
+    from seqlume.operators import intervals
+
+    left = spark.createDataFrame([("1", 5, 9, "a"), ("1", 5, 9, "a"), ("1", 50, 60, None), ("2", None, 3, "b")], "chrom string, qstart long, qend long, name string")
+    right = spark.createDataFrame([("1", 1, 6, "x"), ("1", 1, 6, "x"), ("1", 9, 3000, "y")], "chrom string, start0 long, end0 long, hit string")
+    got = sorted(((r["chrom"], r["name"], r["hit"]) for r in intervals.overlap_join(left, right, width=4, how="left").collect()), key=str)
+    assert got == sorted([("1", "a", "x")] * 4 + [("1", "a", "y")] * 2 + [("1", None, "y"), ("2", "b", None)], key=str)
+    assert sorted(r["hit"] or "" for r in intervals.overlap_join(left, right.limit(0), how="left").collect()) == [""] * 4
+
+
+def test_numbered_by_several_columns(spark):
+    from pyspark.sql import functions as F
+
+    from seqlume.operators import groups
+
+    rows = [(i % 7, None if i % 5 == 0 else i % 3, i) for i in range(60)]
+    got = groups.numbered(spark.createDataFrame(rows, "a int, b int, c int"), ["a", F.asc_nulls_last("b"), "c"], parts=3).collect()
+    want = sorted(rows, key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2]))
+    assert [(r["a"], r["b"], r["c"]) for r in sorted(got, key=lambda r: r["row_id"])] == want
+
+
+def test_manifest_of_stretches(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from seqlume.operators import bundle
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = [("p" if i % 3 else None, i, f"text {i}") for i in range(40)]
+    got = {r["part"]: (r["sha256"], r["n"]) for r in bundle.manifest(spark.createDataFrame(rows, "part string, i long, text string"), "part", "i", "text", {"n": F.count("*")}, stretch=8).collect()}
+    for part in ("p", None):
+        mine = [r for r in rows if r[0] == part]
+        cuts = [sha("".join(sha(t) for _, i, t in mine if i // 8 == c)) for c in range(5)]
+        assert got[part] == (sha("".join(cuts)), len(mine))
+
+
+def test_motifs_of_several_files(spark, tmp_path):
+    from seqlume.sources import readers
+
+    for name, first in (("a", 0.1), ("b", 0.7)):
+        (tmp_path / f"{name}.meme").write_text(f"MOTIF M1 {name}\n {first} 0.1 0.1 0.1\n 0.2 0.2 0.3 0.3\n")
+    got = sorted((r["motif_alt_id"], r["row"], r["probabilities"][0]) for r in readers.motifs(spark, str(tmp_path)).collect())
+    assert got == [("a", 0, 0.1), ("a", 1, 0.2), ("b", 0, 0.7), ("b", 1, 0.2)]
+
+
+def test_padded_window_beyond_a_piece(spark):
+    from pyspark.sql import functions as F
+
+    from seqlume.functions import sequence
+
+    df = spark.createDataFrame([("ACGT", 10)], "s string, at long")
+    cut = lambda a, b: df.select(sequence.padded_window("s", "at", F.lit(a), F.lit(b)).alias("x")).first()["x"]
+    assert [cut(8, 12), cut(12, 16), cut(20, 23), cut(1, 4), cut(9, 15)] == ["NNAC", "GTNN", "NNN", "NNN", "NACGTN"]
+
+
+def test_small_helpers(spark):
+    from pyspark.sql import functions as F
+
+    from seqlume.functions import scores, sequence
+    from seqlume.operators import genome, groups
+
+    df = spark.createDataFrame([("PASS", 5, 9, 2), (".", 12, 9, 2), (None, 1, 9, -8), ("q10", 9, 9, 0)], "f string, site long, pos long, change int")
+    got = df.select(sequence.passes_filter("f").alias("ok"), genome.moved_site("site", "pos", F.col("change")).alias("moved"), F.size(genome.site_candidates(F.col("site"), F.col("change"))).alias("n")).collect()
+    assert [tuple(r) for r in got] == [(True, 5, 9), (True, 14, 9), (True, 1, 0), (False, 9, 7)]
+    assert df.select(genome.site_score(F.array(F.lit(1.0), F.lit(3.0))).alias("x")).first()["x"] == 3.0
+    assert [r["before"] for r in groups.prefix_sums(df, [], ["site"], F.col("change"), "before").orderBy("site").collect()] == [0, -8, -6, -6]
+    assert df.where("f = 'PASS'").select(scores.require(F.col("pos") > 1, F.col("pos"), "no").alias("x")).first()["x"] == 9
