@@ -134,7 +134,7 @@ def arrow_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return out, ends + np.arange(1, len(ends) + 1)
 
 
-def sliced(batch: pa.RecordBatch, column: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def sliced(batch: pa.RecordBatch, column: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of text, so that arrays made from a slice stay small."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.flatnonzero(np.diff(np.cumsum(size) // most, append=-1))

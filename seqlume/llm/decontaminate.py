@@ -356,7 +356,7 @@ def _search(index, items: Items, cosine: float, lcs: float, answer: float):
                 if len(starts) < size:
                     continue
                 inside = np.flatnonzero(row[size - 1 :] == row[: len(row) - size + 1])
-                most = max(4_000_000 // len(queries), 1)
+                most = max(1_000_000 // len(queries), 1)
                 for k in range(0, len(inside), most):
                     here = inside[k : k + most]
                     p, o, cos = _near(_unit(sums[here + size] - sums[here]), queries, owners, cosine)
@@ -367,7 +367,7 @@ def _search(index, items: Items, cosine: float, lcs: float, answer: float):
             first = np.cumsum(n_blocks) - n_blocks
             for size, (queries, owners) in items.short.items():
                 whole = np.flatnonzero(n_blocks == size)
-                most = max(4_000_000 // len(queries), 1)
+                most = max(1_000_000 // len(queries), 1)
                 for k in range(0, len(whole), most):
                     here = whole[k : k + most]
                     p, o, cos = _near(_unit(sums[first[here] + size] - sums[first[here]]), queries, owners, cosine)
