@@ -5,7 +5,8 @@ compiled projection adds one boolean per rule and the verdict; no user function
 
 Words are runs of anything but \\x20 and \\x09-\\x0D. A null text has no words. Ratios over nothing are null, and a
 null measure passes its rule; an empty table gives an empty result; only the id and text columns are read, so further
-columns do not matter. Texts of any length are measured whole.
+columns do not matter. Texts of any length are measured whole. Repeated rows are judged alike and stay; a measure that
+equals a threshold passes.
 """
 
 from __future__ import annotations

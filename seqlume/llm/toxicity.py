@@ -7,8 +7,9 @@ their scores to probabilities on the other; a thousandth of the raw score breaks
 
 Fitting uses at most `max_rows` labelled rows, chosen by hash of their id; everything else covers all rows.
 
-Edge cases: a null text is an empty one and gets a score; null labels are not used; repeated labels count as toxic
-if one of them is; without rows of both classes every score is the share of toxic rows (0 without any); an empty
+Edge cases: a null text is an empty one and gets a score; very long texts are measured whole; equal texts get equal
+scores, and repeated rows stay; of learned words that are equally frequent the first in the alphabet is taken; null
+labels are not used; repeated labels count as toxic if one of them is; without rows of both classes every score is the share of toxic rows (0 without any); an empty
 table gives an empty result; only the named columns are read.
 """
 

@@ -6,8 +6,10 @@ each worker. A url is probed with every suffix of its host at a dot and every pa
 the file has, by vectorised binary search; a hit counts only if the stored string equals the probe, so digests that
 collide do no harm. The longest rule wins, of two that are equally long the one with the longer host.
 
-Edge cases: a null url or one without "://" has an empty host and path, and no rule fits it; repeated rules must
-agree; no rules at all give the default verdict; further columns are ignored.
+Edge cases: a null url or one without "://" has an empty host and path, and no rule fits it; very long urls are read
+whole, but only path prefixes as long as some rule's are probed; repeated rules must agree, and repeated pages are
+judged alike and stay; of rules of equal length the one with the longer host wins; no rules at all give the default
+verdict; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
