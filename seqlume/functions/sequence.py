@@ -120,3 +120,35 @@ def padded_window(seq, seq_start, start, end) -> Column:
     right = F.least(F.greatest(_c(end) - (offset + F.length(s)), F.lit(0)), size - left)
     body = s.substr(F.greatest(_c(start) - offset, F.lit(0)).cast("int") + 1, (size - left - right).cast("int"))
     return F.concat(F.repeat(F.lit("N"), left.cast("int")), body, F.repeat(F.lit("N"), right.cast("int")))
+
+
+def event_region(name) -> Column:
+    """struct(event, region) of "<event>_<region>", cut at the last "_"."""
+    return F.struct(F.regexp_extract(_c(name), "^(.*)_[^_]*$", 1).alias("event"), F.substring_index(_c(name), "_", -1).alias("region"))
+
+
+def mutation_id(text) -> Column:
+    """struct(event, region, rel_pos, ref, alt) of "<event>_<two letters and a whole number>_<ref>:<alt>"; null for anything else."""
+    part = lambda i: F.regexp_extract(_c(text), r"^([^_]+)_(..)([+-]?\d+)_([^:_]+):([^:_]+)$", i)
+    made = F.struct(part(1).alias("event"), part(2).alias("region"), part(3).try_cast("int").alias("rel_pos"), part(4).alias("ref"), part(5).alias("alt"))
+    return F.when(part(1) != "", made)
+
+
+def format_value(fmt, sample, name: str) -> Column:
+    """A sample's value of a FORMAT key; null where the key or the value isn't there."""
+    return F.nullif(F.try_element_at(F.map_from_arrays(F.split(_c(fmt), ":"), F.slice(F.concat(F.split(_c(sample), ":"), F.array_repeat(F.lit("."), F.size(F.split(_c(fmt), ":")))), F.lit(1), F.size(F.split(_c(fmt), ":")))), F.lit(name)), F.lit("."))
+
+
+def good_genotype(filter_, ref, alt, fmt, sample) -> Column:
+    """Whether a genotype is good enough: FILTER is PASS, 10 reads or more, and heterozygous with 0.3 to under 0.8 of
+    them for the second allele and quality 99 (90 for length changes), or homozygous for an alternative allele with 0.8
+    of them and quality 25. False where a value is missing."""
+    value = lambda n: format_value(fmt, sample, n)
+    alleles = F.split(value("GT"), "[/|]")
+    first, second = F.get(alleles, F.lit(0)), F.get(alleles, F.lit(1))
+    depth, quality = value("DP").try_cast("int"), value("GQ").try_cast("double")
+    share = F.get(F.split(value("AD"), ","), F.lit(1)).try_cast("double") / F.when(depth > 0, depth)
+    same_length = F.length(_c(ref)) == F.length(F.get(F.split(_c(alt), ","), F.lit(0)))
+    het = (first != second) & (quality >= F.when(same_length, 99).otherwise(90)) & (share >= 0.3) & (share < 0.8)
+    hom = (first == second) & ~first.isin("0", ".") & (quality >= 25) & (share >= 0.8)
+    return F.coalesce((_c(filter_) == "PASS") & (depth >= 10) & (het | hom), F.lit(False))

@@ -201,3 +201,10 @@ def motif_heatmap(effects: DataFrame, sequences: DataFrame, k: int, bins: Column
     hits = covered.join(per_position, ["event", "region", "rel_pos"])
     each = hits.groupBy("event", "region", "pos", "kmer").agg(F.avg("delta").alias("delta"))
     return each.withColumn("bin", bins).groupBy("kmer", "bin").agg(F.avg("delta").alias("effect"))
+
+
+def floored_maxima(df: DataFrame, keys: list[str], position: str, regions: dict[str, tuple[int, int]], columns: list[str]) -> DataFrame:
+    """The greatest value of each column over each region's positions, at least 0: (keys, <column>_<region>...)."""
+    inside = lambda a, b: (F.col(position) >= a) & (F.col(position) < b)
+    best = [F.greatest(F.coalesce(F.max(F.when(inside(a, b), F.col(c))), F.lit(0.0)), F.lit(0.0)).alias(f"{c}_{r}") for r, (a, b) in regions.items() for c in columns]
+    return df.groupBy(*keys).agg(*best)

@@ -51,3 +51,20 @@ def site_candidates(site: Column, change: Column) -> Column:
 def site_score(scores: Column) -> Column:
     """The greatest of the candidates' scores."""
     return F.array_max(scores)
+
+
+def checked_events(moved: DataFrame) -> DataFrame:
+    """moved with reason: null for events to keep, else why they are skipped: "invalid event" where the coordinates of
+    the moved exons are out of order or missing, "equal to reference" where no sequence differs.
+
+    moved: (strand, upIntStart, upIntEnd, dnIntStart, dnIntEnd, and wt_<x> and mt_<x> for each sequence x); nulls of
+    both sides are equal.
+    """
+    ordered = lambda *c: (F.col(c[0]) < F.col(c[1])) & (F.col(c[1]) < F.col(c[2])) & (F.col(c[2]) < F.col(c[3]))
+    plus = ordered("upIntStart", "upIntEnd", "dnIntStart", "dnIntEnd")
+    minus = ordered("dnIntStart", "dnIntEnd", "upIntStart", "upIntEnd")
+    valid = F.when(F.col("strand") == "+", plus).when(F.col("strand") == "-", minus).otherwise(F.raise_error(F.lit("strand must be + or -")).cast("boolean"))
+    equal = F.lit(True)
+    for c in (c[3:] for c in moved.columns if c.startswith("wt_") and f"mt_{c[3:]}" in moved.columns):
+        equal = equal & F.upper(f"wt_{c}").eqNullSafe(F.upper(f"mt_{c}"))
+    return moved.withColumn("reason", F.when(~F.coalesce(valid, F.lit(False)), "invalid event").when(equal, "equal to reference"))

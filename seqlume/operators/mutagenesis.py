@@ -75,3 +75,9 @@ def scan_positions(site, window: int, exon: Column, acceptor: bool) -> Column:
     s = F.col(site) if isinstance(site, str) else site
     low, high = (s - window, s + window + exon) if acceptor else (s - window - exon, s + window)
     return F.sequence(low.cast("long"), high.cast("long"))
+
+
+def all_kmers(spark, k: int) -> DataFrame:
+    """Every word of k letters over A, C, G and T, in order: (kmer)."""
+    letter = lambda i: F.substring(F.lit("ACGT"), F.shiftright(F.col("id"), 2 * (k - 1 - i)).bitwiseAND(F.lit(3)).cast("int") + 1, F.lit(1))
+    return spark.range(4**k).select(F.concat(*(letter(i) for i in range(k))).alias("kmer"))

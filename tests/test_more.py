@@ -124,3 +124,21 @@ def test_small_helpers(spark):
     assert df.select(genome.site_score(F.array(F.lit(1.0), F.lit(3.0))).alias("x")).first()["x"] == 3.0
     assert [r["before"] for r in groups.prefix_sums(df, [], ["site"], F.col("change"), "before").orderBy("site").collect()] == [0, -8, -6, -6]
     assert df.where("f = 'PASS'").select(scores.require(F.col("pos") > 1, F.col("pos"), "no").alias("x")).first()["x"] == 9
+
+
+def test_identifiers_and_genotypes(spark):
+    from seqlume.functions import scores, sequence
+
+    names = spark.createDataFrame([("e1_up-12_A:G",), ("e1_ex3_A:G",), ("a_b_c",), (None,), ("",)], "x string").select(sequence.mutation_id("x").alias("m")).collect()
+    assert [r["m"] and tuple(r["m"]) for r in names] == [("e1", "up", -12, "A", "G"), ("e1", "ex", 3, "A", "G"), None, None, None]
+    two = spark.createDataFrame([("ev_1_dn",)], "x string").select(sequence.event_region("x").alias("m")).first()["m"]
+    assert tuple(two) == ("ev_1", "dn")
+    rows = [
+        ("PASS", "A", "G", "GT:AD:DP:GQ", "0/1:7,3:10:99", True), ("PASS", "A", "G", "GT:AD:DP:GQ", "0/1:7,3:10:98", False), ("PASS", "A", "GT", "GT:AD:DP:GQ", "0/1:7,3:10:90", True),
+        ("PASS", "A", "G", "GT:AD:DP:GQ", "0/1:2,8:10:99", False), ("PASS", "A", "G", "GT:AD:DP:GQ", "1|1:2,8:10:25", True), ("PASS", "A", "G", "GT:AD:DP:GQ", "0/0:2,8:10:99", False),
+        ("q10", "A", "G", "GT:AD:DP:GQ", "0/1:7,3:10:99", False), ("PASS", "A", "G", "GT:AD:DP:GQ", "0/1:7,3", False), (None, None, None, None, None, False), ("PASS", "A", "G", "GT:AD:DP:GQ", "./.:.:.:.", False), ("PASS", "A", "G", "GT:AD:DP:GQ", "0/1:0,0:0:99", False),
+    ]
+    got = spark.createDataFrame(rows, "f string, r string, a string, fmt string, s string, want boolean").select("want", sequence.good_genotype("f", "r", "a", "fmt", "s").alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+    values = spark.createDataFrame([(1.0, None, 3.0), (None, None, None)], "a double, b double, c double").select(scores.row_mean(["a", "b", "c"]).alias("m"), scores.row_min(["a", "b", "c"]).alias("l"), scores.log2_fold_change("c", "a").alias("f")).collect()
+    assert [r["m"] for r in values] == [2.0, None] and [r["l"] for r in values] == [1.0, None] and values[1]["f"] is None
