@@ -19,15 +19,16 @@ from pyspark.sql import functions as F
 
 from seqlume.llm import common, decontaminate, jaccard_join, packing, quality_rules, toxicity
 
-BROADCAST_ROWS = 1_000_000  # row numbers of 8 bytes
+BROADCAST_ROWS = 1_000_000  # row digests of 8 bytes
+ROW = "_pipeline_row"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with _row, a 64-bit digest of a row's file and its place there, and nothing else but documents' columns.
+    """docs with ROW, a 64-bit digest of a row's file and its place there, and nothing else but documents' columns.
 
     A table that isn't read from files is written first. Two of 1e8 rows share a digest with a chance of 3e-4.
     """
-    row = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("_row")
+    row = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(ROW)
     try:
         return docs.select("*", row)
     except AnalysisException:
@@ -35,10 +36,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
-    """keyed without these rows and without _row. Few enough rows are broadcast, more are joined by shuffle."""
-    rows = common.staged(rows.select("_row").distinct(), "dropped")
-    left = keyed.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, "_row", "left_anti")
-    return left.drop("_row")
+    """keyed without these rows and without ROW. Few enough rows are broadcast, more are joined by shuffle."""
+    rows = common.staged(rows.select(ROW).distinct(), "dropped")
+    left = keyed.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, ROW, "left_anti")
+    return left.drop(ROW)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,20 +60,20 @@ def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     smallest row digest; rows without an id only stay where no row of their group has one. Documents without words
     are near no other."""
     keyed = _keyed(docs)
-    groups = jaccard_join.near_duplicates(keyed, id_col="_row")
-    more = common.staged(groups.where("doc_id != component_id").select(F.col("doc_id").alias("_row"), "component_id"), "duplicates")
-    members = more.union(more.select(F.col("component_id").alias("_row"), "component_id")).distinct()
-    named = keyed.select("_row", "doc_id").join(members, "_row")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("stays"))
-    stays = common.staged(first.select(F.col("stays._row").alias("_row")), "stays")
-    return _without(keyed, members.join(stays, "_row", "left_anti"))
+    groups = jaccard_join.near_duplicates(keyed, id_col=ROW)
+    more = common.staged(groups.where("doc_id != component_id").select(F.col("doc_id").alias(ROW), "component_id"), "duplicates")
+    members = more.union(more.select(F.col("component_id").alias(ROW), "component_id")).distinct()
+    named = keyed.select(ROW, "doc_id").join(members, ROW)
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("stays"))
+    stays = common.staged(first.select(F.col(f"stays.{ROW}").alias(ROW)), "stays")
+    return _without(keyed, members.join(stays, ROW, "left_anti"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; without items all stay."""
     keyed = _keyed(docs)
-    found = decontaminate.find_leaks(keyed.select(F.col("_row").alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
-    return _without(keyed, found.select(F.col("doc_id").alias("_row")))
+    found = decontaminate.find_leaks(keyed.select(F.col(ROW).alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
+    return _without(keyed, found.select(F.col("doc_id").alias(ROW)))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
