@@ -32,6 +32,7 @@ from . import common
 MAGIC = 0x52504731
 SHARD_SCHEMA = "part int, seq int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, payload binary"
 _BITS = 20
+BROADCAST_ROWS = 1_000_000  # of 16 bytes
 
 
 def compress(ids: np.ndarray, first: int | None = None, top: int = 1 << 14, least: int = 4) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
@@ -205,11 +206,13 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def document_digests(spark, path: str) -> DataFrame:
     """Reads the shards back: (doc_id, start, n_tokens, ids_crc32, part, seq) for each document.
 
-    Only one number for each range partition goes through the driver's broadcast: the ids before it.
+    Two numbers of each range partition go through the driver: its ids and its shards. The ids before each shard are
+    broadcast if there are few enough shards, and joined by shuffle if not.
     """
     shards = read_shards(path, spark)
     each = shards.select("part", "seq", "n_tokens")
-    before = {r["part"]: r["n"] for r in each.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
+    sums = each.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("shards")).collect()
+    before = {r["part"]: r["n"] for r in sums}
     total, starts = 0, []
     for part in sorted(before):
         starts.append((part, total))
@@ -217,5 +220,5 @@ def document_digests(spark, path: str) -> DataFrame:
     offsets = spark.createDataFrame(starts, "part int, part_start long")
     inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
     base = each.join(F.broadcast(offsets), "part").select("part", "seq", (F.col("part_start") + F.coalesce(inside, F.lit(0))).alias("base"))
-    rows = shards.select("part", "seq", "doc_ids", "doc_tokens", "payload").join(F.broadcast(base), ["part", "seq"])
+    rows = shards.select("part", "seq", "doc_ids", "doc_tokens", "payload").join(F.broadcast(base) if sum(r["shards"] for r in sums) <= BROADCAST_ROWS else base, ["part", "seq"])
     return rows.mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, seq int")
