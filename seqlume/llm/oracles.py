@@ -70,4 +70,47 @@ r AS (SELECT doc_id AS v, doc_id AS u FROM n UNION SELECT r.v, e.y FROM r JOIN e
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.least, w.doc_id) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT v, min(u) AS least FROM r GROUP BY 1) c ON c.v = w.doc_id
 """
 
-ORACLE_SQL = {"op3_quality_rules": QUALITY_RULES, "op4_url_filter": URL_FILTER, "op6_quote_links": QUOTE_LINKS, "op9_jaccard_join": JACCARD_JOIN}
+SOURCE_DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_ASCII_LOWER} AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+o AS (SELECT r, lang, source, term, count(*) AS n FROM w GROUP BY 1, 2, 3, 4),
+k AS (SELECT lang, term, sum(n) AS total FROM o GROUP BY 1, 2 HAVING count(*) >= 30),
+v AS (SELECT lang, count(*) AS terms, sum(total) AS in_lang FROM k GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT lang, source, term, sum(n) AS n FROM o GROUP BY 1, 2, 3),
+c AS (SELECT g.lang, g.source, k.term, coalesce(s.n, 0) AS n, k.total FROM g JOIN k ON k.lang = g.lang LEFT JOIN s ON s.lang = g.lang AND s.source = g.source AND s.term = k.term),
+m AS (SELECT lang, source, sum(n) AS in_group FROM c GROUP BY 1, 2),
+p AS (SELECT c.lang, c.source, c.term, c.n, 1 + CAST(floor_div AS BIGINT) AS p, 1 + CAST(floor_all AS BIGINT) AS q FROM (SELECT c.*, (1000000000::HUGEINT * (c.n + 5)) // (m.in_group + 5 * v.terms) AS floor_div, (1000000000::HUGEINT * (c.total + 5)) // (v.in_lang + 5 * v.terms) AS floor_all
+  FROM c JOIN m ON m.lang = c.lang AND m.source = c.source JOIN v ON v.lang = c.lang) c),
+x AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source AS one, b.source AS two, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3) f ON f.lang = a.lang AND f.one = a.source AND f.two = b.source),
+y AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM x
+  UNION ALL SELECT lang, source, 'term', term, p - q, row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM y WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def _centroid_rounds(rounds: int, clusters: int) -> str:
+    """Common table expressions c0, a0, c1, ...: centroids (cluster, dim, x) and nearest centroids of each round."""
+    parts = [f"""c0 AS (SELECT cluster, dim, v[dim] AS x FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS cluster, v FROM z WHERE vec_id IS NOT NULL ORDER BY sha256('1:' || vec_id), v LIMIT {clusters}) s, LATERAL unnest(generate_series(1, 64)) AS u(dim))"""]
+    for i in range(rounds + 1):
+        parts.append(f"l{i} AS (SELECT cluster, list(x ORDER BY dim) AS x FROM c{i} GROUP BY 1)")
+        parts.append(f"a{i} AS (SELECT r, min(struct_pack(d := list_sum(list_transform(list_zip(z.v, l{i}.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c := cluster)) AS best FROM z, l{i} GROUP BY 1)")
+        if i < rounds:
+            mean = "(CAST(sum(v[dim]) AS BIGINT) - ((CAST(sum(v[dim]) AS BIGINT) % count(*)) + count(*)) % count(*)) // count(*)"
+            parts.append(f"""m{i} AS (SELECT best.c AS cluster, dim, {mean} AS x FROM a{i} JOIN z USING (r), LATERAL unnest(generate_series(1, 64)) AS u(dim) GROUP BY 1, 2),
+c{i + 1} AS (SELECT c.cluster, c.dim, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN m{i} m ON m.cluster = c.cluster AND m.dim = c.dim)""")
+    return ",\n".join(parts)
+
+
+CENTROIDS = f"""
+WITH z AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+{_centroid_rounds(3, 16)},
+f AS (SELECT r, CAST(best.c AS INTEGER) AS cluster, CAST(best.d AS BIGINT) AS distance FROM a3),
+h AS (SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY dim)) AS centroid_sha256 FROM c3 GROUP BY 1)
+SELECT z.vec_id, f.cluster, f.distance, CAST(sum(f.distance) OVER (PARTITION BY f.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(f.distance) OVER () AS BIGINT) AS inertia, h.centroid_sha256
+FROM f JOIN z USING (r) JOIN h ON h.cluster = f.cluster
+"""
+
+ORACLE_SQL = {"op3_quality_rules": QUALITY_RULES, "op4_url_filter": URL_FILTER, "op6_quote_links": QUOTE_LINKS, "op9_jaccard_join": JACCARD_JOIN, "op11_source_divergence": SOURCE_DIVERGENCE, "op12_centroids": CENTROIDS}

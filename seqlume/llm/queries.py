@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, jaccard_join, ngram_lm, packing, quality_rules, quote_links, token_counts, token_shards, toxicity, url_filter
+from . import byte_bpe, centroids, common, decontaminate, divergence, jaccard_join, ngram_lm, packing, quality_rules, quote_links, token_counts, token_shards, toxicity, url_filter
 from .oracles import ORACLE_SQL  # noqa: F401
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -71,6 +71,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(common.table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(common.table(spark, sf_dir, "embeddings"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = byte_bpe.decode(byte_bpe.encode(common.table(spark, sf_dir, "documents"), path), path)
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_shards, op2_decontaminate, op3_quality_rules, op4_url_filter, op5_packing, op6_quote_links, op7_ngram_lm, op8_toxicity, op9_jaccard_join, op10_token_counts)
+    f.__name__: f for f in (op1_token_shards, op2_decontaminate, op3_quality_rules, op4_url_filter, op5_packing, op6_quote_links, op7_ngram_lm, op8_toxicity, op9_jaccard_join, op10_token_counts, op11_source_divergence, op12_centroids, op13_byte_bpe)
 }
