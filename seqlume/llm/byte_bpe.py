@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-SLICE = 4_000_000  # bytes of text that are cut and looked up at once
+SLICE = 2_000_000  # bytes of text that are cut and looked up at once
 PLANES = 0x40000  # code points from here on are no letters, numbers or white space in any version so far
 MEMO = 1 << 19  # distinct misses that a worker keeps before it begins anew
 
