@@ -71,8 +71,28 @@ def aligned(df: DataFrame, names: list[str], key: str) -> DataFrame:
 
 def prefix_sums(df: DataFrame, keys: list[str], order: list, value: Column, name: str) -> DataFrame:
     """Sum of value over the rows before each one of its group."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
+    return carried_sums(df.withColumn("_value", value), keys, order, {name: "_value"}).drop("_value")
+
+
+def carried_sums(df: DataFrame, keys: list[str], order: list, sums: dict[str, str], parts: int | None = None) -> DataFrame:
+    """df with sums of columns (new name: column) over the rows before each one of its group, however large a group is.
+
+    Rows are dealt out by range of (keys, order) and written; what a range adds to a group is summed once and carried
+    to the group's later ranges, so a task sorts the rows of one range only. A null adds nothing; null keys are a
+    group; the order should be one of whole rows, as equal ones are added up in any order.
+    """
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = staged(df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()), "carried")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    each = dealt.groupBy("_part", *keys).agg(*(F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()))
+    carry = each.select(F.col("_part").alias("_p"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_carry_{n}") for n in sums))
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = dealt.join(carry, same).withColumns({n: F.col(f"_carry_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
+    return joined.select(*df.columns, *sums)
 
 
 def numbered(df: DataFrame, order, name: str = "row_id", parts: int | None = None) -> DataFrame:
