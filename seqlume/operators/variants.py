@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from seqlume.functions import scores, sequence
 
+from seqlume.sources.staging import staged
+
+from .groups import coverage_difference
 from .intervals import overlap_join
 
 EVENTS = "event string, chrom string, strand string, upIntStart long, upIntEnd long, dnIntStart long, dnIntEnd long, geneName string, lengthDiff int, group string"
@@ -100,22 +103,70 @@ def reference_check(rows: DataFrame, reference: DataFrame | None) -> DataFrame:
     return joined.withColumn("ref_check", state).drop("_c", "_s", "seq")
 
 
+def _told(condition: Column, value: Column, message: str, name: Column) -> Column:
+    """value; an error with the row's name where the condition doesn't hold."""
+    return F.when(condition, value).otherwise(F.raise_error(F.concat(F.lit(f"{message} "), F.coalesce(name.cast("string"), F.lit("null")))))
+
+
+def sole_wild_type(wild_type: DataFrame) -> DataFrame:
+    """(event, wt_score), a row an event; an error where the scores of an event differ."""
+    rows = wild_type.groupBy("event").agg(F.min("wt_score").alias("low"), F.max("wt_score").alias("high"))
+    return rows.select("event", _told(F.col("low").eqNullSafe(F.col("high")), F.col("low"), "conflicting wild-type scores of", F.col("event")).alias("wt_score"))
+
+
+def sole_scale(scaling: DataFrame, column: str) -> DataFrame:
+    """(event, scale), a row an event; an error where an event has several rows, or a scale that isn't above 0 and finite."""
+    rows = scaling.groupBy("event").agg(F.count("*").alias("n"), F.max(F.col(column).cast("double")).alias("x"))
+    fine = F.coalesce((F.col("x") > 0) & (F.col("x") < float("inf")), F.lit(False))
+    once = _told(F.col("n") == 1, F.col("x"), "several scale rows of", F.col("event"))
+    return rows.select("event", _told((F.col("n") > 1) | fine, once, f"invalid {column} of", F.col("event")).alias("scale"))
+
+
+def sole_events(events: DataFrame) -> DataFrame:
+    """events; an error where an event has several rows."""
+    rows = events.groupBy("event").agg(F.count("*").alias("n"), F.min(F.struct(*(F.col(f"`{c}`") for c in events.columns))).alias("row"))
+    return rows.select(_told(F.col("n") == 1, F.col("row"), "several rows of event", F.col("event")).alias("row")).select("row.*")
+
+
+def sole_indels(indels: DataFrame) -> DataFrame:
+    """A row for each (variant, event, var_MIC_region): the last by row_ord; without that column, rows that differ are an error."""
+    keys, others = ["variant", "event", "var_MIC_region"], [c for c in indels.columns if c not in ("variant", "event", "var_MIC_region")]
+    row = F.struct(*(F.col(f"`{c}`") for c in others))
+    if "row_ord" in others:
+        return indels.groupBy(*keys).agg(F.max_by(row, "row_ord").alias("row")).select(*keys, "row.*")
+    rows = indels.groupBy(*keys).agg(F.min(row).alias("low"), F.max(row).alias("high"))
+    return rows.select(*keys, _told(F.col("low").eqNullSafe(F.col("high")), F.col("low"), "conflicting indel rows of", F.col("variant")).alias("row")).select(*keys, "row.*")
+
+
+def check_coverage(events: DataFrame, wild_type: DataFrame, scaling: DataFrame) -> None:
+    """An error that says how many events differ, if the three tables don't have the same events."""
+    for name, table in (("wild type", wild_type), ("scaling", scaling)):
+        sides = {r["side"]: r["count"] for r in coverage_difference(events, table, "event").groupBy("side").count().collect()}  # two rows at most
+        if sides:
+            raise ValueError(f"events and {name} differ: {sides.get('left', 0)} only in events, {sides.get('right', 0)} only in {name}")
+
+
 def annotate(vcf: DataFrame, events: DataFrame, wild_type: DataFrame, ism: DataFrame, scaling: DataFrame, indels: DataFrame, reference: DataFrame | None = None, delta_scaling: str = "all-variants", assembly: str = "hg38", extra: list[str] | None = None) -> DataFrame:
     """The annotated rows, all text, in the order of OUTPUT plus rec_ord and alt_ord for sorting.
 
     The substitution table is the large one: it is reduced to the asked keys by the join, not the other way round.
+    Its regions and alleles count in any case of letters. Alleles in windows are written once and read where they are
+    needed. Repeated events or scales, conflicting wild types, substitutions or indels, and scales that are not above 0
+    are errors that name the event or variant.
     """
     scale_col, delta_col = SCALINGS[delta_scaling]
-    shaped = with_geometry(events)
+    shaped = with_geometry(sole_events(events))
     asked = alleles(vcf)
+    asked = asked if "rec_ord" in vcf.columns else staged(asked, "alleles")  # else each use could number rows anew
     hits = overlap_join(asked, windows(shaped).drop("upIntStart", "upIntEnd", "dnIntStart", "dnIntEnd"), "chrom")
     keys = ["rec_ord", "alt_ord", "event", "region"]
     info = ["chrom", "pos", "ref", "alt", "VCF_ID", "variant", "var_type", "qstart", "qend"]
     shape = ["strand", "c1", "c2", "me_start", "me_end", "me_id", "geneName", "lengthDiff", "group"]
     hits = hits.select(*keys, *info, *shape)
-    table = indels.dropDuplicates(["variant", "event", "var_MIC_region"])
+    table = sole_indels(indels)
     exact = asked.where("var_type = 'Indel'").join(table.select("variant", "event", F.col("var_MIC_region").alias("region")), "variant").join(shaped.select("event", *shape), "event").select(*keys, *info, *shape)
-    rows = hits.unionByName(exact.join(hits, keys, "left_anti"))
+    hits = staged(hits, "allele-windows")
+    rows = hits.unionByName(exact.join(hits.where("var_type = 'Indel'").select(*keys), keys, "left_anti"))
     rows = reference_check(rows, reference)
     pos0 = F.col("qstart")
     rows = rows.withColumns({"rel_pos": model_position(pos0).cast("int"), "shown": shown_distance(pos0)})
@@ -123,11 +174,13 @@ def annotate(vcf: DataFrame, events: DataFrame, wild_type: DataFrame, ism: DataF
     wanted = ["event", "region", "rel_pos", "ref", "alt"]
     snv = F.col("var_type") == "SNV"
     needed = rows.where(snv).select(*wanted).distinct()
-    found = ism.select(*wanted, F.col("mt_score").alias("snv_mt")).join(needed, wanted, "left_semi").dropDuplicates(wanted)
+    known = ism.select("event", F.lower("region").alias("region"), "rel_pos", F.upper("ref").alias("ref"), F.upper("alt").alias("alt"), "mt_score").join(needed, wanted, "left_semi")
+    scored = known.groupBy(*wanted).agg(F.min("mt_score").alias("low"), F.max("mt_score").alias("high"))
+    found = scored.select(*wanted, _told(F.col("low").eqNullSafe(F.col("high")), F.col("low"), "conflicting substitution scores of", F.concat_ws(" ", *wanted)).alias("snv_mt"))
     rows = rows.join(found, wanted, "left")
     fields = table.select("variant", "event", F.col("var_MIC_region").alias("region"), F.col("MIC_dist").alias("i_dist"), F.col("mt_code_score").alias("i_mt"), F.col("wt_code_score").alias("i_wt"), F.col(scale_col).alias("i_scale"), F.col(delta_col).alias("i_delta"))
     rows = rows.join(fields, ["variant", "event", "region"], "left")
-    rows = rows.join(wild_type.select("event", "wt_score"), "event", "left").join(scaling.select("event", F.col(scale_col).alias("scale")), "event", "left")
+    rows = rows.join(sole_wild_type(wild_type), "event", "left").join(sole_scale(scaling, scale_col), "event", "left")
 
     has_snv = snv & F.col("snv_mt").isNotNull() & F.col("wt_score").isNotNull() & F.col("scale").isNotNull()
     has_indel = (F.col("var_type") == "Indel") & F.col("i_mt").isNotNull()

@@ -62,7 +62,7 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     hundredth = lambda n: F.concat(F.lit("0."), F.lpad(n.cast("string"), 2, "0"))
     at = s.select(k, F.explode(F.array(*map(F.lit, ("c1", "up", "ex", "dn", "c2")))).alias("region")).withColumn("rel_pos", F.explode(F.sequence(F.lit(-60), F.lit(60))))
     ism = at.withColumn("ref", F.explode(F.array(*map(F.lit, "ACGT")))).select(
-        event.alias("event"), "region", "rel_pos", "ref", F.translate("ref", "ACGT", "CGTA").alias("alt"), hundredth(1 + (k * 7 + F.abs("rel_pos") * 3) % 97).alias("mt_score")
+        event.alias("event"), F.when(k % 2 == 0, F.upper("region")).otherwise(F.col("region")).alias("region"), "rel_pos", F.when(k % 3 == 0, F.lower("ref")).otherwise(F.col("ref")).alias("ref"), F.translate("ref", "ACGT", "CGTA").alias("alt"), hundredth(1 + (k * 7 + F.abs("rel_pos") * 3) % 97).alias("mt_score")
     )
     wild_type = s.where(k % 10 != 3).select(event.alias("event"), hundredth(1 + k % 97).alias("wt_score"))
     scaling = s.where(k % 10 != 4).select(event.alias("event"), (2.0 + k % 3).alias("logit_scaling_factor"), (3.0 + k % 4).alias("logit_scaling_factor_all_vars"))

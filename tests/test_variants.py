@@ -125,3 +125,46 @@ def test_bundle(spark):
         bundle.build(ism, wt.where("event != 'ISM_B'"), meta, table)
     with pytest.raises(Exception, match="conflicting"):
         bundle.scales(ism, spark.createDataFrame([("ISM_A", 2.0, 4.0), ("ISM_A", 2.5, 4.0)], variants.SCALING)).collect()
+
+
+def test_letters_of_substitutions_in_any_case(spark, tables):
+    ism = tables["ism"].select("event", F.upper("region").alias("region"), "rel_pos", F.lower("ref").alias("ref"), F.lower("alt").alias("alt"), "mt_score", "delta_logit_score", "transformed_delta_scores")
+    asked = ("chr1", 1001, "A", "G"), ("chr1", 2001, "a", "g")
+    assert run(spark, tables | {"ism": ism}, *asked) == run(spark, tables, *asked) and {r["prediction_status"] for r in run(spark, tables | {"ism": ism}, *asked)} == {"FOUND"}
+
+
+@pytest.mark.parametrize("name,rows,message", [
+    ("scaling", [("PLUS", 2.0, 4.0)], "several scale rows of PLUS"),
+    ("scaling", [("OTHER", 2.0, 0.0)], "invalid logit_scaling_factor_all_vars of OTHER"),
+    ("scaling", [("OTHER", 2.0, float("nan"))], "invalid logit_scaling_factor_all_vars of OTHER"),
+    ("scaling", [("OTHER", 2.0, None)], "invalid logit_scaling_factor_all_vars of OTHER"),
+    ("wild_type", [("PLUS", "0.9")], "conflicting wild-type scores of PLUS"),
+    ("events", [EVENTS[0]], "several rows of event PLUS"),
+    ("ism", [("PLUS", "C1", 0, "a", "G", "0.9", 0.0, 0.0)], "conflicting substitution scores of PLUS c1 0 A G"),
+    ("indels", [(*INDELS[0][:4], "0.7", *INDELS[0][5:])], "conflicting indel rows of chr1:1001:A:AT"),
+])
+def test_tables_are_checked(spark, tables, name, rows, message):
+    table = tables[name]
+    more = tables | {name: table.unionByName(spark.createDataFrame(rows, table.schema))}
+    with pytest.raises(Exception, match=message):
+        run(spark, more, ("chr1", 1001, "A", "G"), ("chr1", 1001, "A", "AT"))
+
+
+def test_repeated_rows_that_agree(spark, tables):
+    asked = ("chr1", 1001, "A", "G"), ("chr1", 1001, "A", "AT"), ("chr1", 1001, "A", "G")
+    twice = {n: tables[n].unionByName(tables[n]) for n in ("wild_type", "ism", "indels")}
+    assert run(spark, tables | twice, *asked) == run(spark, tables, *asked)
+    last = tables["indels"].withColumn("row_ord", F.lit(1)).unionByName(tables["indels"].withColumns({"mt_code_score": F.lit("0.9"), "row_ord": F.lit(2)}))
+    assert {r["mt_code_score"] for r in run(spark, tables | {"indels": last}, asked[1])} == {"0.9"}
+
+
+def test_rows_are_numbered_once(spark, tables):
+    unnumbered = spark.createDataFrame([("chr1", 1001, f"id{i}", "A", "G,AT") for i in range(40)], "chrom string, pos long, id string, ref string, alt string").repartition(5)
+    rows = variants.in_order(variants.annotate(unnumbered, **tables)).collect()
+    assert len(rows) == 160 and {r["prediction_status"] for r in rows} == {"FOUND"}
+
+
+def test_coverage(spark, tables):
+    variants.check_coverage(tables["events"], tables["wild_type"], tables["scaling"])
+    with pytest.raises(ValueError, match="events and scaling differ: 1 only in events, 0 only in scaling"):
+        variants.check_coverage(tables["events"], tables["wild_type"], tables["scaling"].where("event = 'PLUS'"))
