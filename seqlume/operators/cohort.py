@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .groups import carried_sums
+
 
 def discordant(df: DataFrame, group: str, code: str, values: tuple) -> DataFrame:
     """Groups with a row of every one of these codes."""
@@ -18,12 +20,12 @@ def discordant(df: DataFrame, group: str, code: str, values: tuple) -> DataFrame
 def lifted(points: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """points (key, coord, ...) with lifted: coord plus the length changes at positions pos with pos + 1 <= coord.
 
-    Both sides go through one sorted window per key instead of a join of every point with every change.
+    Both sides are sorted together by ranges, with sums carried from range to range, instead of a join of every point
+    with every change; a key may have any number of rows.
     """
     rows = points.select(key, F.col("coord").alias("_at"), F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_change"), F.struct(*points.columns).alias("_row"))
     moves = changes.groupBy(key, (F.col("pos") + 1).alias("_at")).agg(F.sum(F.col("change").cast("long")).alias("_change")).select(key, "_at", F.lit(0).alias("_kind"), "_change", F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))
-    w = Window.partitionBy(key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(moves).withColumn("_sum", F.sum("_change").over(w)).where("_kind = 1")
+    both = carried_sums(rows.unionByName(moves), [key], ["_at", "_kind"], {"_sum": "_change"}).where("_kind = 1")
     return both.select("_row.*", (F.col("_at") + F.col("_sum")).alias("lifted"))
 
 
@@ -51,3 +53,28 @@ def counts_by_affection(variants: DataFrame, samples: DataFrame, statistics: dic
     rows = variants.join(known, "sample")
     parts = [F.count_if(c).alias(n) for n, c in statistics.items()]
     return rows.groupBy("region_set").pivot("status", ["affected", "unaffected"]).agg(*parts)
+
+
+def region_set_counts(variants: DataFrame, sets: DataFrame, samples: DataFrame, statistics: dict[str, Column], most: int = 4096) -> DataFrame:
+    """(region_set, affected_<statistic>, unaffected_<statistic>...): counts over many overlapping sets of regions.
+
+    variants: (sample, region, ...); sets: (region_set, region); samples: (sample, affection). A region carries the sets
+    that it is in as bits, so a variant is joined once however many sets hold its region; rows are counted by (affection,
+    bits) and only these counts are dealt out to the sets. Sets without a counted variant have 0; repeated rows of sets
+    count once, those of variants as often as they stand there. More than `most` sets are an error.
+    """
+    named = sets.where("region_set is not null").select("region_set").distinct().limit(most + 1).collect()
+    names = sorted(r["region_set"] for r in named)
+    if len(names) > most:
+        raise ValueError(f"more than {most} region sets")
+    spark = variants.sparkSession
+    bits = [f"_bits{i}" for i in range(max(-(-len(names) // 62), 1))]
+    numbers = F.broadcast(spark.createDataFrame([(n, i // 62, 1 << (i % 62)) for i, n in enumerate(names)], "region_set string, _word int, _bit long"))
+    masks = sets.join(numbers, "region_set").groupBy("region").agg(*(F.bit_or(F.when(F.col("_word") == i, F.col("_bit")).otherwise(F.lit(0).cast("long"))).alias(b) for i, b in enumerate(bits)))
+    known = samples.withColumn("_status", decoded_affection("affection")).where("_status is not null").select("sample", "_status")
+    counted = variants.join(masks, "region").join(known, "sample").groupBy("_status", *bits).agg(*(F.count_if(c).alias(n) for n, c in statistics.items()))
+    held = counted.join(numbers, F.coalesce(*(F.when(F.col("_word") == i, F.col(b)) for i, b in enumerate(bits))).bitwiseAND(F.col("_bit")) != 0)
+    totals = [F.coalesce(F.sum(F.when(F.col("_status") == s, F.col(n))), F.lit(0)).alias(f"{s}_{n}") for s in ("affected", "unaffected") for n in statistics]
+    summed = held.groupBy("region_set").agg(*totals)
+    every = spark.createDataFrame([(n,) for n in names], "region_set string").join(summed, "region_set", "left")
+    return every.select("region_set", *(F.coalesce(c, F.lit(0)).alias(c) for c in summed.columns[1:]))

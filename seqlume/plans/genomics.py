@@ -7,8 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlume.functions import sequence
-from seqlume.operators import enrichment, features, genome, intervals, mutagenesis, variants
-from seqlume.operators.cohort import without_overlaps
+from seqlume.operators import enrichment, features, genome, intervals, mutagenesis, scans, variants
 
 from .base import query, read, seconds
 from .flagship import ANNOTATE_SQL, annotate_windows
@@ -36,9 +35,8 @@ SELECT user_id, day, pos FROM k WHERE kept"""
 def non_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy choice of variants that don't begin before the end of the last one kept, for each user and day."""
     t = seconds()
-    e = read(spark, sf_dir, "events").select("user_id", F.floor(t / 86400).alias("day"), t.alias("pos"), F.repeat(F.lit("N"), (F.floor("value") * 60 % 20000 + 1).cast("int")).alias("ref"))
-    kept = e.groupBy("user_id", "day").agg(without_overlaps(F.collect_set(F.struct("pos", "ref"))).alias("v"))
-    return kept.select("user_id", "day", F.explode("v.pos").alias("pos"))
+    e = read(spark, sf_dir, "events").select("user_id", F.floor(t / 86400).alias("day"), t.alias("pos"), (t + F.floor("value") * 60 % 20000 + 1).cast("long").alias("stop")).distinct()
+    return scans.greedy_without_overlaps(e, ["user_id", "day"], "pos", "stop", ["stop"]).select("user_id", "day", "pos")
 
 
 @query(
