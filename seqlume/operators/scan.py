@@ -21,6 +21,12 @@ def findings(df: DataFrame, text: str) -> DataFrame:
     return df.withColumns({n: F.col(text).rlike(p) for n, p in PATTERNS.items()})
 
 
+def archive_findings(texts: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
+    """(path, member, n_bytes, status, a boolean for each pattern) of the members of archives, from archive_texts' rows."""
+    found = [F.coalesce(F.bool_or(F.col("text").rlike(p)), F.lit(False)).alias(n) for n, p in (patterns or PATTERNS).items()]
+    return texts.groupBy("path", "member").agg(F.max("n_bytes").alias("n_bytes"), F.max("status").alias("status"), *found)
+
+
 def redacted_path(path) -> Column:
     """A path without the user's folder."""
     c = F.col(path) if isinstance(path, str) else path

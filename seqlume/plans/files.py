@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlume.operators import liftover
-from seqlume.sources import blocks, staging, writers
+from seqlume.operators import liftover, scan
+from seqlume.sources import archives, blocks, staging, writers
 
 from .base import query, read
 
@@ -62,3 +62,17 @@ def lift_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     c.select(lines.alias("value")).write.text(path)
     asked = spark.sql(_ASKED.replace("FROM events", "FROM {events}"), events=read(spark, sf_dir, "events")).select("event_id", "chrom", F.col("a").alias("start"), (F.col("a") + F.col("n")).alias("end"))
     return liftover.lift_intervals(asked, liftover.chains(spark, path), "event_id", width=2000).drop("reversed")
+
+
+_LINES = "SELECT doc_id % 7 AS pile, replace(replace(coalesce(text, ''), chr(10), ' '), chr(13), ' ') AS line FROM documents"
+
+
+@query("SELECT pile, CAST(sum(strlen(line) + 1) AS BIGINT) AS n_bytes, " + ", ".join(f"bool_or(regexp_matches(line, '{p}')) AS {n}" for n, p in scan.PATTERNS.items()) + f" FROM ({_LINES}) d GROUP BY 1")
+def archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What gzip files hold that are written from the documents, in piles, found in overlapping chunks of 64 KB."""
+    path = staging.new_folder(spark, "piles")
+    lines = spark.sql(_LINES.replace("FROM documents", "FROM {documents}").replace("chr(10)", "char(10)").replace("chr(13)", "char(13)"), documents=read(spark, sf_dir, "documents"))
+    lines.select("pile", F.col("line").alias("value")).write.partitionBy("pile").option("compression", "gzip").text(path)
+    texts = archives.archive_texts(spark, path, chunk=65_536).where("path like '%.gz'")
+    found = scan.archive_findings(texts).withColumn("pile", F.regexp_extract("path", "pile=([0-9]+)", 1).cast("long"))
+    return found.groupBy("pile").agg(F.sum("n_bytes").alias("n_bytes"), *(F.bool_or(n).alias(n) for n in scan.PATTERNS))
