@@ -86,6 +86,35 @@ def parse_variant(text) -> Column:
     return F.when((F.size(f) == 4) & pos.isNotNull(), F.struct(F.get(f, F.lit(0)).alias("chrom"), pos.alias("pos0"), F.get(f, F.lit(2)).alias("ref"), F.get(f, F.lit(3)).alias("alt")))
 
 
+def motif_spans(seq, motif: str) -> Column:
+    """array of struct(start, end): matches of an IUPAC motif from left to right, none overlapping the one before it."""
+    pieces = F.split(_c(seq), motif_pattern(motif), -1)
+    width, lengths = len(motif), F.transform(pieces, F.length)
+    empty = F.array().cast("array<int>")
+    ends = F.aggregate(F.slice(lengths, 1, F.greatest(F.size(lengths) - 1, F.lit(0))), empty, lambda acc, n: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n + width))
+    return F.transform(ends, lambda e: F.struct((e - width).alias("start"), e.alias("end")))
+
+
+def interval_parts(identifier) -> Column:
+    """struct(event, exon, region) of an interval's name: the event, which exon it lies at (mic, c1, c2) and its region.
+
+    Names are event, event_region, event_exon or event_exon_region; events called putative_x_n have a number and stand
+    for putative_microexon_n. An event alone, or an exon alone, means the exon itself: region ex.
+    """
+    words = F.split(_c(identifier), "_")
+    putative = F.get(words, F.lit(0)) == "putative"
+    event = F.when(putative, F.concat(F.lit("putative_microexon_"), F.get(words, F.lit(2)))).otherwise(F.get(words, F.lit(0)))
+    at = F.when(putative, 3).otherwise(1)
+    first, second = F.get(words, at), F.get(words, at + 1)
+    outer = F.coalesce(first.isin("c1", "c2"), F.lit(False))
+    return F.struct(event.alias("event"), F.when(outer, first).otherwise("mic").alias("exon"), F.coalesce(F.when(outer, second).otherwise(first), F.lit("ex")).alias("region"))
+
+
+def base_codes(seq, letters: str = "ACTG", other: int = 6) -> Column:
+    """array<int>: each letter's place in letters, in any case; other for anything else."""
+    return F.transform(F.filter(F.split(F.upper(_c(seq)), ""), lambda x: x != ""), lambda x: F.when(x.isin(*letters), F.position(x, F.lit(letters)) - 1).otherwise(other))
+
+
 def variant_list(text) -> Column:
     """Distinct variants of "[a,b]", "a,b" or "a|b"; entries without four fields are left out."""
     parts = F.split(F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"[\[\]'\" ]", ""), "[,|]")

@@ -47,6 +47,33 @@ def decoded_affection(code) -> Column:
     return F.when(c == 1, "unaffected").when(c == 2, "affected")
 
 
+def affection_name(code) -> Column:
+    """The name of a code by its place: 0 non-ASD, 1 control, 2 ASD; an error for anything else but null."""
+    c = F.col(code) if isinstance(code, str) else code
+    named = F.get(F.array(F.lit("non-ASD"), F.lit("control"), F.lit("ASD")), c.cast("int"))
+    return F.when(c.isNull() | named.isNotNull(), named).otherwise(F.raise_error(F.concat(F.lit("no affection code: "), c.cast("string"))))
+
+
+def annotated_variants(variants: DataFrame, events: DataFrame, samples: DataFrame) -> DataFrame:
+    """A row for each variant and interval that it is annotated with: events' columns, variant, interval, affected_exon,
+    affected_region, sample_id, affection and mic_var_distance, in transcript order.
+
+    variants: (sample, chrom, pos 1-based, ref, alt, intervals: names after commas); events: (event, strand, upIntStart,
+    upIntEnd, dnIntStart, dnIntEnd, ...); samples: (sample, affection 0 to 2). Intervals of unknown events and null or
+    empty lists have no row; repeated names have one each. Samples without a row have a null affection.
+    """
+    from seqlume.functions import sequence
+
+    from .variants import span_distance
+
+    name = F.explode(F.split("intervals", ",")).alias("interval")
+    rows = variants.select(F.col("sample").alias("sample_id"), F.concat_ws(":", "chrom", F.col("pos").cast("string"), "ref", "alt").alias("variant"), (F.col("pos").cast("long") - 1).alias("_pos0"), F.col("ref").alias("_ref"), name)
+    named = rows.withColumn("_p", sequence.interval_parts("interval")).select("*", F.col("_p.event").alias("event"), F.col("_p.exon").alias("affected_exon"), F.col("_p.region").alias("affected_region")).drop("_p")
+    known = named.join(events, "event").join(samples.select(F.col("sample").alias("sample_id"), affection_name("affection").alias("affection")), "sample_id", "left")
+    distance = span_distance(F.col("_pos0"), F.col("_ref"))
+    return known.withColumn("mic_var_distance", F.when(F.col("strand") == "-", -distance).otherwise(distance)).drop("_pos0", "_ref")
+
+
 def counts_by_affection(variants: DataFrame, samples: DataFrame, statistics: dict[str, Column]) -> DataFrame:
     """Counts of each statistic (a condition) by region set and affection; samples: (sample, affection)."""
     known = samples.withColumn("status", decoded_affection("affection")).where("status is not null").select("sample", "status")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +79,11 @@ def scan_positions(site, window: int, exon: Column, acceptor: bool) -> Column:
     return F.sequence(low.cast("long"), high.cast("long"))
 
 
+def kmer_words(k: int, letters: str = "ACGT") -> list[str]:
+    """Every word of k letters, in order; k of at most 6 or so, as the words are in memory."""
+    return ["".join(w) for w in itertools.product(letters, repeat=k)]
+
+
 def all_kmers(spark, k: int) -> DataFrame:
     """Every word of k letters over A, C, G and T, in order: (kmer)."""
     letter = lambda i: F.substring(F.lit("ACGT"), F.shiftright(F.col("id"), 2 * (k - 1 - i)).bitwiseAND(F.lit(3)).cast("int") + 1, F.lit(1))

@@ -19,10 +19,12 @@ _CHANNEL = np.full(256, 4, np.int64)
 _CHANNEL[[65, 67, 71, 84, 97, 99, 103, 116]] = [0, 1, 2, 3] * 2
 
 
-def one_hot(sequences: list[str]) -> np.ndarray:
-    """float32 array (sequences, length, 4) of sequences of one length; zeros for other letters."""
+def one_hot(sequences: list[str], channels: str = "ACGT", unknown: float = 0.0) -> np.ndarray:
+    """float32 array (sequences, length, 4) of sequences of one length, channels in the order of these letters;
+    `unknown` in all channels for other letters."""
     codes = np.stack([_CHANNEL[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)] for s in sequences])
-    return np.eye(5, 4, dtype=np.float32)[codes]
+    table = np.concatenate([np.eye(4, dtype=np.float32), np.full((1, 4), unknown, np.float32)])
+    return table[:, ["ACGT".index(c) for c in channels]][codes]
 
 
 def base_shares() -> Callable[[list[str]], np.ndarray]:

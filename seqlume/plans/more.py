@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlume.functions import scores, sequence
-from seqlume.operators import features, genome, mutagenesis
+from seqlume.operators import cohort, features, genome, mutagenesis
 
 from .base import query, read, seconds
+from .sequences import _LETTERS, _bases
 
 
 @query("SELECT l_orderkey, l_linenumber, round(l_discount - l_tax, 6) AS dpsi, CASE WHEN l_discount > 0 AND l_tax > 0 THEN round(log2(l_discount) - log2(l_tax), 6) END AS fold_change FROM lineitem")
@@ -58,9 +59,46 @@ def rejected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genome.checked_events(moved).select("id", "reason")
 
 
-@query("SELECT a.x || b.x || c.x AS kmer FROM (VALUES ('A'), ('C'), ('G'), ('T')) a(x), (VALUES ('A'), ('C'), ('G'), ('T')) b(x), (VALUES ('A'), ('C'), ('G'), ('T')) c(x)")
+@query(
+    f"""WITH k AS (SELECT a.x || b.x || c.x AS kmer FROM (VALUES ('A'), ('C'), ('G'), ('T')) a(x), (VALUES ('A'), ('C'), ('G'), ('T')) b(x), (VALUES ('A'), ('C'), ('G'), ('T')) c(x)),
+s AS (SELECT lang, {_LETTERS} AS s FROM documents), n AS (SELECT lang, substr(s, i, 3) AS kmer, count(*) AS n FROM s, LATERAL unnest(generate_series(1, length(s) - 2)) AS t(i) GROUP BY 1, 2)
+SELECT l.lang, k.kmer, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT lang FROM documents) l CROSS JOIN k LEFT JOIN n ON n.lang IS NOT DISTINCT FROM l.lang AND n.kmer = k.kmer"""
+)
 def all_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mutagenesis.all_kmers(spark, 3)
+    """How often each language's sequences have every word of three letters, those that never occur included."""
+    docs = read(spark, sf_dir, "documents")
+    s = docs.join(_bases(spark, sf_dir), "doc_id")
+    counts = s.select("lang", F.explode(sequence.kmers("s", 3)).alias("kmer")).groupBy("lang", "kmer").agg(F.count("*").alias("n"))
+    words = F.array(*(F.lit(w) for w in mutagenesis.kmer_words(3)))
+    every = docs.select("lang").distinct().select("lang", F.explode(words).alias("kmer"))
+    return every.join(counts.withColumnsRenamed({"lang": "_lang", "kmer": "_kmer"}), F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("kmer") == F.col("_kmer")), "left").select("lang", "kmer", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(
+    """WITH v AS (SELECT event_id, user_id, 1 + (event_id * 31) % 3000 AS pos, event_id % 97 AS k, event_id % 6 AS form FROM events),
+i AS (SELECT *, 'E' || k AS event, 'E' || k || CASE form WHEN 0 THEN '' WHEN 1 THEN '_up' WHEN 2 THEN '_c1' WHEN 3 THEN '_c2_dn' WHEN 4 THEN '_ex' ELSE '_c1_up' END AS interval, CASE form WHEN 2 THEN 'c1' WHEN 3 THEN 'c2' WHEN 5 THEN 'c1' ELSE 'mic' END AS exon, CASE form WHEN 1 THEN 'up' WHEN 3 THEN 'dn' WHEN 5 THEN 'up' ELSE 'ex' END AS region FROM v
+  UNION ALL SELECT *, 'putative_microexon_' || k, 'putative_x_' || k || '_dn', 'mic', 'dn' FROM v WHERE form < 3),
+e AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'E' || s_suppkey ELSE 'putative_microexon_' || s_suppkey END AS event, s_suppkey % 3 = 0 AS plus, 1000 + s_suppkey AS a, 1020 + s_suppkey AS b FROM supplier)
+SELECT i.event_id, i.interval, i.exon AS affected_exon, i.region AS affected_region, CASE i.user_id % 3 WHEN 0 THEN 'non-ASD' WHEN 1 THEN 'control' ELSE 'ASD' END AS affection,
+CASE WHEN plus THEN 1 ELSE -1 END * CASE WHEN pos <= a THEN pos - a WHEN pos - 1 >= b THEN pos - 1 - b WHEN pos - 1 > a AND pos <= b THEN CASE WHEN pos - 1 - a < b - pos THEN pos - 1 - a ELSE pos - b END ELSE 0 END AS distance FROM i JOIN e USING (event)"""
+)
+def annotated_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants with the events of all intervals in their annotation, and the distance to each."""
+    n, k = F.col("event_id"), F.col("event_id") % 97
+    tails = F.array(*map(F.lit, ("", "_up", "_c1", "_c2_dn", "_ex", "_c1_up")))
+    own = F.concat(F.lit("E"), k, F.get(tails, (n % 6).cast("int")))
+    both = F.concat_ws(",", own, F.when(n % 6 < 3, F.concat(F.lit("putative_x_"), k, F.lit("_dn"))))
+    e = read(spark, sf_dir, "events")
+    v = e.select(F.col("user_id").cast("string").alias("sample"), n.cast("string").alias("chrom"), (1 + (n * 31) % 3000).alias("pos"), F.lit("A").alias("ref"), F.lit("C").alias("alt"), both.alias("intervals"))
+    s = F.col("s_suppkey")
+    plus, a, b = s % 3 == 0, 1000 + s, 1020 + s
+    events = read(spark, sf_dir, "supplier").select(
+        F.when(s % 2 == 0, F.concat(F.lit("E"), s)).otherwise(F.concat(F.lit("putative_microexon_"), s)).alias("event"), F.when(plus, "+").otherwise("-").alias("strand"),
+        F.lit(0).alias("upIntStart"), F.when(plus, a).otherwise(b).alias("upIntEnd"), F.when(plus, b).otherwise(0).alias("dnIntStart"), F.when(plus, 0).otherwise(a).alias("dnIntEnd"),
+    ).withColumn("upIntStart", F.when(F.col("strand") == "+", 0).otherwise(F.col("upIntEnd")))
+    samples = e.select(F.col("user_id").alias("u")).distinct().select(F.col("u").cast("string").alias("sample"), (F.col("u") % 3).alias("affection"))
+    rows = cohort.annotated_variants(v, events, samples)
+    return rows.select(F.substring_index("variant", ":", 1).cast("long").alias("event_id"), "interval", "affected_exon", "affected_region", "affection", F.col("mic_var_distance").alias("distance"))
 
 
 @query(

@@ -93,35 +93,9 @@ def motifs(spark: SparkSession, path) -> DataFrame:
     return rows.select(F.get(names, F.lit(1)).alias("motif_id"), F.coalesce(F.get(names, F.lit(2)), F.lit("")).alias("motif_alt_id"), number.alias("row"), F.transform(F.split(F.trim("line"), r"\s+"), lambda x: x.cast("double")).alias("probabilities"))
 
 
-def two_bit(spark: SparkSession, path, size: int = 100_000, overlap: int = 1_000) -> DataFrame:
-    """(chrom, chunk_start, seq) of .2bit files: header and index once, bases piece by piece; N where they are masked out."""
-    import struct
-    from collections.abc import Iterator
-
-    import numpy as np
-    import pandas as pd
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        letters = np.frombuffer(b"TCAG", np.uint8)
-        for frame in frames:
-            for data in frame["content"]:
-                order = "<" if struct.unpack_from("<I", data, 0)[0] == 0x1A412743 else ">"
-                word = lambda at, n=1: struct.unpack_from(f"{order}{n}I", data, at)
-                at = 16
-                for _ in range(word(8)[0]):
-                    n = data[at]
-                    name, place = data[at + 1 : at + 1 + n].decode(), word(at + 1 + n)[0]
-                    at += 5 + n
-                    length, blocks = word(place, 2)
-                    starts, sizes = word(place + 8, blocks), word(place + 8 + 4 * blocks, blocks)
-                    place += 8 + 8 * blocks
-                    place += 8 + 8 * word(place)[0]
-                    for begin in range(0, max(length, 1), size):
-                        end = min(begin + size + overlap, length)
-                        packed = np.frombuffer(data, np.uint8, -(-end // 4) - begin // 4, place + begin // 4)
-                        bases = letters[(packed[:, None] >> np.array([6, 4, 2, 0])) & 3].reshape(-1)[begin % 4 : begin % 4 + end - begin].copy()
-                        for s, m in zip(starts, sizes):
-                            bases[max(s - begin, 0) : max(s + m - begin, 0)] = ord("N")
-                        yield pd.DataFrame([(name, begin, bases.tobytes().decode())], columns=["chrom", "chunk_start", "seq"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "chrom string, chunk_start long, seq string")
+def two_bit(spark: SparkSession, path, size: int = 100_000, overlap: int = 1_000, bases: int = 50_000_000) -> DataFrame:
+    """(chrom, chunk_start, seq) of .2bit files, N where bases are masked out; a task reads about `bases` of them."""
+    from .twobit import TwoBit
+
+    spark.dataSource.register(TwoBit)
+    return spark.read.format("two_bit").option("size", size).option("overlap", overlap).option("bases", bases).load(path)
