@@ -2,13 +2,17 @@
 
 Documents longer than a sequence are cut into full pieces, the first of which may be shorter; everything else stays
 whole. Each piece, in the order in which they come, goes into the fullest bin that has room; then a local search moves
-pieces, swaps one for one and exchanges one for two between underfull bins. Each change raises the sum of squared fills, so space gathers in few
-bins until they empty; the search ends when no change is left. An index of all underfull bins by the room that they
-have, or would have without one or two of their pieces, finds the change that leaves the least room.
-
-Every task packs the pieces of its own input, without a shuffle; it holds at most about `window_tokens` ids at a
-time, and bins that are still underfull are carried on to the next window. A task leaves about one underfull bin, so
-the number of sequences exceeds the least possible one by about the number of input partitions.
+pieces, swaps one for one and exchanges two for one, either way, between underfull bins. Each change raises the sum of
+squared fills, so space gathers in few bins until they empty; the search ends when no change of these kinds is left. An
+index of all underfull bins by the room that they have, or would have without one or two of their pieces, finds the
+change that leaves the least room.
+
+Every task packs the pieces of its own input and holds at most about `window_tokens` ids at a time. At the end of a
+window, bins with less than 1/64 of room are done, others are carried on to the next one. What a task has in underfull
+bins at its end, or when they hold half a window, goes to a second stage, in which pieces from all tasks are mixed and
+packed alike; there, each task (one for each `window_tokens` ids that are left) closes its underfull bins at its end, or
+when they hold half a window. So the order of the input decides little: lengths that only come in different
+partitions meet in the second stage.
 
 Edge cases: a null text is an empty document, that is its end id alone; very long texts are cut, as stated; of changes
 that leave equal room, moves go first and then what moves most; equal ids keep all their rows; an empty table gives no
@@ -33,6 +37,9 @@ from . import common
 PIECES = "doc_id long, piece int, start long, length long, sequence_id long, offset long, ids binary"
 
 
+SECOND = 1 << 55  # numbers of the second stage's sequences begin here
+
+
 class Bins:
     """Bins of items with whole-number sizes."""
 
@@ -63,7 +70,8 @@ class Bins:
         dropped.
 
         Takes the emptiest bin and, for each of its items, the change with another underfull bin that leaves that one
-        the least room: the item moves there, or comes in exchange for one or two that are smaller together.
+        the least room: the item moves there, or comes in exchange for one or two that are smaller together. Where no
+        item of a bin can change, pairs of its items are tried against one smaller item of another bin.
         """
         room_of = _Places(self.capacity)
         fill, items, changes = self.fill, self.items, 0
@@ -74,6 +82,31 @@ class Bins:
             else:
                 room_of.hide(b)
 
+        def exchange(b: int, given: list[tuple[int, int]], x: int, back: tuple[int, ...]) -> None:
+            for one in given:
+                items[b].remove(one)
+            for s in back:
+                items[b].append(items[x].pop(next(i for i, one in enumerate(items[x]) if one[0] == s)))
+            items[x] += given
+            moved = sum(s for s, _ in given) - sum(back)
+            fill[x] += moved
+            fill[b] -= moved
+            show(x)
+            if fill[x] < self.capacity:
+                heappush(waiting, (fill[x], x))
+
+        def pair_of(b: int) -> tuple[list[tuple[int, int]], int, tuple[int, ...]] | None:
+            """Two items of b for one of another bin."""
+            tried: set[int] = set()
+            own = sorted(items[b], reverse=True)
+            for i, one in enumerate(own):
+                for other in own[i + 1 :]:
+                    total = one[0] + other[0]
+                    if total not in tried and (found := room_of.best(total, fill[b], (1,))) is not None:
+                        return [one, other], *found
+                    tried.add(total)
+            return None
+
         for b in range(len(fill)):
             show(b)
         waiting = [(f, b) for b, f in enumerate(fill) if 0 < f < self.capacity]
@@ -90,24 +123,16 @@ class Bins:
                 continue
             before = changes
             room_of.hide(b)
-            for size, item in sorted(items[b], reverse=True):
-                found = room_of.best(size, fill[b])
-                if found is None:
-                    continue
-                x, back = found
-                items[b].remove((size, item))
-                for s in back:
-                    items[b].append(items[x].pop(next(i for i, one in enumerate(items[x]) if one[0] == s)))
-                items[x].append((size, item))
-                moved = size - sum(back)
-                fill[x] += moved
-                fill[b] -= moved
+            for one in sorted(items[b], reverse=True):
+                found = room_of.best(one[0], fill[b])
+                if found is not None:
+                    exchange(b, [one], *found)
+                    changes += 1
+                    if not fill[b]:
+                        break
+            if changes == before and (found := pair_of(b)) is not None:
+                exchange(b, *found)
                 changes += 1
-                show(x)
-                if fill[x] < self.capacity:
-                    heappush(waiting, (fill[x], x))
-                if not fill[b]:
-                    break
             show(b)
             if changes > before:
                 heappush(waiting, (fill[b], b))
@@ -151,14 +176,15 @@ class _Places:
         heappush(self.lists[kind][room], entry)
         self.full[kind] |= 1 << room
 
-    def best(self, size: int, own: int) -> tuple[int, tuple[int, ...]] | None:
-        """(bin, sizes to give back) of the change that leaves that bin least room; own: fill of the giving bin.
+    def best(self, size: int, own: int, kinds: tuple[int, ...] = (0, 1, 2)) -> tuple[int, tuple[int, ...]] | None:
+        """(bin, sizes to give back) of the change that leaves that bin least room; own: fill of the giving bin; kinds:
+        how many may come back.
 
         What leaves as much room as the giving bin has now, or the taking bin, raises no sum of squares.
         """
         best = None
         end = min(size + self.capacity - own, self.capacity + 1)
-        for kind in range(3):
+        for kind in kinds:
             rest = (self.full[kind] & (1 << end) - 1) >> size
             room = size
             while rest:
@@ -188,39 +214,57 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
+def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    for k in range(0, len(rows), 2000):
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 2000]), kinds)], ["doc_id", "piece", "start", "length", "sequence_id", "offset", "ids"])
+
+
+class _Windows:
+    """Pieces of one task in bins, window by window; hand_on: underfull bins' pieces get no sequence in the end."""
+
+    def __init__(self, capacity: int, window_tokens: int, number: int, hand_on: bool):
+        self.capacity, self.window, self.number, self.hand_on = capacity, window_tokens, number, hand_on
+        self.bins, self.pending = Bins(capacity), []
+        self.pieces: dict[int, tuple] = {}
+        self.count = self.held = 0
+
+    def put(self, doc: int, piece: int, start: int, size: int, ids: bytes) -> None:
+        self.pieces[self.count] = (doc, piece, start, size, ids)
+        self.pending.append((size, self.count))
+        self.count += 1
+        self.held += size
+
+    def due(self) -> list[tuple]:
+        """Rows of bins that are done, once a window is full."""
+        if self.held < self.window:
+            return []
+        rows = self.close(False)
+        return rows + self.close(True) if self.held >= self.window // 2 else rows
+
+    def close(self, last: bool) -> list[tuple]:
+        self.bins.add(self.pending)
+        self.bins.improve()
+        self.pending, rows, left = [], [], Bins(self.capacity)
+        for items, fill in zip(self.bins.items, self.bins.fill):
+            done = fill >= self.capacity - self.capacity // 64
+            if not done and not last:
+                left.items.append(items)
+                left.fill.append(fill)
+                continue
+            sequence, offset = (None, 0) if self.hand_on and not done else (self.number, 0)
+            for size, item in items:
+                doc, piece, start, size, ids = self.pieces.pop(item)
+                rows.append((doc, piece, start, size, sequence, offset if sequence is not None else None, ids))
+                offset += size
+            self.number += sequence is not None
+        self.bins, self.held = left, sum(left.fill)
+        return rows
+
+
 def _pack(tokenizer_path: str, end_id: int, capacity: int, window_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        bins = Bins(capacity)
-        pending: list[tuple[int, int]] = []
-        pieces: dict[int, tuple] = {}
-        count = held = 0
-
-        def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            for k in range(0, len(rows), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 2000]), kinds)], ["doc_id", "piece", "start", "length", "sequence_id", "offset", "ids"])
-
-        def close(last: bool) -> list[tuple]:
-            nonlocal bins, pending, number, held
-            bins.add(pending)
-            bins.improve()
-            pending, rows, left = [], [], Bins(capacity)
-            for items, fill in zip(bins.items, bins.fill):
-                if not last and fill < capacity - capacity // 64:
-                    left.items.append(items)
-                    left.fill.append(fill)
-                    continue
-                offset = 0
-                for size, item in items:
-                    doc, piece, start, ids = pieces.pop(item)
-                    rows.append((doc, piece, start, size, number, offset, ids))
-                    offset += size
-                number += 1
-            bins = left
-            held = sum(left.fill)
-            return rows
-
+        windows = _Windows(capacity, window_tokens, TaskContext.get().partitionId() << 32, True)
         for batch in (part for whole in batches for part in common.sliced(whole)):
             ids, counts = common.encoder(tokenizer_path).encode(batch.column("text"))
             data = np.insert(ids, np.cumsum(counts), end_id).astype("<u4").tobytes()
@@ -229,20 +273,26 @@ def _pack(tokenizer_path: str, end_id: int, capacity: int, window_tokens: int):
                 for k, (s, size) in enumerate(cut(n, capacity)):
                     mine = data[4 * (begin + s) : 4 * (begin + s + size)]
                     if size == capacity:
-                        full.append((doc, k, s, size, number, 0, mine))
-                        number += 1
+                        full.append((doc, k, s, size, windows.number, 0, mine))
+                        windows.number += 1
                     else:
-                        pieces[count] = (doc, k, s, mine)
-                        pending.append((size, count))
-                        count += 1
-                        held += size
+                        windows.put(doc, k, s, size, mine)
                 begin += n
-            yield from out(full)
-            if held >= window_tokens:
-                yield from out(close(False))
-                if held >= window_tokens // 2:
-                    yield from out(close(True))
-        yield from out(close(True))
+            yield from _batches(full)
+            yield from _batches(windows.due())
+        yield from _batches(windows.close(True))
+
+    return run
+
+
+def _pack_rest(capacity: int, window_tokens: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = _Windows(capacity, window_tokens, SECOND + (TaskContext.get().partitionId() << 32), False)
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "piece", "start", "length", "ids"))):
+                windows.put(*row)
+            yield from _batches(windows.due())
+        yield from _batches(windows.close(True))
 
     return run
 
@@ -251,7 +301,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity:
     """Rows (doc_id, piece, start, length, sequence_id, offset, ids) for each piece; ids are little-endian unsigned 32-bit."""
     common.ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_pack(tokenizer_path, end_id, capacity, window_tokens), PIECES)
+    first = common.staged(rows.mapInArrow(_pack(tokenizer_path, end_id, capacity, window_tokens), PIECES), "packed")
+    rest = first.where("sequence_id is null").select("doc_id", "piece", "start", "length", "ids")
+    left = rest.agg(F.sum("length")).first()[0] or 0
+    mixed = rest.repartition(-(-left // window_tokens) or 1, "doc_id", "piece", "length")
+    return first.where("sequence_id is not null").union(mixed.mapInArrow(_pack_rest(capacity, window_tokens), PIECES))
 
 
 def with_digest(packed: DataFrame) -> DataFrame:

@@ -176,6 +176,48 @@ def test_local_search_packs_an_arrival_order_fill():
                 assert not any(0 < size - g <= room and bins.fill[x] + size - g > bins.fill[b] for g in given)
 
 
+def changes_left(bins):
+    """Exchanges of the dealt kinds between two underfull bins that would raise the sum of squared fills."""
+    found = []
+    sums = lambda items: [((), 0), *(((i,), s) for i, (s, _) in enumerate(items)), *(((i, j), s + t) for j, (t, _) in enumerate(items) for i, (s, _) in enumerate(items[:j]))]
+    some = [b for b, f in enumerate(bins.fill) if f < bins.capacity]
+    for b in some:
+        for x in some:
+            for given, out in sums(bins.items[b]) if b != x else []:
+                for back, into in sums(bins.items[x]):
+                    if (len(given), len(back)) in ((1, 0), (1, 1), (1, 2), (2, 1)):
+                        new_b, new_x = bins.fill[b] - out + into, bins.fill[x] + out - into
+                        if new_x <= bins.capacity and new_b <= bins.capacity and new_b**2 + new_x**2 > bins.fill[b] ** 2 + bins.fill[x] ** 2:
+                            found.append((b, x, given, back))
+    return found
+
+
+def test_two_for_one_goes_both_ways():
+    bins = packing.Bins(100)
+    bins.items, bins.fill = [[(30, 0), (31, 1)], [(60, 2), (13, 3), (13, 4), (13, 5)]], [61, 99]
+    assert bins.improve() > 0 and not changes_left(bins)
+
+
+def test_no_change_of_any_kind_is_left():
+    rng = random.Random(3)
+    for _ in range(400):
+        capacity = rng.choice([20, 100])
+        bins = packing.Bins(capacity)
+        bins.add([(rng.randint(1, capacity * 2 // 3), i) for i in range(rng.randint(2, 16))])
+        bins.improve()
+        assert not changes_left(bins), bins.items
+
+
+def test_lengths_of_different_partitions_meet(spark):
+    texts = {i: "word " * (68 if i < 300 else 56) for i in range(600)}  # 70 and 58 tokens, or nearly so
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartitionByRange(2, "doc_id")
+    rows = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, capacity=128).collect()
+    used = check_packing(rows, texts, 128)
+    assert {r["length"] for r in rows} <= set(range(55, 74)) and used == 300
+    small = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, capacity=128, window_tokens=3000).collect()
+    assert check_packing(small, texts, 128) <= 330
+
+
 def fewest(sizes, capacity):
     """Least number of bins, by trying everything."""
     best = len(sizes)
