@@ -268,9 +268,11 @@ def test_leaks_and_recall(spark):
     assert blocks - {(903, 0)} == found
 
 
+@pytest.mark.parametrize("share", [0.34, 0.36, 0.39])
 @pytest.mark.parametrize("least,most", [(15, 22), (24, 60)])
-def test_leaks_with_rare_words(spark, least, most):
-    """Items with every third word replaced by a rare one, against the LCS of all windows of all documents."""
+def test_leaks_with_rare_words(spark, least, most, share):
+    """Items with a share of the words, up to what LCS still takes for a match, replaced by rare ones, against the LCS of
+    all windows of all documents."""
     rng = random.Random(21)
     common = lambda n: " ".join(rng.choice(VOCABULARY[:120]) for _ in range(n))
     items = [(i, f"{common(rng.randint(least, most) - 6)}. {common(6)}.") for i in range(20)]
@@ -279,7 +281,7 @@ def test_leaks_with_rare_words(spark, least, most):
         words = common(rng.randint(60, 300)).split()
         if d % 4 == 0:
             item = items[d // 4 % 20][1].replace(".", "").split()
-            for k in rng.sample(range(len(item)), len(item) // 3):
+            for k in rng.sample(range(len(item)), int(len(item) * share)):
                 item[k] = "rare" + "".join(rng.choice("abcdefghij") for _ in range(6))
             at = rng.randint(0, len(words))
             words[at:at] = item
@@ -296,7 +298,7 @@ def test_leaks_with_rare_words(spark, least, most):
     bench = spark.createDataFrame(items, "item_id long, text string")
     find = lambda **how: {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench, **how).collect()}
     assert len(truth) > 80
-    assert len(find() & truth) >= 0.94 * len(truth)  # the rest has a cosine under 0.6
+    assert len(find() & truth) >= 0.95 * len(truth)  # the rest has a cosine under 0.5
     assert find(cosine=0.3) >= truth
 
 
