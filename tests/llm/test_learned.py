@@ -298,7 +298,8 @@ def test_leaks_with_rare_words(spark, least, most, share):
     bench = spark.createDataFrame(items, "item_id long, text string")
     find = lambda **how: {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench, **how).collect()}
     assert len(truth) > 80
-    assert len(find() & truth) >= 0.95 * len(truth)  # the rest has a cosine under 0.5
+    assert len(find() & truth) >= 0.9 * len(truth)  # the rest has a cosine under 0.55
+    assert len(find(cosine=0.5) & truth) >= 0.95 * len(truth)
     assert find(cosine=0.3) >= truth
 
 
