@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlume.llm import common, decontaminate, jaccard_join, packing, quality_rules, toxicity
@@ -42,16 +42,21 @@ def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
     return left.drop(ROW)
 
 
+def _row(docs: DataFrame) -> Column:
+    """All columns as one, whatever signs their names hold."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("_row")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the threshold table rejects go; its measures and the text come from the same scan."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    rows = docs.select(_row(docs), "text")
     return quality_rules.apply_rules(rows, id_col="_row").where("passed").select("doc_id.*")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a calibrated score of 0.5 or more go. The model learns from labelled documents that are left."""
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    rows = docs.select(_row(docs), "text")
     return model.score(rows, id_col="_row").where("score < 0.5").select("doc_id.*")
 
 
