@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import json
 import os
 import re
 import tempfile
@@ -246,6 +247,18 @@ _ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|
 _WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+\Z")
 _ENCODERS: dict[tuple[str, int], "Encoder"] = {}
 
+#: The kinds of vocabularies (normalizer, pre-tokenizer) whose cuts are known to hold, and whether they lower-case.
+_WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+_KINDS = [
+    (None, _BYTE_LEVEL | {"use_regex": True}, False),
+    (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _WORD_SPLIT}, "behavior": "Removed", "invert": True}, _BYTE_LEVEL | {"use_regex": False}]},
+        True,
+    ),
+]
+
 
 def _byte_letters() -> list[str]:
     """The letter that byte-level vocabularies write for each byte: printable ones stay, the rest follow from U+0100."""
@@ -262,7 +275,8 @@ class Encoder:
     library, and the ids are put together. Texts that hold an added token's string or rare white space go to the
     library whole. The memo is a table of `slots` places probed by the piece's 64-bit hash, so its memory is bounded.
     It keeps each piece's bytes, and every piece of a text is compared with them; a text with a piece that shares its
-    hash with another one goes to the library whole.
+    hash with another one goes to the library whole. So do all texts where the vocabulary's normalizer or pre-tokenizer
+    is none of those that these cuts are known for (_KINDS).
     """
 
     WAYS = 3
@@ -277,7 +291,11 @@ class Encoder:
         self.tok.no_truncation()
         self.slots = slots
         self.letters = _byte_letters()
-        self.lower = self.tok.normalizer is not None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        kinds = [lower for normalizer, cutter, lower in _KINDS if (spec["normalizer"], spec["pre_tokenizer"]) == (normalizer, cutter)]
+        self.known = bool(kinds) and spec["model"].get("type", "BPE") == "BPE" and not spec["model"].get("dropout")
+        self.lower = any(kinds)
         names = [re.escape(t.content.encode()) for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile(b"|".join(names)) if names else None
         self._clear()
@@ -370,6 +388,10 @@ class Encoder:
 
     def encode(self, column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows one after another, and how many each row has. Null: no ids."""
+        if not self.known:
+            whole = self._whole([x or "" for x in column.to_pylist()])
+            counts = np.fromiter(map(len, whole), np.int64, len(whole))
+            return np.fromiter((x for one in whole for x in one), np.uint32, int(counts.sum())), counts
         raw, ends = arrow_bytes(column)
         if not len(ends):
             return np.empty(0, np.uint32), np.empty(0, np.int64)

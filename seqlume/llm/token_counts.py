@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
+BROADCAST_ROWS = 1_000_000  # digests of 32 bytes
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
 
@@ -70,9 +71,15 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     version = tokenizer_digest(tokenizer_path)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("digest", F.unhex(F.sha2(F.col("text"), 256)))
-    known = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
+    known = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest")
     # equal texts fall together in the task that reads them, so a text of many rows is sent once by each task
-    misses = keyed.groupBy("digest").agg(F.first("text").alias("text")).join(known, "digest", "left_anti")
+    distinct = lambda rows: rows.groupBy("digest").agg(F.first("text").alias("text"))
+    if known.isEmpty():
+        misses = distinct(keyed)
+    else:  # texts are sent only where their digests aren't known
+        missing = common.staged(keyed.select("digest").distinct().join(known, "digest", "left_anti"), "missing-digests")
+        few = missing.count() <= BROADCAST_ROWS
+        misses = distinct(keyed.join(F.broadcast(missing), "digest", "left_semi")) if few else distinct(keyed).join(missing, "digest", "left_semi")
     misses.select("digest", "text").mapInArrow(_encode(tokenizer_path, version), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     # written, so that the join reads exchanges alone and Spark can split a digest that many rows share
     counts = common.staged(read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens").dropDuplicates(["digest"]), "token-counts")

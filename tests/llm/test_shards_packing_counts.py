@@ -38,6 +38,28 @@ def test_encoder_equals_library(name):
             assert ids[e - c : e].tolist() == tok.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("change", ["normalizer", "pre_tokenizer", "prefix_space"])
+def test_encoder_of_other_vocabularies(tmp_path, change):
+    """Vocabularies whose cuts aren't known are encoded by the library, text by text."""
+    from tokenizers import normalizers, pre_tokenizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    if change == "normalizer":
+        tok.normalizer = normalizers.Sequence([normalizers.NFKC(), normalizers.Replace("a", "b. ")])
+    elif change == "pre_tokenizer":
+        tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Punctuation("merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    else:
+        tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    tok.save(str(tmp_path / "other.json"))
+    encoder = common.Encoder(str(tmp_path / "other.json"))
+    assert not encoder.known and all(common.Encoder(public_tokenizers.path(n)).known for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    ids, counts = encoder.encode(pa.chunked_array([TEXTS[:3], TEXTS[3:]], pa.string()))
+    assert len(counts) == len(TEXTS)
+    for t, e, c in zip(TEXTS, np.cumsum(counts), counts):
+        assert ids[e - c : e].tolist() == tok.encode(t or "", add_special_tokens=False).ids, repr(t)
+    assert [len(x) for x in encoder.encode(pa.array([], pa.string()))] == [0, 0]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 6), max_size=400), st.integers(0, 400), st.integers(0, 400))
 def test_shard_round_trip(ids, a, b):
@@ -307,6 +329,22 @@ def test_token_counts_read_the_cache(spark):
     assert token_counts.token_counts(docs.limit(0), path, cache).count() == 0
 
 
+@pytest.mark.parametrize("most", [1_000_000, 2])
+def test_token_counts_of_a_partly_filled_cache(spark, monkeypatch, most):
+    """Half of the texts are stored, one of them twice, as a task that ran again might leave it, and other versions' counts."""
+    monkeypatch.setattr(token_counts, "BROADCAST_ROWS", most)
+    path, cache = public_tokenizers.path("byte_bpe_50k.json"), common.new_folder(spark, "cache")
+    docs = frame(spark, TEXTS * 2)
+    want = sorted(map(str, token_counts.token_counts(docs, path, common.new_folder(spark, "cache")).collect()))
+    token_counts.token_counts(frame(spark, TEXTS[::2]), path, cache)
+    stored = token_counts.read_cache(spark, cache).collect()
+    spark.createDataFrame([stored[0], (stored[1][0], "another", 99)], token_counts.CACHE_SCHEMA).write.mode("append").parquet(cache)
+    for _ in range(2):
+        assert sorted(map(str, token_counts.token_counts(docs, path, cache).collect())) == want
+    texts = {t or "" for t in TEXTS} | {"no id"}
+    assert token_counts.read_cache(spark, cache).count() == len(texts) + 2
+
+
 def test_sentencepiece_counts(spark):
     import sentencepiece
 
