@@ -12,7 +12,8 @@
     window and is held against the whole item and stretches as long as itself.
  4. A candidate is a match if the longest common subsequence of the item's words and the words around the window has
     `lcs` of the item's words or more, and that of its answer (its last sentence) `answer` of the answer's words. The
-    subsequences of all candidates of a batch are found together, bit-parallel over the item.
+    subsequences of all candidates of a batch are found together, bit-parallel over the item, where
+    enough words of the span are the item's and enough of the item's words occur in the span.
 
 Recall against the comparison of every item with every window (tests/llm/test_learned.py), at the default cosine: 0.92
 to 0.98 with 36 and 39 % of the words replaced by rare ones, which is as many as `lcs` still takes for a match (0.95 and
@@ -199,6 +200,8 @@ class Masks:
     """
 
     LANES = 8  # items of more than 64 * LANES words go through lcs_length one by one
+    CELLS = 2_000_000  # words of spans that are looked at together
+    NONE = -2  # number of words that no item has; no place of the tables holds it
 
     def __init__(self, items: list[np.ndarray], seed: int = 3):
         rng = np.random.default_rng(seed)
@@ -207,7 +210,7 @@ class Masks:
         self.words = np.unique(np.concatenate([np.empty(0, np.uint64), *items]))
         self.fits = self.n <= 64 * self.LANES
         lanes = int(-(-self.n[self.fits].max() // 64)) if self.fits.any() else 1
-        self.base, self.shift, self.turn = (np.zeros(len(items), k) for k in (np.int64, np.uint32, np.uint32))
+        self.base, self.shift, self.turn = (np.zeros(len(items), np.uint32) for _ in range(3))
         keys, masks, used = [np.full(1, -1, np.int32)], [np.zeros((lanes, 1), np.uint64)], 1
         for o in np.flatnonzero(self.fits).tolist():
             ids, back = np.unique(np.searchsorted(self.words, items[o]).astype(np.uint32), return_inverse=True)
@@ -230,11 +233,11 @@ class Masks:
         self.keys, self.masks = np.concatenate(keys), np.concatenate(masks, axis=1)
 
     def number(self, words: np.ndarray) -> np.ndarray:
-        """The items' number of each word; -1 for words that no item has."""
+        """The items' number of each word; NONE for words that no item has."""
         if not len(self.words):
-            return np.full(len(words), -1, np.int32)
+            return np.full(len(words), self.NONE, np.int32)
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, at, -1).astype(np.int32)
+        return np.where(self.words[at] == words, at, self.NONE).astype(np.int32)
 
     def lcs(self, o: np.ndarray, lo: np.ndarray, hi: np.ndarray, words: np.ndarray, ids: np.ndarray, share: float) -> np.ndarray:
         """LCS of item o and words lo to hi of each candidate; 0 where the span has less than `share` of its words."""
@@ -244,10 +247,9 @@ class Masks:
         todo = np.flatnonzero(self.fits[o])
         todo = todo[np.argsort(hi[todo] - lo[todo], kind="stable")]
         begin = 0
+        longest = hi[todo] - lo[todo]
         while begin < len(todo):
-            end = begin + 1
-            longest = hi[todo] - lo[todo]
-            end = begin + max(int(np.searchsorted(longest[begin:] * np.arange(1, len(todo) - begin + 1), 2_000_000, "right")), 1)
+            end = begin + max(int(np.searchsorted(longest[begin:] * np.arange(1, len(todo) - begin + 1), self.CELLS, "right")), 1)
             mine = todo[begin:end]
             out[mine] = self._lcs(o[mine], lo[mine], hi[mine], ids, share)
             begin = end
@@ -255,16 +257,22 @@ class Masks:
 
     def _lcs(self, o: np.ndarray, lo: np.ndarray, hi: np.ndarray, ids: np.ndarray, share: float) -> np.ndarray:
         out = np.zeros(len(o), np.int64)
-        step = np.arange(int((hi - lo).max()))
-        place = lo[:, None] + step
-        inside = place < hi[:, None]
-        v = np.where(inside, ids[np.minimum(place, len(ids) - 1)], -1)
-        slot = self.base[o][:, None] + ((v.astype(np.uint32) * self.turn[o][:, None]) >> self.shift[o][:, None])
-        hit = (self.keys[slot] == v) & (v >= 0)
-        some = np.flatnonzero(hit.sum(axis=1) >= share * self.n[o])
+        longest = int((hi - lo).max())
+        padded = np.concatenate([ids, np.full(longest, self.NONE, np.int32)])
+        v = np.lib.stride_tricks.sliding_window_view(padded, longest)[lo]
+        v[np.arange(longest) >= (hi - lo)[:, None]] = self.NONE
+        slot = v.astype(np.uint32)
+        slot *= self.turn[o][:, None]
+        slot >>= self.shift[o][:, None]
+        slot += self.base[o][:, None]
+        hit = self.keys[slot] == v
+        some = np.flatnonzero(np.count_nonzero(hit, axis=1) >= share * self.n[o])
+        slot = np.where(hit[some], slot[some], 0)  # place 0 has an empty mask
+        there = sum((np.bitwise_count(np.bitwise_or.reduce(m[slot], axis=1)).astype(np.int64) for m in self.masks), np.zeros(len(some), np.int64))
+        more = np.flatnonzero(there >= share * self.n[o[some]])
+        some, slot = some[more], slot[more].T.copy()
         if not len(some):
             return out
-        slot = np.where(hit[some], slot[some], 0).T.copy()  # place 0 has an empty mask
         rows = np.full((len(self.masks), len(some)), ~np.uint64(0))
         for at in slot:
             carry = np.zeros(len(some), np.uint64)

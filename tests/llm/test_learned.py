@@ -303,6 +303,23 @@ def test_leaks_with_rare_words(spark, least, most, share):
     assert find(cosine=0.3) >= truth
 
 
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.6, 1.0])
+def test_lcs_of_many_spans(share):
+    """Items of one, some and too many lanes, with repeated words, against the LCS of each pair."""
+    rng = np.random.default_rng(4)
+    items = [rng.integers(0, 40, n).astype(np.uint64) for n in (1, 5, 30, 64, 65, 200, 600)]
+    words = np.concatenate([rng.integers(0, 60, 900).astype(np.uint64), items[3], items[5], items[6]])
+    masks = decontaminate.Masks(items)
+    ids = masks.number(words)
+    o = rng.integers(0, len(items), 400)
+    lo = rng.integers(0, len(words), 400)
+    hi = np.minimum(lo + rng.integers(0, 300, 400), len(words))
+    got = masks.lcs(o, lo, hi, words, ids, share)
+    for k in range(400):
+        want = decontaminate.lcs_length(items[o[k]].tolist(), words[lo[k] : hi[k]].tolist())
+        assert got[k] == want if want >= share * len(items[o[k]]) else got[k] in (0, want)
+
+
 def test_leaks_of_short_documents(spark):
     """Trimmed and condensed copies that are documents of their own and shorter than the item's windows."""
     rng = random.Random(12)
