@@ -10,8 +10,9 @@ Result: one row per message, in order of position: conv_id, turn, role, position
 of turns, in which every message follows the one it replies to), reply_to (position; null for a first message),
 linked (a quote was found), quote_level (deepest), n_passages, n_linked, text (without quotes).
 
-Hot conversations are cut into stretches of positions, so no group of rows has to fit one task. Edge cases: null
-texts are empty; null turns come first and null conversations form one conversation; repeated rows stay, in any
+Conversations are numbered in stretches of 4096 turn values, so a hot one splits as far as its turns differ; rows of one
+conversation with equal or null turns are ordered by one task, and turns that lie far apart (time stamps) make a stretch
+each, whose sizes one task adds up. Edge cases: very long texts are taken whole, as one row each; null texts are empty; null turns come first and null conversations form one conversation; repeated rows stay, in any
 order among equals; quotes of nothing known stay unlinked; an empty table gives an empty result; other columns are
 ignored.
 """
@@ -31,7 +32,7 @@ def normalised(c: Column) -> Column:
 
 
 def numbered(messages: DataFrame, stretch: int = 4096) -> DataFrame:
-    """Adds position: the place in the conversation by turn. Counts in stretches of turns first, so hot keys split."""
+    """Adds position: the place in the conversation by turn. Counts in stretches of turns first, so conversations of many turns split."""
     cut = messages.withColumn("_cut", F.coalesce(F.floor(F.col("turn") / F.lit(stretch)), F.lit(-1 << 62)))
     sizes = cut.groupBy("conv_id", "_cut").count()
     before = F.sum("count").over(Window.partitionBy("conv_id").orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1))
