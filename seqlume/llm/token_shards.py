@@ -35,6 +35,37 @@ _BITS = 20
 BROADCAST_ROWS = 1_000_000  # of 16 bytes
 
 
+def _buckets(keys: np.ndarray) -> np.ndarray:
+    return ((keys * common._STEP) >> np.uint64(64 - _BITS)).view(np.int64)
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in ascending order and how often each one occurs."""
+    keys = np.sort(keys)
+    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    return keys[start], np.diff(start, append=len(keys))
+
+
+def _ranks(keys: np.ndarray, bucket: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The place of each key among the pairs, the greatest int32 for the others.
+
+    A table leads from a bucket to one of its pairs, which is compared; pairs of a bucket that is taken go to one more
+    table, until all pairs are placed.
+    """
+    out = np.full(len(keys), np.iinfo(np.int32).max, np.int32)
+    where = _buckets(pairs)
+    left = np.arange(len(pairs), dtype=np.int32)
+    while len(left):
+        table = np.full(1 << _BITS, -1, np.int32)
+        table[where[left]] = left
+        found = table[bucket]
+        hit = np.flatnonzero(found >= 0)
+        hit = hit[pairs[found[hit]] == keys[hit]]
+        out[hit] = found[hit]
+        left = left[table[where[left]] != left]
+    return out
+
+
 def compress(ids: np.ndarray, first: int | None = None, top: int = 1 << 14, least: int = 4) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """(first rule symbol, rules, expansion lengths, sequence).
 
@@ -49,29 +80,27 @@ def compress(ids: np.ndarray, first: int | None = None, top: int = 1 << 14, leas
     made = 0
     while len(seq) > 1:
         key = (seq[:-1] << np.uint64(32)) | seq[1:]
-        apart = np.ones(len(key), bool)  # of a run of one symbol: every second pair
         again = np.flatnonzero(key[1:] == key[:-1]) + 1
-        if len(again):
-            place = np.arange(len(again)) - np.flatnonzero(np.diff(again, prepend=-1) != 1)[np.cumsum(np.diff(again, prepend=-1) != 1) - 1]
-            apart[again] = place % 2 == 1
-        bucket = ((key * common._STEP) >> np.uint64(64 - _BITS)).astype(np.int64)
-        counts = np.bincount(bucket[apart], minlength=1 << _BITS)
-        limit = max(least, int(np.partition(counts, -top)[-top]))
-        at = np.flatnonzero((counts[bucket] >= limit) & apart)
-        pairs, back, n = np.unique(key[at], return_inverse=True, return_counts=True)
-        if not len(n) or n.max() < least:
-            if limit == least:
-                break
-            limit, at = least, np.flatnonzero((counts[bucket] >= least) & apart)
-            pairs, back, n = np.unique(key[at], return_inverse=True, return_counts=True)
-            if not len(n) or n.max() < least:
+        if len(again):  # of a run of one symbol: every second pair
+            opens = np.diff(again, prepend=-1) != 1
+            again = again[(np.arange(len(again)) - np.flatnonzero(opens)[np.cumsum(opens) - 1]) % 2 == 0]
+        bucket = _buckets(key)
+        counts = np.bincount(bucket, minlength=1 << _BITS) - np.bincount(bucket[again], minlength=1 << _BITS)
+        most = max(least, int(np.partition(counts, -top)[-top]))
+        for limit in sorted({most, least}, reverse=True):
+            frequent = (counts >= limit)[bucket]
+            frequent[again] = False
+            at = np.flatnonzero(frequent)
+            pairs, n = _counted(key[at])
+            if len(n) and n.max() >= least:
                 break
+        else:
+            break
         limit = min(limit, int(n.max()))
-        rank = np.full(len(pairs), np.iinfo(np.int32).max, np.int32)
-        order = np.argsort(-n, kind="stable")[: int((n >= limit).sum())]
-        rank[order] = np.arange(len(order), dtype=np.int32)
+        order = np.flatnonzero(n >= limit)
+        order = order[np.argsort(-n[order], kind="stable")]
         here = np.full(len(seq) + 1, np.iinfo(np.int32).max, np.int32)
-        here[at + 1] = rank[back]
+        here[at + 1] = _ranks(key[at], bucket[at], pairs[order])
         mine = here[1:-1]
         win = np.flatnonzero((mine < here[:-2]) & (mine < here[2:]))
         chosen = here[win + 1]
@@ -142,7 +171,22 @@ class Shard:
             return np.empty(0, np.uint32)
         a, b = np.searchsorted(self.ends, start, "right"), np.searchsorted(self.ends, stop, "left") + 1
         skip = start - (int(self.ends[a - 1]) if a else 0)
-        return self._expand(self.seq[a:b])[skip : skip + stop - start]
+        part = self.seq[a:b]
+        new = part >= self.first
+        rule = part[new].astype(np.int64) - self.first
+        size = np.ones(len(part), np.int64)
+        size[new] = self.length[rule]
+        asked = np.zeros(len(self.rules), bool)
+        asked[rule] = True
+        asked = np.flatnonzero(asked)  # each rule that is asked for is expanded once, which is no longer than the output
+        flat = self._expand((asked + self.first).astype(np.uint32))
+        begin = np.zeros(len(self.rules), np.int64)
+        begin[asked] = np.cumsum(self.length[asked], dtype=np.int64) - self.length[asked]
+        out = np.repeat(part, size)
+        into = np.flatnonzero(np.repeat(new, size))
+        each = size[new]
+        out[into] = flat[np.arange(len(into)) + np.repeat(begin[rule] - (np.cumsum(each) - each), each)]
+        return out[skip : skip + stop - start]
 
 
 def _write(tokenizer_path: str, end_id: int, shard_tokens: int):
