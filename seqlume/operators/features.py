@@ -187,8 +187,8 @@ def best_branch_point(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("name").agg(F.max_by(F.struct(*(c for c in candidates.columns if c != "name")), F.struct("bp_scr", "ss_dist")).alias("x")).select("name", "x.*")
 
 
-def motif_heatmap(effects: DataFrame, sequences: DataFrame, k: int, bins: Column) -> DataFrame:
-    """Mean effect of mutating each k-mer, by bin of its position: (kmer, bin, effect).
+def motif_heatmap(effects: DataFrame, sequences: DataFrame, k: int, bins: Column, by_region: bool = False) -> DataFrame:
+    """Mean effect of mutating each k-mer, by bin of its position: (kmer, bin, effect), with by_region (region, ...).
 
     effects: (event, region, rel_pos, delta), sequences: (event, region, seq, first_pos). k-mers are taken from the
     sequences and joined to the effects of the positions they cover, instead of asking every event for every k-mer.
@@ -200,7 +200,34 @@ def motif_heatmap(effects: DataFrame, sequences: DataFrame, k: int, bins: Column
     per_position = effects.groupBy("event", "region", "rel_pos").agg(F.avg("delta").alias("delta"))
     hits = covered.join(per_position, ["event", "region", "rel_pos"])
     each = hits.groupBy("event", "region", "pos", "kmer").agg(F.avg("delta").alias("delta"))
-    return each.withColumn("bin", bins).groupBy("kmer", "bin").agg(F.avg("delta").alias("effect"))
+    return each.withColumn("bin", bins).groupBy(*(["region"] if by_region else []), "kmer", "bin").agg(F.avg("delta").alias("effect"))
+
+
+def region_heatmap(heat: DataFrame, bins: dict[str, list], key: str = "kmer") -> DataFrame:
+    """Heat maps of several regions side by side, one row for each motif: (key, <region>_<bin>..., mean).
+
+    heat: (key, region, bin, effect), of motif_heatmap with the region kept; bins: the bins of each region, in order.
+    As joins to the first region's map from the left would have it, motifs that only later regions have are left
+    out; one pivot does without the joins. Bins that are not named do not count; a bin without effects is null and
+    stays out of the mean of the bins. Nulls of effect are left out, nulls of the key are a motif.
+    """
+    first = next(iter(bins))
+    cell = lambda r, b: F.avg(F.when((F.col("region") == r) & (F.col("bin") == b), F.col("effect")))
+    names = [f"{r}_{b}" for r, bs in bins.items() for b in bs]
+    cells = [cell(r, b).alias(f"{r}_{b}") for r, bs in bins.items() for b in bs]
+    wide = heat.groupBy(key).agg(*cells, F.count_if(F.col("region") == first).alias("_first")).where("_first > 0")
+    return wide.select(key, *(F.col(f"`{n}`") for n in names), scores.row_mean([f"`{n}`" for n in names]).alias("mean"))
+
+
+def pooled_regions(positions: DataFrame, keys: list[str], outputs: list[str], regions: list[str], floor: float | None = 0.0) -> DataFrame:
+    """The greatest value of each model output over the positions of each region: (keys, <output>_<region>...).
+
+    positions: (keys, region, outputs), one row for each scored window, in any order and in any number of parts. A
+    value is at least `floor` (which a region without positions has, too), or null there if floor is None.
+    """
+    best = lambda o, r: F.max(F.when(F.col("region") == r, F.col(f"`{o}`").cast("double")))
+    held = lambda c: c if floor is None else F.greatest(F.coalesce(c, F.lit(float(floor))), F.lit(float(floor)))
+    return positions.groupBy(*keys).agg(*(held(best(o, r)).alias(f"{o}_{r}") for r in regions for o in outputs))
 
 
 def floored_maxima(df: DataFrame, keys: list[str], position: str, regions: dict[str, tuple[int, int]], columns: list[str]) -> DataFrame:

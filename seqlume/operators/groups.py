@@ -113,3 +113,17 @@ def numbered(df: DataFrame, order, name: str = "row_id", parts: int | None = Non
     start = F.broadcast(spark.createDataFrame(starts, "_part int, _start long"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     return dealt.join(start, "_part").withColumn(name, F.col("_start") + inside).drop("_part", "_start")
+
+
+def pasted(left: DataFrame, right: DataFrame, left_order, right_order, parts: int | None = None) -> DataFrame:
+    """Two tables side by side, first row beside first row: (row_id, left's columns, right's columns).
+
+    Each side is numbered by its own order, so no task holds a table; the shorter one's columns are null in the rows
+    that only the longer one has. Rows that are equal in the order follow each other in any order. An error where
+    both sides have a column of one name.
+    """
+    both = sorted({c.lower() for c in left.columns} & {c.lower() for c in right.columns} | {"row_id"} & {c.lower() for c in left.columns + right.columns})
+    if both:
+        raise ValueError(f"pasted tables: rename {', '.join(both)}")
+    a, b = (numbered(t, o, parts=parts) for t, o in ((left, left_order), (right, right_order)))
+    return a.join(b, "row_id", "full")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqlume.operators import groups
+
 VCF = "chrom string, pos long, id string, ref string, alt string, qual string, filter string, info string"
 BED6 = "chrom string, start long, end long, name string, score string, strand string"
 
@@ -47,6 +49,16 @@ def id_list(spark: SparkSession, path) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("id")).where("id != ''")
 
 
+def lines(spark: SparkSession, paths) -> DataFrame:
+    """(path, line, value): the lines of text files, numbered from 0 in each file.
+
+    Files are split as Spark splits them. A line's place is its block's place in the file and its order within the
+    block; where a stretch of lines begins is carried over the stretches, so no task holds a file.
+    """
+    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value", F.lit(1).alias("_one"))
+    return groups.carried_sums(text, ["path"], ["_block", "_at"], {"line": "_one"}).select("path", "line", "value")
+
+
 def fasta(spark: SparkSession, path, lower: bool = False) -> DataFrame:
     """Rows (name, seq): the header up to its first blank, and the lines after it put together."""
     records = spark.read.option("lineSep", ">").text(path).where("trim(value) != ''")
