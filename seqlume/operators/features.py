@@ -7,8 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqlume.functions import scores, sequence
 
@@ -187,19 +190,105 @@ def best_branch_point(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("name").agg(F.max_by(F.struct(*(c for c in candidates.columns if c != "name")), F.struct("bp_scr", "ss_dist")).alias("x")).select("name", "x.*")
 
 
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether each value of an array without nulls differs from the one before it; structs by their fields."""
+    if pa.types.is_struct(column.type):
+        return np.logical_or.reduce([_changes(c) for c in column.flatten()])
+    return np.append(True, pc.fill_null(pc.not_equal(column[1:], column[:-1]), True).to_numpy(zero_copy_only=False))
+
+
+def _words(text: str, k: int) -> pa.Array:
+    """Every word of k letters of a text, one for each start."""
+    n = len(text) - k + 1
+    if not text.isascii():
+        return pa.array([text[i : i + k] for i in range(n)], pa.string())
+    data = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.frombuffer(text.encode(), np.uint8), k))
+    return pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * k, k, dtype=np.int32)), pa.py_buffer(data)])
+
+
+def occurrences(effects: DataFrame, sequences: DataFrame, k: int, stretch: int = 500) -> DataFrame:
+    """(event, region, pos, kmer, delta): each k-mer of the sequences with the mean effect of the positions it covers.
+
+    effects and sequences as motif_heatmap takes them. A k-mer without effects is left out, one whose effects are null
+    has a null; one that stands in several sequences of an event at one position is there once. Positions travel as
+    packed stretches of `stretch` places, so a group is bounded however long a sequence is; a place that k-mers of the
+    stretch before reach goes to that one as well.
+    """
+    stretch, keys = max(stretch, 2 * k), ["event", "region", "_c"]
+    named = {f.name: f.dataType for f in effects.schema}
+    place = sequences.select((F.col("first_pos") + F.lit(0)).alias("pos")).schema["pos"].dataType
+    key_type = [T.StructField("event", named["event"]), T.StructField("region", named["region"])]
+    packed_type = T.StructType([*key_type, T.StructField("_c", T.LongType()), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("x", T.ArrayType(T.DoubleType()))])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = b.column("rel_pos").to_numpy(zero_copy_only=False)
+            both = np.flatnonzero((at - k + 1) // stretch != at // stretch)
+            rows = np.concatenate([np.arange(len(at)), both])
+            c = np.concatenate([at // stretch, at[both] // stretch - 1])
+            event, region, x = (b.column(n).take(pa.array(rows)) for n in ("event", "region", "delta"))
+            first = np.flatnonzero(_changes(event) | _changes(region) | (np.diff(c, prepend=c[0] - 1) != 0))
+            offsets = pa.array(np.append(first, len(rows)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, v) for v in (pa.array((at[rows] - c * stretch).astype(np.int32)), x)]
+            take = pa.array(first)
+            yield pa.RecordBatch.from_arrays([event.take(take), region.take(take), pa.array(c[first]), *lists], ["event", "region", "_c", "at", "x"])
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = stretch + k - 1
+        for batch in batches:
+            for low in range(0, batch.num_rows, 200):
+                b = batch.slice(low, 200)
+                row, pos, words, means = [], [], [], []
+                for i, (c, e, s) in enumerate(zip(b.column("_c").to_pylist(), b.column("e"), b.column("s"))):
+                    at = np.concatenate([v.values.to_numpy(zero_copy_only=False) for v in e.values.field("at")])
+                    x = np.concatenate([v.values.to_numpy(zero_copy_only=False) for v in e.values.field("x")])
+                    given = np.concatenate([v.values.is_valid().to_numpy(zero_copy_only=False) for v in e.values.field("x")])
+                    there, count = np.bincount(at, minlength=n) > 0, np.bincount(at[given], minlength=n)
+                    mean = np.bincount(at[given], x[given], n) / np.maximum(count, 1)
+                    has = (count > 0).astype(np.int64)
+                    slide = lambda v: sum(v[j : j + stretch] for j in range(k))
+                    near, known, total = slide(there.astype(np.int64)), slide(has), slide(mean)
+                    seen = set()
+                    for start, text in zip(s.values.field("start").to_pylist(), s.values.field("text").to_pylist()):
+                        p = start - c * stretch + np.arange(len(text) - k + 1)
+                        word, keep = _words(text, k), near[p] > 0
+                        if len(s.values) > 1:
+                            told = list(zip(p.tolist(), word.to_pylist()))
+                            keep &= np.array([t not in seen for t in told])
+                            seen.update(told)
+                        q = p[keep]
+                        row.append(np.full(len(q), i))
+                        pos.append(c * stretch + q)
+                        words.append(word.filter(pa.array(keep)))
+                        means.append(pa.array(total[q] / np.maximum(known[q], 1), mask=known[q] == 0))
+                take = pa.array(np.concatenate(row))
+                yield pa.RecordBatch.from_arrays([b.column("event").take(take), b.column("region").take(take), pa.array(np.concatenate(pos)), pa.concat_arrays(words), pa.concat_arrays(means)], ["event", "region", "pos", "kmer", "delta"])
+
+    asked = effects.where("event is not null and region is not null and rel_pos is not null")
+    spread = asked.select("event", "region", F.col("rel_pos").cast("long").alias("rel_pos"), F.col("delta").cast("double").alias("delta")).mapInArrow(packed, packed_type)
+    first, size = F.col("first_pos").cast("long"), F.length("seq")
+    whole = sequences.where((size >= k) & F.col("event").isNotNull() & F.col("region").isNotNull() & F.col("first_pos").isNotNull())
+    cut = whole.select("event", "region", first.alias("_first"), "seq", F.explode(F.sequence(F.floor(first / stretch), F.floor((first + size - k) / stretch))).alias("_c"))
+    start = F.greatest(F.col("_first"), F.col("_c") * stretch)
+    end = F.least(F.col("_first") + F.length("seq"), (F.col("_c") + 1) * stretch + k - 1)
+    piece = F.struct(start.alias("start"), F.col("seq").substr((start - F.col("_first") + 1).cast("int"), (end - start).cast("int")).alias("text"))
+    pieces = cut.select("event", "region", F.col("_c").cast("long").alias("_c"), piece.alias("s"))
+    rows = spread.select(*keys, F.struct("at", "x").alias("e")).unionByName(pieces, allowMissingColumns=True)
+    groups = rows.groupBy(*keys).agg(F.collect_list("e").alias("e"), F.collect_set("s").alias("s")).where((F.size("e") > 0) & (F.size("s") > 0))
+    out = T.StructType([*key_type, T.StructField("pos", T.LongType()), T.StructField("kmer", T.StringType()), T.StructField("delta", T.DoubleType())])
+    return groups.mapInArrow(matched, out).withColumn("pos", F.col("pos").cast(place))
+
+
 def motif_heatmap(effects: DataFrame, sequences: DataFrame, k: int, bins: Column, by_region: bool = False) -> DataFrame:
     """Mean effect of mutating each k-mer, by bin of its position: (kmer, bin, effect), with by_region (region, ...).
 
     effects: (event, region, rel_pos, delta), sequences: (event, region, seq, first_pos). k-mers are taken from the
-    sequences and joined to the effects of the positions they cover, instead of asking every event for every k-mer.
+    sequences and meet the effects of the positions they cover, instead of asking every event for every k-mer.
     First the positions of an occurrence are averaged, then the occurrences.
     """
-    words = sequences.select("event", "region", "first_pos", F.posexplode(F.split("seq", "")).alias("i", "_"), "seq").drop("_")
-    words = words.where(F.col("i") + k <= F.length("seq")).select("event", "region", (F.col("first_pos") + F.col("i")).alias("pos"), F.substring(F.col("seq"), F.col("i") + 1, F.lit(k)).alias("kmer"))
-    covered = words.withColumn("rel_pos", F.explode(F.sequence(F.col("pos"), F.col("pos") + k - 1)))
-    per_position = effects.groupBy("event", "region", "rel_pos").agg(F.avg("delta").alias("delta"))
-    hits = covered.join(per_position, ["event", "region", "rel_pos"])
-    each = hits.groupBy("event", "region", "pos", "kmer").agg(F.avg("delta").alias("delta"))
+    each = occurrences(effects, sequences, k)
     return each.withColumn("bin", bins).groupBy(*(["region"] if by_region else []), "kmer", "bin").agg(F.avg("delta").alias("effect"))
 
 

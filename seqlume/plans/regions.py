@@ -34,7 +34,7 @@ SELECT kmer, {", ".join(f"round(avg(effect) FILTER ({c}), 6) AS {n}" for n, c in
 def region_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heat maps of pairs of letters, of documents that stand for three regions, side by side."""
     region = F.element_at(F.array(F.lit("up"), F.lit("ex"), F.lit("dn")), (F.col("doc_id") % 3 + 1).cast("int"))
-    s = _bases(spark, sf_dir).where("s <> ''").select(F.col("doc_id").alias("event"), region.alias("region"), F.col("s").alias("seq"), F.lit(0).alias("first_pos"))
+    s = _bases(spark, sf_dir, some=True).select(F.col("doc_id").alias("event"), region.alias("region"), F.col("s").alias("seq"), F.lit(0).alias("first_pos"))
     effects = s.select("event", "region", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("rel_pos")).withColumn("delta", F.col("event") % 7 + F.col("rel_pos") * 0.25)
     heat = features.motif_heatmap(effects, s, 2, F.floor(F.col("pos") / 200), by_region=True)
     wide = features.region_heatmap(heat, _BINS)

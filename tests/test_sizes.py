@@ -1,10 +1,12 @@
 """Steps that a small table with many pairs or generated rows takes: dealt out over tasks, with unchanged results."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from seqlume.functions import scores
-from seqlume.operators import intervals
+from seqlume.operators import features, intervals
 from seqlume.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +31,44 @@ def test_pairs_are_dealt_out(spark):
 
 def test_annotate_windows_is_dealt_out(spark):
     assert registry.QUERIES["annotate_windows"](spark, SF).rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def plain_heatmap(effects, sequences, k, size):
+    """The means of a heat map, by event, region and position one after another."""
+    deltas = {}
+    for e, r, p, d in effects:
+        deltas.setdefault((e, r, p), []).append(d)
+    mean = lambda v: sum(v) / len(v) if v else None
+    position = {key: mean([d for d in v if d is not None]) for key, v in deltas.items() if None not in key}
+    each = {}
+    for e, r, s, first in sequences:
+        for i in range(len(s or "") - k + 1):
+            covered = [(e, r, first + i + j) for j in range(k) if (e, r, first + i + j) in position]
+            if covered:
+                each[e, r, first + i, s[i : i + k]] = mean([position[c] for c in covered if position[c] is not None])
+    out = {}
+    for (_, r, p, w), d in each.items():
+        out.setdefault((r, w, p // size), []).append(d)
+    return {key: mean([d for d in v if d is not None]) for key, v in out.items()}
+
+
+def test_heatmap_over_borders_gaps_and_repeats(spark):
+    rng = random.Random(4)
+    sequences = [(e, r, "".join(rng.choice("ACé") for _ in range(rng.choice([0, 1, 2, 9, 40]))), rng.randrange(-30, 30)) for e in range(12) for r in ("up", "dn")]
+    sequences += [sequences[3], (3, "up", "ACACACAC", 2), (3, "up", "ACACCCAC", 2), (4, "up", None, 0), (None, "up", "ACAC", 0), (50, "up", "ACAC", 0)]
+    effects = [(e, r, p, rng.choice([None, rng.random()])) for e in range(12) for r in ("up", "dn") for p in range(-35, 75) if rng.random() < 0.6 for _ in range(rng.randrange(1, 3))]
+    effects += [(None, "up", 1, 1.0), (3, None, 1, 1.0), (3, "up", None, 1.0)]
+    rng.shuffle(effects)
+    df = spark.createDataFrame(effects, "event int, region string, rel_pos int, delta double"), spark.createDataFrame(sequences, "event int, region string, seq string, first_pos int")
+    for k, stretch in ((1, 4), (2, 7), (3, 500), (5, 2)):
+        each = features.occurrences(*df, k, stretch).withColumn("bin", F.floor(F.col("pos") / 6)).groupBy("region", "kmer", "bin").agg(F.avg("delta").alias("effect"))
+        got = {(r["region"], r["kmer"], r["bin"]): r["effect"] for r in each.collect()}
+        assert got == pytest.approx(plain_heatmap(effects, sequences, k, 6)) and len(got) > 10
+    assert features.motif_heatmap(df[0].limit(0), df[1], 2, F.lit(0)).count() == features.motif_heatmap(df[0], df[1].limit(0), 2, F.lit(0)).count() == 0
+
+
+def test_heatmap_shuffles_no_row_for_each_position(spark):
+    s = spark.createDataFrame([(1, "up", "ACGT" * 2000, 0)], "event int, region string, seq string, first_pos int")
+    effects = s.select("event", "region", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("rel_pos")).withColumn("delta", F.col("rel_pos") * 1.0)
+    plan = features.motif_heatmap(effects, s, 2, F.lit(0))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "rel_pos" not in [line for line in plan.split("\n") if "Aggregate" in line][-1]
