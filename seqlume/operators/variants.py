@@ -158,7 +158,7 @@ def annotate(vcf: DataFrame, events: DataFrame, wild_type: DataFrame, ism: DataF
     shaped = with_geometry(sole_events(events))
     asked = alleles(vcf)
     asked = asked if "rec_ord" in vcf.columns else staged(asked, "alleles")  # else each use could number rows anew
-    hits = overlap_join(asked, windows(shaped).drop("upIntStart", "upIntEnd", "dnIntStart", "dnIntEnd"), "chrom")
+    hits = overlap_join(asked, windows(shaped).drop("upIntStart", "upIntEnd", "dnIntStart", "dnIntEnd"), "chrom", parts=int(vcf.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = ["rec_ord", "alt_ord", "event", "region"]
     info = ["chrom", "pos", "ref", "alt", "VCF_ID", "variant", "var_type", "qstart", "qend"]
     shape = ["strand", "c1", "c2", "me_start", "me_end", "me_id", "geneName", "lengthDiff", "group"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seqlume.operators import variants
 
-from .base import query, read
+from .base import query, read, tasks
 
 #: Fixed expressions of the stand-in tables, which Spark and DuckDB read alike.
 _VCF = """SELECT event_id AS rec_ord, k, (CASE WHEN event_id % 2 = 0 THEN '' ELSE 'chr' END) || CAST(1 + k % 5 AS VARCHAR(9)) AS chrom, 10000 * k + 501 + (event_id * 37) % 1000 AS pos,
@@ -60,7 +60,7 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.concat(F.lit("GENE"), k).alias("geneName"), (3 + k % 7).cast("int").alias("lengthDiff"), F.when(k % 3 == 0, "novel_mic").otherwise("known_mic").alias("group"),
     )
     hundredth = lambda n: F.concat(F.lit("0."), F.lpad(n.cast("string"), 2, "0"))
-    at = s.select(k, F.explode(F.array(*map(F.lit, ("c1", "up", "ex", "dn", "c2")))).alias("region")).withColumn("rel_pos", F.explode(F.sequence(F.lit(-60), F.lit(60))))
+    at = s.repartition(tasks(spark), "s_suppkey").select(k, F.explode(F.array(*map(F.lit, ("c1", "up", "ex", "dn", "c2")))).alias("region")).withColumn("rel_pos", F.explode(F.sequence(F.lit(-60), F.lit(60))))
     ism = at.withColumn("ref", F.explode(F.array(*map(F.lit, "ACGT")))).select(
         event.alias("event"), F.when(k % 2 == 0, F.upper("region")).otherwise(F.col("region")).alias("region"), "rel_pos", F.when(k % 3 == 0, F.lower("ref")).otherwise(F.col("ref")).alias("ref"), F.translate("ref", "ACGT", "CGTA").alias("alt"), hundredth(1 + (k * 7 + F.abs("rel_pos") * 3) % 97).alias("mt_score")
     )
