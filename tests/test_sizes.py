@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqlume.functions import scores
 from seqlume.operators import features, intervals
-from seqlume.plans import registry
+from seqlume.plans import annotated, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,3 +72,12 @@ def test_heatmap_shuffles_no_row_for_each_position(spark):
     effects = s.select("event", "region", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("rel_pos")).withColumn("delta", F.col("rel_pos") * 1.0)
     plan = features.motif_heatmap(effects, s, 2, F.lit(0))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "rel_pos" not in [line for line in plan.split("\n") if "Aggregate" in line][-1]
+
+
+def test_region_heatmap_needs_no_join(spark):
+    df = registry.QUERIES["region_heatmap"](spark, SF)
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_generated_substitutions_are_dealt_out(spark):
+    assert annotated.tables(spark, SF)["ism"].rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
