@@ -49,24 +49,28 @@ def json_strings(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, path, value): every string in JSON texts at any depth, but for those under media types' keys.
 
     A level of nesting is opened at a time by Spark's variants, for all rows at once, until no container is left; each
-    level is written, so a deep text costs rounds and not memory. path has keys and positions, as $.a[0].b; names with
+    level is written, as variants that are not parsed again, so a deep text costs rounds and not memory; texts are dealt
+    out over tasks, as a level grows. path has keys and positions, as $.a[0].b; names with
     other signs than letters, digits and _ stand in quotes. Texts that are null or no JSON have no rows; a text that
     is a string is one; null values, numbers and truth values are none; repeated rows have rows of their own.
     """
     spark = df.sparkSession
-    kind = lambda v: F.schema_of_variant(v)
-    level = df.select(F.col(key).alias("_key"), F.lit("$").alias("path"), F.try_parse_json(F.col(text)).alias("v")).where("v is not null")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    level = df.select(F.col(key).alias("_key"), F.lit("$").alias("path"), F.col(text).alias("_text")).repartition(parts, "_key", "_text").select("_key", "path", F.try_parse_json("_text").alias("v"))
     levels = []
     while True:
-        here = level.withColumn("kind", kind(F.col("v")))
+        here = level.withColumn("kind", F.schema_of_variant("v"))
         strings = F.when(F.col("kind") == "STRING", F.try_variant_get("v", "$", "string"))
-        containers = F.when(F.col("kind").rlike("^(OBJECT|ARRAY)"), F.to_json("v"))
-        rows = staged(here.select("_key", "path", strings.alias("value"), containers.alias("inside")).where("value is not null or inside is not null"), "json-level")
+        containers = F.when(F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY"), F.col("v"))
+        named = F.col("kind").startswith("OBJECT")
+        rows = here.select("_key", "path", strings.alias("value"), containers.alias("inside"), named.alias("named"))
+        # a filter on the first level would be pushed before its dealing out, and parse all texts there
+        rows = staged(rows.where("value is not null or inside is not null") if levels else rows, "json-level")
         levels.append(rows)
         deeper = rows.where("inside is not null")
         if deeper.isEmpty():
             break
-        opened = spark.sql("SELECT t._key, t.path, x.key AS name, x.pos AS pos, x.value AS v, startswith(t.inside, '{{') AS named FROM {t} t, LATERAL variant_explode(parse_json(t.inside)) x", t=deeper)
+        opened = spark.sql("SELECT t._key, t.path, x.key AS name, x.pos AS pos, x.value AS v, t.named FROM {t} t, LATERAL variant_explode(t.inside) x", t=deeper)
         opened = opened.where(~F.col("named") | ~F.col("name").rlike(MEDIA))
         quoted = F.when(F.col("name").rlike("^[A-Za-z_][A-Za-z0-9_]*$"), F.col("name")).otherwise(F.concat(F.lit('"'), "name", F.lit('"')))
         step = F.when(F.col("named"), F.concat(F.lit("."), quoted)).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))

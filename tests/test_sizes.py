@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqlume.functions import scores
-from seqlume.operators import features, intervals
+from seqlume.operators import features, intervals, scan
 from seqlume.plans import annotated, registry
+from seqlume.sources.staging import staged
 
 SF = "/root/testdata/sf0.001"
 
@@ -81,3 +82,13 @@ def test_region_heatmap_needs_no_join(spark):
 
 def test_generated_substitutions_are_dealt_out(spark):
     assert annotated.tables(spark, SF)["ism"].rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_json_texts_are_dealt_out_and_parsed_once(spark, monkeypatch):
+    levels = []
+    monkeypatch.setattr(scan, "staged", lambda df, name: levels.append(staged(df, name)) or levels[-1])
+    df = spark.range(50).coalesce(1).select("id", F.concat(F.lit('{"a": ["x", {"b c": "'), "id", F.lit('"}]}')).alias("t"))
+    got = scan.json_strings(df, "id", "t")
+    assert sorted(map(tuple, got.collect()))[:2] == [(0, '$.a[0]', "x"), (0, '$.a[1]."b c"', "0")] and got.count() == 100
+    assert levels[0].schema["inside"].dataType.typeName() == "variant"
+    assert levels[0].select(F.input_file_name()).distinct().count() >= 3
