@@ -47,9 +47,11 @@ def single_value(value: str, tolerance: float = 0.0) -> Column:
 
 
 def coverage_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Keys that only one side has: (key, side)."""
-    a, b = left.select(key).distinct(), right.select(key).distinct()
-    return a.join(b, key, "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("right")))
+    """Keys that only one side has: (key, side). As EXCEPT has it, a null is a key that both sides may have. One
+    aggregate of both sides, and no join that sorts either."""
+    sides = left.select(key, F.lit(1).alias("_side")).unionByName(right.select(key, F.lit(2).alias("_side")))
+    met = sides.groupBy(key).agg(F.bit_or("_side").alias("_side")).where("_side < 3")
+    return met.select(key, F.when(F.col("_side") == 1, "left").otherwise("right").alias("side"))
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

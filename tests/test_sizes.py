@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqlume.functions import scores
-from seqlume.operators import features, intervals, scan
-from seqlume.plans import annotated, registry
+from seqlume.operators import features, groups, intervals, mutagenesis, scan
+from seqlume.plans import annotated, registry, sequences
 from seqlume.sources.staging import staged
 
 SF = "/root/testdata/sf0.001"
@@ -92,3 +92,27 @@ def test_json_texts_are_dealt_out_and_parsed_once(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()))[:2] == [(0, '$.a[0]', "x"), (0, '$.a[1]."b c"', "0")] and got.count() == 100
     assert levels[0].schema["inside"].dataType.typeName() == "variant"
     assert levels[0].select(F.input_file_name()).distinct().count() >= 3
+
+
+def test_coverage_difference_by_one_aggregate(spark):
+    a = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k long")
+    b = spark.createDataFrame([(2,), (3,), (3,), (None,)], "k long")
+    got = groups.coverage_difference(a, b, "k")
+    assert sorted(map(tuple, got.collect())) == [(1, "left"), (3, "right")]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, groups.coverage_difference(a, b.limit(0), "k").na.fill(0).collect())) == [(0, "left"), (1, "left"), (2, "left")]
+
+
+def test_pairs_of_changes_carry_no_sequence(spark):
+    df = spark.createDataFrame([(1, "ATCA" + "G" * 30)], "n int, s string")
+    got = mutagenesis.double_changes(df, "n", "s", ["AT", "CA"])
+    assert [tuple(r) for r in got.select("pos1", "pos2", "ref1", "alt1", "ref2", "alt2", "j").collect()] == [(0, 2, "A", "T", "C", "G", 0)]
+    join = got._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]
+    assert "Project [n#" in join and not any("Project [n#" in line and ", s#" in line and "pos#" in line for line in join.split("\n"))
+
+
+def test_features_have_names_that_compile(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(sequences, "train_and_predict", lambda rows, key, features: asked.append(features) or rows)
+    rows = sequences.gbt_train_predict(spark, SF)
+    assert len(asked[0]) == 5 and all(c.isidentifier() for c in asked[0]) and {"doc_id", "label"} < set(rows.columns)
