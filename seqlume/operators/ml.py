@@ -8,6 +8,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqlume.sources.staging import staged
+
 
 def split_of(key: str, validation: float = 0.1, test: float = 0.1, seed: int = 11) -> Column:
     """train, validation or test, by hash of the key, so that a row's split never changes."""
@@ -22,8 +24,9 @@ def class_weight(df: DataFrame, label: str = "label") -> float:
 
 
 def train_and_predict(df: DataFrame, key: str, features: list[str], label: str = "label", rounds: int = 20, depth: int = 4, rate: float = 0.1) -> DataFrame:
-    """Rows (key, label, split, probability) for all rows; trees learn from the training split, weighted by class."""
-    rows = df.withColumn("split", split_of(key))
+    """Rows (key, label, split, probability) for all rows; trees learn from the training split, weighted by class.
+    The features are worked out once and written, as learning reads them several times."""
+    rows = staged(df.select(key, label, *(F.col(f"`{c}`") for c in features)).withColumn("split", split_of(key)), "features")
     train = rows.where("split = 'train'")
     weight = F.when(F.col(label) == 1, F.lit(class_weight(train, label))).otherwise(F.lit(1.0))
     vectors = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
