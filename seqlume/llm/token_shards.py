@@ -66,13 +66,87 @@ def _ranks(keys: np.ndarray, bucket: np.ndarray, pairs: np.ndarray) -> np.ndarra
     return out
 
 
+def _every_second(again: np.ndarray) -> np.ndarray:
+    """Of places, ascending, where a pair overlaps an equal one before it: the first, third, ... of each run."""
+    opens = np.diff(again, prepend=-2) != 1
+    return again[(np.arange(len(again)) - np.flatnonzero(opens)[np.cumsum(opens) - 1]) % 2 == 0]
+
+
+def _rest(seq: np.ndarray, following: int, least: int, rules: list[np.ndarray]) -> np.ndarray:
+    """Goes on with compress's rounds, without a limit of pairs, and adds to the rules; following: the next new symbol.
+
+    A new pair holds a symbol of the round before, so all its places are among those that changed, and other pairs only
+    lose places. So symbols are linked and stay where they are, and a round takes the places of pairs that may still
+    be frequent, each with its pair's number.
+    """
+    end, none = len(seq), np.iinfo(np.int32).max
+    after, before = np.arange(1, end + 1), np.arange(-1, end - 1)
+    gone, stale = np.zeros(end, bool), np.zeros(end + 1, bool)
+    rank, number = np.full(end + 1, none, np.int32), np.zeros(end, np.int64)
+    pairs, places, changed = np.empty(0, np.uint64), np.empty(0, np.int64), np.arange(end - 1)
+    while True:
+        key = (seq[changed] << np.uint64(32)) | seq[after[changed]]
+        bucket = _buckets(key)
+        some = np.flatnonzero((np.bincount(bucket, minlength=1 << _BITS) >= least)[bucket])
+        fresh, n = _counted(key[some])
+        fresh = fresh[n >= least]
+        found = _ranks(key[some], bucket[some], fresh)
+        some, found = changed[some[found != none]], found[found != none]
+        number[some] = len(pairs) + found
+        pairs, places = np.concatenate([pairs, fresh]), np.sort(np.concatenate([places, some]))
+        pair = number[places]
+        overlaps = np.flatnonzero((pair[1:] == pair[:-1]) & (after[places[:-1]] == places[1:])) + 1
+        asked = np.ones(len(places), bool)
+        if len(overlaps):
+            asked[_every_second(overlaps)] = False
+        n = np.bincount(pair[asked], minlength=len(pairs))
+        order = np.flatnonzero(n >= least)
+        if not len(order):
+            break
+        order = order[np.lexsort((pairs[order], -n[order]))]
+        place = np.full(len(pairs), none, np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        lasting = n[pair] >= least
+        at = places[asked & lasting]
+        mine = place[number[at]]
+        rank[at] = mine
+        wins = (mine < rank[before[at]]) & (mine < rank[after[at]])
+        rank[at] = none
+        win, chosen = at[wins], mine[wins]
+        used = np.bincount(chosen, minlength=len(order))
+        kept = np.flatnonzero(used >= 2)
+        if not len(kept):
+            break
+        win, chosen = win[used[chosen] >= 2], chosen[used[chosen] >= 2]
+        new = np.zeros(len(order), np.uint64)
+        new[kept] = following + np.arange(len(kept), dtype=np.uint64)
+        following += len(kept)
+        p = pairs[order[kept]]
+        rules.append(np.stack([p >> np.uint64(32), p & np.uint64(0xFFFFFFFF)], 1))
+        seq[win] = new[chosen]
+        second = after[win]
+        lost = np.concatenate([win, second, before[win]])
+        after[win] = after[second]
+        gone[second] = True
+        inner = after[win] < end
+        before[after[win[inner]]] = win[inner]
+        stale[lost] = True
+        places = places[lasting & ~stale[places]]
+        stale[lost] = False
+        changed = np.concatenate([win, before[win]])
+        changed = changed[changed >= 0]
+        changed = np.unique(changed[after[changed] < end])
+    return seq[~gone]
+
+
 def compress(ids: np.ndarray, first: int | None = None, top: int = 1 << 14, least: int = 4) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """(first rule symbol, rules, expansion lengths, sequence).
 
     Each round counts all pairs of neighbours and replaces about `top` of the most frequent ones that occur `least`
     times or more; where two overlap, the more frequent one wins (of equally frequent ones that with the smaller
     symbols), and the other may be replaced in a later round. Rounds follow until no pair occurs `least` times or none
-    can be replaced twice.
+    can be replaced twice. Once fewer than `top` pairs can occur more than `least` times, a round looks only at what the
+    one before it changed.
     """
     seq = np.asarray(ids, np.uint64)
     first = int(first if first is not None else (seq.max() + np.uint64(1) if len(seq) else 0))
@@ -82,16 +156,19 @@ def compress(ids: np.ndarray, first: int | None = None, top: int = 1 << 14, leas
         key = (seq[:-1] << np.uint64(32)) | seq[1:]
         again = np.flatnonzero(key[1:] == key[:-1]) + 1
         if len(again):  # of a run of one symbol: every second pair
-            opens = np.diff(again, prepend=-1) != 1
-            again = again[(np.arange(len(again)) - np.flatnonzero(opens)[np.cumsum(opens) - 1]) % 2 == 0]
+            again = _every_second(again)
         bucket = _buckets(key)
         counts = np.bincount(bucket, minlength=1 << _BITS) - np.bincount(bucket[again], minlength=1 << _BITS)
-        most = max(least, int(np.partition(counts, -top)[-top]))
+        above = counts[counts > least]
+        if len(above) < top:
+            break
+        most = int(np.partition(above, -top)[-top])
         for limit in sorted({most, least}, reverse=True):
             frequent = (counts >= limit)[bucket]
             frequent[again] = False
             at = np.flatnonzero(frequent)
-            pairs, n = _counted(key[at])
+            asked = key[at]
+            pairs, n = _counted(asked)
             if len(n) and n.max() >= least:
                 break
         else:
@@ -100,7 +177,7 @@ def compress(ids: np.ndarray, first: int | None = None, top: int = 1 << 14, leas
         order = np.flatnonzero(n >= limit)
         order = order[np.argsort(-n[order], kind="stable")]
         here = np.full(len(seq) + 1, np.iinfo(np.int32).max, np.int32)
-        here[at + 1] = _ranks(key[at], bucket[at], pairs[order])
+        here[at + 1] = _ranks(asked, bucket[at], pairs[order])
         mine = here[1:-1]
         win = np.flatnonzero((mine < here[:-2]) & (mine < here[2:]))
         chosen = here[win + 1]
@@ -116,7 +193,10 @@ def compress(ids: np.ndarray, first: int | None = None, top: int = 1 << 14, leas
         rules.append(np.stack([p >> np.uint64(32), p & np.uint64(0xFFFFFFFF)], 1))
         made += len(kept)
         seq[win] = new[chosen]
-        seq = np.delete(seq, win + 1)
+        left = np.ones(len(seq), bool)
+        left[win + 1] = False
+        seq = seq[left]
+    seq = _rest(seq, first + made, least, rules)
     table = np.concatenate(rules).astype(np.uint32) if rules else np.empty((0, 2), np.uint32)
     length = np.ones(len(table), np.uint32)
     done = 0

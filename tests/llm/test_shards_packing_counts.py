@@ -352,3 +352,54 @@ def test_sentencepiece_counts(spark):
     docs = spark.createDataFrame([(1, "hello there"), (2, None), (3, "")], "doc_id long, text string")
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, path, common.new_folder(spark, "cache")).collect()}
     assert got == {1: len(sentencepiece.SentencePieceProcessor(model_file=path).encode("hello there")), 2: 0, 3: 0}
+
+
+def plain_rounds(ids, least):
+    """Rounds of replacing pairs, one symbol after another: (rules, sequence)."""
+    seq, rules, following = list(ids), [], max(ids) + 1
+    while True:
+        places, i = {}, 0
+        overlaps = set()
+        for i in range(1, len(seq) - 1):  # of a run of one symbol every second pair
+            if seq[i - 1] == seq[i] == seq[i + 1] and i - 1 not in overlaps:
+                overlaps.add(i)
+        for i in range(len(seq) - 1):
+            if i not in overlaps:
+                places.setdefault((seq[i], seq[i + 1]), []).append(i)
+        order = sorted((p for p in places if len(places[p]) >= least), key=lambda p: (-len(places[p]), p))
+        rank = {i: r for r, p in enumerate(order) for i in places[p]}
+        far = len(seq) + len(order)
+        won = [[i for i in places[p] if r < rank.get(i - 1, far) and r < rank.get(i + 1, far)] for r, p in enumerate(order)]
+        kept = [(p, w) for p, w in zip(order, won) if len(w) >= 2]
+        if not kept:
+            return rules, seq
+        new = {i: following + k for k, (_, w) in enumerate(kept) for i in w}
+        rules += [p for p, _ in kept]
+        following += len(kept)
+        seq = [new.get(i, s) for i, s in enumerate(seq) if i - 1 not in new]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_rounds_as_plain_ones(seed):
+    rng = np.random.default_rng(seed)
+    words = [rng.integers(0, 3 + 2 * seed, rng.integers(1, 9)) for _ in range(20)] + [np.zeros(7, int)]
+    ids = np.concatenate([words[i] for i in rng.integers(0, len(words), 400)]).astype(np.uint32)
+    _, rules, _, seq = token_shards.compress(ids)
+    assert (list(map(tuple, rules.tolist())), seq.tolist()) == plain_rounds(ids.tolist(), 4) and len(rules) > 5
+    assert np.array_equal(token_shards.Shard(token_shards.pack(ids)).decode(), ids)
+
+
+def test_later_rounds_look_at_changes_only(monkeypatch):
+    looked, counted = [], token_shards._counted
+    monkeypatch.setattr(token_shards, "_counted", lambda keys: looked.append(len(keys)) or counted(keys))
+    rng = np.random.default_rng(3)
+    words = [rng.integers(0, 3000, 6) for _ in range(2000)]
+    ids = np.concatenate([words[i] for i in rng.zipf(1.3, 30_000) % 2000] + [rng.integers(0, 3000, 60_000)]).astype(np.uint32)
+    token_shards.compress(ids)
+    assert len(looked) > 6 and sum(looked[-2:]) < len(ids) / 1000
+
+
+def test_odd_white_space_is_found_by_its_first_byte():
+    text = "a\x1cb cÂ  ​ 　﻿€ሴ\x85 \u0085⁠e "
+    raw = text.encode()
+    assert common._odd_places(np.frombuffer(raw, np.uint8), raw) == [m.start() for m in common._ODD_SPACE.finditer(raw)]
