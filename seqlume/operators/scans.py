@@ -138,6 +138,7 @@ def consensus(chunks: DataFrame, variants: DataFrame, check: bool = True, stretc
     """
     first = F.get(F.split("alt", ","), F.lit(0))
     asked = variants.select("sample", "chrom", F.col("pos").cast("long").alias("pos"), "ref", first.alias("alt")).where("ref <> ''").distinct()
+    asked = staged(asked, "asked-variants")  # dealing out by range reads its input twice
     kept = staged(greedy_without_overlaps(asked.withColumn("_stop", F.col("pos") + F.length("ref")), ["sample", "chrom"], "pos", "_stop", ["ref", "alt"], stretch), "kept-variants")
     step = chunks.agg(F.max(F.length("seq"))).first()[0] or 1
     parts = kept.withColumn("chunk_start", F.explode(F.sequence(F.floor(F.col("pos") / step) * step, F.floor((F.col("_stop") - 1) / step) * step, F.lit(step).cast("long"))))
@@ -154,4 +155,4 @@ def consensus(chunks: DataFrame, variants: DataFrame, check: bool = True, stretc
     end = F.coalesce(F.get("e", F.size("e") - 1)["b"], F.lit(0))
     mutated = F.concat(F.array_join(pieces, ""), F.substring(F.col("seq"), end + 1, F.length("seq")))
     done = rows.select("sample", "chrom", "chunk_start", (F.when(F.size(wrong) == 0, mutated).otherwise(told) if check else mutated).alias("mutated")).withColumn("_n", F.length("mutated").cast("long"))
-    return carried_sums(done, ["sample", "chrom"], ["chunk_start"], {"out_start": "_n"}).select("sample", "chrom", "chunk_start", "out_start", "mutated")
+    return carried_sums(staged(done, "consensus"), ["sample", "chrom"], ["chunk_start"], {"out_start": "_n"}).select("sample", "chrom", "chunk_start", "out_start", "mutated")

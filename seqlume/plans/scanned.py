@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqlume.operators import cohort, motifs, scan, scans
 from seqlume.sources import readers
+from seqlume.sources.staging import staged
 
 from .base import query, read
 from .sequences import _LETTERS, _bases
@@ -25,7 +26,7 @@ SELECT 'one' AS sample, chrom, CAST(a AS BIGINT) AS chunk_start, CAST(x AS BIGIN
 def consensus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of 100 letters with deletions of five letters, some of which reach over the borders of chunks; variants
     within kept ones are left out."""
-    s = _bases(spark, sf_dir, some=True).select(F.col("doc_id").cast("string").alias("name"), F.col("s").alias("seq"))
+    s = staged(_bases(spark, sf_dir, some=True).select(F.col("doc_id").cast("string").alias("name"), F.col("s").alias("seq")), "letters")
     at = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.length("seq") / 97)))
     v = s.select("name", "seq", at.alias("i")).select("name", "seq", (F.col("i") * 97 + 95).alias("p")).where("p + 7 <= length(seq)")
     cut = lambda p, n: F.substring(F.col("seq"), (p + 1).cast("int"), F.lit(n))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqlume.functions import scores
-from seqlume.operators import features, groups, intervals, mutagenesis, scan
+from seqlume.operators import features, groups, intervals, mutagenesis, scan, scans
 from seqlume.plans import annotated, registry, sequences
 from seqlume.sources.staging import staged
 
@@ -116,3 +116,14 @@ def test_features_have_names_that_compile(spark, monkeypatch):
     monkeypatch.setattr(sequences, "train_and_predict", lambda rows, key, features: asked.append(features) or rows)
     rows = sequences.gbt_train_predict(spark, SF)
     assert len(asked[0]) == 5 and all(c.isidentifier() for c in asked[0]) and {"doc_id", "label"} < set(rows.columns)
+
+
+def test_consensus_deals_out_written_tables_only(spark, monkeypatch):
+    seen = []
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for name in ("numbered", "carried_sums"):
+        monkeypatch.setattr(scans, name, lambda df, *args, f=getattr(scans, name): seen.append(plan(df)) or f(df, *args))
+    consensus = scans.consensus
+    monkeypatch.setattr(scans, "consensus", lambda chunks, variants: seen.extend([plan(chunks), plan(variants)]) or consensus(chunks, variants))
+    assert registry.QUERIES["consensus_chunks"](spark, SF).count() > 10
+    assert len(seen) == 4 and not any(w in p for p in seen for w in ("Join", "Aggregate", "regexp_replace"))
