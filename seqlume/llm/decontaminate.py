@@ -13,7 +13,8 @@
  4. A candidate is a match if the longest common subsequence of the item's words and the words around the window has
     `lcs` of the item's words or more, and that of its answer (its last sentence) `answer` of the answer's words. The
     subsequences of all candidates of a batch are found together, bit-parallel over the item, where
-    enough words of the span are the item's and enough of the item's words occur in the span.
+    enough words of the span are the item's, first in whole blocks (running sums tell), then in the span itself, and
+    enough of the item's words occur in the span.
 
 Recall against the comparison of every item with every window (tests/llm/test_learned.py), at the default cosine: 0.96
 to 0.99 with 36 and 39 % of the words replaced by rare ones, which is as many as `lcs` still takes for a match (0.92 to
@@ -41,6 +42,8 @@ TERM_BITS = 16
 PASSAGE = 64
 STEP = 8
 SLICES = 64
+CHUNK = 256  # items whose words in each block are counted at once
+WAITING = 500_000  # candidates of a batch that are held against their spans at once
 MATCHES = "doc_id long, item_id long, cosine double, lcs_ratio double, answer_ratio double, word_start long"
 
 
@@ -56,6 +59,12 @@ def _blocks(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.cumsum(counts) - counts)[row] + inside * size, row
 
 
+def _by_block(counts: np.ndarray, starts: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The words' places by block of STEP words, with the number of all words where a row ends before its last block does."""
+    place = starts[:, None] + np.arange(STEP)
+    return np.where(place < np.cumsum(counts)[row][:, None], place, counts.sum())
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In slices: passages that have each term, and at last the number of passages."""
     total = np.zeros((1 << TERM_BITS) + SLICES, np.int64)
@@ -292,6 +301,55 @@ class Masks:
         return out
 
 
+class Shared:
+    """How many words of stretches of blocks an item may share, from running sums over the blocks.
+
+    Words of which a span is likely to have more than the item does are taken to be there as often as in the item, so
+    only the others are counted. Which these are costs or saves time; the counts are never too small.
+    """
+
+    def __init__(self, masks: Masks, ids: np.ndarray):
+        """ids: numbers of some words of documents, for how frequent they are."""
+        self.masks = masks
+        self.rate = np.bincount(ids[ids >= 0], minlength=len(masks.words)) / max(len(ids), 1)
+        self.chunks: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def _table(self, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The row of each of the items' words, 0 for those that none of the chunk's items has (Masks.NONE too), which items
+        have it as one that is counted, and how many other words each item has."""
+        if chunk not in self.chunks:
+            items = self.masks.items[chunk * CHUNK : (chunk + 1) * CHUNK]
+            n = np.array([len(w) for w in items], np.int64)
+            number = self.masks.number(np.concatenate(items)).astype(np.int64)
+            pair, times = np.unique(np.repeat(np.arange(len(items)), n) << 32 | number, return_counts=True)
+            item, number = pair >> 32, pair & 0xFFFFFFFF
+            counted = self.rate[number] * 3 * n[item] <= times
+            used, at = np.unique(number, return_inverse=True)
+            place = np.zeros(len(self.masks.words) + 2, np.int64)
+            place[used] = np.arange(1, len(used) + 1)
+            has = np.zeros((len(used) + 1, len(items)), np.uint8)
+            has[at + 1, item] = counted
+            self.chunks[chunk] = place, has, np.bincount(item, weights=times * ~counted, minlength=len(items)).astype(np.int64)
+        return self.chunks[chunk]
+
+    def most(self, ids: np.ndarray, o: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """How many words blocks begin to end and item o may share; ids: numbers of the words of each block."""
+        out = np.zeros(len(o), np.int64)
+        for chunk in np.unique(o // CHUNK).tolist():
+            place, has, others = self._table(chunk)
+            at = place[ids]
+            each = has[at[:, 0]]
+            for k in range(1, STEP):
+                each += has[at[:, k]]
+            upto = np.zeros((len(ids) + 1, has.shape[1]), np.int32)
+            upto[1:] = each
+            np.cumsum(upto, axis=0, out=upto)
+            mine = np.flatnonzero(o // CHUNK == chunk)
+            item = o[mine] - chunk * CHUNK
+            out[mine] = upto[end[mine], item] - upto[begin[mine], item] + others[item]
+        return out
+
+
 class Items:
     """A block of benchmark items with their words, answers and query windows."""
 
@@ -325,25 +383,34 @@ class Items:
             self.words.append(words)
             self.answers.append(answer.tolist() if len(answer) else words.tolist())
         self.masks = Masks(self.words)
-        self.queries = {s: (_unit(np.stack(q)), np.array(owners[s])) for s, q in queries.items()}
-        self.short = {s: (_unit(np.concatenate(q)), np.array(short_owners[s])) for s, q in short.items()}
+        self.queries = {s: _layers(_unit(np.stack(q)), np.array(owners[s])) for s, q in queries.items()}
+        self.short = {s: _layers(_unit(np.concatenate(q)), np.array(short_owners[s])) for s, q in short.items()}
 
 
-def _near(v: np.ndarray, queries: np.ndarray, owners: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _layers(queries: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each item's first queries, its second ones and so on (its first once more where it has no further one), and the items.
+
+    owners: each query's item, in ascending order."""
+    items, first, n = np.unique(owners, return_index=True, return_counts=True)
+    k = np.arange(int(n.max()))[:, None]
+    return queries[first + np.where(k < n, k, 0)], items
+
+
+def _near(v: np.ndarray, layers: np.ndarray, items: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of v, item, cosine) of all rows that reach the cosine with one of an item's queries, each pair once."""
-    cos = v @ queries.T
-    at, q = np.divmod(np.flatnonzero(cos.ravel() >= cosine), len(queries))
-    pair = at * (int(owners.max()) + 1) + owners[q]
-    found = cos[at, q]
-    order = np.lexsort((-found, pair))
-    order = order[np.concatenate([[True], np.diff(pair[order]) != 0])] if len(order) else order
-    return at[order], owners[q][order], found[order]
+    cos = v @ layers[0].T
+    for queries in layers[1:]:
+        np.maximum(cos, v @ queries.T, out=cos)
+    flat = np.flatnonzero(cos.ravel() >= cosine)
+    at, k = np.divmod(flat, len(items))
+    return at, items[k], cos.ravel()[flat]
 
 
 def _search(index, items: Items, cosine: float, lcs: float, answer: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = index.value
-        lengths = items.masks.n
+        lengths, shared = items.masks.n, None
+        table = np.concatenate([table, np.zeros((1, table.shape[1]), table.dtype)])
         for batch in (part for whole in batches for part in common.sliced(whole, most=1_000_000)):
             words, counts = common.word_hashes(batch.column("text"), common.PUNCTUATED)
             if not len(words):
@@ -352,36 +419,58 @@ def _search(index, items: Items, cosine: float, lcs: float, answer: float):
             starts, row = _blocks(counts, STEP)
             begins = np.cumsum(counts) - counts
             ends = begins + counts
+            shared = shared or Shared(items.masks, ids)
+            n_blocks = -(-counts // STEP)
+            first = np.cumsum(n_blocks) - n_blocks
+            place = _by_block(counts, starts, row)
+            block_ids = np.append(ids, np.int32(Masks.NONE))[place]
+            term = np.append(_terms(words), len(table) - 1)[place]
+            each = table[term[:, 0]]
+            for k in range(1, STEP):
+                each += table[term[:, k]]
             sums = np.zeros((len(starts) + 1, table.shape[1]))
-            np.cumsum(np.add.reduceat(table[_terms(words)], starts, axis=0), axis=0, dtype=np.float64, out=sums[1:])
+            sums[1:] = each
+            np.cumsum(sums, axis=0, out=sums)
             matches: list[tuple] = []
-
-            def compare(o: np.ndarray, r: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, cos: np.ndarray) -> None:
+            waiting: list[tuple] = []
+
+            def compare() -> None:
+                if not waiting:
+                    return
+                o, r, lo, hi, at, cos = (np.concatenate(x) for x in zip(*waiting))
+                waiting.clear()
+                begin, end = first[r] + (lo - begins[r]) // STEP, first[r] - (begins[r] - hi) // STEP
+                k = np.flatnonzero(shared.most(block_ids, o, begin, end) >= lcs * lengths[o])
+                o, r, lo, hi, at, cos = (x[k] for x in (o, r, lo, hi, at, cos))
                 ratio = items.masks.lcs(o, lo, hi, words, ids, lcs) / lengths[o]
                 k = np.flatnonzero(ratio >= lcs)
                 matches.extend(zip(*(x[k].tolist() for x in (r, o, -ratio, at, lo, hi, cos))))
 
-            for size, (queries, owners) in items.queries.items():
+            def wait(*candidates: np.ndarray) -> None:
+                waiting.append(candidates)
+                if sum(len(x[0]) for x in waiting) >= WAITING:
+                    compare()
+
+            for size, (layers, owners) in items.queries.items():
                 if len(starts) < size:
                     continue
                 inside = np.flatnonzero(row[size - 1 :] == row[: len(row) - size + 1])
-                most = max(1_000_000 // len(queries), 1)
+                most = max(250_000 // len(owners), 1)
                 for k in range(0, len(inside), most):
                     here = inside[k : k + most]
-                    p, o, cos = _near(_unit(sums[here + size] - sums[here]), queries, owners, cosine)
+                    p, o, cos = _near(_unit(sums[here + size] - sums[here]), layers, owners, cosine)
                     i = here[p]
                     r = row[i]
-                    compare(o, r, np.maximum(begins[r], starts[i] - lengths[o]), np.minimum(ends[r], starts[i] + size * STEP + lengths[o]), starts[i] - begins[r], cos)
-            n_blocks = -(-counts // STEP)
-            first = np.cumsum(n_blocks) - n_blocks
-            for size, (queries, owners) in items.short.items():
+                    wait(o, r, np.maximum(begins[r], starts[i] - lengths[o]), np.minimum(ends[r], starts[i] + size * STEP + lengths[o]), starts[i] - begins[r], cos)
+            for size, (layers, owners) in items.short.items():
                 whole = np.flatnonzero(n_blocks == size)
-                most = max(1_000_000 // len(queries), 1)
+                most = max(250_000 // len(owners), 1)
                 for k in range(0, len(whole), most):
                     here = whole[k : k + most]
-                    p, o, cos = _near(_unit(sums[first[here] + size] - sums[first[here]]), queries, owners, cosine)
+                    p, o, cos = _near(_unit(sums[first[here] + size] - sums[first[here]]), layers, owners, cosine)
                     r = here[p]
-                    compare(o, r, begins[r], ends[r], np.zeros(len(r), np.int64), cos)
+                    wait(o, r, begins[r], ends[r], np.zeros(len(r), np.int64), cos)
+            compare()
             best: dict[tuple[int, int], tuple] = {}
             for r, o, ratio, at, lo, hi, cos in sorted(matches):
                 if (r, o) not in best:

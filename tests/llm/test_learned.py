@@ -415,3 +415,29 @@ def test_pipeline_of_rows_that_are_not_in_files(spark, odd_documents):
         assert stage(spark, none, folder).count() == 0
     few = spark.createDataFrame([(1, "same text here", None, None, None, None, None, None)] * 2, docs.schema)
     assert corpus_pipeline.duplicates(spark, few, folder).count() == 1
+
+
+def test_running_sums_bound_the_common_subsequence():
+    """No span's LCS is above the bound of its blocks, and the bound leaves few spans of frequent words."""
+    rng = np.random.default_rng(11)
+    size = decontaminate.STEP
+    frequent, vocabulary = np.arange(1, 40, dtype=np.uint64), np.arange(1, 4000, dtype=np.uint64)
+    text = lambda n: np.where(rng.random(n) < 0.6, rng.choice(frequent, n), rng.choice(vocabulary, n))
+    items = [text(int(n)) for n in rng.integers(1, 60, 2 * decontaminate.CHUNK + 3)]
+    counts = np.array([3, 0, 900, 8, 1201])
+    words = text(int(counts.sum()))
+    words[500 : 500 + len(items[7])] = items[7]
+    masks = decontaminate.Masks(items)
+    ids = masks.number(words)
+    starts, row = decontaminate._blocks(counts, size)
+    place = decontaminate._by_block(counts, starts, row)
+    assert (np.sort(place[place < len(words)]) == np.arange(len(words))).all()
+    o, begin = rng.integers(0, len(items), 3000), rng.integers(0, len(starts) - 1, 3000)
+    o[0], begin[0] = 7, int(np.searchsorted(starts, 500, "right")) - 1
+    end = np.minimum(begin + rng.integers(1, 15, 3000), len(starts))
+    end[0] = begin[0] + 10
+    most = decontaminate.Shared(masks, ids).most(np.append(ids, np.int32(masks.NONE))[place], o, begin, end)
+    stops = np.append(starts[1:], len(words))
+    lcs = np.array([decontaminate.lcs_length(items[i].tolist(), words[starts[a] : stops[b - 1]].tolist()) for i, a, b in zip(o, begin, end)])
+    assert (most >= lcs).all() and most[0] >= len(items[7])
+    assert (most >= 0.6 * masks.n[o]).mean() < 0.5
