@@ -81,11 +81,10 @@ def find_short(begin: np.ndarray, low: np.ndarray, asked: np.ndarray) -> np.ndar
     group = (asked >> np.uint64(64 - bits)).astype(np.int64)
     rest = (asked >> np.uint64(32 - bits)).astype(np.uint32)
     lo, end = begin[group].astype(np.int64), begin[group + 1].astype(np.int64)
-    hi = end.copy()
-    while (lo < hi).any():
-        middle = (lo + hi) >> 1
-        less = (low[np.minimum(middle, len(low) - 1)] < rest) & (lo < hi)
-        lo, hi = np.where(less, middle + 1, lo), np.where(less, hi, np.minimum(middle, hi))
+    step = 1 << int((end - lo).max()).bit_length() if len(lo) else 0
+    while step := step >> 1:  # what stands before lo is less than what is asked for
+        last = lo + (step - 1)
+        lo += step * ((last < end) & (low[np.minimum(last, len(low) - 1)] < rest))
     return np.where((lo < end) & (low[np.minimum(lo, len(low) - 1)] == rest), lo, -1)
 
 
@@ -121,6 +120,15 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in ascending order, a place of each, and each key's number among them."""
+    order, first = _groups(keys)
+    first = first[: len(keys)]  # none of none
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+    return keys[order[first]], order[first], number
+
+
 def find(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
     """Where each asked key stands in the sorted keys; -1 where it doesn't."""
     if not len(keys):
@@ -222,14 +230,14 @@ class Arrays:
         if (name, part) not in self.held:
             path = os.path.join(self.folder, f"{name}-{part}.npy")
             empty = np.empty((0, 4) if name.endswith("stats") else 0, np.uint64)
-            self.held[name, part] = np.load(path, mmap_mode="r") if os.path.exists(path) else empty
+            self.held[name, part] = np.asarray(np.load(path, mmap_mode="r")) if os.path.exists(path) else empty
         return self.held[name, part]
 
     def places(self, kind: str, keys: np.ndarray, part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each partition: its number, the indices of the keys that it holds, and where it holds them."""
         short = kind.startswith(("bigram", "pair", "trigram"))
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        order = np.argsort(part.astype(np.min_scalar_type(parts)), kind="stable")  # small types are sorted by radix
+        cuts = np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             mine = order[cuts[k] : cuts[k + 1]]
             if short:
@@ -334,8 +342,9 @@ def _count_ngrams(words: Words, order: int, parts: int, hot: np.ndarray):
             gram = [words.numbered(toks)]
             while len(gram) < order:
                 gram.insert(0, _before(gram[0], counts, words.total))
-            _, at, c = np.unique(_gram_key(gram), return_index=True, return_counts=True)
-            held.append((*(x[at] for x in gram), c))
+            rank, first = _groups(_gram_key(gram))
+            at = rank[first]
+            held.append((*(x[at] for x in gram), np.diff(np.append(first, len(rank)))))
             n += len(at)
             if n > HELD:
                 yield merged_rows()
@@ -516,38 +525,39 @@ class Model:
             p1 = (follow - d[np.minimum(follow, 3)]) / self.follow_total + back_off * uniform
         else:
             p1 = np.full(len(words), uniform)
-        toks, start = words[at], code(np.array([self.words.total]))[0]
-        before = _before(toks, counts, start)
-        ctx, ctx_at = np.unique(before, return_inverse=True)
+        start = code(np.array([self.words.total]))[0]
+        ctx, ctx_at = np.append(words, start), _before(at, counts, len(words))
         stats = self.look_up("context", "stats", ctx, word_part(ctx, self.parts))
         if len(self.hot_keys):
             i = find(self.hot_keys, ctx)
             stats[i >= 0] = self.hot_stats[i[i >= 0]]
         total = np.maximum(stats[:, 0], 1)
         gamma = np.where(stats[:, 0] > 0, stats[:, 1:] @ np.array(self.bigram_discounts) / total, 1.0)
-        key = bigram_key(before, toks)
-        keys, first, back = np.unique(key, return_index=True, return_inverse=True)
-        part = bigram_part(before[first], toks[first], self.parts, self.hot_keys)
+        keys, first, back = distinct(bigram_key(ctx[ctx_at], words[at]))
+        ends = words[at[first]]
+        part = bigram_part(ctx[ctx_at[first]], ends, self.parts, self.hot_keys)
         c = self.look_up("bigram", "count", keys, part) + self.once("bigram", keys, part)
         d = np.array([0, *self.bigram_discounts])
         seen = (c - d[np.minimum(c, 3)])[back] / total[ctx_at]
         p = seen + gamma[ctx_at] * p1[at]
         if self.order == 3:
-            p = self.trigram(_before(before, counts, start), before, toks, p)
+            pairs = np.append(keys, bigram_key(np.array([start]), np.array([start])))
+            p = self.trigram(pairs, np.append(ends, start), _before(back, counts, len(keys)), words[at], p)
         add = lambda x: np.bincount(row, weights=x, minlength=len(counts))
         return counts, add(count[at] > 0).astype(np.int64), add(base[at]), add(np.log10(p))
 
-    def trigram(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Probability of each w after u and v, from that after v."""
-        pair = bigram_key(u, v)
-        part = bigram_part(v, pair, self.parts, self.hot_keys)
-        ctx, first, ctx_at = np.unique(pair, return_index=True, return_inverse=True)
-        stats = self.look_up("pair", "stats", ctx, part[first])
-        stats[self.once("pair", ctx, part[first])] = (1, 1, 0, 0)
+    def trigram(self, ctx: np.ndarray, v: np.ndarray, ctx_at: np.ndarray, w: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Probability of each w after the pair of words that ctx_at gives, from that after the pair's second word.
+
+        ctx: hashes of distinct pairs, v: their second words."""
+        part = bigram_part(v, ctx, self.parts, self.hot_keys)
+        stats = self.look_up("pair", "stats", ctx, part)
+        stats[self.once("pair", ctx, part)] = (1, 1, 0, 0)
         total = np.maximum(stats[:, 0], 1)
         gamma = np.where(stats[:, 0] > 0, stats[:, 1:] @ np.array(self.trigram_discounts) / total, 1.0)
-        keys, first, back = np.unique(bigram_key(pair, w), return_index=True, return_inverse=True)
-        c = self.look_up("trigram", "count", keys, part[first]) + self.once("trigram", keys, part[first])
+        keys, first, back = distinct(bigram_key(ctx[ctx_at], w))
+        part = part[ctx_at[first]]
+        c = self.look_up("trigram", "count", keys, part) + self.once("trigram", keys, part)
         d = np.array([0, *self.trigram_discounts])
         return (c - d[np.minimum(c, 3)])[back] / total[ctx_at] + gamma[ctx_at] * lower
 

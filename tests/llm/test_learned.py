@@ -441,3 +441,20 @@ def test_running_sums_bound_the_common_subsequence():
     lcs = np.array([decontaminate.lcs_length(items[i].tolist(), words[starts[a] : stops[b - 1]].tolist()) for i, a, b in zip(o, begin, end)])
     assert (most >= lcs).all() and most[0] >= len(items[7])
     assert (most >= 0.6 * masks.n[o]).mean() < 0.5
+
+
+def test_ngram_places_are_found_in_plain_arrays(tmp_path):
+    """Stored keys are found, others are not, and look-ups work on plain arrays, as slices of mapped ones are slow."""
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 17, 3000):
+        keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        ngram_lm._save_keys(str(tmp_path), f"trigram-{n}", keys)
+        arrays = ngram_lm.Arrays(str(tmp_path))
+        begin, low = (arrays.array(f"trigram-{x}", n) for x in ("begin", "low"))
+        assert type(begin) is np.ndarray and type(low) is np.ndarray
+        assert (ngram_lm.find_short(begin, low, keys) == np.arange(len(keys))).all()
+        assert (ngram_lm.find_short(begin, low, rng.integers(0, 2**64, 500, dtype=np.uint64)) == -1).all()
+    some = rng.integers(0, 40, 500, dtype=np.uint64)
+    keys, place, number = ngram_lm.distinct(some)
+    assert (keys == np.unique(some)).all() and (some[place] == keys).all() and (keys[number] == some).all()
+    assert [len(x) for x in ngram_lm.distinct(some[:0])] == [0, 0, 0]
