@@ -37,6 +37,7 @@ from . import common
 PIECES = "doc_id long, piece int, start long, length long, sequence_id long, offset long, ids binary"
 
 
+SLICE_BYTES = 500_000  # of text are encoded at a time, as a task holds a window of ids beside it
 SECOND = 1 << 55  # numbers of the second stage's sequences begin here
 
 
@@ -265,7 +266,7 @@ class _Windows:
 def _pack(tokenizer_path: str, end_id: int, capacity: int, window_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = _Windows(capacity, window_tokens, TaskContext.get().partitionId() << 32, True)
-        for batch in (part for whole in batches for part in common.sliced(whole)):
+        for batch in (part for whole in batches for part in common.sliced(whole, most=SLICE_BYTES)):
             ids, counts = common.encoder(tokenizer_path).encode(batch.column("text"))
             data = np.insert(ids, np.cumsum(counts), end_id).astype("<u4").tobytes()
             begin, full = 0, []

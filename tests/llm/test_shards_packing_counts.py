@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from seqlume.llm import common, packing, token_counts, token_shards
@@ -403,3 +404,11 @@ def test_odd_white_space_is_found_by_its_first_byte():
     text = "a\x1cb cÂ  ​ 　﻿€ሴ\x85 \u0085⁠e "
     raw = text.encode()
     assert common._odd_places(np.frombuffer(raw, np.uint8), raw) == [m.start() for m in common._ODD_SPACE.finditer(raw)]
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    docs = spark.range(3000).coalesce(1).select(F.repeat(F.lit("some words "), 500).alias("text"))
+    report = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    most = common.staged(docs.mapInArrow(report, "n long"), "batches").agg({"n": "max"}).first()[0]
+    assert 1_000_000 < most < 5_000_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
