@@ -45,8 +45,9 @@ SLICES = 16
 _SEEDS = [np.uint64(x) for x in (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0xD1342543DE82EF95)]
 OTHER_ORDERS = ((2, True), (3, False))  # (seed, rare tokens first)
 PREFIXES = ["second", "third"]  # under these orders
-BROADCAST_ROWS = 1_000_000  # ids of 8 bytes
+BROADCAST_ROWS = 1_000_000  # ids of 8 bytes, pairs of 20
 TASK_TOKENS = 1_000_000  # postings that a task gathers, about 15 bytes each
+DEALT_TOKENS = 250_000  # postings that a task holds before it deals them out, about 24 bytes each
 _TOKEN, _HOT = np.uint64((1 << 39) - 1), np.uint64(1 << 39)  # bits of a token within its partition; very frequent ones
 
 
@@ -116,7 +117,7 @@ def _classes(n: int):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((batch.column("doc_id"), sizes, fp, [None] * m, [None] * m), kinds)], names)
         if seen is not None:
             for k, part in enumerate(np.split(seen, SLICES)):
-                counts = np.minimum(part, 255).astype(np.uint8).tobytes()  # an order needs no exact counts
+                counts = pa.compress(np.minimum(part, 255).astype(np.uint8).tobytes(), "zstd", asbytes=True)  # an order needs no exact counts
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, k, counts), kinds)], names)
 
     return run
@@ -126,7 +127,7 @@ def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, x in zip(batch.column("slice").to_pylist(), batch.column("counts")):
-            a = np.frombuffer(x.as_buffer(), np.uint8).astype(np.uint64)
+            a = np.frombuffer(pa.decompress(x.as_buffer(), (1 << SKETCH_BITS) // SLICES, "zstd"), np.uint8).astype(np.uint64)
             total[k] = total[k] + a if k in total else a
     if total:
         levels = [np.floor(np.log2(x.astype(np.float64) + 1)).clip(0, 63).astype(np.uint8).tobytes() for x in total.values()]
@@ -163,36 +164,51 @@ def _scores(h: np.ndarray, sizes: np.ndarray, level: np.ndarray) -> np.ndarray:
     return (1000 * total / np.maximum(sizes, 1)).astype(np.uint16)
 
 
+def _blobs(held: list[tuple[np.ndarray, ...]], parts: int, edges: np.ndarray) -> pa.RecordBatch:
+    """One blob for each partition of the postings held: a class once, and its postings there one after another."""
+    starts = np.cumsum([0, *(len(fp) for fp, *_ in held)])
+    fp, score, size = (np.concatenate([x[k] for x in held]) for k in range(3))
+    token, spread, place = (np.concatenate([x[k] for x in held]) for k in range(3, 6))
+    row = np.concatenate([x[6] + n for x, n in zip(held, starts.tolist())])
+    first = np.zeros(len(fp), bool)
+    first[np.unique(fp, return_index=True)[1]] = True  # equal sets count once
+    part = np.searchsorted(edges, spread, "right").astype(np.min_scalar_type(parts))
+    order = np.flatnonzero(first[row])
+    order = order[np.argsort(part[order], kind="stable")]  # rows ascend within a partition
+    token, place, row = token[order], place[order], row[order]
+    cuts = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+    blobs = []
+    for a, b in zip(cuts, cuts[1:]):
+        new = np.flatnonzero(np.append(True, row[a + 1 : b] != row[a : b - 1])) if b > a else np.empty(0, np.int64)
+        mine, each, t = row[a:b][new], np.diff(new, append=b - a), token[a:b]
+        head = np.array([b - a, len(mine)], "<i8").tobytes()
+        blobs.append(b"".join((head, t.astype("<u4").tobytes(), (t >> np.uint64(32)).astype("<u1").tobytes(), fp[mine].astype("<i8").tobytes(), score[mine].astype("<u2").tobytes(), *map(_small, (size[mine], place[a:b], each)))))
+    return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+
 def _postings(classes, n: int, percent: int, parts: int, hot_level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(classes.value, np.uint8)
         edges = (np.arange(parts + 1, dtype=np.float64) / parts * 2.0**64).clip(0, 2.0**64 - 2048).astype(np.uint64)[1:-1]
+        held: list[tuple[np.ndarray, ...]] = []
+        count = 0
         for batch in (part for whole in batches for part in common.sliced(whole)):
             h, sizes = document_sets(batch.column("text"), n)
             fp = _fingerprints(h, sizes)
-            first = np.zeros(len(sizes), bool)
-            first[np.unique(fp, return_index=True)[1]] = True  # equal sets of one batch count once
             score = _scores(h, sizes, level)
             key, row, place = prefixes(h, sizes, level, 0, percent)
-            keep = first[row]
-            key, row, place = key[keep], row[keep], place[keep]
             spread = common.mix64(key)  # deals tokens out evenly, whatever their frequency class
             token = spread & _TOKEN
             hot = (key >> np.uint64(58)) >= hot_level  # a very frequent token goes to all partitions, by class
             token[hot] |= _HOT
             spread[hot] = common.mix64(key[hot] + fp[row[hot]].view(np.uint64))
-            order = np.argsort(spread)
-            token, row, place, spread = token[order], row[order], place[order], spread[order]
-            cuts = np.concatenate([[0], np.searchsorted(spread, edges), [len(spread)]])
-            blobs = []
-            for k in range(parts):
-                a, b = int(cuts[k]), int(cuts[k + 1])
-                r = row[a:b]
-                mine, local = np.unique(r, return_inverse=True)
-                head = np.array([b - a, len(mine)], "<i8").tobytes()
-                t = token[a:b]
-                blobs.append(b"".join((head, t.astype("<u4").tobytes(), (t >> np.uint64(32)).astype("<u1").tobytes(), fp[mine].astype("<i8").tobytes(), score[mine].astype("<u2").tobytes(), *map(_small, (sizes[mine], place[a:b], local)))))
-            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+            held.append((fp, score, sizes, token, spread, place.astype(np.int32), row.astype(np.int32)))
+            count += len(token)
+            if count >= DEALT_TOKENS:
+                yield _blobs(held, parts, edges)
+                held, count = [], 0
+        if held:
+            yield _blobs(held, parts, edges)
 
     return run
 
@@ -243,7 +259,8 @@ def _shared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             score = np.frombuffer(raw, "<u2", d, at := at + 8 * d)
             size, at = _read_small(raw, d, at + 2 * d)
             place, at = _read_small(raw, m, at)
-            local, _ = _read_small(raw, m, at)
+            each, _ = _read_small(raw, d, at)
+            local = np.repeat(np.arange(d), each)
             for held, a in zip(columns, (token, fp[local], size[local].astype(np.int32), place.astype(np.int32), score[local].astype(np.int32))):
                 held.append(a)
     if not columns[0]:
@@ -362,13 +379,17 @@ def _passing(names: list[str], kind: str, test):
 
 
 def compared(pairs: DataFrame, sets: DataFrame, columns: list[str], kind: str, test, stretch: int = 2000) -> DataFrame:
-    """The pairs (a, b) whose columns of sets pass the test. A class in many pairs is dealt out in stretches."""
+    """The pairs (a, b) whose columns of sets pass the test. A class in many pairs is dealt out in stretches.
+
+    Few enough pairs are broadcast to the sets, so that a set is only shuffled to where it is compared.
+    """
+    small = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda df: df
     side = lambda x: sets.select(F.col("fp").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(stretch)).cast("int").alias("k"))
-    left = many.join(side("a"), "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).drop("k")
+    left = side("a").join(small(many), "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).drop("k")
     right = pairs.join(many.where("k > 1"), "a", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("b"), F.col("k")), F.lit(0)).cast("int")).drop("k")
     names = [f"{c}_{x}" for x in "ab" for c in columns]
-    return right.join(side("b"), "b").join(left, ["a", "salt"]).select("a", "b", *names).mapInArrow(_passing(names, kind, test), "a long, b long")
+    return side("b").join(small(right), "b").join(left, ["a", "salt"]).select("a", "b", *names).mapInArrow(_passing(names, kind, test), "a long, b long")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -444,6 +465,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, hot_le
     read = common.staged(docs.mapInArrow(_classes(shingle), "doc_id long, n long, fp long, slice int, counts binary"), "classes")
     classes = read.where("slice is null").select("doc_id", "n", "fp")
     sketch = spark.sparkContext.broadcast(_sketch(read).tobytes())
+    common.release(spark)
     tokens = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(2, -(-tokens * (100 - percent) // (100 * TASK_TOKENS)))
 

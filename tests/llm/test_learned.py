@@ -3,12 +3,14 @@
 import collections
 import math
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from seqlume.llm import decontaminate, jaccard_join, ngram_lm, toxicity
+from seqlume.llm import common, decontaminate, jaccard_join, ngram_lm, toxicity
 
 VOCABULARY = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in ("n", "r", "st", "lo", "mi", "ka")]
 
@@ -458,3 +460,29 @@ def test_ngram_places_are_found_in_plain_arrays(tmp_path):
     keys, place, number = ngram_lm.distinct(some)
     assert (keys == np.unique(some)).all() and (some[place] == keys).all() and (keys[number] == some).all()
     assert [len(x) for x in ngram_lm.distinct(some[:0])] == [0, 0, 0]
+
+
+def test_a_set_is_shuffled_only_to_where_it_is_compared(spark):
+    sets = spark.createDataFrame([(k, bytes(8 * [k])) for k in range(1, 9)], "fp long, tokens binary")
+    pairs = common.staged(spark.createDataFrame([(1, k) for k in range(2, 9)] + [(2, 3)], "a long, b long"), "pairs")
+    for most in (1_000_000, 3):
+        jaccard_join.BROADCAST_ROWS, kept = most, jaccard_join.BROADCAST_ROWS
+        got = jaccard_join.compared(pairs, sets, ["tokens"], "<u8", lambda row: row[0][0] != row[1][0], stretch=3)
+        jaccard_join.BROADCAST_ROWS = kept
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.collect()))
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert (plan.count("strategy=broadcast") == 2) == (most > 3)
+
+
+def test_postings_of_many_slices_share_their_blobs(spark):
+    rng = random.Random(8)
+    texts = [prose(rng, 80) for _ in range(60)]
+    texts += texts[:5]
+    level = SimpleNamespace(value=np.ones(1 << jaccard_join.SKETCH_BITS, np.uint8).tobytes())
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[k : k + 5])], ["text"]) for k in range(0, 65, 5)]
+    blobs = list(jaccard_join._postings(level, 5, 75, 4, 14)(iter(batches)))
+    assert sum(b.num_rows for b in blobs) == 4  # one for each partition, however many slices
+    assert list(jaccard_join._shared(iter(blobs), 75)) == [] or sum(b.num_rows for b in jaccard_join._shared(iter(blobs), 75)) == 0
+    both = [b for part in (batches, batches[:1] + [pa.RecordBatch.from_arrays([pa.array([texts[0] + " more"])], ["text"])]) for b in jaccard_join._postings(level, 5, 75, 4, 14)(iter(part))]
+    shared = pa.Table.from_batches(list(jaccard_join._shared(iter(both), 75))).to_pydict()
+    assert len(set(shared["fp"])) == 2 and set(shared["n"]) == {76, 77} and len(set(shared["token"])) >= 10
