@@ -306,7 +306,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity:
     rest = first.where("sequence_id is null").select("doc_id", "piece", "start", "length", "ids")
     left = rest.agg(F.sum("length")).first()[0] or 0
     mixed = rest.repartition(-(-left // window_tokens) or 1, "doc_id", "piece", "length")
-    return first.where("sequence_id is not null").union(mixed.mapInArrow(_pack_rest(capacity, window_tokens), PIECES))
+    second = common.staged(mixed.mapInArrow(_pack_rest(capacity, window_tokens), PIECES), "packed-rest")  # written here, as its batches are bounded then
+    return first.where("sequence_id is not null").union(second)
 
 
 def with_digest(packed: DataFrame) -> DataFrame:

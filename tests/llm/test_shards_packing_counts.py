@@ -412,3 +412,11 @@ def test_texts_go_to_python_in_small_batches(spark):
     most = common.staged(docs.mapInArrow(report, "n long"), "batches").agg({"n": "max"}).first()[0]
     assert 1_000_000 < most < 5_000_000
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
+
+
+def test_no_packing_is_left_to_the_callers_batches(spark):
+    texts = {k: "some words " * (k % 9 + 1) for k in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, capacity=64, window_tokens=500)
+    assert "MapInArrow" not in got._jdf.queryExecution().optimizedPlan().toString()
+    check_packing(got.collect(), texts, 64)
