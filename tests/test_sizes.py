@@ -34,6 +34,34 @@ def test_annotate_windows_is_dealt_out(spark):
     assert registry.QUERIES["annotate_windows"](spark, SF).rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_annotate_windows_shuffles_each_side_once(spark):
+    df = registry.QUERIES["annotate_windows"](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 3 and plan.count("REPARTITION_BY_NUM") == 2  # the third is of the counts by type
+    again = [line for line in plan.split("\n") if "Sort [" in line]
+    assert len(again) == 2 and all(line.count(" ASC ") == 4 for line in again)  # none for the join alone
+
+
+def test_pairs_meet_in_order(spark):
+    rng = random.Random(6)
+    left = spark.createDataFrame([(i, rng.choice([None, *range(-90, 90)])) for i in range(300)], "i long, t long")
+    right = spark.createDataFrame([(j, a, a + rng.choice([-1, 0, 7, 30])) for j in range(80) for a in [rng.randrange(-90, 90)]], "j long, start0 long, end0 long")
+    want = sorted((i, j) for i, t in left.collect() for j, a, b in right.collect() if t is not None and a <= t <= b)
+    met = intervals.overlap_join(left, right, chrom=None, left_span=("t", "t"), width=10, parts=3, order=(["t", "i"], ["start0", "j"]))
+    tasks = [[(r["t"] // 10, r["t"], r["i"], r["start0"], r["j"]) for r in rows] for rows in met.rdd.glom().collect()]
+    assert len(tasks) == 3 and all(rows == sorted(rows) for rows in tasks)
+    assert sorted((r[2], r[4]) for rows in tasks for r in rows) == want and len(want) > 300
+    one = [df.withColumn("chrom", F.lit("1")) for df in (left, right)]
+    for got in (intervals.overlap_join(left, right, chrom=None, left_span=("t", "t"), width=10), intervals.overlap_join(*one, left_span=("t", "t"), width=10, parts=3, order=(["t"], ["start0"]))):
+        assert sorted((r["i"], r["j"]) for r in got.collect()) == want
+
+
+def test_neither_side_of_dealt_pairs_is_broadcast(spark):
+    one = [spark.range(9).select(F.lit("1").alias("chrom"), F.col("id").alias(n), F.col("id").alias(a), F.col("id").alias(b)) for n, a, b in (("i", "qstart", "qend"), ("j", "start0", "end0"))]
+    met = intervals.overlap_join(*one, width=2, parts=7)
+    assert met.count() == 9 and "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
 def plain_heatmap(effects, sequences, k, size):
     """The means of a heat map, by event, region and position one after another."""
     deltas = {}
